@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobscope.llm import media_ts, pieces, token_counts, token_planes
+from jobscope.llm import media_ts, pieces, token_counts, token_planes, toxicity
 from jobscope.llm.common import new_path, table
 
 
@@ -35,11 +35,17 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_table(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_ts": op2_media_ts,
     "op4_prefix_counts": op4_prefix_counts,
     "op6_token_planes": op6_token_planes,
     "op7_pieces": op7_pieces,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
