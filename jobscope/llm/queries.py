@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobscope.llm import media_ts, pieces, token_counts, token_planes, toxicity
+from jobscope.llm import decontaminate, media_ts, pieces, token_counts, token_planes, toxicity
 from jobscope.llm.common import new_path, table
 
 
@@ -21,6 +21,10 @@ def op2_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ts.digest_table(table(spark, sf_dir, "documents"))
 
 
+def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_count_table(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
@@ -42,10 +46,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_ts": op2_media_ts,
+    "op3_spaced_seeds": op3_spaced_seeds,
     "op4_prefix_counts": op4_prefix_counts,
     "op6_token_planes": op6_token_planes,
     "op7_pieces": op7_pieces,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_spaced_seeds": decontaminate.ORACLE,
+}
