@@ -28,29 +28,34 @@ from jobscope.llm.common import text_of
 #: Positions that each mask looks at; both span 11 words.
 MASKS = ((0, 1, 3, 4, 7, 9, 10), (0, 2, 3, 5, 8, 9, 10))
 SPAN = 11
+
+#: What stands between words: any other ASCII than letters and digits.
+APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, LEAST_SHARE = 13, 0.8
 MAX_BROADCAST_SEEDS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
+    """Lower-cased runs of letters, digits and characters outside ASCII."""
+    return F.filter(F.split(F.lower(text), APART), lambda w: w != "")
 
-def seeds_of(words: Column) -> Column:
-    """Hashes of all seeds: those of the first mask by position, then those of the second."""
-    last = F.size(words) - SPAN
 
-    def of(mask: tuple[int, ...], number: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(words[i + o] for o in mask), F.lit(number)))
+def seed_rows(df: DataFrame, id_column: str, at: str) -> DataFrame:
+    """``id_column``, ``at`` (the word where the seed begins) and ``seed``, from a column ``text``.
 
-    return F.when(last >= 0, F.concat(*(of(m, k) for k, m in enumerate(MASKS))))
+    Each word is hashed once. Seeds come from outer generators, which have no filter inferred that
+    would work out all seeds a second time; texts without a seed leave a null, which joins nothing.
+    """
+    hashed = df.select(id_column, F.transform(F.split(F.lower("text"), APART), lambda w: F.when(w != "", F.xxhash64(w))).alias("h"))
+    # only the first and the last part can be empty
+    cut = hashed.select(id_column, "h", F.isnull(F.col("h")[0]).cast("int").alias("lead"), (F.size("h") - F.isnull(F.element_at("h", -1)).cast("int") - SPAN).alias("last"))
 
+    def of(mask: tuple[int, ...], number: int) -> Column:
+        return F.transform(F.sequence("lead", "last"), lambda i: F.xxhash64(*(F.col("h")[i + o] for o in mask), F.lit(number)))
 
-def _seed_rows(df: DataFrame, id_column: str, at: str) -> DataFrame:
-    """``id_column``, ``at`` (where the seed begins) and ``seed``, from a column ``words``."""
-    per_mask = F.size("words") - (SPAN - 1)
-    return df.select(id_column, per_mask.alias("n"), F.posexplode(seeds_of(F.col("words"))).alias("k", "seed")).select(id_column, (F.col("k") % F.col("n")).alias(at), "seed")
+    seeds = F.when(F.col("last") >= F.col("lead"), F.concat(*(of(m, k) for k, m in enumerate(MASKS))))
+    rows = cut.select(id_column, (F.col("last") - F.col("lead") + 1).alias("n"), F.posexplode_outer(seeds).alias("k", "seed"))
+    return rows.select(id_column, (F.col("k") % F.col("n")).alias(at), "seed")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -60,30 +65,31 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_
     (the largest part of the item's words that agree at one offset) and ``first_word`` (where the
     first such window begins in the document).
     """
-    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), words_of(F.coalesce(benchmark["text"], F.lit(""))).alias("words")).distinct()
-    item_seeds = _seed_rows(items, "item_id", "item_at")
+    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), F.coalesce(benchmark["text"], F.lit("")).alias("text")).distinct()
+    item_seeds = seed_rows(items, "item_id", "item_at")
     if item_seeds.count() <= MAX_BROADCAST_SEEDS:
         item_seeds = F.broadcast(item_seeds)
-    texts = text_of(docs).select("doc_id", words_of(F.col("text")).alias("words"))
-    hits = _seed_rows(texts, "doc_id", "doc_at").join(item_seeds, "seed")
+    texts = text_of(docs)
+    hits = seed_rows(texts, "doc_id", "doc_at").join(item_seeds, "seed")
     found = hits.select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("offset")).distinct()
-    item_words = items.select("item_id", F.col("words").alias("item"))
+    item_words = items.select("item_id", words_of(F.col("text")).alias("item"))
     laid = found.join(item_words, found["item_id"].eqNullSafe(item_words["item_id"])).select("doc_id", found["item_id"], "offset", "item")
-    pairs = texts.alias("t").join(laid.alias("l"), F.col("t.doc_id").eqNullSafe(F.col("l.doc_id"))).select("t.doc_id", "item_id", "offset", "item", "words")
+    pairs = texts.alias("t").join(laid.alias("l"), F.col("t.doc_id").eqNullSafe(F.col("l.doc_id"))).select("t.doc_id", "item_id", "offset", "item", words_of(F.col("t.text")).alias("words"))
     low, size = F.greatest(F.lit(0), -F.col("offset")), F.size("item")
     high = F.least(size, F.size("words") - F.col("offset"))
-    width = F.least(F.lit(window), size)
-    agree = F.transform(F.sequence(low, high - 1), lambda j: (F.col("item")[j] == F.col("words")[j + F.col("offset")]).cast("int"))
-    pairs = pairs.where(high - low >= width).select("doc_id", "item_id", "offset", size.alias("size"), low.alias("low"), width.alias("width"), agree.alias("agree"))
+    agree = F.when(high > low, F.transform(F.sequence(low, high - 1), lambda j: (F.col("item")[j] == F.col("words")[j + F.col("offset")]).cast("int")))
+    laid_out = pairs.select("doc_id", "item_id", "offset", size.alias("size"), low.alias("low"), F.least(F.lit(window), size).alias("width"), agree.alias("agree"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    windows = F.transform(F.sequence(F.lit(1), F.size("agree") - F.col("width") + 1), lambda s: total(F.slice("agree", s, F.col("width"))))
+    windows = F.when(F.size("agree") >= F.col("width"), F.transform(F.sequence(F.lit(1), F.size("agree") - F.col("width") + 1), lambda s: total(F.slice("agree", s, F.col("width")))))
     enough = F.ceil(F.col("width") * F.lit(least_share))
-    best = pairs.select("doc_id", "item_id", "offset", "low", (total(F.col("agree")) / F.col("size")).alias("item_share"), windows.alias("windows"), enough.alias("enough")).where(F.array_max("windows") >= F.col("enough"))
+    counted = laid_out.select("doc_id", "item_id", "offset", "low", (total(F.col("agree")) / F.col("size")).alias("share"), windows.alias("windows"), enough.alias("enough"))
     first = F.array_min(F.filter(F.transform("windows", lambda w, i: F.when(w >= F.col("enough"), i)), lambda i: i.isNotNull()))
-    return best.groupBy("doc_id", "item_id").agg(
-        F.max(F.array_max("windows")).cast("long").alias("window_matches"),
-        F.max("item_share").alias("item_share"),
-        F.min(first + F.col("low") + F.col("offset")).cast("long").alias("first_word"),
+    each = counted.select("doc_id", "item_id", "share", "enough", F.array_max("windows").alias("most"), (first + F.col("low") + F.col("offset")).alias("first"))
+    # the test comes after the aggregation: before it, it would be pushed down with all that it is made of
+    return (
+        each.groupBy("doc_id", "item_id")
+        .agg(F.max("most").cast("long").alias("window_matches"), F.max(F.when(F.col("most") >= F.col("enough"), F.col("share"))).alias("item_share"), F.min("first").cast("long").alias("first_word"))
+        .where(F.col("first_word").isNotNull())
     )
 
 
@@ -99,8 +105,8 @@ def _sql_seeds(alias: str) -> str:
 
 
 ORACLE = f"""
-WITH d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS words FROM documents),
-b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS words FROM benchmark),
+WITH d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{APART}'), lambda w: w <> '') AS words FROM documents),
+b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{APART}'), lambda w: w <> '') AS words FROM benchmark),
 dp AS (SELECT doc_id, words, unnest(range(len(words) - {SPAN - 1})) AS p FROM d WHERE len(words) >= {SPAN}),
 bp AS (SELECT item_id, words, unnest(range(len(words) - {SPAN - 1})) AS p FROM b WHERE len(words) >= {SPAN}),
 ds AS (SELECT doc_id, p, {_sql_seeds('dp')} AS seed FROM dp),
