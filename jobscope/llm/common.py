@@ -77,6 +77,11 @@ class WordTable:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def get(self, word: str) -> bytes | None:
+        """A word's value, if it is known."""
+        value = self.young.get(word)
+        return self.old.get(word) if value is None else value
+
     def joined(self, words: list[str]) -> bytes:
         """The values of all words, put together in their order."""
         try:

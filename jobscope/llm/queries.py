@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobscope.llm import decontaminate, media_ts, pieces, token_counts, token_planes, toxicity
+from jobscope.llm import chat_perspectives, decontaminate, licenses, media_ts, pieces, token_counts, token_planes, toxicity
 from jobscope.llm.common import new_path, table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_perspectives.perspective_table(table(spark, sf_dir, "conversations"))
+
+
 def op2_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ts.digest_table(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op4_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_count_table(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-planes")
     token_planes.write_token_planes(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
@@ -45,14 +53,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_perspectives": op1_chat_perspectives,
     "op2_media_ts": op2_media_ts,
     "op3_spaced_seeds": op3_spaced_seeds,
     "op4_prefix_counts": op4_prefix_counts,
+    "op5_licenses": op5_licenses,
     "op6_token_planes": op6_token_planes,
     "op7_pieces": op7_pieces,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_chat_perspectives": chat_perspectives.ORACLE,
     "op3_spaced_seeds": decontaminate.ORACLE,
+    "op5_licenses": licenses.ORACLE,
 }

@@ -29,11 +29,14 @@ from pyspark.sql import functions as F
 from jobscope.llm.common import WordTable, text_of
 
 BLOCK_IDS = 65536
-MAX_WORDS = 500_000
+MAX_WORDS = 350_000
 
 #: Separators that Python's ``split`` knows as white space and the tokenizer file doesn't.
 _OTHER_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 
+#: Marks that the tokenizer file always makes an id of their own after a letter.
+MARKS = ".,;:!?|"
+
 BLOCKS = "shard int, block int, first long, n_ids int, kind string, planes array<binary>, doc_ids array<long>, doc_at array<long>"
 _BLOCK_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 _BLOCK_NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
@@ -49,17 +52,45 @@ def _latin(text: str) -> bool:
 
 
 class WordEncoder:
-    """Encodes through the library word by word: no id of this kind of tokenizer crosses white space."""
+    """Encodes through the library word by word: no id of this kind of tokenizer crosses white space.
+
+    A new word of lower-case letters needs none of the file's normalizing and splitting, and goes to
+    the library as split already; one mark after such a word is always an id of its own.
+    """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.words = WordTable(self._library, MAX_WORDS)
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.marks = dict(zip(MARKS, self._library(list(MARKS)), strict=True))
+        self.words = WordTable(self._learn, MAX_WORDS)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _split_already(self, words: list[str]) -> list[bytes]:
+        found = self.plain.encode(words, is_pretokenized=True, add_special_tokens=False)
+        raw = np.array(found.ids, "<u4").tobytes()
+        ends = [*(4 * (np.flatnonzero(np.diff(np.array(found.word_ids))) + 1)).tolist(), len(raw)]
+        return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        values: dict[str, bytes | None] = {}
+        other = []
+        for w in new:
+            core = w[:-1] if w[-1] in MARKS else w
+            if core.isalpha() and core.islower() and _latin(core):
+                values[core] = self.words.get(core)
+            else:
+                other.append(w)
+        if plain := [w for w, known in values.items() if known is None]:
+            values.update(zip(plain, self._split_already(plain), strict=True))
+        whole = dict(zip(other, self._library(other), strict=True)) if other else {}
+        return [whole[w] if w in whole else values[w] if w in values else values[w[:-1]] + self.marks[w[-1]] for w in new]
+
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
         if any(c in text for c in _OTHER_SPACES):
@@ -218,21 +249,20 @@ def read_documents(spark, path: str) -> DataFrame:  # noqa: ANN001
     @F.pandas_udf("long")
     def joined(parts):  # noqa: ANN001, ANN202
         def one(rows):  # noqa: ANN001, ANN202
+            if rows is None:
+                return None
             crc = 0
             for r in sorted(rows, key=lambda r: r["at"]):
                 crc = crc32_join(crc, int(r["crc"]), 4 * int(r["n"]))
             return crc
 
-        return parts.map(one)
+        return parts.map(one).astype("Int64")
 
     # A part that goes on belongs to the last document that began in an earlier block of its shard: the index has it.
     earlier = Window.partitionBy("shard").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    carried = stored.select("shard", "first", F.try_element_at("doc_at", F.lit(-1)).alias("began")).select("shard", "first", F.last("began", ignorenulls=True).over(earlier).alias("began"))
-    whole = pieces.where("begins").select("shard", F.col("at").alias("began"), "at", "doc_id", "n", "crc")
-    rest = pieces.where(~F.col("begins")).alias("p").join(carried.alias("c"), (F.col("p.shard") == F.col("c.shard")) & (F.col("p.at") == F.col("c.first"))).select("p.shard", "c.began", "p.at", "p.doc_id", "p.n", "p.crc")
-    documents = (
-        whole.unionByName(rest)
-        .groupBy("shard", "began")
-        .agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.min("crc").alias("crc"), F.count(F.lit(1)).alias("parts"), F.collect_list(F.struct("at", "n", "crc")).alias("rows"))
-    )
-    return documents.join(shard_starts(stored), "shard").select("doc_id", (F.col("before") + F.col("began")).alias("start"), "n_tokens", F.when(F.col("parts") == 1, F.col("crc")).otherwise(joined("rows")).alias("ids_crc32"))
+    carried = stored.select("shard", "first", F.try_element_at("doc_at", F.lit(-1)).alias("began")).select(F.col("shard"), F.col("first"), F.last("began", ignorenulls=True).over(earlier).alias("began"))
+    goes_on = (pieces["shard"] == carried["shard"]) & (pieces["at"] == carried["first"]) & ~pieces["begins"]
+    placed = pieces.join(carried, goes_on, "left").select(pieces["shard"], F.coalesce(F.when(~pieces["begins"], carried["began"]), pieces["at"]).alias("began"), "at", "doc_id", "n", "crc")
+    documents = placed.groupBy("shard", "began").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.min("crc").alias("crc"), F.collect_list(F.struct("at", "n", "crc")).alias("parts"))
+    several = F.when(F.size("parts") > 1, F.col("parts"))
+    return documents.join(shard_starts(stored), "shard").select("doc_id", (F.col("before") + F.col("began")).alias("start"), "n_tokens", F.coalesce(joined(several), F.col("crc")).alias("ids_crc32"))
