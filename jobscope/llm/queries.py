@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobscope.llm import chat_perspectives, decontaminate, licenses, media_ts, pieces, token_counts, token_planes, toxicity
+from jobscope.llm import chat_perspectives, decontaminate, licenses, line_dedup, media_ts, pieces, token_counts, token_planes, toxicity
 from jobscope.llm.common import new_path, table
 
 
@@ -47,6 +47,10 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_table(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_table(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_licenses": op5_licenses,
     "op6_token_planes": op6_token_planes,
     "op7_pieces": op7_pieces,
+    "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -67,4 +72,5 @@ ORACLES: dict[str, str] = {
     "op1_chat_perspectives": chat_perspectives.ORACLE,
     "op3_spaced_seeds": decontaminate.ORACLE,
     "op5_licenses": licenses.ORACLE,
+    "op9_line_dedup": line_dedup.ORACLE,
 }
