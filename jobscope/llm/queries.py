@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobscope.llm import chat_perspectives, decontaminate, licenses, line_dedup, media_ts, pieces, token_counts, token_planes, toxicity
+from jobscope.llm import chat_perspectives, decontaminate, licenses, line_dedup, media_ts, order_minhash, pieces, token_counts, token_planes, toxicity
 from jobscope.llm.common import new_path, table
 
 
@@ -47,6 +47,10 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_table(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_licenses": op5_licenses,
     "op6_token_planes": op6_token_planes,
     "op7_pieces": op7_pieces,
+    "op8_order_minhash": op8_order_minhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
