@@ -104,3 +104,20 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array(digest), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return text_of(docs).mapInArrow(per_slice(work), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenized(docs: DataFrame, model: str) -> DataFrame:
+    """A training table: ``doc_id``, ``lang``, ``source``, ``n_tokens``, ``ids`` and ``round_trip`` (whether decoding gives the text back)."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        table = piece_table(model)
+        texts = [t or "" for t in batch["text"].to_pylist()]
+        ids = table.encode(texts)
+        sizes = np.array([len(x) for x in ids], np.int64)
+        offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids).astype(np.int32)))
+        same = [table.decode(x) == t for x, t in zip(ids, texts, strict=True)]
+        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], batch["source"], pa.array(sizes), lists, pa.array(same)], ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"), docs["text"])
+    return rows.mapInArrow(per_slice(work), "doc_id long, lang string, source string, n_tokens long, ids array<int>, round_trip boolean")

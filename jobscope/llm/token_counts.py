@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -229,7 +230,7 @@ def within_budget(stored: DataFrame, budget: int) -> DataFrame:
     """Cut each text of ``with_prefix_counts`` to the longest prefix within the budget, without encoding."""
 
     @F.pandas_udf("int")
-    def cut(deltas):  # noqa: ANN001, ANN202
+    def cut(deltas: pd.Series) -> pd.Series:
         return deltas.map(lambda d: chars_within(bytes(d), budget))
 
     size: Column = cut(F.col("prefix_deltas"))

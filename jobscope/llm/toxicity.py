@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,8 +161,6 @@ def score_table(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores under the threshold."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         return text.map(lambda t: model.score(t or "")).astype("float64")
