@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobscope import vocab
@@ -69,7 +67,7 @@ def parse_reply(text: Column) -> Column:
 
 
 def _any(sentence: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, (sentence.rlike("(?i)" + p) for p in patterns))
+    return sentence.rlike("(?i)(?:" + "|".join(patterns) + ")")
 
 
 def sentences(text: Column) -> Column:
@@ -91,14 +89,16 @@ def _clip(sentence: Column, patterns: list[str]) -> Column:
     return F.when(F.length(sentence) <= 2 * vocab.EVIDENCE_RADIUS, sentence).otherwise(tailed)
 
 
-def detect_sponsorship(text: Column) -> Column:
-    """``tier`` and ``evidence`` that a text states, or null: refusals in any sentence come before offers."""
-    said = sentences(text)
-    no = F.get(F.filter(said, lambda s: _any(s, vocab.NO_PATTERNS)), F.lit(0))
-    yes = F.get(F.filter(said, lambda s: _any(s, vocab.YES_PATTERNS)), F.lit(0))
-    return F.when(no.isNotNull(), F.struct(F.lit("explicit_no").alias("tier"), _clip(no, vocab.NO_PATTERNS).alias("evidence"))).when(
-        yes.isNotNull(), F.struct(F.lit("explicit_yes").alias("tier"), _clip(yes, vocab.YES_PATTERNS).alias("evidence"))
-    )
+def with_sponsorship(df: DataFrame, text: str, tier: str = "text_tier", evidence: str = "evidence") -> DataFrame:
+    """``df`` with what its text column states: refusals in any sentence come before offers; both null if it is silent.
+
+    The steps are columns of their own, so that each is worked out once for a row.
+    """
+    said = df.withColumn("_said", sentences(F.col(text)))
+    first = lambda patterns: F.get(F.filter("_said", lambda s: _any(s, patterns)), F.lit(0))
+    found = said.withColumns({"_no": first(vocab.NO_PATTERNS), "_yes": first(vocab.YES_PATTERNS)})
+    told = found.withColumns({tier: F.when(F.col("_no").isNotNull(), "explicit_no").when(F.col("_yes").isNotNull(), "explicit_yes"), evidence: F.when(F.col("_no").isNotNull(), _clip(F.col("_no"), vocab.NO_PATTERNS)).when(F.col("_yes").isNotNull(), _clip(F.col("_yes"), vocab.YES_PATTERNS))})
+    return told.drop("_said", "_no", "_yes")
 
 
 def resolve_tier(text_tier: Column, registry_flags: Column) -> Column:

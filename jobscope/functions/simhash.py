@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 BITS = 64
 
@@ -37,7 +38,7 @@ def simhash_by_md5(docs: DataFrame, id_column: str, text_column: str) -> DataFra
     return docs.select(id_column).join(found, F.col(id_column) == F.col("_id"), "left").select(id_column, F.coalesce("fingerprint", F.lit(0).cast("long")).alias("fingerprint"))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def simhash_by_blake2b(text: pd.Series) -> pd.Series:
     """The fingerprint with 8-byte blake2b token hashes (Arrow-batched), as signed 64 bits."""
     import re

@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Entities that the native path knows, ``&amp;`` last; the full table is in ``normalize_description_full``.
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&rsquo;", "’"), ("&bull;", "•"), ("&amp;", "&")]
@@ -24,7 +25,7 @@ def normalize_description(raw: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape_full(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.functions.classify import classify, detect_sponsorship, resolve_tier
+from jobscope.functions.classify import classify, resolve_tier, with_sponsorship
 from jobscope.operators.state import changed_only, get_or_create_companies, sweep, upsert_jobs
 
 
 def classify_postings(postings: DataFrame) -> DataFrame:
     """``categories``, ``level``, ``sponsor_tier`` and ``sponsor_evidence`` of postings that carry ``registry_flags``."""
-    signal = F.col("_signal")
-    worked = postings.withColumns({"_class": classify(F.col("title"), F.col("description")), "_signal": detect_sponsorship(F.col("description"))})
-    return worked.withColumns({"categories": F.col("_class.categories"), "level": F.col("_class.level"), "sponsor_tier": resolve_tier(signal["tier"], F.col("registry_flags")), "sponsor_evidence": signal["evidence"]}).drop("_class", "_signal")
+    read = with_sponsorship(postings, "description", "_tier", "sponsor_evidence").withColumn("_class", classify(F.col("title"), F.col("description")))
+    return read.withColumns({"categories": F.col("_class.categories"), "level": F.col("_class.level"), "sponsor_tier": resolve_tier(F.col("_tier"), F.col("registry_flags"))}).drop("_class", "_tier")
 
 
 def poll(jobs: DataFrame, companies: DataFrame, postings: DataFrame, seen_at, source: str, company_id: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from jobscope.plans import listing
+from jobscope.plans import listing, texts
 
-_MODULES = [listing]
+_MODULES = [listing, texts]
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
