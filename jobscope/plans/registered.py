@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from jobscope.plans import entities, listing, texts
+from jobscope.plans import entities, listing, state, texts
 
-_MODULES = [listing, texts, entities]
+_MODULES = [listing, texts, entities, state]
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
