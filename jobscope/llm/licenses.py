@@ -77,13 +77,14 @@ def _counted(texts: DataFrame) -> DataFrame:
     any_phrase = "|".join(p.replace(" ", APART) for p in PHRASES)
     split = texts.select("doc_id", "key", "low", F.split("low", APART).alias("w"))
     nothing = F.array().cast("array<int>")
-    # only the first and the last part can be empty
-    n_words = F.size("w") - (F.col("w")[0] == "").cast("int") - ((F.element_at("w", -1) == "") & (F.size("w") > 1)).cast("int")
-    places = [F.when(F.col("low").rlike(any_phrase), _phrase_places(F.filter("w", lambda x: x != ""), p)).otherwise(nothing) for p in PHRASES]
-    counted = split.select("doc_id", "key", n_words.cast("long").alias("n_words"), *(c.alias(f"p{k}") for k, c in enumerate(places)))
+    # only the first and the last part can be empty; places are counted from the first word
+    lead = (F.col("w")[0] == "").cast("int")
+    n_words = F.size("w") - lead - ((F.element_at("w", -1) == "") & (F.size("w") > 1)).cast("int")
+    places = [F.when(F.col("low").rlike(any_phrase), _phrase_places(F.col("w"), p)).otherwise(nothing) for p in PHRASES]
+    counted = split.select("doc_id", "key", n_words.cast("long").alias("n_words"), lead.alias("lead"), *(c.alias(f"p{k}") for k, c in enumerate(places)))
     every = F.concat(*(F.col(f"p{k}") for k in range(len(PHRASES))))
     labels = F.array_compact(F.array(*(F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values()))))
-    return counted.select("doc_id", "key", "n_words", every.alias("places"), F.array_sort(F.array_distinct(labels)).alias("base"))
+    return counted.select("doc_id", "key", "n_words", F.transform(every, lambda i: i - F.col("lead")).alias("places"), F.array_sort(F.array_distinct(labels)).alias("base"))
 
 
 def contained_templates(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_CONTAINED) -> DataFrame:
@@ -91,8 +92,9 @@ def contained_templates(docs: DataFrame, templates: dict[str, str] = TEMPLATES,
     texts = docs if "low" in docs.columns else _lowered(docs)
     vocabulary = sorted({w for t in templates.values() for w in template_words(t)})
     known = F.array(*map(F.lit, vocabulary))
-    held = texts.select(F.explode(F.array_intersect(known, F.split("low", APART))).alias("word"))
+    held = texts.select(F.explode_outer(F.array_intersect(known, F.split("low", APART))).alias("word"))
     # one row for each word of the templates
+    # (outer generators: no filter is inferred that would split every text once more)
     counts = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
@@ -102,10 +104,10 @@ def contained_templates(docs: DataFrame, templates: dict[str, str] = TEMPLATES,
         need = math.ceil(len(words) * least - 1e-9)
         index += [(w, label, place, len(words), need, words) for place, w in enumerate(words[: len(words) - need + 1])]
     index = texts.sparkSession.createDataFrame(index, "word string, label string, place int, size int, need int, words array<string>")
-    blocks = texts.select("doc_id", "key", F.posexplode(F.split("low", BLANK_LINE)).alias("block", "low"))
+    blocks = texts.select("doc_id", "key", F.posexplode_outer(F.split("low", BLANK_LINE)).alias("block", "low"))
     in_order = F.array_intersect(F.array(*map(F.lit, order)), F.split("low", APART))
     held = blocks.select("doc_id", "key", "block", in_order.alias("held"))
-    shared = held.select("doc_id", "key", "block", "held", F.posexplode("held").alias("at", "word")).join(F.broadcast(index), "word")
+    shared = held.select("doc_id", "key", "block", "held", F.posexplode_outer("held").alias("at", "word")).join(F.broadcast(index), "word")
     long_enough = F.size("held") >= F.col("need")
     enough_left = 1 + F.least(F.col("size") - F.col("place") - 1, F.size("held") - F.col("at") - 1) >= F.col("need")
     verified = shared.where(long_enough & enough_left).select("doc_id", "key", "block", "label", "need", (F.size(F.array_intersect("words", "held"))).alias("n"), "size")
