@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from jobscope.plans import entities, listing, matching, state, texts
+from jobscope.plans import entities, feeds, listing, matching, state, texts
 
-_MODULES = [listing, texts, entities, state, matching]
+_MODULES = [listing, texts, entities, state, matching, feeds]
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
