@@ -20,8 +20,9 @@ from jobscope.llm import decontaminate as benchmark_overlaps
 from jobscope.llm import line_dedup as repeated_lines
 from jobscope.llm import order_minhash, pieces
 from jobscope.llm import toxicity as classifier
-from jobscope.llm.common import new_path, table
+from jobscope.llm.common import table
 from jobscope.llm.queries import tokenizer_path
+from jobscope.store import new_path
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,40 +11,15 @@ from pyspark.sql import functions as F
 #: Rows that a Python operator handles at once; bounds what a task holds of very long texts.
 SLICE_ROWS = 512
 
+#: Texts whose new words a ``WordTable`` learns together.
+GROUP = 64
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables, by a path that only Spark needs to open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``; where that is unset, as in local tests, a
-    temporary folder is made once per session and set as the checkpoint folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("spark.jobscope.sharedDir", None)
-        if not named:
-            named = "file://" + tempfile.mkdtemp(prefix="jobscope-")
-            spark.conf.set("spark.jobscope.sharedDir", named)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path for files of one run, in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def text_of(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone, a null text as the empty one; further columns can't clash."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
@@ -82,23 +55,20 @@ class WordTable:
         value = self.young.get(word)
         return self.old.get(word) if value is None else value
 
-    def joined(self, words: list[str]) -> bytes:
-        """The values of all words, put together in their order."""
-        try:
-            return b"".join(map(self.young.__getitem__, words))
-        except KeyError:
-            missing = set(words).difference(self.young)
-            if len(self.young) + len(missing) > self.most:
-                self.old, self.young = self.young, {}
-                missing = set(words)
-            young, old = self.young, self.old
-            new = []
-            for w in missing:
-                value = old.get(w)
-                if value is None:
-                    new.append(w)
-                else:
-                    young[w] = value
-            if new:
-                young.update(zip(new, self.learn(new), strict=True))
-            return b"".join(map(young.__getitem__, words))
+    def joined(self, lists: list[list[str]]) -> list[bytes]:
+        """For each list, the values of its words put together in their order; new words are learned in one go."""
+        missing = set().union(*lists).difference(self.young)
+        if len(self.young) + len(missing) > self.most:
+            self.old, self.young = self.young, {}
+            missing = set().union(*lists)
+        young, old = self.young, self.old
+        new = []
+        for w in missing:
+            value = old.get(w)
+            if value is None:
+                new.append(w)
+            else:
+                young[w] = value
+        if new:
+            young.update(zip(new, self.learn(new), strict=True))
+        return [b"".join(map(young.__getitem__, words)) for words in lists]

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from jobscope.llm.common import WordTable, per_slice, text_of
+from jobscope.llm.common import GROUP, WordTable, per_slice, text_of
 
 MAX_WORDS = 300_000
 MARK = "\u2581"
@@ -56,7 +56,10 @@ class PieceTable:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts, with the begin and end ids."""
         begin, end = (np.array([i], "<u4").tobytes() for i in (self.begin, self.end))
-        return [np.frombuffer(begin + self.words.joined(self.marked(t)) + end, "<u4") for t in texts]
+        found: list[bytes] = []
+        for at in range(0, len(texts), GROUP):
+            found += self.words.joined([self.marked(t) for t in texts[at : at + GROUP]])
+        return [np.frombuffer(begin + ids + end, "<u4") for ids in found]
 
     def decode(self, ids: np.ndarray) -> str:
         """The library's own decoding."""

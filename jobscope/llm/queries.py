@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from jobscope.llm import chat_perspectives, decontaminate, licenses, line_dedup, media_ts, order_minhash, pieces, token_counts, token_planes, toxicity
-from jobscope.llm.common import new_path, table
+from jobscope.llm.common import table
+from jobscope.store import new_path
 
 
 def tokenizer_path(name: str) -> str:

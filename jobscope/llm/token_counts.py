@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import WordTable, per_slice, text_of
+from jobscope.llm.common import GROUP, WordTable, per_slice, text_of
 
 MAX_ATOMS, MAX_PREFIXES = 300_000, 400_000
 
@@ -155,23 +155,31 @@ class PrefixCounter:
             base += own[-1]
         return np.diff(np.array(counts)).astype(np.int8).tobytes()
 
-    def _plain(self, text: str) -> bytes:
-        return self.atoms.joined(_ATOM.findall(text))
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        found: list[bytes] = []
+        for at in range(0, len(texts), GROUP):
+            found += self.atoms.joined([_ATOM.findall(t) for t in texts[at : at + GROUP]])
+        return found
+
+    def deltas(self, texts: list[str]) -> list[bytes]:
+        """For each text, one signed byte per character; their running sum is the token count of each prefix."""
+        special = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
+        out = self._plain([t if i not in special else "" for i, t in enumerate(texts)] if special else texts)
+        for i in special:
+            out[i] = self._around_added(texts[i])
+        return out
 
-    def deltas(self, text: str) -> bytes:
-        """One signed byte per character; their running sum is the token count of each prefix."""
-        if not self.added or not any(x in text for x in self.added):
-            return self._plain(text)
+    def _around_added(self, text: str) -> bytes:
+        """A text with added tokens in it: what stands between them is cut apart by itself."""
         parts = self.added_split.split(text)
         out = []
         for plain, added in zip(parts[::2], [*parts[1::2], ""], strict=True):
             if not added:
-                out.append(self._plain(plain))
+                out += self._plain([plain])
                 continue
-            own = self._plain(plain + added[:-1])
-            before = int(np.frombuffer(self._plain(plain), np.int8).sum(dtype=np.int64))
-            last = before + 1 - int(np.frombuffer(own, np.int8).sum(dtype=np.int64))
-            out += [own, np.int8(last).tobytes()]
+            before, own = self._plain([plain, plain + added[:-1]])
+            total = lambda d: int(np.frombuffer(d, np.int8).sum(dtype=np.int64))
+            out += [own, np.int8(total(before) + 1 - total(own)).tobytes()]
         return b"".join(out)
 
 
@@ -202,7 +210,7 @@ def with_prefix_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = counter(tokenizer)
-        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array([c.deltas(t) for t in batch["text"].to_pylist()], pa.binary())], ["doc_id", "text", "prefix_deltas"])
+        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array(c.deltas(batch["text"].to_pylist()), pa.binary())], ["doc_id", "text", "prefix_deltas"])
 
     return text_of(docs).mapInArrow(per_slice(work), "doc_id long, text string, prefix_deltas binary")
 
@@ -217,7 +225,7 @@ def token_count_table(docs: DataFrame, tokenizer: str, limit: int = 1024) -> Dat
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = counter(tokenizer)
         texts = batch["text"].to_pylist()
-        stored = [c.deltas(t) for t in texts]
+        stored = c.deltas(texts)
         totals = [tokens_at(d, len(d)) for d in stored]
         sizes = [len(t.encode()) for t in texts]
         cuts = [chars_within(d, limit) for d in stored]

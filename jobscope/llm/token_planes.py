@@ -1,7 +1,8 @@
 """Token ids in files of bit planes.
 
 Ids of all documents, in ascending ``doc_id`` order, are cut into blocks of fixed size. A block is
-transposed into bit planes (or byte planes), each plane is compressed with zstandard, and planes
+transposed into byte planes (smaller and faster here) or bit planes, each plane is compressed with
+zstandard, and planes
 above the highest set bit are left out. Blocks are rows of a Parquet table; beside its planes, a row
 carries its part of the chunk index: shard, block number, first id, number of ids, plane kind, and
 which documents begin in it. Readers that need the index read those columns only.
@@ -17,19 +18,22 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import WordTable, text_of
+from jobscope.llm.common import GROUP, WordTable, text_of
+from jobscope.llm.token_counts import byte_letters
 
 BLOCK_IDS = 65536
-MAX_WORDS = 350_000
+MAX_WORDS = 450_000
 
 #: Separators that Python's ``split`` knows as white space and the tokenizer file doesn't.
 _OTHER_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -55,27 +59,26 @@ class WordEncoder:
     """Encodes through the library word by word: no id of this kind of tokenizer crosses white space.
 
     A new word of lower-case letters needs none of the file's normalizing and splitting, and goes to
-    the library as split already; one mark after such a word is always an id of its own.
+    the library's model alone; one mark after such a word is always an id of its own.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = self.library.model
+        #: The letter that stands for each byte in the vocabulary, by the byte read as Latin-1.
+        self.letters = dict(enumerate(byte_letters()))
         self.marks = dict(zip(MARKS, self._library(list(MARKS)), strict=True))
         self.words = WordTable(self._learn, MAX_WORDS)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _split_already(self, words: list[str]) -> list[bytes]:
-        found = self.plain.encode(words, is_pretokenized=True, add_special_tokens=False)
-        raw = np.array(found.ids, "<u4").tobytes()
-        ends = [*(4 * (np.flatnonzero(np.diff(np.array(found.word_ids))) + 1)).tolist(), len(raw)]
-        return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+    def _model_alone(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _learn(self, new: list[str]) -> list[bytes]:
         values: dict[str, bytes | None] = {}
@@ -87,17 +90,22 @@ class WordEncoder:
             else:
                 other.append(w)
         if plain := [w for w, known in values.items() if known is None]:
-            values.update(zip(plain, self._split_already(plain), strict=True))
+            values.update(zip(plain, map(self._model_alone, plain), strict=True))
         whole = dict(zip(other, self._library(other), strict=True)) if other else {}
         return [whole[w] if w in whole else values[w] if w in values else values[w[:-1]] + self.marks[w[-1]] for w in new]
 
-    def encode(self, text: str) -> bytes:
-        """Ids of the whole text as little-endian unsigned 32-bit integers."""
+    def _split(self, text: str) -> list[str] | None:
         if any(c in text for c in _OTHER_SPACES):
-            return self._library([text])[0]
+            return None
         if "<|" not in text and _latin(text):  # the file lowers case itself; lowered first, more words are alike
             text = text.lower()
-        return self.words.joined(text.split())
+        return text.split()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit integers."""
+        split = [self._split(t) for t in texts]
+        found = self.words.joined([w or [] for w in split])
+        return [ids if w is not None else self._library([t])[0] for t, w, ids in zip(texts, split, found, strict=True)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -138,7 +146,7 @@ def from_planes(planes: list[bytes], n: int, kind: str = "bit") -> np.ndarray:
     return out
 
 
-def write_token_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int, kind: str = "bit", block_ids: int = BLOCK_IDS, shards: int | None = None) -> None:
+def write_token_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int, kind: str = "byte", block_ids: int = BLOCK_IDS, shards: int | None = None) -> None:
     """Encode every text, append ``end_id`` to each, and write blocks of planes to ``path``."""
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -158,11 +166,12 @@ def write_token_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int,
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _BLOCK_TYPES, strict=True)], _BLOCK_NAMES)
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+            names, coded = batch["doc_id"].to_pylist(), (x for at in range(0, batch.num_rows, GROUP) for x in encode(batch["text"].slice(at, GROUP).to_pylist()))
+            for doc_id, ids in zip(names, coded, strict=True):
                 doc_ids.append(doc_id)
                 doc_at.append(first + size // 4)
-                held += [encode(text.as_py()), end]
-                size += len(held[-2]) + 4
+                held += [ids, end]
+                size += len(ids) + 4
                 if size >= 4 * block_ids:
                     data = b"".join(held)
                     for at in range(0, size - size % (4 * block_ids), 4 * block_ids):
@@ -247,16 +256,14 @@ def read_documents(spark, path: str) -> DataFrame:  # noqa: ANN001
     pieces = read_pieces(stored)
 
     @F.pandas_udf("long")
-    def joined(parts):  # noqa: ANN001, ANN202
-        def one(rows):  # noqa: ANN001, ANN202
-            if rows is None:
-                return None
+    def joined(parts: pd.Series) -> pd.Series:
+        def one(rows: list) -> int:
             crc = 0
             for r in sorted(rows, key=lambda r: r["at"]):
                 crc = crc32_join(crc, int(r["crc"]), 4 * int(r["n"]))
             return crc
 
-        return parts.map(one).astype("Int64")
+        return parts.map(one).astype("int64")
 
     # A part that goes on belongs to the last document that began in an earlier block of its shard: the index has it.
     earlier = Window.partitionBy("shard").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
@@ -264,5 +271,7 @@ def read_documents(spark, path: str) -> DataFrame:  # noqa: ANN001
     goes_on = (pieces["shard"] == carried["shard"]) & (pieces["at"] == carried["first"]) & ~pieces["begins"]
     placed = pieces.join(carried, goes_on, "left").select(pieces["shard"], F.coalesce(F.when(~pieces["begins"], carried["began"]), pieces["at"]).alias("began"), "at", "doc_id", "n", "crc")
     documents = placed.groupBy("shard", "began").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.min("crc").alias("crc"), F.collect_list(F.struct("at", "n", "crc")).alias("parts"))
-    several = F.when(F.size("parts") > 1, F.col("parts"))
-    return documents.join(shard_starts(stored), "shard").select("doc_id", (F.col("before") + F.col("began")).alias("start"), "n_tokens", F.coalesce(joined(several), F.col("crc")).alias("ids_crc32"))
+    # few documents lie in several blocks; both branches read one exchange
+    alone = documents.where(F.size("parts") == 1).select("shard", "began", "doc_id", "n_tokens", "crc")
+    several = documents.where(F.size("parts") > 1).select("shard", "began", "doc_id", "n_tokens", joined("parts").alias("crc"))
+    return alone.unionByName(several).join(shard_starts(stored), "shard").select("doc_id", (F.col("before") + F.col("began")).alias("start"), "n_tokens", F.col("crc").alias("ids_crc32"))
