@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobscope import vocab
-from jobscope.functions.simhash import hamming, simhash_by_md5
+from jobscope.functions.simhash import BITS, hamming, simhash_by_md5
 from jobscope.functions.text import normalize_title
 from jobscope.operators.components import connected_components
 
@@ -21,12 +21,16 @@ def near_pairs(prints: DataFrame, most: int = vocab.DEDUP_HAMMING) -> DataFrame:
     """Pairs ``a`` < ``b`` of one block whose fingerprints differ in at most ``most`` bits; null countries are equal.
 
     Postings of a block with one fingerprint are compared through their first id, so a block of
-    copies gives one pair a copy.
+    copies gives one pair a copy. Of ``most + 1`` bit segments two near fingerprints share one
+    exactly, so within a block only those with an equal segment meet.
     """
     one = prints.groupBy("company_id", "title_key", "country", "fingerprint").agg(F.min("id").alias("rep"))
     block = F.struct(F.col("company_id"), F.col("title_key"), F.col("country"))
-    left, right = (one.select(block.alias("block"), F.col("fingerprint").alias(f"f{k}"), F.col("rep").alias(k)) for k in "ab")
-    met = left.alias("l").join(right.alias("r"), (F.col("l.block") == F.col("r.block")) & (F.col("a") < F.col("b"))).where(hamming(F.col("fa"), F.col("fb")) <= most).select("a", "b")
+    bounds = [k * BITS // (most + 1) for k in range(most + 2)]
+    segments = F.array(*(F.shiftrightunsigned("fingerprint", low).bitwiseAND(F.lit((1 << high - low) - 1)) for low, high in zip(bounds, bounds[1:], strict=False)))
+    cut = one.select(block.alias("block"), "fingerprint", "rep", F.posexplode(segments).alias("place", "segment"))
+    left, right = (cut.select("block", "place", "segment", F.col("fingerprint").alias(f"f{k}"), F.col("rep").alias(k)) for k in "ab")
+    met = left.join(right, ["block", "place", "segment"]).where((F.col("a") < F.col("b")) & (hamming(F.col("fa"), F.col("fb")) <= most)).select("a", "b").distinct()
     same = prints.join(one, (prints["company_id"] == one["company_id"]) & (prints["title_key"] == one["title_key"]) & prints["country"].eqNullSafe(one["country"]) & (prints["fingerprint"] == one["fingerprint"])).where("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     return met.unionByName(same)
 
