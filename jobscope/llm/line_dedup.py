@@ -27,38 +27,49 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.store import new_path
+from jobscope.llm.common import per_slice, text_of
+from jobscope.store import written
 
 MIN_CHARS = 20
 
-_EARLIEST = "struct<doc_id:bigint,line_no:int>"
+_LINES = "doc_id long, line_no int, h1 long, h2 long, halves array<struct<key:long,side:int>>"
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``doc_id``, ``line_no`` (from 0) and ``line`` (trimmed) of all lines that are long enough."""
-    split = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(docs["text"], F.lit("")), "\n")).alias("line_no", "raw"))
-    return split.select("doc_id", "line_no", F.trim("raw").alias("line")).where(F.length("line") >= min_chars)
-
-
-def _line_hash(line: Column) -> list[Column]:
-    """128 bits that stand for a line."""
-    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line, F.length(line)).alias("h2")]
+def _half_keys(line: str) -> list[tuple[int, int]]:
+    """Hashes of the first (side 1) and last (side 2) half, for the one or two lengths that a half can have with a partner."""
+    n = len(line)
+    return [(xxhash.xxh64_intdigest(part.encode("utf-8", "replace"), 2 * size + side), side) for size in {n // 2, (n - 1) // 2} for side, part in ((1, line[:size]), (2, line[n - size :]))]
 
 
-def _halves(line: Column) -> Column:
-    """Hashes of the first and last half, for the two lengths that the shorter line can have; with the side: 1 first, 2 last."""
-    n = F.length(line)
-    sizes = [F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")]
-    keys = []
-    for k, size in enumerate(sizes):
-        first = F.xxhash64(F.lit("first"), size, F.substring(line, F.lit(1), size))
-        last = F.xxhash64(F.lit("last"), size, F.substring(line, n - size + 1, size))
-        used = F.lit(True) if k == 0 else sizes[0] != sizes[1]
-        keys += [F.when(used, F.struct(first.alias("key"), F.lit(1).alias("side"))), F.when(used, F.struct(last.alias("key"), F.lit(2).alias("side")))]
-    return F.array_compact(F.array(*keys))
+def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """``doc_id``, ``line_no`` (from 0), 128 bits that stand for the trimmed line, and ``halves`` of all lines that are long enough."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows: list[int] = []
+        numbers, h1, h2, keys, sides, ends = [], [], [], [], [], [0]
+        for i, text in enumerate(batch["text"].to_pylist()):
+            for number, raw in enumerate(text.split("\n")):
+                line = raw.strip(" ")
+                if len(line) < min_chars:
+                    continue
+                data = line.encode("utf-8", "replace")
+                rows.append(i)
+                numbers.append(number)
+                h1.append(xxhash.xxh64_intdigest(data, 42))  # as Spark's xxhash64 has it
+                h2.append(xxhash.xxh64_intdigest(data, 43))
+                for key, side in _half_keys(line):
+                    keys.append(key)
+                    sides.append(side)
+                ends.append(len(keys))
+        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        halves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([signed(keys), pa.array(sides, pa.int32())], ["key", "side"]))
+        return pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), signed(h1), signed(h2), halves], ["doc_id", "line_no", "h1", "h2", "halves"])
+
+    return text_of(docs).mapInArrow(per_slice(work), _LINES)
 
 
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1)
@@ -128,13 +139,9 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     Of several earlier lines, an equal one is named first, then the earliest within one edit.
     """
-    spark = docs.sparkSession
-    lines = _lines(docs, min_chars).select("doc_id", "line_no", *_line_hash(F.col("line")), _halves(F.col("line")).alias("halves"))
-    path = new_path(spark, "distinct-lines")
-    # one row for each distinct line; written once, read by the filter, the variants and the result
-    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
-    distinct.write.parquet(path)
-    distinct = spark.read.parquet(path)
+    # hashes of all lines, then one row for each distinct line: written once, read by all that follows
+    lines = written(_lines(docs, min_chars), "lines")
+    distinct = written(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves")), "distinct-lines")
 
     halves = distinct.select("h1", F.explode("halves").alias("half")).select("h1", "half.key", "half.side")
     shared = halves.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where(F.col("low") != F.col("high")).select("key")
@@ -145,11 +152,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # a repeated doc_id may hold other texts: the hash says which row is meant
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of"))).select("h1", "h2", "sides", F.struct(F.col("of").alias("doc_id"), F.col("at").alias("line_no")).alias("first"), F.trim(F.get(F.split("text", "\n"), F.col("at"))).alias("line"))
     found = found.where(F.col("line").isNotNull() & (F.xxhash64("line") == F.col("h1"))).dropDuplicates(["h1", "h2"])
-    candidate_path = new_path(spark, "candidate-lines")
-    found.write.parquet(candidate_path)
-    candidates = spark.read.parquet(candidate_path)
-
-    near = _near(candidates)
+    near = _near(written(found, "candidate-lines"))
     equal = lines.select("doc_id", "line_no", "h1", "h2").join(distinct.where("n > 1").select("h1", "h2", "first"), ["h1", "h2"])
     equal = equal.where(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "line_no", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.line_no").alias("keep_line_no"), F.lit(0).alias("distance"))
     near = near.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"), F.lit(1).alias("distance"))
@@ -186,11 +189,8 @@ def _with_order(candidates: DataFrame) -> DataFrame:
     Candidates are dealt by ranges of ``first`` and numbered within each range; the range's number
     stands above, so nothing passes through one task.
     """
-    spark = candidates.sparkSession
-    path = new_path(spark, "ordered-lines")
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    candidates.repartitionByRange(shards, "first").sortWithinPartitions("first").withColumn("seq", F.monotonically_increasing_id()).write.parquet(path)
-    return spark.read.parquet(path)
+    shards = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(candidates.repartitionByRange(shards, "first").sortWithinPartitions("first").withColumn("seq", F.monotonically_increasing_id()), "ordered-lines")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
