@@ -195,23 +195,31 @@ def _with_order(candidates: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of ``docs``, with repeated lines taken out of ``text`` and ``n_chars`` (if there) made to fit."""
-    return _without(docs, repeated_lines(docs, min_chars)).drop("dropped_lines")
+    return _without(docs, repeated_lines(docs, min_chars), _free_name(docs)).select(*docs.columns)
 
 
-def _without(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    drop = repeated.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("line_no").alias("dropped_lines"))
-    joined = docs.join(drop, docs["doc_id"].cast("long").eqNullSafe(drop["drop_id"]), "left").drop("drop_id")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("dropped_lines", i)), "\n")
-    text = F.when(F.col("dropped_lines").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("text", text)
-    return out.withColumn("n_chars", F.when(F.col("dropped_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in docs.columns else out
+def _free_name(docs: DataFrame) -> str:
+    """A column name that ``docs`` hasn't got."""
+    name = "dropped_lines"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def _without(docs: DataFrame, repeated: DataFrame, dropped: str) -> DataFrame:
+    """``docs`` without the repeated lines, and the column ``dropped`` with their numbers."""
+    drop = repeated.groupBy("doc_id").agg(F.collect_set("line_no").alias(dropped))
+    joined = docs.join(drop, docs["doc_id"].cast("long").eqNullSafe(drop["doc_id"]), "left").select(*(docs[c] for c in docs.columns), drop[dropped])
+    numbers, whole = F.col(dropped), F.col(dropped).isNull()
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(numbers, i)), "\n")
+    out = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(kept))
+    return out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in docs.columns else out
 
 
 def dedup_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_dropped``, ``dropped`` (line numbers, joined by commas) and ``text`` without them."""
-    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    plain = plain.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
-    out = _without(plain, repeated_lines(docs, min_chars))
+    plain = text_of(docs).withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
+    out = _without(plain, repeated_lines(docs, min_chars), "dropped_lines")
     numbers = F.coalesce(F.array_join(F.transform(F.array_sort("dropped_lines"), lambda n: n.cast("string")), ","), F.lit(""))
     return out.select("doc_id", "n_lines", F.coalesce(F.size("dropped_lines"), F.lit(0)).cast("long").alias("n_dropped"), numbers.alias("dropped"), "text")
 

@@ -357,3 +357,22 @@ def test_toxic_texts_are_told_on_the_held_out_fold(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and {x.doc_id for x in kept.collect()} == {i for i, x in found.items() if not x.predicted}
     one_class = toxicity.train(docs(spark, rows), table.where("toxic = 0"))
     assert 0 <= one_class.score("anything") < 0.5
+
+
+# ---- extra columns ----
+CLASHING = ["key", "words", "seed", "bucket", "line", "first", "dropped_lines", "drop_id", "found_id", "first_id", "content", "keys", "low", "held", "score", "toxic", "part", "h1", "item_id", "rep", "lead"]
+
+
+def test_extra_columns_are_passed_on_and_clash_with_nothing(spark):
+    from pyspark.sql import functions as F
+
+    wide = awkward(spark).withColumns({c: F.lit(7) for c in CLASHING})
+    bench = spark.createDataFrame([(0, "some other words " * 5)], "item_id long, text string").withColumns({c: F.lit(1) for c in ("doc_id", "seed", "words", "offset")})
+    labels = spark.createDataFrame([(1, 0, 0), (4, 0, 1)], "doc_id long, quality int, toxic int").withColumns({c: F.lit("x") for c in ("text", "kept", "bucket")})
+    model = toxicity.train(wide, labels)
+    for out in (toxicity.keep_clean(wide, model), line_dedup.dedup_lines(wide), order_minhash.keep_one(wide), decontaminate.keep_uncontaminated(wide, bench)):
+        assert out.columns == wide.columns and all(r.key == 7 and r.lead == 7 for r in out.collect())
+    for out in (media_ts.digest_table(wide), token_counts.token_count_table(wide, BYTE), licenses.scan(wide), pieces.tokenized(wide, PIECE), order_minhash.classes(wide), line_dedup.dedup_table(wide), toxicity.score_table(wide, model)):
+        assert out.count() == len(AWKWARD)
+    turns = spark.createDataFrame([(1, 0, "a", "x", 5, 6)], "conv_id long, turn long, role string, text string, part int, speaker int")
+    assert chat_perspectives.perspectives(turns).first().text == "<|assistant|>\nx<|end|>\n"
