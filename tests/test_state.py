@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from jobscope import schemas
 from jobscope.operators import fit, ingest, notify, registry, search, state
 from jobscope.operators.components import connected_components
 from jobscope.operators.dedup import assign_canonicals, dedup_summary, link_canonicals
@@ -17,8 +18,7 @@ from jobscope.store import read_snapshot, with_ids, write_snapshot
 from jobscope.streaming.ingest import merge_batches, notify_batches
 
 SF = "/root/testdata/sf0.001"
-JOB = "id long, company_id long, source_id string, external_id string, title string, description string, url string, location_raw string, country string, city string, categories array<string>, level string, sponsor_tier string, sponsor_evidence string, content_hash string, posted_at timestamp, first_seen_at timestamp, last_seen_at timestamp, closed_at timestamp, user_status string, consecutive_misses int, canonical_id long"
-COMPANY = "id long, name string, ats_type string, ats_slug string, country_hq string, registry_flags int, match_confidence double, match_evidence string, priority int, active boolean, consecutive_failures int, last_success_at timestamp, health string, quarantine_reason string"
+JOB, COMPANY = schemas.JOBS, schemas.COMPANIES
 
 
 def board(spark, jobs):
