@@ -302,6 +302,33 @@ def test_classes_are_those_of_all_pairs(spark):
     assert order_minhash.classes(docs(spark, [])).count() == 0
 
 
+def changed(words, share, r):
+    """The words with a share of them changed to new ones."""
+    at = set(r.sample(range(len(words)), int(len(words) * share)))
+    return [f"x{r.random()}" if i in at else w for i, w in enumerate(words)]
+
+
+def test_near_texts_meet_within_large_mixed_buckets(spark):
+    r = random.Random(21)
+    shared, rows = [f"s{i}" for i in range(100)], []
+    for g in range(60):
+        base = [f"o{g}.{i}" for i in range(60)]
+        other = changed(base, 0.25, r)
+        rows += [(g, " ".join(shared + base)), (100 + g, " ".join(shared + other))]
+    found = {x.doc_id: x.class_id for x in order_minhash.classes(docs(spark, rows)).collect()}
+    assert found == {i: i % 100 for i, _ in rows}
+
+
+def test_short_texts_meet_with_a_fifth_of_their_words_changed(spark):
+    r = random.Random(22)
+    rows = []
+    for g in range(300):
+        base = [f"o{g}.{i}" for i in range(25)]
+        rows += [(g, " ".join(base)), (1000 + g, " ".join(changed(base, 0.2, r)))]
+    found = {x.doc_id: x.class_id for x in order_minhash.classes(docs(spark, rows)).collect()}
+    assert sum(found[1000 + g] == g for g in range(300)) >= 298
+
+
 # ---- 9 lines ----
 def brute_lines(rows, least=line_dedup.MIN_CHARS):
     first, drops, order = {}, {}, sorted(((i is not None, i, t) for i, t in rows), key=lambda x: x[:2])
