@@ -329,6 +329,19 @@ def test_short_texts_meet_with_a_fifth_of_their_words_changed(spark):
     assert sum(found[1000 + g] == g for g in range(300)) >= 298
 
 
+def test_a_document_near_the_leader_still_meets_one_that_is_not(spark):
+    r = random.Random(23)
+    rows = []
+    for g in range(20):
+        a = [f"o{g}.{i}" for i in range(500)]
+        at = r.sample(range(500), 103)
+        lead, far = ([f"{name}{g}.{i}" if i in places else w for i, w in enumerate(a)] for name, places in (("l", set(at[:5])), ("f", set(at[5:]))))
+        ids = (g, 100 + g, 200 + g) if g % 2 else (100 + g, g, 200 + g)
+        rows += [(i, " ".join(x)) for i, x in zip(ids, (lead, a, far), strict=True)]
+    found = {x.doc_id: x.class_id for x in order_minhash.classes(docs(spark, rows)).collect()}
+    assert sum(found[200 + g] == g for g in range(20)) >= 19
+
+
 # ---- 9 lines ----
 def brute_lines(rows, least=line_dedup.MIN_CHARS):
     first, drops, order = {}, {}, sorted(((i is not None, i, t) for i, t in rows), key=lambda x: x[:2])
