@@ -342,6 +342,16 @@ def test_a_document_near_the_leader_still_meets_one_that_is_not(spark):
     assert sum(found[200 + g] == g for g in range(20)) >= 19
 
 
+def test_texts_of_the_least_similarity_meet(spark):
+    r = random.Random(24)
+    rows = []
+    for g in range(200):
+        base = [f"o{g}.{i}" for i in range(45 if g % 2 else 300)]
+        rows += [(g, " ".join(base)), (1000 + g, " ".join(changed(base, 0.2, r)))]
+    found = {x.doc_id: x.class_id for x in order_minhash.classes(docs(spark, rows)).collect()}
+    assert sum(found[1000 + g] == g for g in range(200)) >= 190
+
+
 # ---- 9 lines ----
 def brute_lines(rows, least=line_dedup.MIN_CHARS):
     first, drops, order = {}, {}, sorted(((i is not None, i, t) for i, t in rows), key=lambda x: x[:2])
