@@ -49,8 +49,10 @@ def ranked_page(jobs: DataFrame, profile: DataFrame, cache: DataFrame, f: JobFil
 
 
 def deep_match(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Score and rationale of every posting for every given profile, never from the cache."""
-    scored = with_facts(jobs).join(F.broadcast(profiles.select("resume_hash", "profile").limit(1000))).withColumn("score", score_match(F.col("profile"), F.col("facts")))
+    """Score and rationale of every posting for every given profile, never from the cache; profiles are broadcast if they are counted to be at most 1000."""
+    own = profiles.select("resume_hash", "profile")
+    own = F.broadcast(own) if profiles.limit(1001).count() <= 1000 else own
+    scored = with_facts(jobs).crossJoin(own).withColumn("score", score_match(F.col("profile"), F.col("facts")))
     return scored.select("resume_hash", "id", "score", rationale(F.col("profile"), F.col("facts"), F.col("score")).alias("rationale"))
 
 

@@ -175,3 +175,9 @@ def test_filters_and_pages(spark):
     assert all(r.id == 10 and len(r.sources) == 2 for r in detail.collect())
     parsed = spark.createDataFrame([('{"q": "x", "levels": ["lead"]}',), ("{}",)], "j string").select(notify.parse_filters(F.col("j")).alias("f")).collect()
     assert parsed[0].f.levels == ["lead"] and parsed[1].f.countries == []
+
+
+def test_every_profile_is_matched(spark):
+    resumes = spark.range(1003).select(F.col("id").cast("string").alias("resume_hash"), F.lit("Senior Swift developer").alias("source_text"), F.array(F.lit("SE")).alias("target_countries"))
+    found = fit.deep_match(postings(spark, SF).limit(2), fit.build_profiles(resumes))
+    assert found.select("resume_hash").distinct().count() == 1003
