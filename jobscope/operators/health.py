@@ -9,6 +9,9 @@ from jobscope import vocab
 
 STATE = "struct<failures:int,health:string,reason:string,last_success:timestamp>"
 
+#: Bits of the number of events that are folded at once.
+CHUNK_BITS = 14
+
 
 def threshold(kind: Column, thresholds: dict[str, int] = vocab.FAILURE_THRESHOLDS) -> Column:
     out = F.lit(None).cast("int")
@@ -27,15 +30,45 @@ def _step(state: Column, event: Column, thresholds: dict[str, int]) -> Column:
     return F.when(probe_ok | (success & ~quarantined), good.cast(STATE)).when(quarantined | ~kind.isin(*thresholds), state).otherwise(bad.cast(STATE))
 
 
-def fold_health(events: DataFrame, thresholds: dict[str, int] = vocab.FAILURE_THRESHOLDS) -> DataFrame:
+def _after(start: Column, events: Column, thresholds: dict[str, int]) -> Column:
+    """``state`` after the events from a state, and whether one of them set it anew (``reset``)."""
+
+    def step(s: Column, e: Column) -> Column:
+        anew = (e["kind"] == "probe_success") | ((e["kind"] == "success") & (s["state"]["health"] != "quarantined"))
+        return F.struct(_step(s["state"], e, thresholds).alias("state"), (s["reset"] | F.coalesce(anew, F.lit(False))).alias("reset"))
+
+    return F.aggregate(events, F.struct(start.alias("state"), F.lit(False).alias("reset")), step)
+
+
+def _joined(state: Column, out: Column, most: int) -> Column:
+    """The state after a chunk, from the state before it and the chunk's outcomes for each possible one."""
+    quarantined = state["health"] == "quarantined"
+    known = F.least(state["failures"], F.lit(most))
+    of = F.get(out, F.when(quarantined, most + 1).otherwise(known))
+    more = of["state"]["failures"] - F.when(quarantined, 0).otherwise(known)
+    failed = F.struct((state["failures"] + more).alias("failures"), of["state"]["health"].alias("health"), of["state"]["reason"].alias("reason"), state["last_success"].alias("last_success"))
+    return F.when(of["reset"], of["state"]).when(more > 0, failed.cast(STATE)).otherwise(state)
+
+
+def fold_health(events: DataFrame, thresholds: dict[str, int] = vocab.FAILURE_THRESHOLDS, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """The state of each ``source`` after its events (ts, seq, kind), in order of time and sequence.
 
-    The threshold of the current failure's kind is held against the whole streak, whatever it is made of.
+    The threshold of the current failure's kind is held against the whole streak, whatever it is made
+    of. Events are dealt by ranges of source, time and sequence and cut into chunks of bounded size. A
+    chunk is reduced to its outcome for each state it may start in (no failures to the largest
+    threshold, beyond which all act alike, and quarantined); only outcomes are folded for each source.
     """
-    start = F.lit(None).cast(STATE)
-    start = F.struct(F.lit(0).alias("failures"), F.lit("ok").alias("health"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("timestamp").alias("last_success")).cast(STATE)
-    ordered = events.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("ts", "seq", "kind"))).alias("events"))
-    return ordered.select("source", F.aggregate("events", start, lambda s, e: _step(s, e, thresholds)).alias("state")).select("source", "state.*")
+    most = max(thresholds.values())
+    begin = lambda failures, health: F.struct(F.lit(failures).alias("failures"), F.lit(health).alias("health"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("timestamp").alias("last_success")).cast(STATE)
+    key = ["source", "ts", "seq", "kind"]
+    shards = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # ids count up through each range, and ranges follow each other
+    dealt = events.select(*key).repartitionByRange(shards, *key).sortWithinPartitions(*key).withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), chunk_bits))
+    chunks = dealt.groupBy("source", "chunk").agg(F.sort_array(F.collect_list(F.struct("ts", "seq", "kind"))).alias("events"))
+    starts = F.array(*(begin(f, "ok") for f in range(most + 1)), begin(0, "quarantined"))
+    outcomes = chunks.select("source", "chunk", F.transform(starts, lambda s: _after(s, F.col("events"), thresholds)).alias("out"))
+    ordered = outcomes.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("chunk", "out")), lambda x, y: F.when(x["chunk"] < y["chunk"], -1).otherwise(1)).alias("chunks"))
+    return ordered.select("source", F.aggregate("chunks", begin(0, "ok"), lambda s, c: _joined(s, c["out"], most)).alias("state")).select("source", "state.*")
 
 
 def health_view(companies: DataFrame) -> DataFrame:

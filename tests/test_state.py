@@ -181,3 +181,27 @@ def test_every_profile_is_matched(spark):
     resumes = spark.range(1003).select(F.col("id").cast("string").alias("resume_hash"), F.lit("Senior Swift developer").alias("source_text"), F.array(F.lit("SE")).alias("target_countries"))
     found = fit.deep_match(postings(spark, SF).limit(2), fit.build_profiles(resumes))
     assert found.select("resume_hash").distinct().count() == 1003
+
+
+def test_a_source_is_folded_in_chunks(spark):
+    import random
+
+    r, limits = random.Random(4), {"gone": 3, "schema_drift": 2, "unreachable": 5}
+    kinds, rows, want = [*limits, *limits, "success", "probe_success", "probe_failure", None], [], {}
+    for source in ["a", "b", "c", "d", None]:
+        failures, health, reason, last = 0, "ok", None, None
+        for i in range(r.choice((1, 60, 97))):
+            kind, ts = r.choice(kinds if source != "c" else [*limits, "probe_failure", None]), datetime(2026, 1, 1, i // 60, i % 60)
+            rows.append((source, ts, i, kind))
+            if kind == "probe_success" or (kind == "success" and health != "quarantined"):
+                failures, health, reason, last = 0, "ok", None, ts
+            elif health != "quarantined" and kind not in ("success", "probe_failure"):
+                failures, reason = failures + 1, kind
+                health = "quarantined" if kind and failures >= limits[kind] else "degraded"
+        want[source] = (failures, health, reason, last)
+    r.shuffle(rows)
+    events = spark.createDataFrame(rows, "source string, ts timestamp, seq long, kind string")
+    for bits in (0, 2, 14):
+        found = {x.source: tuple(x)[1:] for x in fold_health(events, limits, bits).collect()}
+        assert {k: v[:3] for k, v in found.items()} == {k: v[:3] for k, v in want.items()}
+        assert {k: v[3] for k, v in found.items()} == {k: v[3] for k, v in want.items()}
