@@ -1,8 +1,11 @@
 """Line dedup within one edit, by a deletion-neighbourhood join.
 
-A line (trimmed, of at least ``min_chars`` characters) is dropped if an earlier line of the corpus,
-by ``doc_id`` and line number, is equal to it or within one edit (one character put in, taken out or
-changed). Equal lines are found by hash. For the rest, all variants of a line with one character
+A line (trimmed of spaces, not blank) is dropped if an earlier line of the corpus is within the edit
+bound of it. The bound is one edit (one character put in, taken out or changed) where both lines have
+``min_chars`` characters at least, and none for shorter ones: these are dropped only if an earlier line
+is equal. Lines are ordered by ``doc_id``, then by a number from the text's md5, then by their place,
+and a row is known by its id *and* its text, so rows that share an id (or have none) keep lines of
+their own. Equal lines are found by hash. For the rest, all variants of a line with one character
 deleted are hashed and joined:
 
 * two lines whose variants with the *same place* deleted are equal differ by one changed character,
@@ -15,10 +18,11 @@ variants are made, an exact filter leaves out lines without a partner: two lines
 share their first or their last half (of the shorter length), so only lines that share a half with
 another line are expanded, and only by deletions in the other half.
 
-Cases: null and empty texts have no lines to drop; blank and short lines always stay; rows that
-repeat a ``doc_id`` count as one document for "earlier", so each of them keeps its first lines; null
-ids come first; a text all of whose lines are repeats becomes empty and its row stays; empty tables
-give empty results; all columns of ``docs`` besides ``text`` and ``n_chars`` are passed on.
+Cases: null and empty texts have no lines to drop; blank lines always stay; rows with one ``doc_id``
+and different texts are different documents, ordered by their texts' md5; rows that repeat both id and
+text count as one document, so each of them keeps its first lines; null ids come first; a text all of
+whose lines are repeats becomes empty and its row stays; empty tables give empty results; all columns
+of ``docs`` besides ``text`` and ``n_chars`` are passed on, and none is clashed with.
 """
 
 from __future__ import annotations
@@ -28,15 +32,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.llm.common import per_slice, text_of
 from jobscope.store import written
 
+#: Characters from which on one edit makes a near copy.
 MIN_CHARS = 20
 
-_LINES = "doc_id long, line_no int, h1 long, h2 long, halves array<struct<key:long,side:int>>"
+_LINES = "doc_id long, text_key long, line_no int, h1 long, h2 long, halves array<struct<key:long,side:int>>"
+
+#: A line's place in the order of all lines.
+_PLACE = ("doc_id", "text_key", "line_no")
+
+
+def _text_key(text: Column) -> Column:
+    """60 bits of the text's md5, as a number."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return text_of(docs).withColumn("text_key", _text_key(F.col("text")))
 
 
 def _half_keys(line: str) -> list[tuple[int, int]]:
@@ -46,7 +63,7 @@ def _half_keys(line: str) -> list[tuple[int, int]]:
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``doc_id``, ``line_no`` (from 0), 128 bits that stand for the trimmed line, and ``halves`` of all lines that are long enough."""
+    """``doc_id``, ``text_key``, ``line_no`` (from 0), 128 bits that stand for the trimmed line, and ``halves`` (of lines that are long enough) of all lines that aren't blank."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[int] = []
@@ -54,22 +71,23 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
         for i, text in enumerate(batch["text"].to_pylist()):
             for number, raw in enumerate(text.split("\n")):
                 line = raw.strip(" ")
-                if len(line) < min_chars:
+                if not line:
                     continue
                 data = line.encode("utf-8", "replace")
                 rows.append(i)
                 numbers.append(number)
                 h1.append(xxhash.xxh64_intdigest(data, 42))  # as Spark's xxhash64 has it
                 h2.append(xxhash.xxh64_intdigest(data, 43))
-                for key, side in _half_keys(line):
+                for key, side in _half_keys(line) if len(line) >= min_chars else ():
                     keys.append(key)
                     sides.append(side)
                 ends.append(len(keys))
         signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
         halves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([signed(keys), pa.array(sides, pa.int32())], ["key", "side"]))
-        return pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), signed(h1), signed(h2), halves], ["doc_id", "line_no", "h1", "h2", "halves"])
+        at = pa.array(rows, pa.int64())
+        return pa.RecordBatch.from_arrays([batch["doc_id"].take(at), batch["text_key"].take(at), pa.array(numbers, pa.int32()), signed(h1), signed(h2), halves], ["doc_id", "text_key", "line_no", "h1", "h2", "halves"])
 
-    return text_of(docs).mapInArrow(per_slice(work), _LINES)
+    return _keyed(docs).mapInArrow(per_slice(work), _LINES)
 
 
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1)
@@ -135,27 +153,25 @@ def _variants(candidates: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row for each line to drop: ``doc_id``, ``line_no``, ``keep_doc_id``, ``keep_line_no``, ``distance`` (0 or 1).
+    """One row for each line to drop: ``doc_id``, ``text_key``, ``line_no``, ``keep_doc_id``, ``keep_line_no``, ``distance`` (0 or 1).
 
     Of several earlier lines, an equal one is named first, then the earliest within one edit.
     """
     # hashes of all lines, then one row for each distinct line: written once, read by all that follows
     lines = written(_lines(docs, min_chars), "lines")
-    distinct = written(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves")), "distinct-lines")
+    distinct = written(lines.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves")), "distinct-lines")
 
     halves = distinct.select("h1", F.explode("halves").alias("half")).select("h1", "half.key", "half.side")
     shared = halves.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where(F.col("low") != F.col("high")).select("key")
     sides = halves.join(shared, "key", "left_semi").groupBy("h1").agg(F.bit_or("side").alias("sides"))
-    named = distinct.join(sides, "h1").select("h1", "h2", "first", "sides")
-    wanted = named.select(F.col("first.doc_id").alias("of"), F.col("first.line_no").alias("at"), "h1", "h2", "sides")
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    # a repeated doc_id may hold other texts: the hash says which row is meant
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of"))).select("h1", "h2", "sides", F.struct(F.col("of").alias("doc_id"), F.col("at").alias("line_no")).alias("first"), F.trim(F.get(F.split("text", "\n"), F.col("at"))).alias("line"))
-    found = found.where(F.col("line").isNotNull() & (F.xxhash64("line") == F.col("h1"))).dropDuplicates(["h1", "h2"])
+    wanted = distinct.join(sides, "h1").select(F.col("first.doc_id").alias("of"), F.col("first.text_key").alias("of_key"), "first", "h1", "h2", "sides")
+    texts = _keyed(docs).join(wanted, (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    found = texts.select("h1", "h2", "sides", "first", F.trim(F.get(F.split("text", "\n"), F.col("first.line_no"))).alias("line")).dropDuplicates(["h1", "h2"])
     near = _near(written(found, "candidate-lines"))
-    equal = lines.select("doc_id", "line_no", "h1", "h2").join(distinct.where("n > 1").select("h1", "h2", "first"), ["h1", "h2"])
-    equal = equal.where(F.struct("doc_id", "line_no") != F.col("first")).select("doc_id", "line_no", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.line_no").alias("keep_line_no"), F.lit(0).alias("distance"))
-    near = near.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"), F.lit(1).alias("distance"))
+    place = F.struct(*_PLACE)
+    equal = lines.select(*_PLACE, "h1", "h2").join(distinct.where("n > 1").select("h1", "h2", "first"), ["h1", "h2"]).where(place != F.col("first"))
+    equal = equal.select(*_PLACE, F.col("first.doc_id").alias("keep_doc_id"), F.col("first.line_no").alias("keep_line_no"), F.lit(0).alias("distance"))
+    near = near.select(*(F.col(f"first.{c}").alias(c) for c in _PLACE), F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"), F.lit(1).alias("distance"))
     return equal.unionByName(near).distinct()
 
 
@@ -207,9 +223,9 @@ def _free_name(docs: DataFrame) -> str:
 
 
 def _without(docs: DataFrame, repeated: DataFrame, dropped: str) -> DataFrame:
-    """``docs`` without the repeated lines, and the column ``dropped`` with their numbers."""
-    drop = repeated.groupBy("doc_id").agg(F.collect_set("line_no").alias(dropped))
-    joined = docs.join(drop, docs["doc_id"].cast("long").eqNullSafe(drop["doc_id"]), "left").select(*(docs[c] for c in docs.columns), drop[dropped])
+    """``docs`` without the repeated lines, and the column ``dropped`` with their numbers; a row's lines are those of its id and text."""
+    drop = repeated.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias(dropped))
+    joined = docs.join(drop, (_text_key(docs["text"]) == drop["text_key"]) & docs["doc_id"].cast("long").eqNullSafe(drop["doc_id"]), "left").select(*(docs[c] for c in docs.columns), drop[dropped])
     numbers, whole = F.col(dropped), F.col(dropped).isNull()
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(numbers, i)), "\n")
     out = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(kept))
@@ -225,19 +241,24 @@ def dedup_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def oracle_sql(documents: str = "documents", min_chars: int = MIN_CHARS) -> str:
-    """The drops by comparing every line with every line of about its length."""
+    """The drops by comparing every distinct line with every other of about its length.
+
+    This dialect's ``levenshtein`` counts bytes, of which one edit changes four at most; characters are compared after it.
+    """
     return f"""
-WITH l AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM {documents}),
-x AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) - 1 AS line_no FROM l),
-t AS (SELECT doc_id, line_no, trim(raw, ' ') AS line, length(trim(raw, ' ')) AS n FROM x WHERE length(trim(raw, ' ')) >= {min_chars}),
-u AS (SELECT line, n, min({{'d': doc_id, 'l': line_no}}) AS first FROM t GROUP BY line, n),
-near AS (SELECT DISTINCT a.line FROM u a JOIN u b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND b.first < a.first
-  AND (left(a.line, least(a.n, b.n) // 2) = left(b.line, least(a.n, b.n) // 2) OR right(a.line, least(a.n, b.n) // 2) = right(b.line, least(a.n, b.n) // 2)) AND levenshtein(a.line, b.line) <= 1),
-d AS (SELECT DISTINCT t.doc_id, t.line_no FROM t JOIN u USING (line) LEFT JOIN near USING (line) WHERE {{'d': t.doc_id, 'l': t.line_no}} <> u.first OR near.line IS NOT NULL),
-g AS (SELECT doc_id, list_sort(list(line_no)) AS dropped FROM d GROUP BY doc_id)
+WITH l AS (SELECT doc_id, coalesce(text, '') AS text, CAST('0x' || left(md5(coalesce(text, '')), 15) AS BIGINT) AS text_key, string_split(coalesce(text, ''), chr(10)) AS ls FROM {documents}),
+x AS (SELECT doc_id, text_key, unnest(ls) AS raw, generate_subscripts(ls, 1) - 1 AS line_no FROM (SELECT DISTINCT doc_id, text_key, ls FROM l)),
+t AS (SELECT doc_id, text_key, line_no, trim(raw, ' ') AS line, length(trim(raw, ' ')) AS n FROM x WHERE trim(raw, ' ') <> ''),
+r AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_key, line_no) AS place FROM t),
+u AS (SELECT line, n, min(place) AS first FROM r GROUP BY line, n),
+bytes AS (SELECT a.line, b.line AS other, a.n, b.n AS m FROM u a JOIN u b ON a.n >= {min_chars} AND b.n >= {min_chars} AND b.n BETWEEN a.n - 1 AND a.n + 1 AND b.first < a.first AND levenshtein(a.line, b.line) <= 4),
+near AS (SELECT DISTINCT line FROM (SELECT line, n, m, CASE WHEN n > m THEN line ELSE other END AS p, CASE WHEN n > m THEN other ELSE line END AS q FROM bytes)
+  WHERE CASE WHEN n = m THEN len(list_filter(range(1, n + 1), lambda i: p[i] <> q[i])) <= 1 ELSE len(list_filter(range(greatest(n, m)), lambda i: left(p, i) || substr(p, i + 2) = q)) > 0 END),
+d AS (SELECT doc_id, text_key, line_no FROM r JOIN u USING (line) LEFT JOIN near USING (line) WHERE place <> u.first OR near.line IS NOT NULL),
+g AS (SELECT doc_id, text_key, list_sort(list(line_no)) AS dropped FROM d GROUP BY ALL)
 SELECT l.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(len(dropped), 0) AS BIGINT) AS n_dropped, coalesce(array_to_string(dropped, ','), '') AS dropped,
   CASE WHEN dropped IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda s, i: NOT list_contains(dropped, i - 1)), chr(10)) END AS text
-FROM l LEFT JOIN g USING (doc_id)
+FROM l LEFT JOIN g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.text_key = g.text_key
 """
 
 

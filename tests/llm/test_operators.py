@@ -353,36 +353,69 @@ def test_texts_of_the_least_similarity_meet(spark):
 
 
 # ---- 9 lines ----
-def brute_lines(rows, least=line_dedup.MIN_CHARS):
-    first, drops, order = {}, {}, sorted(((i is not None, i, t) for i, t in rows), key=lambda x: x[:2])
-    lines = [(i, n, x.strip(" ")) for _, i, t in order for n, x in enumerate((t or "").split("\n")) if len(x.strip(" ")) >= least]
-    for i, n, x in lines:
-        first.setdefault(x, (i is not None, i or 0, n))
-    for i, n, x in lines:
-        at = (i is not None, i or 0, n)
-        if first[x] < at or any(line_dedup.within_one_edit(x, y) and f < at for y, f in first.items() if y != x):
-            drops.setdefault(i, set()).add(n)
+def text_key(text):
+    return int(hashlib.md5((text or "").encode()).hexdigest()[:15], 16)
+
+
+def brute_lines(rows):
+    """Numbers of the lines to drop, by id and text, with the edit distance of ``distance``."""
+    order = sorted({(i is not None, i or 0, text_key(t), t or "") for i, t in rows})
+    lines = [((*row, n), x.strip(" ")) for row in order for n, x in enumerate(row[3].split("\n")) if x.strip(" ")]
+    first, drops = {}, {}
+    for at, x in lines:
+        first.setdefault(x, at)
+    long = [x for x in first if len(x) >= 20]
+    close = {x: [y for y in long if abs(len(x) - len(y)) < 2 and x != y and distance(x, y) == 1] for x in long}
+    for at, x in lines:
+        if first[x] < at or any(first[y] < at for y in close.get(x, ())):
+            drops.setdefault((at[1] if at[0] else None, at[3]), set()).add(at[-1])
     return drops
 
 
+def sql_lines(spark, rows):
+    """The same from the query's SQL."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    return sorted(con.execute(line_dedup.ORACLE).fetchall(), key=repr)
+
+
+def found_lines(spark, rows):
+    keys = {text_key(t): t or "" for _, t in rows}
+    found = {}
+    for x in line_dedup.repeated_lines(docs(spark, rows)).collect():
+        found.setdefault((x.doc_id, keys[x.text_key]), set()).add(x.line_no)
+    return found
+
+
 def test_lines_within_one_edit_are_found(spark):
     r = random.Random(4)
-    base = ["".join(r.choice("abc ") for _ in range(r.randrange(18, 30))) for _ in range(30)]
-    lines = list(base)
+    base = ["".join(r.choice("abc ") for _ in range(r.randrange(17, 28))) for _ in range(25)]
+    lines = [*base, "yes", "}", "yes", " } ", "no"]
     for x in base * 3:
         k = r.randrange(len(x))
         lines += [x[:k] + r.choice("abcé") + x[k + 1 :], x[:k] + x[k + 1 :], x[:k] + "b" + x[k:], x]
     r.shuffle(lines)
-    rows = [(i, "\n".join(lines[i * 7 : i * 7 + 7])) for i in range(len(lines) // 7 + 1)] + [(900, None), (901, ""), (902, "\n\nshort\n"), (903, lines[0]), (None, lines[1])]
-    found = {}
-    for x in line_dedup.repeated_lines(docs(spark, rows)).collect():
-        found.setdefault(x.doc_id, set()).add(x.line_no)
-    assert found == brute_lines(rows)
-    out = {x.doc_id: x for x in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    rows = [(i // 2 if i % 5 else None, "\n".join(lines[i * 7 : i * 7 + 7])) for i in range(len(lines) // 7 + 1)]
+    rows += [(900, None), (901, ""), (902, "\n\nshort\n"), (903, lines[0]), (None, lines[1]), rows[3], rows[3], rows[5]]
+    assert found_lines(spark, rows) == brute_lines(rows)
+    table = sorted((tuple(x) for x in line_dedup.dedup_table(docs(spark, rows)).collect()), key=repr)
+    assert table == sql_lines(spark, rows) and len(table) == len(rows)
+    out = {x.doc_id: x for x in line_dedup.dedup_lines(docs(spark, rows)).collect() if x.doc_id is not None}
     assert out[903].text == "" and out[903].n_chars == 0 and out[900].text is None and out[902].text == "\n\nshort\n"
     assert line_dedup.dedup_table(docs(spark, [])).count() == 0 and line_dedup.dedup_table(awkward(spark)).count() == len(AWKWARD)
 
 
+def test_rows_that_share_an_id_or_have_none_keep_their_own_lines(spark):
+    common = "a line that stands in all of these texts"
+    rows = [(7, f"{common}\nfirst of its kind in the whole corpus"), (7, f"other words that come before it\n{common}\nUNIQUE 9"), *((None, f"{common}\nnobody else has line number {k} {'abcdefgh'[k] * 9}") for k in range(3))]
+    kept = [x.text.split("\n") for x in line_dedup.dedup_lines(docs(spark, rows)).collect()]
+    assert sorted(x for t in kept for x in t if x) == sorted({x for _, t in rows for x in t.split("\n")})
+    assert found_lines(spark, rows) == brute_lines(rows)
+
+
 # ---- 10 toxicity ----
 def test_toxic_texts_are_told_on_the_held_out_fold(spark):
     r = random.Random(8)
