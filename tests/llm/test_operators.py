@@ -155,26 +155,33 @@ def brute_licenses(text):
     import re
 
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-    words = re.findall(licenses.WORD, low)
-    places = [i for p in licenses.PHRASES for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
-    base = {v for p, v in licenses.PHRASES.items() if any(words[i : i + len(p.split())] == p.split() for i in range(len(words)))}
-    more = {}
-    for block in re.split(licenses.BLANK_LINE, low):
-        have = set(re.findall(licenses.WORD, block))
-        for label, t in licenses.TEMPLATES.items():
-            want = set(licenses.template_words(t))
-            if len(have & want) >= licenses.LEAST_CONTAINED * len(want):
-                more[label] = max(more.get(label, 0), len(have & want) / len(want))
-    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(more))), 1.0 if places else max(more.values(), default=0.0)
+    split = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x)
+    words = split(low)
+    said = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
+    places = {label: [i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()] for label, p in said.items()}
+    every, base = sorted(i for x in places.values() for i in x), {label for label, x in places.items() if x}
+    paragraphs, more = [split(x) for x in re.split(r"\n(?:[ \t\r]*\n)+", low)], {}
+    for label, t in licenses.TEMPLATES:
+        want, span = set(split(t.lower())), len(t.split("\n\n"))
+        for i in range(len(paragraphs)):
+            have = len(want & {w for x in paragraphs[i : i + span] for w in x})
+            if 5 * have >= 4 * len(want):
+                more[label] = max(more.get(label, 0), have / len(want))
+    return len(words), len(every), min(every, default=None), max(every, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(more))), 1.0 if every else max(more.values(), default=0.0)
 
 
 def test_scans_are_exact(spark):
-    t = licenses.TEMPLATES
+    t = {label: text for label, text in reversed(licenses.TEMPLATES)}  # the whole texts
     cut = lambda label, n: " ".join(t[label].split()[:-n])
-    texts = [None, "", "MIT  License, mit license", "mİt license K mit\n\nlicense", "CC BY-NC 4.0", "Apache License, Version 2.0", t["mit"], cut("mit", 4), cut("mit", 20), f"x\n\n{t['gpl-3']}\n\ny", cut("gpl-3", 1), cut("gpl-3", 3), t["bsd"].replace(" ", "\n"), t["bsd"].replace(" ", "\n\n"), "plain", "licensed under the gnu"]
-    found = {r.doc_id: tuple(r)[1:] for r in licenses.scan(docs(spark, list(enumerate(texts)))).collect()}
-    assert found == {i: brute_licenses(x) for i, x in enumerate(texts)}
+    texts = [None, "", "MIT  License, mit license", "Released under the MIT license. Under The\n MIT-License", "under the mİt license K mit\n\nlicense", "CC BY-NC 4.0", "Apache License, Version 2.0"]
+    texts += [f"x\n\n{x}\n \t\r\n\n\ny" for x in t.values()] + [x.replace("\n\n", "\n\n\n").replace(". ", ".\n") for x in t.values()]
+    texts += [cut(label, n) for label in t for n in (9, 30)] + [t["zlib"].replace(" ", "\n\n"), t["mit"].split("\n\n")[0], t["mit"].split("\n\n")[2], "plain", "licensed under the gnu", f"{t['gpl-3'][:200]}\n\nbetween\n\n{t['gpl-3'][200:]}"]
+    want = {i: brute_licenses(x) for i, x in enumerate(texts)}
+    assert all(label in want[7 + k][5] and label in want[7 + len(t) + k][5] for k, label in enumerate(t)) and want[2][1] == 0 and want[3][1:4] == (2, 1, 5)
+    assert {r.doc_id: tuple(r)[1:] for r in licenses.scan(docs(spark, list(enumerate(texts)))).collect()} == want
     assert licenses.scan(awkward(spark)).count() == len(AWKWARD) and licenses.scan(docs(spark, [])).count() == 0
+    blocks = licenses.contained_templates(docs(spark, [(1, f"a\n\nb\n\n{t['isc']}")])).collect()
+    assert {(x.label, x.block, x.contained) for x in blocks if x.contained == 1} == {("isc", 2, 1.0)}
 
 
 # ---- 6 planes ----
