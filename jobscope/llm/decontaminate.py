@@ -6,28 +6,37 @@ joined with those of the benchmark; around a hit the two texts are laid on each
 offset, and a document is contaminated by an item if some window of ``window`` words (the whole item,
 where it is shorter) agrees in at least ``least_share`` of its places.
 
+No such overlap is missed with the default window and share: both masks put a three-word pattern
+beside itself, and of a window of 13 words with any two changed at least one mask, at one of its
+places, looks at none of these. Items of fewer words than a window have masks of their own, over the
+whole item: if ``k`` of its words may be changed, they are dealt to ``k + 1`` masks in turn, one of
+which stays whole. Hits of these are tested at once against the item's words, since the masks of a
+short item look at few.
+
 DataFrame functions only. The benchmark's seeds are broadcast if they are counted to be at most
 ``MAX_BROADCAST_SEEDS``; beyond that the same join runs by shuffle. Hits are reduced to distinct
 (document, item, offset) before any text is fetched, so a passage that many documents hold costs each
 of them a few rows, and nothing is gathered by passage.
 
-Cases: null texts have no words; texts and items with fewer words than a seed's span (11) have no
-seed and are never reported; items that repeat an id or a text are matched each; documents without
-an id are compared as one id, null; repeated rows are reported once; empty tables give no rows.
+Cases: null texts have no words; items without words are never reported, and an item of one word is
+reported wherever that word stands; items that repeat an id or a text are matched each; a row is known
+by its id and its text, so of rows that share an id (or have none) only those that hold a passage are
+dropped, though ``overlaps`` reports them under the id they share; repeated rows are reported once;
+empty tables give no rows; further columns are passed on or ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.llm.common import text_of
 
-#: Positions that each mask looks at; both span 11 words.
-MASKS = ((0, 1, 3, 4, 7, 9, 10), (0, 2, 3, 5, 8, 9, 10))
-SPAN = 11
+#: Three words, and how far on the same pattern is looked at again: masks 0 1 4 5 8 9 and 0 2 4 6 8 10.
+PATTERN, SHIFTS = (0, 4, 8), (1, 2)
+MASKS = tuple(tuple(sorted(PATTERN + tuple(p + s for p in PATTERN))) for s in SHIFTS)
 
 #: What stands between words: any other ASCII than letters and digits.
 APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -40,82 +49,124 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), APART), lambda w: w != "")
 
 
-def seed_rows(df: DataFrame, id_column: str, at: str) -> DataFrame:
-    """``id_column``, ``at`` (the word where the seed begins) and ``seed``, from a column ``text``.
+def _hashed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, ``h`` (a hash of each word; null where a part is empty), ``lead`` (where the words begin) and ``n`` of them, from a column ``text``."""
+    hashed = df.select(*keys, F.transform(F.split(F.lower("text"), APART), lambda w: F.when(w != "", F.xxhash64(w))).alias("h"))
+    # only the first and the last part can be empty
+    lead = F.isnull(F.col("h")[0]).cast("int")
+    return hashed.select(*keys, "h", lead.alias("lead"), F.greatest(F.lit(0), F.size("h") - lead - F.isnull(F.element_at("h", -1)).cast("int")).alias("n"))
+
+
+def seed_rows(df: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """``keys``, ``at`` (the word where the seed begins) and ``seed``, from a column ``text``.
 
-    Each word is hashed once. Seeds come from outer generators, which have no filter inferred that
-    would work out all seeds a second time; texts without a seed leave a null, which joins nothing.
+    Each word and each pattern is hashed once. Seeds come from outer generators, which have no filter
+    inferred that would work out all seeds a second time; texts without a seed leave a null, which
+    joins nothing.
     """
-    hashed = df.select(id_column, F.transform(F.split(F.lower("text"), APART), lambda w: F.when(w != "", F.xxhash64(w))).alias("h"))
-    # only the first and the last part can be empty
-    cut = hashed.select(id_column, "h", F.isnull(F.col("h")[0]).cast("int").alias("lead"), (F.size("h") - F.isnull(F.element_at("h", -1)).cast("int") - SPAN).alias("last"))
+    places = F.col("n") - PATTERN[-1]
+    pattern = F.when(places > 0, F.transform(F.sequence(F.col("lead"), F.col("lead") + places - 1), lambda i: F.xxhash64(*(F.col("h")[i + o] for o in PATTERN))))
+    cut = _hashed(df, keys).select(*keys, F.greatest(F.lit(0), places - SHIFTS[0]).alias("first"), pattern.alias("p"))
 
-    def of(mask: tuple[int, ...], number: int) -> Column:
-        return F.transform(F.sequence("lead", "last"), lambda i: F.xxhash64(*(F.col("h")[i + o] for o in mask), F.lit(number)))
+    def of(shift: int) -> Column:
+        return F.transform(F.slice("p", 1, F.greatest(F.lit(0), F.size("p") - shift)), lambda x, i: F.xxhash64(x, F.col("p")[i + shift], F.lit(shift)))
 
-    seeds = F.when(F.col("last") >= F.col("lead"), F.concat(*(of(m, k) for k, m in enumerate(MASKS))))
-    rows = cut.select(id_column, (F.col("last") - F.col("lead") + 1).alias("n"), F.posexplode_outer(seeds).alias("k", "seed"))
-    return rows.select(id_column, (F.col("k") % F.col("n")).alias(at), "seed")
+    rows = cut.select(*keys, "first", F.posexplode_outer(F.concat(*map(of, SHIFTS))).alias("k", "seed"))
+    return rows.select(*keys, F.when(F.col("k") < F.col("first"), F.col("k")).otherwise(F.col("k") - F.col("first")).alias(at), "seed")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_share: float = LEAST_SHARE) -> DataFrame:
-    """One row for each contaminated document and item.
+def _short_rows(df: DataFrame, keys: list[str], at: str, n: int, parts: int, whole: bool) -> DataFrame:
+    """``keys``, ``at``, ``seed`` and ``run`` (hashes of ``n`` words) for each mask of an item of ``n`` words; ``whole``: of texts of just that length."""
+    hashed = _hashed(df, keys)
+    hashed = hashed.where(F.col("n") == n) if whole else hashed
+    last = F.col("lead") + F.col("n") - n
 
-    ``doc_id``, ``item_id``, ``window_matches`` (words that agree in the best window), ``item_share``
-    (the largest part of the item's words that agree at one offset) and ``first_word`` (where the
-    first such window begins in the document).
-    """
+    def here(i: Column) -> Column:
+        seeds = F.array(*(F.xxhash64(*(F.col("h")[i + j] for j in range(r, n, parts)), F.lit(r)) for r in range(parts)))
+        return F.struct((i - F.col("lead")).alias("at"), seeds.alias("seeds"), F.slice("h", i + 1, n).alias("run"))
+
+    each = hashed.select(*keys, F.explode_outer(F.when(F.col("n") >= n, F.transform(F.sequence(F.col("lead"), last), here))).alias("x"))
+    return each.select(*keys, F.col("x.at").alias(at), F.explode_outer("x.seeds").alias("seed"), F.col("x.run").alias("run"))
+
+
+def _broadcast(seeds: DataFrame) -> DataFrame:
+    """The benchmark's seeds, broadcast if they are counted to be few."""
+    return F.broadcast(seeds) if seeds.count() <= MAX_BROADCAST_SEEDS else seeds
+
+
+def _short_hits(texts: DataFrame, items: DataFrame, window: int, least_share: float) -> DataFrame | None:
+    """``doc_id``, ``key``, ``item_id`` and ``offset`` of the items of fewer words than a window that stand in a text, by hashes."""
+    lengths = sorted(r["n"] for r in _hashed(items, ["item_id"]).where((F.col("n") > 0) & (F.col("n") < window)).select("n").distinct().collect())  # fewer than a window
+    found = None
+    for n in lengths:
+        enough = math.ceil(n * least_share)
+        parts = min(n, n - enough + 1)
+        own = _broadcast(_short_rows(items, ["item_id"], "item_at", n, parts, True).withColumnRenamed("run", "item"))
+        met = _short_rows(texts, ["doc_id", "key"], "offset", n, parts, False).join(own, "seed")
+        agree = F.aggregate(F.zip_with("run", "item", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
+        hits = met.where(agree >= enough).select("doc_id", "key", "item_id", "offset")
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def _overlaps(docs: DataFrame, benchmark: DataFrame, window: int, least_share: float) -> DataFrame:
+    """What ``overlaps`` gives, for each id and text (``key``, its hash)."""
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), F.coalesce(benchmark["text"], F.lit("")).alias("text")).distinct()
-    item_seeds = seed_rows(items, "item_id", "item_at")
-    if item_seeds.count() <= MAX_BROADCAST_SEEDS:
-        item_seeds = F.broadcast(item_seeds)
-    texts = text_of(docs)
-    hits = seed_rows(texts, "doc_id", "doc_at").join(item_seeds, "seed")
-    found = hits.select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("offset")).distinct()
+    texts = text_of(docs).select("doc_id", F.xxhash64("text").alias("key"), "text")
+    hits = seed_rows(texts, ["doc_id", "key"], "doc_at").join(_broadcast(seed_rows(items, ["item_id"], "item_at")), "seed")
+    found = hits.select("doc_id", "key", "item_id", (F.col("doc_at") - F.col("item_at")).alias("offset"))
+    short = _short_hits(texts, items, window, least_share)
+    found = (found if short is None else found.unionByName(short)).distinct()
     item_words = items.select("item_id", words_of(F.col("text")).alias("item"))
-    laid = found.join(item_words, found["item_id"].eqNullSafe(item_words["item_id"])).select("doc_id", found["item_id"], "offset", "item")
-    pairs = texts.alias("t").join(laid.alias("l"), F.col("t.doc_id").eqNullSafe(F.col("l.doc_id"))).select("t.doc_id", "item_id", "offset", "item", words_of(F.col("t.text")).alias("words"))
+    laid = found.join(item_words, found["item_id"].eqNullSafe(item_words["item_id"])).select("doc_id", "key", found["item_id"], "offset", "item")
+    same = F.col("t.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("t.key") == F.col("l.key"))
+    pairs = texts.alias("t").join(laid.alias("l"), same).select("t.doc_id", "t.key", "item_id", "offset", "item", words_of(F.col("t.text")).alias("words"))
     low, size = F.greatest(F.lit(0), -F.col("offset")), F.size("item")
     high = F.least(size, F.size("words") - F.col("offset"))
     agree = F.when(high > low, F.transform(F.sequence(low, high - 1), lambda j: (F.col("item")[j] == F.col("words")[j + F.col("offset")]).cast("int")))
-    laid_out = pairs.select("doc_id", "item_id", "offset", size.alias("size"), low.alias("low"), F.least(F.lit(window), size).alias("width"), agree.alias("agree"))
+    laid_out = pairs.select("doc_id", "key", "item_id", "offset", size.alias("size"), low.alias("low"), F.least(F.lit(window), size).alias("width"), agree.alias("agree"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     windows = F.when(F.size("agree") >= F.col("width"), F.transform(F.sequence(F.lit(1), F.size("agree") - F.col("width") + 1), lambda s: total(F.slice("agree", s, F.col("width")))))
     enough = F.ceil(F.col("width") * F.lit(least_share))
-    counted = laid_out.select("doc_id", "item_id", "offset", "low", (total(F.col("agree")) / F.col("size")).alias("share"), windows.alias("windows"), enough.alias("enough"))
+    counted = laid_out.select("doc_id", "key", "item_id", "offset", "low", (total(F.col("agree")) / F.col("size")).alias("share"), windows.alias("windows"), enough.alias("enough"))
     first = F.array_min(F.filter(F.transform("windows", lambda w, i: F.when(w >= F.col("enough"), i)), lambda i: i.isNotNull()))
-    each = counted.select("doc_id", "item_id", "share", "enough", F.array_max("windows").alias("most"), (first + F.col("low") + F.col("offset")).alias("first"))
+    each = counted.select("doc_id", "key", "item_id", "share", "enough", F.array_max("windows").alias("most"), (first + F.col("low") + F.col("offset")).alias("first"))
     # the test comes after the aggregation: before it, it would be pushed down with all that it is made of
     return (
-        each.groupBy("doc_id", "item_id")
+        each.groupBy("doc_id", "key", "item_id")
         .agg(F.max("most").cast("long").alias("window_matches"), F.max(F.when(F.col("most") >= F.col("enough"), F.col("share"))).alias("item_share"), F.min("first").cast("long").alias("first_word"))
         .where(F.col("first_word").isNotNull())
     )
 
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark passage."""
-    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["found_id"]), "left_anti")
+def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_share: float = LEAST_SHARE) -> DataFrame:
+    """One row for each contaminated document and item.
 
+    ``doc_id``, ``item_id``, ``window_matches`` (words that agree in the best window), ``item_share``
+    (the largest part of the item's words that agree at one offset with such a window) and
+    ``first_word`` (where the first such window begins in the document).
+    """
+    return _overlaps(docs, benchmark, window, least_share).groupBy("doc_id", "item_id").agg(F.max("window_matches").alias("window_matches"), F.max("item_share").alias("item_share"), F.min("first_word").alias("first_word"))
 
-def _sql_seeds(alias: str) -> str:
-    keys = [" || ' ' || ".join([f"{alias}.words[p + {o + 1}]" for o in mask] + [f"'{k}'"]) for k, mask in enumerate(MASKS)]
-    return f"unnest([{', '.join(keys)}])"
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_share: float = LEAST_SHARE) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no benchmark passage."""
+    found = _overlaps(docs, benchmark, window, least_share).select(F.col("doc_id").alias("found_id"), F.col("key").alias("found_key")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(found["found_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["found_key"])
+    return docs.join(found, same, "left_anti")
 
 
+#: All offsets at which enough words agree, found word by word and without any seed.
 ORACLE = f"""
-WITH d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{APART}'), lambda w: w <> '') AS words FROM documents),
-b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{APART}'), lambda w: w <> '') AS words FROM benchmark),
-dp AS (SELECT doc_id, words, unnest(range(len(words) - {SPAN - 1})) AS p FROM d WHERE len(words) >= {SPAN}),
-bp AS (SELECT item_id, words, unnest(range(len(words) - {SPAN - 1})) AS p FROM b WHERE len(words) >= {SPAN}),
-ds AS (SELECT doc_id, p, {_sql_seeds('dp')} AS seed FROM dp),
-bs AS (SELECT item_id, p, {_sql_seeds('bp')} AS seed FROM bp),
-cand AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS off FROM ds JOIN bs USING (seed)),
-laid AS (SELECT doc_id, item_id, off, b.words AS item, d.words AS words, unnest(range(len(b.words))) AS j FROM cand JOIN b USING (item_id) JOIN d USING (doc_id)),
-agree AS (SELECT doc_id, item_id, off, j, len(item) AS size, least({WINDOW}, len(item)) AS width, CAST(item[j + 1] = words[j + off + 1] AS INT) AS ok FROM laid WHERE j + off >= 0 AND j + off < len(words)),
-w AS (SELECT *, CASE WHEN width = {WINDOW} THEN sum(ok) OVER (PARTITION BY doc_id, item_id, off ORDER BY j ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) ELSE sum(ok) OVER (PARTITION BY doc_id, item_id, off ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS m,
-  count(*) OVER (PARTITION BY doc_id, item_id, off ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(ok) OVER (PARTITION BY doc_id, item_id, off) AS allok FROM agree)
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, words FROM (SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{APART}'), lambda w: w <> '') AS words FROM documents)),
+b AS (SELECT row_number() OVER () AS k, item_id, words FROM (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{APART}'), lambda w: w <> '') AS words FROM benchmark)),
+dw AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM d),
+bw AS (SELECT k, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS j FROM b),
+cand AS (SELECT r, k, i - j AS off FROM dw JOIN bw USING (word) GROUP BY r, k, i - j HAVING count(*) >= ceil(least({WINDOW}, any_value(n)) * {LEAST_SHARE})),
+laid AS (SELECT doc_id, item_id, r, k, off, b.words AS item, d.words AS words, unnest(range(len(b.words))) AS j FROM cand JOIN b USING (k) JOIN d USING (r)),
+agree AS (SELECT doc_id, item_id, r, k, off, j, len(item) AS size, least({WINDOW}, len(item)) AS width, CAST(item[j + 1] = words[j + off + 1] AS INT) AS ok FROM laid WHERE j + off >= 0 AND j + off < len(words)),
+w AS (SELECT *, sum(ok) OVER (PARTITION BY r, k, off ORDER BY j ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS m,
+  count(*) OVER (PARTITION BY r, k, off ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(ok) OVER (PARTITION BY r, k, off) AS allok FROM agree)
 SELECT doc_id, item_id, CAST(max(m) AS BIGINT) AS window_matches, max(allok / size) AS item_share, CAST(min(j + off) AS BIGINT) AS first_word
 FROM w WHERE rest >= width AND m >= ceil(width * {LEAST_SHARE}) GROUP BY doc_id, item_id
 """

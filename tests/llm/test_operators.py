@@ -84,38 +84,71 @@ def test_stream_table_takes_awkward_rows(spark):
 
 # ---- 3 decontamination ----
 def brute_overlaps(rows, items):
-    words = lambda t: [w for w in __import__("re").split(decontaminate.APART, (t or "").lower()) if w]
-    out = set()
+    """Every item at every offset of every text, without seeds: id, item, the best window's words and the first window's place."""
+    words = lambda t: [w for w in __import__("re").split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").lower()) if w]
+    out = {}
     for d, t in rows:
         for i, b in items:
             x, y = words(t), words(b)
-            for off in range(-len(y), len(x)):
-                ok = [x[j + off] == y[j] for j in range(len(y)) if 0 <= j + off < len(x)]
-                seed = any(all(0 <= p + o + off < len(x) and x[p + o + off] == y[p + o] for o in m) for m in decontaminate.MASKS for p in range(len(y) - 10))
-                width = min(13, len(y))
-                if seed and len(ok) >= width and max(sum(ok[k : k + width]) for k in range(len(ok) - width + 1)) >= -(-width * 8 // 10):
-                    out.add((d, i))
+            width = min(13, len(y))
+            for off in range(-len(y), len(x)) if y else ():
+                low = max(0, -off)
+                ok = [x[j + off] == y[j] for j in range(low, min(len(y), len(x) - off))]
+                sums = [sum(ok[k : k + width]) for k in range(len(ok) - width + 1)]
+                good = [k for k, n in enumerate(sums) if 10 * n >= 8 * width]
+                if good:
+                    most, first = out.get((d, i), (0, 10**9))
+                    out[d, i] = max(most, *sums), min(first, good[0] + low + off)
     return out
 
 
+def found_overlaps(spark, rows, items):
+    return {(x.doc_id, x.item_id): (x.window_matches, x.first_word) for x in decontaminate.overlaps(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
 def test_overlaps_allow_substitutions_and_spare_clean_texts(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
-    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((30, 14, 11, 10, 45))]
-    rows = [(100, None), (101, ""), (None, items[0][1]), (102, " ".join(word() for _ in range(400)))]
-    for k, (_, b) in enumerate(items):
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((30, 14, 11, 10, 45, 1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 13, 20))] + [(90, ""), (91, "the same same same same same same same same")]
+    rows = [(200, None), (201, ""), (None, items[0][1]), (202, " ".join(word() for _ in range(400))), (None, "nothing of the kind"), (7, "two rows of one id"), (7, f"!{items[4][1]}"), (7, f"!{items[4][1]}"), (203, "the " + "same " * 30)]
+    for k, (_, b) in enumerate(items[:17]):
         w = b.split()
         rows.append((k, f"{word()} {b.upper()}, {word()}!"))
-        for q in range(3, len(w), 9):
-            w[q] = word()
-        rows.append((10 + k, " ".join([word(), *w, word()])))
+        for n in range(1, 5):
+            x = list(w)
+            for q in r.sample(range(len(x)), min(n, len(x))):
+                x[q] = word()
+            rows.append((100 * n + k, " ".join([word(), *x, word()])))
         rows.append((20 + k, " ".join(w[: len(w) // 3])))
-    bench = spark.createDataFrame([*items, (9, None), (0, items[0][1])], "item_id long, text string")
-    found = decontaminate.overlaps(docs(spark, rows), bench).collect()
-    assert {(x.doc_id, x.item_id) for x in found} == brute_overlaps(rows, items)
-    kept = {x.doc_id for x in decontaminate.keep_uncontaminated(docs(spark, rows), bench).collect()}
-    assert {100, 101, 102} <= kept and not kept & {0, 1, 2, 4, 10, None}
-    assert decontaminate.overlaps(awkward(spark), bench.limit(0)).count() == 0
+    bench = spark.createDataFrame([*items, (99, None), (0, items[0][1])], "item_id long, text string")
+    want = brute_overlaps(rows, items)
+    assert found_overlaps(spark, rows, [*items, (99, None), (0, items[0][1])]) == want and all((k, k) in want for k in range(17))
+    kept = sorted((tuple(x)[:2] for x in decontaminate.keep_uncontaminated(docs(spark, rows), bench).collect()), key=repr)
+    assert kept == sorted(((i, t) for i, t in rows if not brute_overlaps([(0, t)], items)), key=repr)
+    assert decontaminate.overlaps(awkward(spark), bench.limit(0)).count() == 0 and decontaminate.overlaps(docs(spark, []), bench).count() == 0
+
+
+def test_masks_hit_every_placement_of_two_changed_words():
+    from itertools import combinations
+
+    for n in (13, 14, 20):
+        for k in (2,) if n < 20 else (2, 3, 4):
+            for at in combinations(range(n), k):
+                same = [j not in at for j in range(n)]
+                if max(sum(same[i : i + 13]) for i in range(n - 12)) >= 11:
+                    assert any(all(same[p + o] for o in m) for m in decontaminate.MASKS for p in range(n - m[-1])), at
+
+
+def test_every_changed_pair_of_words_is_found_by_the_operator(spark):
+    from itertools import combinations
+
+    items = [(n, " ".join(f"i{n}w{j}" for j in range(n))) for n in (10, 11, 12, 13)]
+    rows = []
+    for n, b in items:
+        for at in combinations(range(n), 2):
+            rows.append((len(rows), " ".join(["before", *("other" if j in at else w for j, w in enumerate(b.split())), "after"])))
+    found = found_overlaps(spark, rows, items)
+    assert len(found) == len(rows) == 45 + 55 + 66 + 78 and all(x[1] == 1 for x in found.values())
 
 
 # ---- 4 prefix counts ----
