@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a Python operator handles at once; bounds what a task holds of very long texts.
-SLICE_ROWS = 512
+#: Rows, and bytes of texts, that a Python operator handles at once (one row at least).
+SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
 #: Texts whose new words a ``WordTable`` learns together.
 GROUP = 64
@@ -25,13 +26,39 @@ def text_of(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
+def text_key_of(text: Column) -> Column:
+    """60 bits of the text's md5 as a number, a null text as the empty one: with the id it says which row is meant."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
+def keyed_text_of(docs: DataFrame) -> DataFrame:
+    """``text_of`` with ``text_key``."""
+    return text_of(docs).withColumn("text_key", text_key_of(F.col("text")))
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of bounded rows and bytes."""
+    sizes = [0] * batch.num_rows
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes = [a + (b or 0) for a, b in zip(sizes, pc.binary_length(column).to_pylist(), strict=True)]
+    begin = held = 0
+    for at, size in enumerate(sizes):
+        if at > begin and (held + size > SLICE_BYTES or at - begin >= SLICE_ROWS):
+            yield batch.slice(begin, at - begin)
+            begin, held = at, 0
+        held += size
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def per_slice(work: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A ``mapInArrow`` function that applies ``work`` to slices of bounded row count."""
+    """A ``mapInArrow`` function that applies ``work`` to slices of bounded rows and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                out = work(batch.slice(at, SLICE_ROWS))
+            for part in slices(batch):
+                out = work(part)
                 if out is not None and out.num_rows:
                     yield out
 

@@ -32,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import per_slice, text_of
+from jobscope.llm.common import keyed_text_of, per_slice, text_key_of, text_of
 from jobscope.store import written
 
 #: Characters from which on one edit makes a near copy.
@@ -47,15 +47,6 @@ _LINES = "doc_id long, text_key long, line_no int, h1 long, h2 long, halves arra
 _PLACE = ("doc_id", "text_key", "line_no")
 
 
-def _text_key(text: Column) -> Column:
-    """60 bits of the text's md5, as a number."""
-    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 15), 16, 10).cast("long")
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return text_of(docs).withColumn("text_key", _text_key(F.col("text")))
-
-
 def _half_keys(line: str) -> list[tuple[int, int]]:
     """Hashes of the first (side 1) and last (side 2) half, for the one or two lengths that a half can have with a partner."""
     n = len(line)
@@ -87,7 +78,7 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
         at = pa.array(rows, pa.int64())
         return pa.RecordBatch.from_arrays([batch["doc_id"].take(at), batch["text_key"].take(at), pa.array(numbers, pa.int32()), signed(h1), signed(h2), halves], ["doc_id", "text_key", "line_no", "h1", "h2", "halves"])
 
-    return _keyed(docs).mapInArrow(per_slice(work), _LINES)
+    return keyed_text_of(docs).mapInArrow(per_slice(work), _LINES)
 
 
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1)
@@ -165,7 +156,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     shared = halves.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where(F.col("low") != F.col("high")).select("key")
     sides = halves.join(shared, "key", "left_semi").groupBy("h1").agg(F.bit_or("side").alias("sides"))
     wanted = distinct.join(sides, "h1").select(F.col("first.doc_id").alias("of"), F.col("first.text_key").alias("of_key"), "first", "h1", "h2", "sides")
-    texts = _keyed(docs).join(wanted, (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    texts = keyed_text_of(docs).join(wanted, (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of")))
     found = texts.select("h1", "h2", "sides", "first", F.trim(F.get(F.split("text", "\n"), F.col("first.line_no"))).alias("line")).dropDuplicates(["h1", "h2"])
     near = _near(written(found, "candidate-lines"))
     place = F.struct(*_PLACE)
@@ -225,7 +216,7 @@ def _free_name(docs: DataFrame) -> str:
 def _without(docs: DataFrame, repeated: DataFrame, dropped: str) -> DataFrame:
     """``docs`` without the repeated lines, and the column ``dropped`` with their numbers; a row's lines are those of its id and text."""
     drop = repeated.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias(dropped))
-    joined = docs.join(drop, (_text_key(docs["text"]) == drop["text_key"]) & docs["doc_id"].cast("long").eqNullSafe(drop["doc_id"]), "left").select(*(docs[c] for c in docs.columns), drop[dropped])
+    joined = docs.join(drop, (text_key_of(docs["text"]) == drop["text_key"]) & docs["doc_id"].cast("long").eqNullSafe(drop["doc_id"]), "left").select(*(docs[c] for c in docs.columns), drop[dropped])
     numbers, whole = F.col(dropped), F.col(dropped).isNull()
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(numbers, i)), "\n")
     out = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(kept))

@@ -303,8 +303,8 @@ def test_banded_alignment_is_exact():
 
 def test_order_matters_and_first_occurrences_are_alike():
     words = order_minhash.words_of(" ".join(f"w{i}" for i in range(200)))
-    same = order_minhash.sketch(order_minhash.labelled_kmers(words, 5), 0)
-    swapped = order_minhash.sketch(order_minhash.labelled_kmers(np.concatenate([words[100:], words[:100]]), 5), 0)
+    same = order_minhash.sketch(order_minhash.labelled_kmers(words, 5), 5, 32)
+    swapped = order_minhash.sketch(order_minhash.labelled_kmers(np.concatenate([words[100:], words[:100]]), 5), 5, 32)
     assert 0.2 < np.mean(same == swapped) < 0.8  # pairs within one half keep their order
     plain, repeated = order_minhash.labelled_kmers(words, 5), order_minhash.labelled_kmers(np.concatenate([words, words[:9]]), 5)
     assert np.array_equal(plain, repeated[: len(plain)])
@@ -337,9 +337,21 @@ def test_classes_are_those_of_all_pairs(spark):
                 parent[y] = x
     found = {x.doc_id: x.class_id for x in order_minhash.classes(docs(spark, rows)).collect()}
     assert {i: c for i, c in found.items() if i is not None} == {i: root(i) for i in words}
-    kept = order_minhash.keep_one(docs(spark, rows)).collect()
-    assert {x.doc_id for x in kept} == {root(i) for i in words} | {None} and kept[0].source == "s"
-    assert order_minhash.classes(docs(spark, [])).count() == 0
+    assert found[None] == 1002  # the row without an id has the words of another
+    kept = [x.doc_id for x in order_minhash.keep_one(docs(spark, rows)).collect()]
+    assert sorted(kept) == sorted({root(i) for i in words})
+    assert order_minhash.classes(docs(spark, [])).count() == 0 and order_minhash.keep_one(docs(spark, [])).count() == 0
+
+
+def test_one_row_of_a_class_stays_whatever_its_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (1, long), (1, "quite another text of the same id"), (2, long + " more"), *[(None, "copies without an id")] * 3, (None, "Copies  without an ID"), (None, " ".join(f"n{i}" for i in range(50))), (None, " ".join(f"n{i}" for i in range(49))), (4, None), (5, "")]
+    wide = docs(spark, rows).selectExpr("*", "7 AS text_key", "8 AS node", "'x' AS winner")
+    kept = order_minhash.keep_one(wide).collect()
+    assert sorted(x.doc_id or 0 for x in kept) == [0, 0, 1, 1, 4] and {x.text for x in kept if x.doc_id == 1} == {long, "quite another text of the same id"}
+    assert kept[0].asDict().keys() == set(wide.columns) and all((x.text_key, x.node, x.winner) == (7, 8, "x") for x in kept)
+    found = sorted(((x.doc_id or 0, x.class_id or 0) for x in order_minhash.classes(wide).collect()))
+    assert found == [(0, 0)] * 6 + [(1, 1)] * 3 + [(2, 1), (4, 4), (5, 4)]
 
 
 def changed(words, share, r):
@@ -382,16 +394,41 @@ def test_a_document_near_the_leader_still_meets_one_that_is_not(spark):
     assert sum(found[200 + g] == g for g in range(20)) >= 19
 
 
-def test_texts_of_the_least_similarity_meet(spark):
-    r = random.Random(24)
+@pytest.mark.parametrize("size", [30, 45, 80, 200, 600])
+def test_texts_of_the_least_similarity_meet(spark, size):
+    r = random.Random(24 + size)
     rows = []
     for g in range(200):
-        base = [f"o{g}.{i}" for i in range(45 if g % 2 else 300)]
+        base = [f"o{g}.{i}" for i in range(size)]
         rows += [(g, " ".join(base)), (1000 + g, " ".join(changed(base, 0.2, r)))]
     found = {x.doc_id: x.class_id for x in order_minhash.classes(docs(spark, rows)).collect()}
     assert sum(found[1000 + g] == g for g in range(200)) >= 190
 
 
+def test_a_far_text_rules_out_those_near_the_other():
+    r = random.Random(31)
+    alphabet = range(30)
+    for _ in range(3000):
+        a = [r.choice(alphabet) for _ in range(r.randrange(1, 40))]
+        b = edited(a, r.randrange(30), r, alphabet)
+        c = edited(a, r.randrange(12), r, alphabet)
+        x, y, z = (np.array(t, np.uint32) for t in (a, b, c))
+        assert order_minhash.near(x, z) == (distance(a, c) <= 0.2 * max(len(a), len(c)) + 1e-9)
+        if order_minhash.relation(x, y) == order_minhash.FAR and order_minhash.near(x, z):
+            assert not order_minhash.near(y, z)
+
+
+def test_copies_of_one_text_that_are_not_near_each_other_are_one_class(spark):
+    """Each is near the text they were made from, most are not near each other, and all share a passage with unrelated texts."""
+    r = random.Random(25)
+    base, shared = [f"b{i}" for i in range(150)], [f"s{i}" for i in range(60)]
+    rows = [(500, " ".join(shared + base))]
+    rows += [(g, " ".join(shared + changed(base, 0.25, r))) for g in range(150)]
+    rows += [(1000 + g, " ".join(shared + [f"u{g}.{i}" for i in range(90)])) for g in range(150)]
+    found = {x.doc_id: x.class_id for x in order_minhash.classes(docs(spark, rows)).collect()}
+    assert sum(found[i] == 0 for i in [*range(150), 500]) >= 148 and all(found[1000 + g] == 1000 + g for g in range(150))
+
+
 # ---- 9 lines ----
 def text_key(text):
     return int(hashlib.md5((text or "").encode()).hexdigest()[:15], 16)
