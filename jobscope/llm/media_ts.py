@@ -1,14 +1,18 @@
 """MPEG transport streams as a binary column.
 
 ``write_streams`` stores payloads as single-program transport streams, ``read_streams`` parses any
-binary column of 188-byte packets: program association and map tables, continuity counters,
-reassembled elementary packets, presentation times and random-access points. Both are per-row maps,
-so a plan with them has no shuffle, and a lost executor costs its own tasks only.
+binary column of 188-byte packets: program association and map tables (sections that cross packets and
+several sections in one packet as well), continuity counters, and for every elementary stream its
+reassembled packets with presentation and decoding times and random-access points. Both are per-row
+maps, so a plan with them has no shuffle, and a lost executor costs its own tasks only.
 
 Cases: a null payload is stored as an empty one; a null, empty or truncated stream gives a row with
 zero packets or with the bytes left over counted in ``bad_bytes``; packets without the sync byte are
-counted in ``bad_bytes`` and skipped; a packet that repeats the counter and the payload before it is
-a duplicate and is ignored, any other jump is a continuity error. Repeated rows are separate rows.
+counted in ``bad_bytes`` and skipped; a packet that repeats the counter and the bytes before it is a
+duplicate and is ignored, any other jump that isn't announced is a continuity error. A unit that lost
+packets, or has fewer bytes than it says, is listed as damaged and has the bytes that came; a section
+with lost packets or a wrong checksum is left out. Repeated rows are separate rows; an empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,93 +123,136 @@ def write_stream(payload: bytes) -> bytes:
     return b"".join(parts)
 
 
+def _steps(packets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For packets of one pid that carry a payload: which repeat the one before, and before which some were lost."""
+    n = len(packets)
+    repeats, lost = np.zeros(n, bool), np.zeros(n, bool)
+    step = np.diff(packets[:, 3] & 15) & 15
+    for j in np.flatnonzero(step != 1) + 1:
+        repeats[j] = step[j - 1] == 0 and (packets[j] == packets[j - 1]).all()
+        announced = packets[j, 3] & 0x20 and packets[j, 4] and packets[j, 5] & 0x80
+        lost[j] = not repeats[j] and not announced
+    return repeats, lost
+
+
 def _sections(packets: np.ndarray, starts: np.ndarray) -> list[bytes]:
-    """Sections that begin in the given packets of one table pid; those whose checksum fails are left out."""
-    out = []
-    for row, at in zip(packets, starts, strict=True):
-        if not row[1] & 0x40 or at >= PACKET:
+    """All sections of one table pid, put together from their packets; those with lost packets or a wrong checksum are left out."""
+    out: list[bytes] = []
+    held: bytearray | None = None  # None: no section is open
+    repeats, lost = _steps(packets)
+
+    def close() -> None:
+        nonlocal held
+        while held and held[0] != 0xFF and len(held) >= 3:
+            size = 3 + ((held[1] & 15) << 8 | held[2])
+            if len(held) < size:
+                return
+            section = bytes(held[:size])
+            if size >= 12 and psi_crc(section) == 0:
+                out.append(section)
+            del held[:size]
+        if held and held[0] == 0xFF:
+            held = None
+
+    for row, at, again, gap in zip(packets, starts, repeats, lost, strict=True):
+        if again:
             continue
         raw = row[at:].tobytes()
-        raw = raw[1 + raw[0] :] if raw[0] < len(raw) else b""
-        size = 3 + ((raw[1] & 15) << 8 | raw[2]) if len(raw) > 3 else 0
-        if 12 <= size <= len(raw) and psi_crc(raw[:size]) == 0:
-            out.append(raw[:size])
+        if gap:
+            held = None
+        if row[1] & 0x40:
+            skip = raw[0] if raw else 0
+            if held is not None:  # what stands before the pointer ends the open section
+                held += raw[1 : 1 + skip]
+                close()
+            held = bytearray(raw[1 + skip :])
+        elif held is not None:
+            held += raw
+        close()
     return out
 
 
+def _stamp(p: bytes) -> int:
+    return (p[0] >> 1 & 7) << 30 | p[1] << 22 | (p[2] >> 1) << 15 | p[3] << 7 | p[4] >> 1
+
+
+def _elementary(packets: np.ndarray, starts: np.ndarray) -> dict:
+    """Units of one elementary pid: times, random access, damage, and their bytes."""
+    repeats, lost = _steps(packets)
+    rows, at, lost = packets[~repeats], starts[~repeats], lost[~repeats]
+    found: dict = {"cc_errors": int(lost.sum()), "cc_repeats": int(repeats.sum()), "n_units": 0, "pts": [], "dts": [], "random_access": [], "damaged": [], "payload": b""}
+    begins = np.flatnonzero(rows[:, 1] & 0x40)
+    if not len(begins):
+        return found
+    body = rows[np.arange(PACKET)[None, :] >= at[:, None]].tobytes()
+    offsets = np.append(0, np.cumsum(PACKET - at))
+    # packets lost before one that begins a unit are of the unit before
+    broken = set(np.searchsorted(begins, np.flatnonzero(lost) - 1, "right") - 1)
+    out = []
+    for i, (b, e) in enumerate(zip(begins, np.append(begins[1:], len(rows)), strict=True)):
+        unit = body[offsets[b] : offsets[e]]
+        if len(unit) < 9 or unit[:3] != b"\x00\x00\x01":
+            continue
+        size = unit[4] << 8 | unit[5]
+        if i in broken or (size and len(unit) < 6 + size):
+            found["damaged"].append(found["n_units"])
+        out.append(unit[9 + unit[8] : 6 + size if size else len(unit)])
+        found["pts"].append(_stamp(unit[9:14]) if unit[7] & 0x80 and len(unit) >= 14 else None)
+        found["dts"].append(_stamp(unit[14:19]) if unit[7] & 0xC0 == 0xC0 and len(unit) >= 19 else None)
+        if rows[b, 3] & 0x20 and rows[b, 4] and rows[b, 5] & 0x40:
+            found["random_access"].append(found["n_units"])
+        found["n_units"] += 1
+    found["payload"] = b"".join(out)
+    return found
+
+
 def read_stream(stream: bytes) -> dict:
-    """What a stream holds: programs, counters, units with their times, and the payload of its first elementary pid."""
-    found = {"n_packets": 0, "bad_bytes": 0, "cc_errors": 0, "cc_repeats": 0, "programs": [], "n_units": 0, "pts": [], "random_access": [], "payload": b""}
+    """What a stream holds: packets, programs, and ``streams``, one entry for each elementary pid in order.
+
+    The totals, and times, access points, damage and payload of the first elementary pid, stand at the top as well.
+    """
+    found: dict = {"n_packets": 0, "bad_bytes": 0, "programs": [], "streams": []}
     data = np.frombuffer(stream or b"", np.uint8)
     n = len(data) // PACKET
     packets = data[: n * PACKET].reshape(n, PACKET)
     good = packets[:, 0] == SYNC
     found["n_packets"] = int(good.sum())
     found["bad_bytes"] = len(data) - found["n_packets"] * PACKET
-    if not good.all():
-        packets = packets[good]
-    if not len(packets):
-        return found
+    packets = packets if good.all() else packets[good]
     pid = (packets[:, 1].astype(np.int32) & 31) << 8 | packets[:, 2]
     control = packets[:, 3] >> 4 & 3
     start = np.where(control & 2, 5 + packets[:, 4].astype(np.int32), 4)
     start[control & 1 == 0] = PACKET
     start = np.minimum(start, PACKET)
-    streams: dict[int, int] = {}
-    is_pat = pid == PAT_PID
+
+    def carried(where: int) -> np.ndarray:
+        return (pid == where) & (start < PACKET)
+
     maps: dict[int, int] = {}
-    for s in _sections(packets[is_pat], start[is_pat]):
-        for at in range(8, len(s) - 4, 4):
-            program, where = s[at] << 8 | s[at + 1], (s[at + 2] & 31) << 8 | s[at + 3]
-            if program:
-                maps[where] = program
+    own = carried(PAT_PID)
+    for s in _sections(packets[own], start[own]):
+        if s[0] == 0x00:
+            for at in range(8, len(s) - 4, 4):
+                program, where = s[at] << 8 | s[at + 1], (s[at + 2] & 31) << 8 | s[at + 3]
+                if program:
+                    maps[where] = program
+    kinds: dict[int, int] = {}
     for where in sorted(maps):
-        own = pid == where
+        own, streams = carried(where), {}
         for s in _sections(packets[own], start[own]):
             at = 12 + ((s[10] & 15) << 8 | s[11])
-            while at + 5 <= len(s) - 4:
-                es = (s[at + 1] & 31) << 8 | s[at + 2]
-                streams.setdefault(es, s[at])
+            while s[0] == 0x02 and at + 5 <= len(s) - 4:
+                streams[(s[at + 1] & 31) << 8 | s[at + 2]] = s[at]
                 at += 5 + ((s[at + 3] & 15) << 8 | s[at + 4])
+        kinds = streams | kinds
         found["programs"].append((maps[where], where, sorted(streams.items())))
-    for k, es in enumerate(sorted(streams)):
-        own = np.flatnonzero(pid == es)
-        own = own[start[own] < PACKET] if len(own) else own
-        counter = packets[own, 3] & 15
-        step = np.diff(counter.astype(np.int16)) & 15
-        jump = np.flatnonzero(step != 1) + 1
-        if len(jump):
-            same = np.array([(step[j - 1] == 0) and bool((packets[own[j]] == packets[own[j - 1]]).all()) for j in jump])
-            marked = np.array([bool(packets[own[j], 3] & 0x20 and packets[own[j], 4] and packets[own[j], 5] & 0x80) for j in jump])
-            found["cc_repeats"] += int(same.sum())
-            found["cc_errors"] += int((~same & ~marked).sum())
-            own = np.delete(own, jump[same])
-        if not len(own):
-            continue
-        rows, at = packets[own], start[own]
-        begins = np.flatnonzero(rows[:, 1] & 0x40)
-        body = rows[np.arange(PACKET)[None, :] >= at[:, None]].tobytes()
-        ends = np.cumsum(PACKET - at)
-        out = []
-        for i, b in enumerate(begins):
-            lo = int(ends[b] - (PACKET - at[b]))
-            hi = int(ends[begins[i + 1]] - (PACKET - at[begins[i + 1]])) if i + 1 < len(begins) else len(body)
-            unit = body[lo:hi]
-            if len(unit) < 9 or unit[:3] != b"\x00\x00\x01":
-                continue
-            size = unit[4] << 8 | unit[5]
-            out.append(unit[9 + unit[8] : 6 + size if size else len(unit)])
-            if unit[7] & 0x80 and len(unit) >= 14:
-                p = unit[9:14]
-                found["pts"].append((p[0] >> 1 & 7) << 30 | p[1] << 22 | (p[2] >> 1) << 15 | p[3] << 7 | p[4] >> 1)
-            else:
-                found["pts"].append(None)
-            if rows[b, 3] & 0x20 and rows[b, 4] and rows[b, 5] & 0x40:
-                found["random_access"].append(found["n_units"])
-            found["n_units"] += 1
-        if k == 0:
-            found["payload"] = b"".join(out)
-    return found
+    for es in sorted(kinds):
+        own = carried(es)
+        found["streams"].append({"pid": es, "kind": kinds[es]} | _elementary(packets[own], start[own]))
+    for c in ("cc_errors", "cc_repeats", "n_units"):
+        found[c] = sum(x[c] for x in found["streams"])
+    first = found["streams"][0] if found["streams"] else {"pts": [], "dts": [], "random_access": [], "damaged": [], "payload": b""}
+    return found | {c: first[c] for c in ("pts", "dts", "random_access", "damaged", "payload")}
 
 
 def padded(data: bytes) -> bytes:
@@ -223,20 +270,20 @@ def write_streams(docs: DataFrame) -> DataFrame:
     return text_of(docs).mapInArrow(per_slice(work), "doc_id long, n_bytes long, media binary")
 
 
-#: Columns of ``read_streams`` besides those it keeps.
-STREAM_FIELDS = "n_packets long, bad_bytes long, cc_errors long, cc_repeats long, programs string, n_units long, pts array<long>, random_access array<int>, payload binary"
+#: Columns of ``read_streams`` besides those it keeps; ``streams`` has one entry for each elementary pid.
+STREAM = "pid int, kind int, cc_errors long, cc_repeats long, n_units long, pts array<long>, dts array<long>, random_access array<int>, damaged array<int>, payload binary"
+STREAM_FIELDS = f"n_packets long, bad_bytes long, programs string, streams array<struct<{STREAM.replace(' ', ':').replace(',:', ',')}>>"
 
 
 def read_streams(media: DataFrame) -> DataFrame:
     """Parse the column ``media`` of each row; ``doc_id`` and ``n_bytes`` are kept."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-    names = [x.split()[0] for x in STREAM_FIELDS.split(", ")]
+    of = {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "binary": pa.binary()}
+    entry = pa.struct([(name, of[kind]) for name, kind in (c.split() for c in STREAM.split(", "))])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [read_stream(x) for x in batch["media"].to_pylist()]
-        for r in rows:
-            r["programs"] = ";".join(f"{p}@{where}:" + ",".join(f"{es}/{kind}" for es, kind in streams) for p, where, streams in r["programs"])
-        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], batch["media"], *(pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds, strict=True))], ["doc_id", "n_bytes", "media", *names])
+        columns = [pa.array([r["n_packets"] for r in rows], pa.int64()), pa.array([r["bad_bytes"] for r in rows], pa.int64()), pa.array([_programs(r) for r in rows]), pa.array([r["streams"] for r in rows], pa.list_(entry))]
+        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], batch["media"], *columns], ["doc_id", "n_bytes", "media", "n_packets", "bad_bytes", "programs", "streams"])
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(per_slice(work), f"doc_id long, n_bytes long, media binary, {STREAM_FIELDS}")
 
@@ -258,12 +305,16 @@ def stream_digests(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(per_slice(work), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_packets long, cc_errors long, n_units long, last_pts long, n_random_access long")
 
 
+def _programs(found: dict) -> str:
+    """``program@pid:stream/kind,...`` of each program."""
+    return ";".join(f"{p}@{where}:" + ",".join(f"{es}/{kind}" for es, kind in streams) for p, where, streams in found["programs"])
+
+
 def feature(found: dict) -> str:
-    """A line of what was found: programs, packets, units, errors, times and random-access points."""
-    programs = ";".join(f"{p}@{where}:" + ",".join(f"{es}/{kind}" for es, kind in streams) for p, where, streams in found["programs"])
+    """A line of what was found: programs, packets, units, errors, damage, times and random-access points."""
     times = [t for t in found["pts"] if t is not None]
     steps = sorted({b - a for a, b in zip(times, times[1:], strict=False)})
-    return f"programs={programs} packets={found['n_packets']} units={found['n_units']} errors={found['cc_errors']} repeats={found['cc_repeats']} bad={found['bad_bytes']} pts={times[0] if times else ''}..{times[-1] if times else ''} steps={','.join(map(str, steps))} access={','.join(map(str, found['random_access']))}"
+    return f"programs={_programs(found)} packets={found['n_packets']} units={found['n_units']} errors={found['cc_errors']} repeats={found['cc_repeats']} bad={found['bad_bytes']} damaged={','.join(map(str, found['damaged']))} pts={times[0] if times else ''}..{times[-1] if times else ''} steps={','.join(map(str, steps))} access={','.join(map(str, found['random_access']))}"
 
 
 def digest_table(docs: DataFrame) -> DataFrame:

@@ -75,10 +75,78 @@ def test_streams_report_damage():
     assert media_ts.read_stream(None)["n_packets"] == 0
 
 
+def crc_bits(data):
+    """CRC-32/MPEG-2, one bit at a time."""
+    c = 0xFFFFFFFF
+    for byte in data:
+        for k in range(7, -1, -1):
+            c = ((c << 1) & 0xFFFFFFFF) ^ (0x04C11DB7 if (c >> 31) ^ (byte >> k & 1) else 0)
+    return c.to_bytes(4, "big")
+
+
+def packet(pid, counter, payload, begins=False, field=None):
+    """A packet by the standard's layout, stuffed through its adaptation field."""
+    room = 184 - (0 if field is None else 1 + len(field))
+    if len(payload) < room:
+        spare = room - len(payload)
+        if field is None:
+            field = b"" if spare == 1 else b"\x00" + b"\xff" * (spare - 2)
+        else:
+            field += b"\xff" * spare
+    head = bytes([0x47, begins << 6 | pid >> 8, pid & 255, (0x30 if field is not None else 0x10) | counter & 15])
+    out = head + (b"" if field is None else bytes([len(field)]) + field) + payload
+    assert len(out) == 188
+    return out
+
+
+def stamp(mark, t):
+    return bytes([mark << 4 | (t >> 30 & 7) << 1 | 1, t >> 22 & 255, (t >> 15 & 127) << 1 | 1, t >> 7 & 255, (t & 127) << 1 | 1])
+
+
+def test_streams_of_another_writer():
+    """Two programs, sections that cross packets or share one, three elementary streams, decoding times, damage."""
+    section = lambda table, ext, body: (lambda x: x + crc_bits(x))(bytes([table, 0xB0 | len(body) + 9 >> 8, len(body) + 9 & 255, ext >> 8, ext & 255, 0xC1, 0, 0]) + body)
+    stream = lambda kind, pid, info=b"": bytes([kind, 0xE0 | pid >> 8, pid & 255, 0xF0 | len(info) >> 8, len(info) & 255]) + info
+    pat = section(0, 9, bytes([0, 0, 0xE0, 0x10, 0, 7, 0xE1, 0x00, 0, 8, 0xE1, 0x01]))
+    long = section(2, 7, bytes([0xE0, 0x50, 0xF0, 4]) + b"abcd" + stream(0x1B, 0x50, b"x" * 150) + stream(0x0F, 0x51, b"y" * 100))
+    other, short = section(2, 8, bytes([0xE0, 0x52, 0xF0, 0]) + stream(0x06, 0x52)), section(0x42, 1, b"not a map")
+    fill = lambda x: x + b"\xff" * (184 - len(x))
+    packets = [packet(0, 0, fill(b"\0" + pat), True), packet(0x101, 0, fill(b"\0" + short + other), True)]
+    packets += [packet(0x100, 0, b"\0" + long[:183], True), packet(0x100, 1, fill(bytes([len(long) - 183]) + long[183:] + long[:20]), True)]
+    clock = bytes([0x10 | 0x40]) + bytes(6)
+    pes = lambda kind, flags, stamps, data, size=None: b"\0\0\x01" + bytes([kind]) + (3 + len(stamps) + len(data) if size is None else size).to_bytes(2, "big") + bytes([0x80, flags, len(stamps)]) + stamps + data
+    video = [pes(0xE0, 0xC0, stamp(3, 2**33 - 5) + stamp(1, 90_000), b"v" * 300), pes(0xE0, 0x80, stamp(2, 7200), b"w" * 400), pes(0xE0, 0x00, b"", b"u" * 40, 0)]
+    n = 0
+    for k, unit in enumerate(video):
+        cuts = [unit[:176], *(unit[i : i + 184] for i in range(176, len(unit), 184))]
+        for i, part in enumerate(cuts):
+            one = packet(0x50, n, part, i == 0, clock if i == 0 and k == 0 else b"\x00" + b"\xff" * 6 if i == 0 else None)
+            n += 1
+            if (k, i) != (1, 1):  # one packet is lost
+                packets.append(one)
+    packets += [packet(0x51, 0, pes(0xC0, 0x80, stamp(2, 5), b"a" * 20), True), packets[-1], packet(0x52, 3, pes(0xBD, 0, b"", b"p" * 9), True)]
+    found = media_ts.read_stream(b"".join(packets))
+    assert found["programs"] == [(7, 0x100, [(0x50, 0x1B), (0x51, 0x0F)]), (8, 0x101, [(0x52, 0x06)])]
+    first, audio, private = found["streams"]
+    assert (first["pts"], first["dts"], first["random_access"], first["damaged"], first["n_units"]) == ([2**33 - 5, 7200, None], [90_000, None, None], [0], [1], 3)
+    assert first["payload"] == b"v" * 300 + b"w" * (400 - 184) + b"u" * 40 and (found["cc_errors"], found["cc_repeats"]) == (1, 1)
+    assert (audio["payload"], audio["pts"], private["payload"], private["damaged"]) == (b"a" * 20, [5], b"p" * 9, [])
+    broken = bytearray(b"".join(packets))
+    broken[188 * 2 + 60] ^= 1
+    assert [x["pid"] for x in media_ts.read_stream(bytes(broken))["streams"]] == [0x52]  # the long section's checksum is wrong
+    lost = media_ts.read_stream(b"".join(packets[:2] + packets[3:]))
+    assert [x["pid"] for x in lost["streams"]] == [0x52]
+    written = media_ts.write_stream(bytes(range(256)) * 3)
+    assert written[:188] == packet(0, 0, fill(b"\0" + section(0, 1, bytes([0, 1, 0xF0, 0]))), True)
+
+
 def test_stream_table_takes_awkward_rows(spark):
     rows = {(r.doc_id, r.n_bytes): r for r in media_ts.digest_table(awkward(spark)).collect()}
     assert rows[1, 0].payload_bytes == 64 and rows[1, 0].payload_sha256 == hashlib.sha256(bytes(64)).hexdigest()
     assert rows[5, 50_000].payload_bytes % 64 == 0 and rows[5, 50_000].cc_errors == 0
+    media = media_ts.write_stream(b"x" * 50_000 + bytes(48))
+    assert rows[5, 50_000].media_sha256 == hashlib.sha256(media).hexdigest() and rows[5, 50_000].media_bytes == len(media) and rows[5, 50_000].tail_crc32 == zlib.crc32(b"x" * 16 + bytes(48))
+    assert rows[5, 50_000].feature == f"programs=1@4096:256/6 packets={len(media) // 188} units=4 errors=0 repeats=0 bad=0 damaged= pts=0..10800 steps=3600 access=0"
     assert media_ts.read_streams(media_ts.write_streams(awkward(spark))).count() == len(AWKWARD)
 
 
