@@ -1,19 +1,21 @@
 """Dialogues rendered once from the perspective of each of their participants.
 
 For every participant, the whole dialogue is rendered with that speaker as the assistant, the other
-speakers as named users and context roles (system) as they are; the loss mask covers what that
-speaker said, with its end mark. A dialogue of any length comes in *parts* of ``PART_TURNS`` turn
-numbers, each with the place where its text begins in the whole rendering: parts of one perspective,
-in order, put together are that rendering. No group holds more than the turns of one part, and where
-a part begins is a running sum over one short row for each part.
+speakers as named users and context roles (system, tool) as they are; the loss mask covers what that
+speaker said, with its end mark. A dialogue of any length comes in *parts* of ``PART_MESSAGES``
+messages, each with the place where its text begins in the whole rendering: parts of one perspective,
+in order, put together are that rendering. Messages are numbered through ranges of all of them, so no
+group and no sort holds more than a range or a part, whatever the turn numbers are, and where a part
+begins is a running sum over one short row for each part.
 
 DataFrame functions only.
 
-Cases: null texts are empty messages and null roles speak as ``unknown``; null turns come first, in a
-part of their own numbered -1; several messages with one turn number are ordered by speaker and text;
-rows that repeat a message exactly (same conversation, turn, role and text) are one message; rows
-without ``conv_id`` form one conversation, null; a dialogue of context roles alone has no
-participants and no rows; an empty table gives no rows; further columns are ignored.
+Cases: null texts are empty messages and null roles speak as ``unknown``; null turns come first;
+several messages with one turn number are ordered by speaker and text; rows that repeat a message
+exactly (same conversation, turn, role and text) are one message; rows without ``conv_id`` form one
+conversation, null; a dialogue of context roles alone has no participants and no rows; the beginning
+of a mark (``<|``) within a text or name is written ``<\\|``, so that no message can forge a turn; an
+empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,20 +23,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobscope.store import with_ids
+
 #: Fixed values of the rendering.
 ASSISTANT, NAMED_USER, CONTEXT, AFTER_NAME, END, LINE = "<|assistant|>\n", "<|user name=", "<|", "|>\n", "<|end|>", "\n"
-CONTEXT_ROLES = ("system",)
-PART_TURNS = 64
+CONTEXT_ROLES = ("system", "tool")
+MARK, ESCAPED = "<|", "<\\|"
+PART_MESSAGES = 64
 
 
 def _messages(turns: DataFrame) -> DataFrame:
-    part = F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit(-1)).cast("long")
-    return turns.select(
+    """``conv_id``, ``part``, ``turn``, ``speaker`` and ``text`` of each message."""
+    safe = lambda c: F.replace(c, F.lit(MARK), F.lit(ESCAPED))
+    messages = turns.select(
         turns["conv_id"].cast("long").alias("conv_id"),
         turns["turn"].cast("long").alias("turn"),
-        F.coalesce(turns["role"], F.lit("unknown")).alias("speaker"),
-        F.coalesce(turns["text"], F.lit("")).alias("text"),
-    ).distinct().select("conv_id", part.alias("part"), "turn", "speaker", "text")
+        safe(F.coalesce(turns["role"], F.lit("unknown"))).alias("speaker"),
+        safe(F.coalesce(turns["text"], F.lit(""))).alias("text"),
+    ).distinct()
+    numbered = with_ids(messages, 0, ["conv_id", "turn", "speaker", "text"], "number")
+    first = numbered.groupBy(F.col("conv_id").alias("of")).agg(F.min("number").alias("first"))
+    part = F.floor((F.col("number") - F.col("first")) / PART_MESSAGES).cast("long")
+    return numbered.join(first, F.col("conv_id").eqNullSafe(F.col("of"))).select("conv_id", part.alias("part"), "turn", "speaker", "text")
 
 
 def _before(message: Column, perspective: Column) -> Column:
@@ -80,11 +90,11 @@ def perspective_table(turns: DataFrame) -> DataFrame:
 
 
 ORACLE = f"""
-WITH m AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
-m2 AS (SELECT *, coalesce(CAST(floor(turn / {PART_TURNS}) AS BIGINT), -1) AS part FROM m),
-p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM m WHERE speaker NOT IN ('system')),
+WITH m AS (SELECT DISTINCT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '<\\|') AS speaker, replace(coalesce(text, ''), '<|', '<\\|') AS text FROM conversations),
+m2 AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, text) - 1) // {PART_MESSAGES} AS part FROM m),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM m WHERE speaker NOT IN ('system', 'tool')),
 r AS (SELECT m2.conv_id, perspective, part, turn, speaker, text, speaker = perspective AS learned,
-  CASE WHEN speaker = 'system' THEN '<|' || speaker || '|>' || chr(10) WHEN speaker = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || speaker || '|>' || chr(10) END AS before
+  CASE WHEN speaker IN ('system', 'tool') THEN '<|' || speaker || '|>' || chr(10) WHEN speaker = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || speaker || '|>' || chr(10) END AS before
   FROM m2 JOIN p ON m2.conv_id IS NOT DISTINCT FROM p.conv_id),
 s AS (SELECT *, length(before) + length(text) + 8 AS size, before || text || '<|end|>' || chr(10) AS segment FROM r),
 w AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(before) AS a FROM s),
