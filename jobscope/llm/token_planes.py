@@ -226,7 +226,8 @@ def read_pieces(stored: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # one block is decoded at a time; Spark bounds a batch in bytes
+                row = batch.slice(i, 1).to_pylist()[0]
                 ids = from_planes(row["planes"], row["n_ids"], row["kind"])
                 raw = ids.astype("<u4").tobytes()
                 starts = [x - row["first"] for x in row["doc_at"]]
