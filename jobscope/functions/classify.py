@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +14,12 @@ from jobscope import vocab
 def categories(title: Column) -> Column:
     """Sorted categories whose words the text has; empty, never null, for a text without any."""
     low = F.lower(title)
-    return F.array_compact(F.array(*(F.when(low.rlike(vocab.alternation(words)), F.lit(name)) for name, words in sorted(vocab.CATEGORIES.items()))))
+    return F.array_compact(F.array(*(F.when(low.rlike(vocab.prefix_alternation(words)), F.lit(name)) for name, words in sorted(vocab.CATEGORIES.items()))))
 
 
 def skills(text: Column) -> Column:
     """Sorted distinct vocabulary words of the text; at one place the longest counts."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(vocab.alternation(vocab.ALL_SKILLS)), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text), F.lit(vocab.prefix_alternation(vocab.ALL_SKILLS)), F.lit(0))
     return F.array_sort(F.array_distinct(found))
 
 
@@ -25,7 +28,7 @@ def title_level(title: Column) -> Column:
     low = F.lower(title)
     out = F.lit(None).cast("string")
     for name in sorted(vocab.LEVELS, key=vocab.SENIORITY.get):
-        out = F.when(low.rlike(vocab.alternation(vocab.LEVELS[name])), name).otherwise(out)
+        out = F.when(low.rlike(vocab.prefix_alternation(vocab.LEVELS[name])), name).otherwise(out)
     return out
 
 
@@ -92,11 +95,14 @@ def _clip(sentence: Column, patterns: list[str]) -> Column:
 def with_sponsorship(df: DataFrame, text: str, tier: str = "text_tier", evidence: str = "evidence") -> DataFrame:
     """``df`` with what its text column states: refusals in any sentence come before offers; both null if it is silent.
 
-    The steps are columns of their own, so that each is worked out once for a row.
+    Sentences without any word that all patterns are made of are left out before patterns are tried,
+    and offers are looked for only where no refusal was found. The steps are columns of their own, so
+    that each is worked out once for a row.
     """
-    said = df.withColumn("_said", sentences(F.col(text)))
+    speaks = lambda t: reduce(operator.or_, (F.lower(t).contains(w) for w in vocab.SIGNAL_WORDS))
+    said = df.withColumn("_said", F.when(speaks(F.col(text)), F.filter(sentences(F.col(text)), speaks)))
     first = lambda patterns: F.get(F.filter("_said", lambda s: _any(s, patterns)), F.lit(0))
-    found = said.withColumns({"_no": first(vocab.NO_PATTERNS), "_yes": first(vocab.YES_PATTERNS)})
+    found = said.withColumn("_no", first(vocab.NO_PATTERNS)).withColumn("_yes", F.when(F.col("_no").isNull(), first(vocab.YES_PATTERNS)))
     told = found.withColumns({tier: F.when(F.col("_no").isNotNull(), "explicit_no").when(F.col("_yes").isNotNull(), "explicit_yes"), evidence: F.when(F.col("_no").isNotNull(), _clip(F.col("_no"), vocab.NO_PATTERNS)).when(F.col("_yes").isNotNull(), _clip(F.col("_yes"), vocab.YES_PATTERNS))})
     return told.drop("_said", "_no", "_yes")
 

@@ -68,36 +68,41 @@ def _lines(*lines: Column) -> Column:
     return F.array_compact(F.array(*lines))
 
 
+def _by_tier(tier: Column, words: dict[str, str]) -> Column:
+    out = F.lit(None).cast("string")
+    for name, sentence in words.items():
+        out = F.when(tier == name, sentence).otherwise(out)
+    return out
+
+
 def rationale(profile: Column, job: Column, score: Column) -> Column:
     """``summary``, ``strengths``, ``gaps``, ``verdict`` and ``sponsor_note`` of a scored pair."""
-    n = F.size(job["skills"])
-    coverage = F.when(n > 0, F.format_string("Your resume covers %d of the %d skills this posting names", F.size(score["matched_skills"]), n)).otherwise("This posting names no skills from the shared vocabulary")
+    n, said = F.size(job["skills"]), F.format_string
+    coverage = F.when(n > 0, said(vocab.COVERAGE, F.size(score["matched_skills"]), n)).otherwise(vocab.NO_SKILLS)
     shared = F.array_sort(F.array_intersect(profile["categories"], job["categories"]))
     has_field, in_field = F.size(job["categories"]) > 0, F.size(shared) > 0
-    ending = F.when(~has_field, ".").when(in_field, ", and the role sits squarely in your field.").otherwise(", but the role sits outside your usual field.")
+    ending = F.when(~has_field, vocab.FIELD_ENDINGS["none"]).when(in_field, vocab.FIELD_ENDINGS["inside"]).otherwise(vocab.FIELD_ENDINGS["outside"])
     gap, tier, country, targets = level_gap(profile["level"], job["level"]), job["sponsor_tier"], job["country"], profile["target_countries"]
     targeted = F.size(targets) > 0
     on_target = F.coalesce(F.array_contains(targets, country), F.lit(False))
     strengths = _lines(
-        F.when(F.size(score["matched_skills"]) > 0, F.concat(F.lit("Matched skills: "), _listed(score["matched_skills"]), F.lit("."))),
-        F.when(in_field, F.concat(F.lit("The role's field ("), F.array_join(shared, ", "), F.lit(") matches your background."))),
-        F.when(gap == 0, F.concat(F.lit("Seniority is an exact match ("), job["level"], F.lit(")."))).when(gap == 1, F.concat(F.lit("One step up from "), profile["level"], F.lit(" — a reachable stretch."))),
-        F.when(tier == "explicit_yes", "The posting explicitly offers visa sponsorship.").when(tier == "registry_inferred", "The company appears on a sponsor registry."),
-        F.when(targeted & on_target, F.concat(country, F.lit(" is in your relocation strategy."))),
+        F.when(F.size(score["matched_skills"]) > 0, said(vocab.MATCHED, _listed(score["matched_skills"]))),
+        F.when(in_field, said(vocab.FIELD_MATCHES, F.array_join(shared, ", "))),
+        F.when(gap == 0, said(vocab.LEVEL_EXACT, job["level"])).when(gap == 1, said(vocab.LEVEL_STEP, profile["level"])),
+        _by_tier(tier, vocab.TIER_STRENGTHS),
+        F.when(targeted & on_target, said(vocab.ON_TARGET, country)),
     )
     gaps = _lines(
-        F.when(F.size(score["missing_skills"]) > 0, F.concat(F.lit("The posting asks for skills your resume doesn't show: "), _listed(score["missing_skills"]), F.lit("."))),
-        F.when(has_field & ~in_field, F.concat(F.lit("The role's field ("), F.array_join(F.array_sort(job["categories"]), ", "), F.lit(") is outside your profile."))),
-        F.when(gap < 0, F.concat(F.lit("The role reads "), (-gap).cast("string"), F.lit(" level(s) below your profile ("), job["level"], F.lit(" vs your "), profile["level"], F.lit(").")))
-        .when(gap >= 2, F.concat(F.lit("The role is "), gap.cast("string"), F.lit(" seniority steps above your profile."))),
-        F.when(tier == "explicit_no", "The posting rules out visa sponsorship.").when(tier == "unknown", "No sponsorship signal in the posting."),
-        F.when(targeted & ~on_target, F.concat(F.coalesce(country, F.lit("This location")), F.lit(" is outside your target countries."))),
+        F.when(F.size(score["missing_skills"]) > 0, said(vocab.MISSING, _listed(score["missing_skills"]))),
+        F.when(has_field & ~in_field, said(vocab.FIELD_OUTSIDE, F.array_join(F.array_sort(job["categories"]), ", "))),
+        F.when(gap < 0, said(vocab.LEVEL_BELOW, -gap, job["level"], profile["level"])).when(gap >= 2, said(vocab.LEVEL_ABOVE, gap)),
+        _by_tier(tier, vocab.TIER_GAPS),
+        F.when(targeted & ~on_target, said(vocab.OFF_TARGET, F.coalesce(country, F.lit(vocab.UNNAMED_PLACE)))),
     )
     verdict = F.lit(vocab.VERDICTS[-1][1])
     for floor, words in reversed(vocab.VERDICTS):
         verdict = F.when(score["overall"] >= floor, words).otherwise(verdict)
-    note = F.lit(None).cast("string")
-    for name, words in vocab.SPONSOR_NOTES.items():
-        note = F.when(tier == name, words).otherwise(note)
-    note = F.when(~targeted, note).when(on_target, F.concat(note, F.lit(" "), country, F.lit(" is in your relocation strategy."))).otherwise(F.concat(note, F.lit(" Note: "), F.coalesce(country, F.lit("this location")), F.lit(" is outside your target countries.")))
+    note = _by_tier(tier, vocab.SPONSOR_NOTES)
+    place = F.coalesce(country, F.lit(vocab.UNNAMED_PLACE.lower()))
+    note = F.when(~targeted, note).when(on_target, F.concat(note, F.lit(" "), said(vocab.ON_TARGET, country))).otherwise(F.concat(note, F.lit(" Note: "), said(vocab.OFF_TARGET, place)))
     return F.struct(F.concat(coverage, ending).alias("summary"), strengths.alias("strengths"), gaps.alias("gaps"), verdict.alias("verdict"), note.alias("sponsor_note"))

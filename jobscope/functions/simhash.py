@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -16,42 +20,37 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _md5_bits(token: Column, half: int) -> Column:
-    """32 bits of a token's md5, as a number."""
-    return F.conv(F.substring(F.md5(token), 1 + 8 * half, 8), 16, 10).cast("long")
+#: Tokens whose bits a Python worker remembers.
+KNOWN = 1 << 17
 
 
-def simhash_by_md5(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``id_column`` and ``fingerprint``: a bit is set if the words that have it outweigh those that don't.
+def _fingerprints(texts: pd.Series, digest: Callable[[bytes], bytes]) -> pd.Series:
+    """A bit is set if the words that have it outweigh those that don't; a text without words has fingerprint 0."""
+    known: dict[str, bytes] = {}
 
-    Words are counted for each text first, so the sums run over distinct words; 64 conditional sums
-    in one aggregation. A text without words has fingerprint 0. SQL gives the same bits.
-    """
-    words = docs.select(id_column, F.explode(F.regexp_extract_all(F.lower(text_column), F.lit("[a-z0-9]+"), F.lit(0))).alias("token"))
-    counted = words.groupBy(id_column, "token").agg(F.count(F.lit(1)).alias("w")).select(id_column, "w", _md5_bits(F.col("token"), 0).alias("high"), _md5_bits(F.col("token"), 1).alias("low"))
-    side = lambda k: F.col("low") if k < 32 else F.col("high")
-    sums = counted.groupBy(id_column).agg(*(F.sum(F.when(F.getbit(side(k), F.lit(k % 32)) == 1, F.col("w")).otherwise(-F.col("w"))).alias(f"b{k}") for k in range(BITS)))
-    mask = F.lit(0).cast("long")
-    for k in range(BITS):
-        mask = mask.bitwiseOR(F.when(F.col(f"b{k}") > 0, F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
-    found = sums.select(F.col(id_column).alias("_id"), mask.alias("fingerprint"))
-    return docs.select(id_column).join(found, F.col(id_column) == F.col("_id"), "left").select(id_column, F.coalesce("fingerprint", F.lit(0).cast("long")).alias("fingerprint"))
+    def one(text: str | None) -> int:
+        counts = Counter(re.findall(r"[a-z0-9]+", (text or "").lower()))
+        if not counts:
+            return 0
+        if len(known) > KNOWN:
+            known.clear()
+        for w in counts.keys() - known.keys():
+            known[w] = digest(w.encode())
+        hashes = np.frombuffer(b"".join(map(known.__getitem__, counts)), np.uint8).reshape(-1, 8)
+        weights = np.fromiter(counts.values(), np.float64, len(counts))
+        more = 2 * (weights @ np.unpackbits(hashes, axis=1)) > weights.sum()
+        return int(np.packbits(more).view(">i8")[0])
+
+    return texts.map(one)
 
 
 @F.pandas_udf(LongType())
-def simhash_by_blake2b(text: pd.Series) -> pd.Series:
-    """The fingerprint with 8-byte blake2b token hashes (Arrow-batched), as signed 64 bits."""
-    import re
-    from collections import Counter
+def simhash_by_md5(texts: pd.Series) -> pd.Series:
+    """The fingerprint with the first 64 bits of each token's md5 (Arrow-batched, no shuffle), as signed 64 bits."""
+    return _fingerprints(texts, lambda w: hashlib.md5(w).digest()[:8])
 
-    import numpy as np
 
-    def one(t: str) -> int:
-        counts = Counter(re.findall(r"[a-z0-9]+", (t or "").lower()))
-        if not counts:
-            return 0
-        hashes = np.frombuffer(b"".join(hashlib.blake2b(w.encode(), digest_size=8).digest() for w in counts), np.uint8).reshape(-1, 8)
-        signs = 2 * np.unpackbits(hashes, axis=1).astype(np.int64) - 1
-        return int(np.packbits((np.array(list(counts.values())) @ signs > 0).astype(np.uint8)).view(">i8")[0])
-
-    return text.map(one)
+@F.pandas_udf(LongType())
+def simhash_by_blake2b(texts: pd.Series) -> pd.Series:
+    """The fingerprint with 8-byte blake2b token hashes (Arrow-batched), as signed 64 bits."""
+    return _fingerprints(texts, lambda w: hashlib.blake2b(w, digest_size=8).digest())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,36 +11,50 @@ from jobscope import vocab
 from jobscope.functions.simhash import BITS, hamming, simhash_by_md5
 from jobscope.functions.text import normalize_title
 from jobscope.operators.components import connected_components
+from jobscope.store import same_keys, written
+
+
+#: Bit segments of a fingerprint.
+SEGMENTS = 10
 
 
 def fingerprints(jobs: DataFrame) -> DataFrame:
-    """``id``, the blocking key (company, title, country) and ``fingerprint``."""
-    keyed = jobs.select("id", "company_id", normalize_title(F.col("title")).alias("title_key"), "country")
-    return keyed.join(simhash_by_md5(jobs, "id", "description").withColumnRenamed("id", "_f"), F.col("id") == F.col("_f")).drop("_f")
+    """``id``, the blocking key (company, title, country) and ``fingerprint``: worked out in each row, without a shuffle."""
+    return jobs.select("id", "company_id", normalize_title(F.col("title")).alias("title_key"), "country", simhash_by_md5(F.col("description")).alias("fingerprint"))
 
 
 def near_pairs(prints: DataFrame, most: int = vocab.DEDUP_HAMMING) -> DataFrame:
     """Pairs ``a`` < ``b`` of one block whose fingerprints differ in at most ``most`` bits; null countries are equal.
 
     Postings of a block with one fingerprint are compared through their first id, so a block of
-    copies gives one pair a copy. Of ``most + 1`` bit segments two near fingerprints share one
-    exactly, so within a block only those with an equal segment meet.
+    copies gives one pair a copy. Of ``SEGMENTS`` bit segments two near fingerprints share all but
+    ``most`` exactly, so within a block only those meet that have so many segments equal: for ten
+    segments and eight bits any two, about 13 bits, of 45 choices. Each pair is kept at the first
+    choice where it meets, so that nothing need be made distinct.
     """
-    one = prints.groupBy("company_id", "title_key", "country", "fingerprint").agg(F.min("id").alias("rep"))
-    block = F.struct(F.col("company_id"), F.col("title_key"), F.col("country"))
-    bounds = [k * BITS // (most + 1) for k in range(most + 2)]
-    segments = F.array(*(F.shiftrightunsigned("fingerprint", low).bitwiseAND(F.lit((1 << high - low) - 1)) for low, high in zip(bounds, bounds[1:], strict=False)))
-    cut = one.select(block.alias("block"), "fingerprint", "rep", F.posexplode(segments).alias("place", "segment"))
-    left, right = (cut.select("block", "place", "segment", F.col("fingerprint").alias(f"f{k}"), F.col("rep").alias(k)) for k in "ab")
-    met = left.join(right, ["block", "place", "segment"]).where((F.col("a") < F.col("b")) & (hamming(F.col("fa"), F.col("fb")) <= most)).select("a", "b").distinct()
-    same = prints.join(one, (prints["company_id"] == one["company_id"]) & (prints["title_key"] == one["title_key"]) & prints["country"].eqNullSafe(one["country"]) & (prints["fingerprint"] == one["fingerprint"])).where("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    return met.unionByName(same)
+    keys = ["company_id", "title_key", "country"]
+    one = prints.groupBy(*keys, "fingerprint").agg(F.min("id").alias("rep"))
+    crowded = one.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = one.alias("s").join(crowded.alias("i"), same_keys(keys, "s", "i"), "left_semi")
+    bounds = [k * BITS // SEGMENTS for k in range(SEGMENTS + 1)]
+    masks = [(1 << high) - (1 << low) for low, high in zip(bounds, bounds[1:], strict=False)]
+    signed = lambda m: F.lit(m - (1 << BITS) if m >> BITS - 1 else m)
+    choices = [sum(c) for c in combinations(masks, max(1, SEGMENTS - most))]
+    parts = F.array(*(F.col("fingerprint").bitwiseAND(signed(m)) for m in choices))
+    cut = shared.select(F.struct(*keys).alias("block"), "fingerprint", "rep", F.posexplode(parts).alias("place", "part"))
+    left, right = (cut.select("block", "place", "part", F.col("fingerprint").alias(f"f{k}"), F.col("rep").alias(k)) for k in "ab")
+    met = left.join(right, ["block", "place", "part"]).where((F.col("a") < F.col("b")) & (hamming(F.col("fa"), F.col("fb")) <= most))
+    differ = F.col("fa").bitwiseXOR(F.col("fb"))
+    first = F.coalesce(*(F.when(differ.bitwiseAND(signed(m)) == 0, k) for k, m in enumerate(choices)))
+    same = prints.alias("s").join(one.alias("i"), same_keys([*keys, "fingerprint"], "s", "i")).where("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    return met.where(F.col("place") == first).select("a", "b").unionByName(same)
 
 
 def assign_canonicals(jobs: DataFrame) -> DataFrame:
-    """``id`` and ``canonical``: the smallest id of its cluster, itself where it has none."""
-    found = connected_components(near_pairs(fingerprints(jobs)))
-    return jobs.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("canonical"))
+    """``id`` and ``canonical``: the smallest id of its cluster, itself where it has none. Fingerprints are worked out once and written."""
+    prints = written(fingerprints(jobs), "fingerprints")
+    found = connected_components(near_pairs(prints))
+    return prints.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("canonical"))
 
 
 def link_canonicals(jobs: DataFrame, canonicals: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,17 @@ from jobscope import vocab
 from jobscope.functions import classify
 from jobscope.functions.score import rationale, score_match
 from jobscope.operators.search import JobFilters, order, predicate
+from jobscope.store import written
+
+#: Profiles that are broadcast at once.
+BLOCK = 1000
+
+
+def blocks(df: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """The table in parts of about half of ``most`` rows by hash of ``key``, or whole if it is counted to have no more."""
+    n = df.count()
+    parts = -(-2 * n // most)
+    return [df] if n <= most else [df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k) for k in range(parts)]
 
 
 def build_profiles(resumes: DataFrame) -> DataFrame:
@@ -23,19 +36,31 @@ def with_facts(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("facts", F.struct(classify.skills(F.col("description")).alias("skills"), F.coalesce("categories", none).alias("categories"), F.coalesce("level", F.lit(vocab.UNSPECIFIED)).alias("level"), F.col("country"), F.col("sponsor_tier")))
 
 
+def stored_facts(jobs: DataFrame) -> DataFrame:
+    """``id``, ``content_hash`` and ``facts``, written: read from each text once, however many profiles they are held against."""
+    return written(with_facts(jobs).select("id", "content_hash", "facts"), "facts")
+
+
+def _with_profiles(facts: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Every posting with every given profile; profiles are broadcast in parts of bounded size."""
+    parts = [facts.join(F.broadcast(p)) for p in blocks(profiles.select("resume_hash", "profile"), "resume_hash", BLOCK)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def score_jobs(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """``resume_hash``, ``id``, ``content_hash`` and ``score`` of every posting for every given profile (few, checked to be at most 1000)."""
-    if profiles.limit(1001).count() > 1000:
-        raise ValueError("score resumes in groups of 1000")
-    return with_facts(jobs).join(F.broadcast(profiles.select("resume_hash", "profile"))).select("resume_hash", "id", "content_hash", score_match(F.col("profile"), F.col("facts")).alias("score"))
+    """``resume_hash``, ``id``, ``content_hash`` and ``score`` of every posting for every given profile."""
+    return _with_profiles(stored_facts(jobs), profiles).select("resume_hash", "id", "content_hash", score_match(F.col("profile"), F.col("facts")).alias("score"))
 
 
 def refresh_scores(cache: DataFrame, jobs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """The score cache with scores worked out anew only for postings whose content hash isn't the cached one."""
-    cached = cache.select("resume_hash", F.col("job_canonical_id").alias("_j"), F.col("content_hash").alias("_h"))
+    """The score cache with scores worked out anew only for pairs of resume and posting whose content hash isn't the cached one."""
+    cached = cache.select("resume_hash", F.col("job_canonical_id").alias("id"), "content_hash")
     current = cache.join(jobs.select(F.col("id").alias("_i"), F.col("content_hash").alias("_now")), F.col("job_canonical_id") == F.col("_i"), "left").where(F.coalesce(F.col("_now") == F.col("content_hash"), F.lit(True))).drop("_i", "_now")
-    todo = jobs.join(profiles.select("resume_hash").alias("p").join(cached, "resume_hash").select("_j", "_h"), (F.col("id") == F.col("_j")) & (F.col("content_hash") == F.col("_h")), "left_anti")
-    fresh = score_jobs(todo, profiles).select("resume_hash", F.col("id").alias("job_canonical_id"), "score.*", "content_hash", F.current_timestamp().alias("computed_at"))
+    pairs = [jobs.select("id", "content_hash").join(F.broadcast(p)) for p in blocks(profiles.select("resume_hash"), "resume_hash", BLOCK)]
+    todo = written(reduce(DataFrame.unionByName, pairs).join(cached, ["resume_hash", "id", "content_hash"], "left_anti").select("resume_hash", "id"), "unscored")
+    facts = stored_facts(jobs.join(todo.select("id").distinct(), "id", "left_semi"))
+    met = facts.join(todo, "id").join(profiles.select("resume_hash", "profile"), "resume_hash")
+    fresh = met.select("resume_hash", "id", "content_hash", score_match(F.col("profile"), F.col("facts")).alias("score")).select("resume_hash", F.col("id").alias("job_canonical_id"), "score.*", "content_hash", F.current_timestamp().alias("computed_at"))
     return current.unionByName(fresh.select(*current.columns), allowMissingColumns=True)
 
 
@@ -49,10 +74,8 @@ def ranked_page(jobs: DataFrame, profile: DataFrame, cache: DataFrame, f: JobFil
 
 
 def deep_match(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Score and rationale of every posting for every given profile, never from the cache; profiles are broadcast if they are counted to be at most 1000."""
-    own = profiles.select("resume_hash", "profile")
-    own = F.broadcast(own) if profiles.limit(1001).count() <= 1000 else own
-    scored = with_facts(jobs).crossJoin(own).withColumn("score", score_match(F.col("profile"), F.col("facts")))
+    """Score and rationale of every posting for every given profile, never from the cache."""
+    scored = _with_profiles(stored_facts(jobs), profiles).withColumn("score", score_match(F.col("profile"), F.col("facts")))
     return scored.select("resume_hash", "id", "score", rationale(F.col("profile"), F.col("facts"), F.col("score")).alias("rationale"))
 
 

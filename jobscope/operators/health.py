@@ -30,6 +30,16 @@ def _step(state: Column, event: Column, thresholds: dict[str, int]) -> Column:
     return F.when(probe_ok | (success & ~quarantined), good.cast(STATE)).when(quarantined | ~kind.isin(*thresholds), state).otherwise(bad.cast(STATE))
 
 
+def after_poll(companies: DataFrame, polls: DataFrame, at: Column, thresholds: dict[str, int] = vocab.FAILURE_THRESHOLDS) -> DataFrame:
+    """Companies with the health that their polls (company_id, outcome; one each) leave them in; others stay as they are."""
+    known = polls.select(F.col("company_id").alias("_c"), F.col("outcome").alias("_kind"))
+    met = companies.join(known, F.col("id") == F.col("_c"), "left")
+    before = F.struct(F.col("consecutive_failures").alias("failures"), F.col("health").alias("health"), F.col("quarantine_reason").alias("reason"), F.col("last_success_at").alias("last_success")).cast(STATE)
+    state = F.when(F.col("_kind").isNull(), before).otherwise(_step(before, F.struct(at.cast("timestamp").alias("ts"), F.col("_kind").alias("kind")), thresholds))
+    out = met.withColumn("_state", state)
+    return out.withColumns({"consecutive_failures": F.col("_state.failures"), "health": F.col("_state.health"), "quarantine_reason": F.col("_state.reason"), "last_success_at": F.col("_state.last_success")}).drop("_c", "_kind", "_state")
+
+
 def _after(start: Column, events: Column, thresholds: dict[str, int]) -> Column:
     """``state`` after the events from a state, and whether one of them set it anew (``reset``)."""
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobscope import vocab
 from jobscope.functions.classify import classify, resolve_tier, with_sponsorship
+from jobscope.operators.health import after_poll, poll_outcome
 from jobscope.operators.state import changed_only, get_or_create_companies, sweep, upsert_jobs
+from jobscope.store import written
 
 
 def classify_postings(postings: DataFrame) -> DataFrame:
@@ -15,25 +18,73 @@ def classify_postings(postings: DataFrame) -> DataFrame:
     return read.withColumns({"categories": F.col("_class.categories"), "level": F.col("_class.level"), "sponsor_tier": resolve_tier(F.col("_tier"), F.col("registry_flags"))}).drop("_class", "_tier")
 
 
-def poll(jobs: DataFrame, companies: DataFrame, postings: DataFrame, seen_at, source: str, company_id: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
-    """One poll of a source: new snapshots of jobs and companies, and counters.
+def _merged(jobs: DataFrame, met: DataFrame, seen_at) -> DataFrame:  # noqa: ANN001
+    """Jobs after the upsert of postings that carry ``company_id`` and ``registry_flags``; only new or changed ones are classified."""
+    fresh = classify_postings(changed_only(met, jobs)).select("source_id", "external_id", "categories", "level", "sponsor_tier", "sponsor_evidence")
+    return upsert_jobs(jobs, met.join(fresh, ["source_id", "external_id"], "left").withColumn("seen_at", F.lit(seen_at).cast("timestamp")))
+
+
+def poll(jobs: DataFrame, companies: DataFrame, postings: DataFrame, seen_at, source: str, company_id: int | None = None, fetched: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
+    """One poll of a source: new snapshots of jobs and companies, and one row of counters.
 
     Only new or changed postings are classified. Without a company, employers are found or made by
-    name and the sweep is scoped by source alone. A poll with rows of which none could be read is
-    drift and never sweeps; an empty one does.
+    name and the sweep is scoped by source alone. ``fetched`` is the number of rows that came (all of
+    ``postings`` if it isn't given). If rows came and none could be read, the source has drifted: jobs
+    stay as they are, nothing is swept. An empty poll sweeps. Counters: ``fetched``, ``upserted``,
+    ``errors`` (rows that couldn't be read), ``closed`` (postings that this poll closes) and
+    ``failure`` (null or ``schema_drift``).
     """
+    upserted = postings.count()
+    fetched = upserted if fetched is None else fetched
+    drift = fetched > 0 and not upserted
+    counters = lambda closed: closed.select(F.lit(fetched).cast("long").alias("fetched"), F.lit(upserted).cast("long").alias("upserted"), F.lit(fetched - upserted).cast("long").alias("errors"), F.coalesce("closed", F.lit(0)).cast("long").alias("closed"), F.lit("schema_drift" if drift else None).cast("string").alias("failure"))
+    if drift:
+        return jobs, companies, counters(jobs.sparkSession.range(1).select(F.lit(0).alias("closed")))
     companies = get_or_create_companies(companies, postings.select(F.col("company_name").alias("name"))) if company_id is None else companies
     named = companies.select(F.col("id").alias("company_id"), F.col("name").alias("_n"), "registry_flags")
     met = postings.join(named, postings["company_name"] == F.col("_n")).drop("_n") if company_id is None else postings.crossJoin(named.where(F.col("company_id") == company_id).drop("_n").limit(1))  # one row
-    fresh = classify_postings(changed_only(met, jobs)).select("source_id", "external_id", "categories", "level", "sponsor_tier", "sponsor_evidence")
-    incoming = met.join(fresh, ["source_id", "external_id"], "left").withColumn("seen_at", F.lit(seen_at).cast("timestamp"))
-    after = upsert_jobs(jobs, incoming)
     scope = F.col("source_id") == source
     if company_id is not None:
         scope = scope & (F.col("company_id") == company_id)
-    swept = sweep(after, postings.select("source_id", "external_id"), scope, seen_at)
-    counters = postings.agg(F.count(F.lit(1)).alias("fetched"), F.count_if(F.col("title").isNotNull()).alias("upserted"))
-    return swept, companies, counters
+    merged = written(_merged(jobs, met, seen_at), "merged")  # a chain of polls has plans of one poll each
+    swept = sweep(merged, postings.select("source_id", "external_id"), scope, seen_at, closes="_closes")
+    return swept.drop("_closes"), companies, counters(swept.agg(F.count_if("_closes").alias("closed")))
+
+
+def poll_all(jobs: DataFrame, companies: DataFrame, postings: DataFrame, fetches: DataFrame, seen_at) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
+    """One round of polls of all boards: new snapshots of jobs and companies, and a row of results for each poll.
+
+    ``fetches``: company_id, source_id, fetched (rows that came) and failure (null, ``gone`` or
+    ``unreachable``), one row for each company. ``postings``: those that could be read, with company_id.
+    Companies without a supported board and quarantined ones aren't polled: their jobs are neither
+    merged nor swept, and their health stays. A failed poll and one of which no row could be read
+    (drift) merge and sweep nothing; all polls leave their mark on the company's health. Results:
+    ``company_id``, ``fetched``, ``upserted``, ``errors``, ``closed``, ``failure``.
+    """
+    gate = companies.where(F.col("active") & F.col("ats_type").isin(vocab.SUPPORTED_ATS) & (F.col("health") != "quarantined")).select(F.col("id").alias("company_id"), "registry_flags")
+    counts = postings.groupBy("company_id").agg(F.count(F.lit(1)).alias("upserted"))
+    polls = fetches.join(gate, "company_id").join(counts, "company_id", "left")
+    polls = polls.withColumn("upserted", F.when(F.col("failure").isNotNull(), 0).otherwise(F.coalesce("upserted", F.lit(0)))).withColumn("outcome", poll_outcome(F.col("fetched"), F.col("upserted"), F.col("failure")))
+    polls = written(polls.select("company_id", "source_id", "registry_flags", "fetched", "upserted", "outcome"), "polls")
+    good = polls.where("outcome = 'success'")
+    met = postings.join(good.select("company_id", "source_id", "registry_flags"), ["company_id", "source_id"])
+    merged = written(_merged(jobs, met, seen_at), "merged")
+    scoped = merged.join(good.select("company_id", "source_id", F.lit(True).alias("_polled")), ["company_id", "source_id"], "left")
+    swept = sweep(scoped, met.select("source_id", "external_id"), F.coalesce("_polled", F.lit(False)), seen_at, closes="_closes")
+    closed = swept.where("_closes").groupBy("company_id").agg(F.count(F.lit(1)).alias("closed"))
+    failure = F.when(F.col("outcome") != "success", F.col("outcome"))
+    came = F.when(failure.isin("gone", "unreachable"), 0).otherwise(F.col("fetched"))
+    errors = F.when(failure.isin("gone", "unreachable"), 1).otherwise(F.col("fetched") - F.col("upserted"))
+    results = polls.join(closed, "company_id", "left").select("company_id", came.cast("long").alias("fetched"), F.col("upserted").cast("long").alias("upserted"), errors.cast("long").alias("errors"), F.coalesce("closed", F.lit(0)).cast("long").alias("closed"), failure.alias("failure"))
+    return swept.select(*jobs.columns), after_poll(companies, polls, F.lit(seen_at)), results
+
+
+def upgrade_residue(jobs: DataFrame, replies: DataFrame) -> DataFrame:
+    """A new snapshot where postings that were classified without a category have that of a reply (id, categories, level), if it found one."""
+    new = replies.where(F.size("categories") > 0).select(F.col("id").alias("_i"), F.col("categories").alias("_categories"), F.col("level").alias("_level"))
+    met = jobs.join(new, F.col("id") == F.col("_i"), "left")
+    use = (F.size("categories") == 0) & F.col("_i").isNotNull()
+    return met.withColumns({"level": F.when(use, F.col("_level")).otherwise(F.col("level")), "categories": F.when(use, F.col("_categories")).otherwise(F.col("categories"))}).drop("_i", "_categories", "_level")
 
 
 def backfill(jobs: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobscope import vocab
 from jobscope.functions.classify import match_reason, tier_rank
 from jobscope.functions.digest import build_messages, digest_header, digest_line
-from jobscope.operators.search import like_ascii  # noqa: F401  (one keyword rule for both sides)
+from jobscope.operators.fit import blocks
 
 FILTERS = "struct<q:string,countries:array<string>,categories:array<string>,levels:array<string>,tiers:array<string>>"
 
@@ -20,11 +22,14 @@ def parse_filters(filters_json: Column) -> Column:
 
 
 def _meets(f: Column) -> Column:
-    """Whether a posting meets a search; ASCII letters of the keyword are folded."""
+    """Whether a posting meets a search; the keyword is what it is in the list: ``%`` and ``_`` are wildcards, and only A-Z are folded."""
     open_or = lambda field, test: (F.size(f[field]) == 0) | F.coalesce(test, F.lit(False))
     low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     keyword = F.coalesce(F.nullif(f["q"], F.lit("")), F.lit(""))
-    said = low(F.col("title")).contains(low(keyword)) | low(F.col("description")).contains(low(keyword))
+    pattern = F.concat(F.lit("%"), F.replace(low(keyword), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    # a pattern that differs from row to row is compiled anew, so plain words are looked for plainly
+    holds = lambda c: F.when(keyword.rlike("[%_]"), F.like(low(c), pattern)).otherwise(low(c).contains(low(keyword)))
+    said = holds(F.col("title")) | holds(F.col("description"))
     return (
         ((keyword == "") | said)
         & open_or("countries", F.array_contains(f["countries"], F.col("country")))
@@ -37,13 +42,11 @@ def _meets(f: Column) -> Column:
 def search_hits(searches: DataFrame, jobs: DataFrame, max_searches: int = 10_000) -> DataFrame:
     """Every canonical posting with every search it meets.
 
-    Searches are few (checked) and go to each posting, so the postings are read once for all of them
-    and nothing is shuffled.
+    Searches go to each posting, ``max_searches`` at once at most, so the postings are read once for
+    as many of them and nothing is shuffled.
     """
-    if searches.limit(max_searches + 1).count() > max_searches:
-        raise ValueError(f"match at most {max_searches} searches at once")
     wanted = searches.select(F.col("id").alias("search_id"), F.col("name").alias("search"), parse_filters(F.col("filters_json")).alias("f"))
-    return jobs.where("canonical_id is null").join(F.broadcast(wanted), _meets(F.col("f")))
+    return reduce(DataFrame.unionByName, (jobs.where("canonical_id is null").join(F.broadcast(part), _meets(F.col("f"))) for part in blocks(wanted, "search_id", max_searches)))
 
 
 def matches(searches: DataFrame, jobs: DataFrame, limit: int = vocab.MATCH_LIMIT) -> DataFrame:

@@ -30,7 +30,7 @@ class JobFilters:
     resume_hash: str | None = field(default=None)
 
     def __post_init__(self) -> None:
-        if not 1 <= self.limit <= 500 or self.offset < 0 or self.sort not in ("tier", "date", "match"):
+        if not 1 <= self.limit <= 200 or self.offset < 0 or self.sort not in ("tier", "date", "match"):
             raise ValueError(f"no such page or order: {self}")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobscope import vocab
 from jobscope.functions.text import local_month
-from jobscope.store import merge, with_ids
+from jobscope.store import merge, with_ids, with_new_ids
 
 
 def changed_only(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -24,9 +24,12 @@ def upsert_jobs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     where they were worked out anew, ``categories``, ``level``, ``sponsor_tier`` and
     ``sponsor_evidence`` (else null). Nulls keep what is stored; evidence is rewritten exactly when a
     tier comes with it; a changed description makes the posting new again; first sight and company
-    are never changed. Of several incoming rows of one posting the last seen counts.
+    are never changed. New postings are numbered after the largest id, in the order of their keys. Of
+    several incoming rows of one posting the last seen counts.
     """
+    keys = ["source_id", "external_id"]
     last = incoming.groupBy("source_id", "external_id").agg(F.max_by(F.struct(*incoming.columns), "seen_at").alias("r")).select("r.*")
+    last = with_new_ids(stored, last, keys)
     i, s = (lambda c: F.col(f"i.{c}")), (lambda c: F.col(f"s.{c}"))
     overwritten = ["title", "description", "url", "location_raw", "country", "city", "content_hash", "posted_at"]
     merged = {c: i(c) for c in overwritten} | {
@@ -37,8 +40,8 @@ def upsert_jobs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
         "last_seen_at": i("seen_at"),
         "user_status": F.when(s("content_hash") != i("content_hash"), "new").otherwise(s("user_status")),
     }
-    inserted = {"sponsor_tier": F.coalesce(i("sponsor_tier"), F.lit("unknown")), "first_seen_at": i("seen_at"), "last_seen_at": i("seen_at"), "user_status": F.lit("new"), "consecutive_misses": F.lit(0)}
-    return merge(stored, last, ["source_id", "external_id"], merged, inserted)
+    inserted = {"id": i("new_id"), "sponsor_tier": F.coalesce(i("sponsor_tier"), F.lit("unknown")), "first_seen_at": i("seen_at"), "last_seen_at": i("seen_at"), "user_status": F.lit("new"), "consecutive_misses": F.lit(0)}
+    return merge(stored, last, keys, merged, inserted)
 
 
 def get_or_create_companies(companies: DataFrame, names: DataFrame) -> DataFrame:
@@ -52,7 +55,7 @@ def get_or_create_companies(companies: DataFrame, names: DataFrame) -> DataFrame
 
 
 def upsert_companies(companies: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Companies after the seed list was read again; a changed board starts with good health."""
+    """Companies after the seed list was read again: new ones are numbered after the largest id by name, and a changed board starts with good health."""
     i, s = (lambda c: F.col(f"i.{c}")), (lambda c: F.col(f"s.{c}"))
     moved = (s("ats_type") != i("ats_type")) | (s("ats_slug") != i("ats_slug"))
     merged = {c: i(c) for c in ("ats_type", "ats_slug", "country_hq", "priority")} | {
@@ -60,23 +63,26 @@ def upsert_companies(companies: DataFrame, seeds: DataFrame) -> DataFrame:
         "health": F.when(moved, "ok").otherwise(s("health")),
         "quarantine_reason": F.when(moved, F.lit(None).cast("string")).otherwise(s("quarantine_reason")),
     }
-    return merge(companies, seeds, ["name"], {c: e for c, e in merged.items() if c in companies.columns}, {"registry_flags": F.lit(0), "active": F.lit(True), "consecutive_failures": F.lit(0), "health": F.lit("ok")})
+    return merge(companies, with_new_ids(companies, seeds.dropDuplicates(["name"]), ["name"]), ["name"], {c: e for c, e in merged.items() if c in companies.columns}, {"id": i("new_id"), "registry_flags": F.lit(0), "active": F.lit(True), "consecutive_failures": F.lit(0), "health": F.lit("ok")})
 
 
-def sweep(jobs: DataFrame, seen: DataFrame, scope, now, threshold: int = vocab.CLOSE_AFTER_MISSES) -> DataFrame:  # noqa: ANN001
+def sweep(jobs: DataFrame, seen: DataFrame, scope, now, threshold: int = vocab.CLOSE_AFTER_MISSES, closes: str | None = None) -> DataFrame:  # noqa: ANN001
     """A new snapshot after a successful poll of ``scope`` (a predicate on jobs).
 
     Postings in ``seen`` (source_id, external_id) have no misses and are open; an absent one has one
-    more miss and is closed, if it is still open, when that reaches the threshold.
+    more miss and is closed, if it is still open, when that reaches the threshold. ``closes`` names a
+    further column that says which rows this sweep closes.
     """
     here = seen.select(F.col("source_id").alias("_s"), F.col("external_id").alias("_e")).distinct().withColumn("_seen", F.lit(True))
     met = jobs.join(here, (F.col("source_id") == F.col("_s")) & (F.col("external_id") == F.col("_e")), "left")
     present, misses = F.col("_seen").isNotNull(), F.col("consecutive_misses") + 1
+    closing = F.coalesce(scope & ~present & F.col("closed_at").isNull() & (misses >= threshold), F.lit(False))
     out = met.withColumns(
         {
-            "closed_at": F.when(scope & present, F.lit(None).cast("timestamp")).when(scope & F.col("closed_at").isNull() & (misses >= threshold), F.lit(now).cast("timestamp")).otherwise(F.col("closed_at")),
+            "closed_at": F.when(scope & present, F.lit(None).cast("timestamp")).when(closing, F.lit(now).cast("timestamp")).otherwise(F.col("closed_at")),
             "consecutive_misses": F.when(scope & present, 0).when(scope, misses).otherwise(F.col("consecutive_misses")),
         }
+        | ({closes: closing} if closes else {})
     )
     return out.drop("_s", "_e", "_seen")
 
@@ -101,11 +107,49 @@ def delete_cascade(parents: DataFrame, children: DataFrame, parent_key: str, chi
     return parents.join(gone, F.col(parent_key) == F.col("_k"), "left_anti"), children.join(gone, F.col(child_key) == F.col("_k"), "left_anti")
 
 
+#: Parts that a month's calls are ranked in.
+SHARDS = 64
+
+
 def admit_calls(calls: DataFrame, cap: int, zone: str = vocab.BUDGET_ZONE) -> DataFrame:
-    """``admitted``: whether a call (ts, call_id) is among the first ``cap`` of its month in the zone."""
-    month = local_month(F.col("ts"), zone)
-    rank = F.row_number().over(Window.partitionBy("month").orderBy("ts", "call_id"))
-    return calls.withColumn("month", month).withColumn("admitted", rank <= cap)
+    """``admitted``: whether a call (ts, call_id, which is unique) is among the first ``cap`` of its month in the zone.
+
+    Each month is ranked in parts, of which only the first ``cap`` calls can be admitted; the last
+    admitted call, one row a month, then tells all others.
+    """
+    dated = calls.withColumn("month", local_month(F.col("ts"), zone))
+    dealt = dated.select("month", "ts", "call_id", F.pmod(F.xxhash64("call_id"), F.lit(SHARDS)).alias("shard"))
+    first = dealt.withColumn("r", F.row_number().over(Window.partitionBy("month", "shard").orderBy("ts", "call_id"))).where(F.col("r") <= cap)
+    last = first.withColumn("r", F.row_number().over(Window.partitionBy("month").orderBy("ts", "call_id"))).where(F.col("r") <= cap)
+    last = last.groupBy(F.col("month").alias("_month")).agg(F.max(F.struct("ts", "call_id")).alias("_last"))
+    met = dated.join(F.broadcast(last), F.col("month").eqNullSafe(F.col("_month")), "left")  # one row a month
+    return met.withColumn("admitted", F.coalesce(F.struct("ts", "call_id") <= F.col("_last"), F.lit(False))).drop("_month", "_last")
+
+
+def add_usage(usage: DataFrame, admitted: DataFrame) -> DataFrame:
+    """Usage (month, call_count) with one call more for each admitted row (month); a month without a row gets one."""
+    calls = admitted.groupBy("month").agg(F.count(F.lit(1)).alias("call_count"))
+    return usage.select("month", F.col("call_count").cast("long")).unionByName(calls).groupBy("month").agg(F.sum("call_count").alias("call_count"))
+
+
+def put_settings(settings: DataFrame, changes: DataFrame) -> DataFrame:
+    """Settings (key, value) after changes (one a key): a value is stored in place of the old one, a null deletes the key."""
+    kept = settings.join(changes.select("key"), "key", "left_anti")
+    return kept.select("key", "value").unionByName(changes.where("value is not null").select("key", "value"))
+
+
+def add_searches(searches: DataFrame, new: DataFrame) -> DataFrame:
+    """Saved searches with new ones, numbered after the largest id by name and filters; they have not run yet."""
+    numbered = with_ids(new, 1, ["name", "filters_json"], "_n").join(F.broadcast(searches.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))))  # one row, one number
+    values = {"id": F.col("_top") + F.col("_n"), "last_run_at": F.lit(None)}
+    return searches.unionByName(numbered.select(*(values.get(c, F.col(c) if c in new.columns else F.lit(None)).cast(searches.schema[c].dataType).alias(c) for c in searches.columns)))
+
+
+def touch_searches(searches: DataFrame, ran: DataFrame, at) -> DataFrame:  # noqa: ANN001
+    """Searches with ``last_run_at`` set for those that ran (id)."""
+    here = ran.select(F.col("id").alias("_ran")).distinct()
+    met = searches.join(here, F.col("id") == F.col("_ran"), "left")
+    return met.withColumn("last_run_at", F.when(F.col("_ran").isNotNull(), F.lit(at).cast("timestamp")).otherwise(F.col("last_run_at"))).drop("_ran")
 
 
 def activate_resume(resumes: DataFrame, resume_id: int) -> DataFrame:

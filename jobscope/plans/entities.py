@@ -25,8 +25,8 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoration = F.element_at(F.array(*map(F.lit, DECORATIONS)), (n % 6).cast("int") + 1)
     raw = F.concat(F.col("s_name"), decoration, F.when(n % 6 == 2, n.cast("string")).otherwise(""))
     parts = names.split_trading_as(raw)
-    uk = s.where("s_suppkey % 3 <> 0").select(F.lit("UK").alias("registry"), n.cast("long").alias("pos"), parts["legal"].alias("name"), parts["aliases"].alias("aliases"), F.concat(F.lit("Route "), (n % 4).cast("string")).alias("evidence"))
-    us = s.where("s_suppkey % 4 = 0").select(F.lit("US").alias("registry"), n.cast("long").alias("pos"), F.col("s_name").alias("name"), F.array().cast("array<string>").alias("aliases"), F.lit(None).cast("string").alias("evidence"))
+    uk = s.select(F.lit("UK").alias("registry"), n.cast("long").alias("pos"), parts["legal"].alias("name"), parts["aliases"].alias("aliases"), F.concat(F.lit("Route "), (n % 4).cast("string")).alias("evidence"))
+    us = s.select(F.lit("US").alias("registry"), n.cast("long").alias("pos"), F.when(n % 4 == 0, F.col("s_name")).otherwise(F.concat(F.lit("Other "), "s_name")).alias("name"), F.array().cast("array<string>").alias("aliases"), F.lit(None).cast("string").alias("evidence"))
     return uk.unionByName(us)
 
 
@@ -76,7 +76,7 @@ def first_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_by_md5(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", simhash_by_md5(F.col("text")).alias("fingerprint"))
 
 
 def neardup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,8 +123,8 @@ def _variants(c: str) -> str:
 
 
 _ENTRIES = f"""raw AS (SELECT s_suppkey AS n, s_name, s_name || {_l(DECORATIONS)}[CAST(s_suppkey % 6 AS INT) + 1] || CASE WHEN s_suppkey % 6 = 2 THEN CAST(s_suppkey AS VARCHAR) ELSE '' END AS raw FROM supplier),
-entries AS (SELECT 'UK' AS registry, 1 AS bit, CAST(n AS BIGINT) AS pos, {_trading('raw')} AS names, 'Route ' || n % 4 AS evidence FROM raw WHERE n % 3 <> 0
-  UNION ALL SELECT 'US', 4, CAST(n AS BIGINT), [s_name], NULL FROM raw WHERE n % 4 = 0),
+entries AS (SELECT 'UK' AS registry, 1 AS bit, CAST(n AS BIGINT) AS pos, {_trading('raw')} AS names, 'Route ' || n % 4 AS evidence FROM raw
+  UNION ALL SELECT 'US', 4, CAST(n AS BIGINT), [CASE WHEN n % 4 = 0 THEN s_name ELSE 'Other ' || s_name END], NULL FROM raw),
 w AS (SELECT seed, {_key('name')} AS key, {_core('name')} AS core FROM (SELECT s_name AS seed, unnest({_variants('s_name')}) AS name FROM supplier)),
 l AS (SELECT registry, bit, pos, evidence, {_key('name')} AS key, {_core('name')} AS core FROM (SELECT registry, bit, pos, evidence, unnest(names) AS name FROM entries)),
 m AS (SELECT seed, registry, bit, pos, min(evidence) AS evidence, max(CASE WHEN w.core = l.core THEN 1.0 ELSE 0.9 END)::DOUBLE AS confidence FROM w JOIN l ON w.key = l.key AND len(w.key) > 0 GROUP BY ALL),

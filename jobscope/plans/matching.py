@@ -17,12 +17,15 @@ RESUMES = {
     "r2": ("Backend developer: Kubernetes, Rust, PostgreSQL, 2 years.", []),
     "r3": ("Plain prose without a trade.", ["US"]),
 }
+#: Postings whose id is divisible by this have a cached score.
+CACHED = {"r1": 2, "r2": 5}
 SEARCHES = [
     (1, "nordic mobile", {"countries": ["SE"], "categories": ["ios", "android", "flutter"]}),
     (2, "sponsors", {"tiers": ["explicit_yes", "registry_inferred"], "levels": ["senior"]}),
     (3, "rust", {"q": "RUST"}),
     (4, "everything", {}),
     (5, "nothing", {"countries": ["XX"]}),
+    (6, "wildcards", {"q": "K_bern%RUST"}),
 ]
 #: What two engines agree on about a search's hits, as SQL over ``postings`` p.
 _WHERE = {
@@ -31,6 +34,7 @@ _WHERE = {
     3: "(contains(lower(title), 'rust') OR contains(lower(description), 'rust'))",
     4: "TRUE",
     5: "country IN ('XX')",
+    6: "(title ILIKE '%K_bern%RUST%' OR description ILIKE '%K_bern%RUST%')",
 }
 _REASON = {
     1: "array_to_string(list_filter(['ios', 'android', 'flutter'], lambda c: list_contains(categories, c)) || ['SE'], ' · ')",
@@ -38,6 +42,7 @@ _REASON = {
     3: "'all'",
     4: "'all'",
     5: "'XX'",
+    6: "'all'",
 }
 
 
@@ -51,10 +56,10 @@ def _searches(spark: SparkSession) -> DataFrame:
 
 
 def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cached scores of half the postings, some of a text that has changed since."""
-    p = postings(spark, sf_dir).where("id % 2 = 0")
+    """Cached scores of some postings for each resume, some of a text that has changed since."""
     stale = F.when(F.col("id") % 6 == 0, F.lit("old")).otherwise(F.col("content_hash"))
-    return p.select(F.lit("r1").alias("resume_hash"), F.col("id").alias("job_canonical_id"), (F.col("id") % 101).cast("int").alias("overall"), stale.alias("content_hash"))
+    cached = F.filter(F.array(*(F.when(F.col("id") % n == 0, F.lit(k)) for k, n in CACHED.items())), lambda r: r.isNotNull())
+    return postings(spark, sf_dir).select(F.explode(cached).alias("resume_hash"), F.col("id").alias("job_canonical_id"), (F.col("id") % 101).cast("int").alias("overall"), stale.alias("content_hash"))
 
 
 def resume_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +78,7 @@ def fit_rank_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fit_cache_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fresh = fit.refresh_scores(_cache(spark, sf_dir), postings(spark, sf_dir), _profiles(spark).where("resume_hash = 'r1'"))
+    fresh = fit.refresh_scores(_cache(spark, sf_dir), postings(spark, sf_dir), _profiles(spark))
     return fresh.select("resume_hash", "job_canonical_id", "overall", "content_hash")
 
 
@@ -139,7 +144,7 @@ sc AS (SELECT p.resume_hash, j.id, j.content_hash, j.country, j.sponsor_tier, j.
   ({_case('j.sponsor_tier', {k: f'{v}::DOUBLE' for k, v in vocab.TIER_FIT.items()}, '0.0::DOUBLE')}) * CASE WHEN {_OFF} THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS sf
   FROM jf j CROSS JOIN prof p),
 scored AS (SELECT *, CAST(round_even(100 * (0.40::DOUBLE * skill + 0.25::DOUBLE * category + 0.20::DOUBLE * lf + 0.15::DOUBLE * sf), 0) AS INT) AS overall FROM sc)"""
-_CACHE = "cache AS (SELECT 'r1' AS resume_hash, id AS job_canonical_id, CAST(id % 101 AS INT) AS overall, CASE WHEN id % 6 = 0 THEN 'old' ELSE content_hash END AS content_hash FROM postings WHERE id % 2 = 0)"
+_CACHE = "cache AS (" + " UNION ALL ".join(f"SELECT '{k}' AS resume_hash, id AS job_canonical_id, CAST(id % 101 AS INT) AS overall, CASE WHEN id % 6 = 0 THEN 'old' ELSE content_hash END AS content_hash FROM postings WHERE id % {n} = 0" for k, n in CACHED.items()) + ")"
 _HITS = "hits AS (" + " UNION ALL ".join(f"SELECT {n} AS search_id, *, {_REASON[n]} AS reason FROM postings WHERE canonical_id IS NULL AND {_WHERE[n]}" for n, _, _ in SEARCHES) + ")"
 _RANKED = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY {sql_rank('sponsor_tier')} DESC, posted_at DESC NULLS LAST, id) AS rank FROM hits WHERE user_status <> 'hidden')"
 _SHARED = "list_sort(list_filter(jc, lambda c: list_contains(pc, c)))"
@@ -165,14 +170,20 @@ QUERIES = {
 }
 
 _NAMES = "CASE search_id " + " ".join(f"WHEN {n} THEN {_quoted(name)}" for n, name, _ in SEARCHES) + " END"
+_UNITS = f"WITH RECURSIVE {POSTINGS}, {COMPANIES}, {_HITS}, {_RANKED}, t AS (SELECT r.*, c.name AS company FROM ranked r JOIN companies c ON r.company_id = c.id WHERE rank <= @most), l AS (SELECT *, '• ' || title || ' — ' || company || ' · ' || coalesce(country, '—') || ' · ' || sponsor_tier || chr(10) || '  why: ' || reason || chr(10) || '  ' || url AS line, row_number() OVER (PARTITION BY search_id ORDER BY rank) AS k, count(*) OVER (PARTITION BY search_id) AS n FROM t)"
+_UNIT = f"CASE WHEN k = 1 THEN '🔔 ' || {_NAMES} || ' (' || n || ' new)' || chr(10) || line ELSE line END"
 ORACLES = {
     "resume_profiles": f"WITH {_profile_rows()} SELECT resume_hash, array_to_string(skills, ',') AS skills, array_to_string(categories, ',') AS categories, level, years FROM prof",
     "fit_scores": f"WITH {_SCORES} SELECT resume_hash, id, overall, CAST(round_even(100 * skill, 0) AS INT) AS skills_score, CAST(round_even(100 * lf, 0) AS INT) AS level_score, CAST(round_even(100 * sf, 0) AS INT) AS sponsor_score, array_to_string(matched, ',') AS matched, array_to_string(missing, ',') AS missing FROM scored",
-    "fit_rank_page": f"WITH {_SCORES}, {_CACHE}, page AS (SELECT p.id, c.overall AS cached FROM postings p LEFT JOIN cache c ON p.id = c.job_canonical_id WHERE canonical_id IS NULL AND user_status <> 'hidden' ORDER BY c.overall DESC NULLS LAST, {sql_rank('sponsor_tier')} DESC, posted_at DESC NULLS LAST, p.id LIMIT 30) SELECT page.id, cached, overall AS fresh FROM page JOIN scored s ON s.id = page.id AND s.resume_hash = 'r1'",
-    "fit_cache_refresh": f"WITH {_SCORES}, {_CACHE} SELECT s.resume_hash, s.id AS job_canonical_id, CASE WHEN c.content_hash = s.content_hash THEN c.overall ELSE s.overall END AS overall, s.content_hash FROM scored s LEFT JOIN cache c ON c.job_canonical_id = s.id WHERE s.resume_hash = 'r1'",
+    "fit_rank_page": f"WITH {_SCORES}, {_CACHE}, page AS (SELECT p.id, c.overall AS cached FROM postings p LEFT JOIN cache c ON p.id = c.job_canonical_id AND c.resume_hash = 'r1' WHERE canonical_id IS NULL AND user_status <> 'hidden' ORDER BY c.overall DESC NULLS LAST, {sql_rank('sponsor_tier')} DESC, posted_at DESC NULLS LAST, p.id LIMIT 30) SELECT page.id, cached, overall AS fresh FROM page JOIN scored s ON s.id = page.id AND s.resume_hash = 'r1'",
+    "fit_cache_refresh": f"WITH {_SCORES}, {_CACHE} SELECT s.resume_hash, s.id AS job_canonical_id, CASE WHEN c.content_hash = s.content_hash THEN c.overall ELSE s.overall END AS overall, s.content_hash FROM scored s LEFT JOIN cache c ON c.job_canonical_id = s.id AND c.resume_hash = s.resume_hash",
     "rationale_lines": _RATIONALE,
     "saved_search_matches": f"WITH {POSTINGS}, {_HITS}, {_RANKED} SELECT CAST(search_id AS BIGINT) AS search_id, id AS job_canonical_id, reason, rank FROM ranked WHERE rank <= 40",
     "notify_once": f"WITH {POSTINGS}, {_HITS}, {_RANKED} SELECT CAST(search_id AS BIGINT) AS search_id, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM ranked WHERE rank <= {vocab.MATCH_LIMIT} AND NOT (search_id = 4 AND id % 3 = 0) GROUP BY 1",
     "search_new_counts": f"WITH {POSTINGS}, {_HITS}, n AS (SELECT search_id, count(*) AS n FROM hits WHERE user_status = 'new' GROUP BY 1), s(search_id) AS (VALUES " + ", ".join(f"({n})" for n, _, _ in SEARCHES) + f") SELECT CAST(s.search_id AS BIGINT) AS id, {_NAMES.replace('search_id', 's.search_id')} AS name, coalesce(n, 0) AS new_matches FROM s LEFT JOIN n ON s.search_id = n.search_id",
-    "digest_lines": f"WITH {POSTINGS}, {COMPANIES}, {_HITS}, {_RANKED}, t AS (SELECT r.*, c.name AS company FROM ranked r JOIN companies c ON r.company_id = c.id WHERE rank <= 10), l AS (SELECT *, '• ' || title || ' — ' || company || ' · ' || coalesce(country, '—') || ' · ' || sponsor_tier || chr(10) || '  why: ' || reason || chr(10) || '  ' || url AS line, row_number() OVER (PARTITION BY search_id ORDER BY rank) AS k, count(*) OVER (PARTITION BY search_id) AS n FROM t) SELECT CAST(search_id AS BIGINT) AS search_id, rank, CASE WHEN k = 1 THEN '🔔 ' || {_NAMES} || ' (' || n || ' new)' || chr(10) || line ELSE line END AS unit FROM l",
+    "digest_lines": f"{_UNITS.replace('@most', '10')} SELECT CAST(search_id AS BIGINT) AS search_id, rank, {_UNIT} AS unit FROM l",
+    "digest_pack": f"""{_UNITS.replace('@most', '60')}, u AS (SELECT search_id, row_number() OVER (PARTITION BY search_id ORDER BY rank) AS k, {_UNIT} AS unit FROM l),
+m AS (SELECT search_id, k, unit AS open, 0 AS n FROM u WHERE k = 1
+  UNION ALL SELECT u.search_id, u.k, CASE WHEN length(open) + 2 + length(unit) > 4096 THEN unit ELSE open || chr(10) || chr(10) || unit END, CASE WHEN length(open) + 2 + length(unit) > 4096 THEN n + 1 ELSE n END FROM m JOIN u ON u.search_id = m.search_id AND u.k = m.k + 1)
+SELECT CAST(search_id AS BIGINT) AS search_id, CAST(n AS BIGINT) AS n, CAST(length(open) AS BIGINT) AS chars, open AS message FROM m QUALIFY row_number() OVER (PARTITION BY search_id, n ORDER BY k DESC) = 1""",
 }

@@ -25,13 +25,14 @@ def pick(values: list[str], n: Column) -> Column:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as postings; those whose id is divisible by 11 are linked to the one before."""
+    """``documents`` as postings of all suppliers; those whose id is divisible by 11 are linked to the one before."""
+    firms = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     k = F.conv(F.substring(F.md5(F.lower(F.substring("text", 1, 40))), 1, 8), 16, 10).cast("long")
     n = F.col("doc_id")
     base = d.select(
         n.alias("id"),
-        (k % 20).alias("company_id"),
+        (k % firms).alias("company_id"),
         F.col("source").alias("source_id"),
         n.cast("string").alias("external_id"),
         F.concat(pick(ROLES, k), F.lit(" "), F.substring("text", 1, 40)).alias("title"),
@@ -49,11 +50,12 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first suppliers as employers, with a board and a health by their number."""
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey <= 20")
+    """All suppliers as employers, with a board and a health by their number."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    firms = s.count()
     n = F.col("s_suppkey")
     return s.select(
-        (n % 20).cast("long").alias("id"),
+        (n % firms).cast("long").alias("id"),
         F.col("s_name").alias("name"),
         pick(["greenhouse", "lever", "ashby", "workday", "none"], n).alias("ats_type"),
         (n % 3 + 1).cast("int").alias("priority"),
@@ -112,7 +114,7 @@ def sql_rank(tier: str) -> str:
 
 
 POSTINGS = f"""pk AS (SELECT *, CAST('0x' || substr(md5(lower(substr(text, 1, 40))), 1, 8) AS BIGINT) AS k FROM documents),
-pb AS (SELECT doc_id AS id, k % 20 AS company_id, source AS source_id, CAST(doc_id AS VARCHAR) AS external_id,
+pb AS (SELECT doc_id AS id, k % (SELECT count(*) FROM supplier) AS company_id, source AS source_id, CAST(doc_id AS VARCHAR) AS external_id,
   {sql_pick(ROLES, 'k')} || ' ' || substr(text, 1, 40) AS title, text || chr(10) || {sql_pick(NOTES, 'k')} AS description,
   'https://jobs.example/' || doc_id AS url, {sql_pick(PLACES, 'k')} AS location_raw, {sql_pick(STATUSES, 'doc_id')} AS user_status, {sql_pick(TIERS, 'doc_id')} AS sponsor_tier,
   CASE WHEN doc_id % 7 <> 0 THEN TIMESTAMP '{EPOCH}' + to_days(CAST(doc_id % 90 AS INT)) END AS posted_at, sha256(text) AS content_hash,
@@ -120,6 +122,6 @@ pb AS (SELECT doc_id AS id, k % 20 AS company_id, source AS source_id, CAST(doc_
 {sql_location('location_raw', 'pl', 'pb')},
 postings AS (SELECT *, {sql_categories('title')} AS categories, {sql_level('title', "title || chr(10) || description")} AS level FROM pl)"""
 
-COMPANIES = f"""companies AS (SELECT CAST(s_suppkey % 20 AS BIGINT) AS id, s_name AS name, {sql_pick(['greenhouse', 'lever', 'ashby', 'workday', 'none'], 's_suppkey')} AS ats_type,
+COMPANIES = f"""companies AS (SELECT CAST(s_suppkey % (SELECT count(*) FROM supplier) AS BIGINT) AS id, s_name AS name, {sql_pick(['greenhouse', 'lever', 'ashby', 'workday', 'none'], 's_suppkey')} AS ats_type,
   CAST(s_suppkey % 3 + 1 AS INT) AS priority, {sql_pick(['ok', 'degraded', 'quarantined', 'ok'], 's_suppkey')} AS health, CAST(s_suppkey % 2 * 4 AS INT) AS registry_flags,
-  CASE WHEN s_suppkey % 3 <> 0 THEN TIMESTAMP '{EPOCH}' END AS last_success_at FROM supplier WHERE s_suppkey <= 20)"""
+  CASE WHEN s_suppkey % 3 <> 0 THEN TIMESTAMP '{EPOCH}' END AS last_success_at FROM supplier)"""

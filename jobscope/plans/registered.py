@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from jobscope.plans import entities, feeds, listing, matching, reference, state, texts
+from jobscope.plans import boards, cycle, entities, feeds, listing, matching, reference, state, texts
 
-_MODULES = [listing, texts, entities, state, matching, feeds, reference]
+_MODULES = [listing, texts, entities, state, matching, cycle, feeds, boards, reference]
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

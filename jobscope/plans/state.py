@@ -38,7 +38,7 @@ def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_KEPT = ["source_id", "external_id", "title", "content_hash", "categories", "level", "sponsor_tier", "sponsor_evidence", "user_status", "first_seen_at", "last_seen_at", "consecutive_misses"]
+_KEPT = ["id", "source_id", "external_id", "title", "content_hash", "categories", "level", "sponsor_tier", "sponsor_evidence", "user_status", "first_seen_at", "last_seen_at", "consecutive_misses"]
 
 
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,12 +157,13 @@ def latest_active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STORED = f"{POSTINGS}, stored AS (SELECT *, 'old ' || external_id AS sponsor_evidence, TIMESTAMP '{EPOCH}' AS first_seen_at, TIMESTAMP '{EPOCH}' AS last_seen_at, CASE WHEN id % 10 = 1 THEN TIMESTAMP '{EPOCH}' END AS closed_at, CAST(id % 3 AS INT) AS consecutive_misses, array_to_string(categories, ',') AS cats FROM postings WHERE id % 3 <> 0)"
 _IN = "inc AS (SELECT *, title || '!' AS t2, CASE WHEN id % 5 = 0 THEN 'new' || content_hash ELSE content_hash END AS h2, id % 4 = 0 AS fresh, array_to_string(categories, ',') AS cats FROM postings WHERE id % 2 = 0)"
-_UPSERT = f"""WITH {_STORED}, {_IN} SELECT coalesce(s.source_id, i.source_id) AS source_id, coalesce(s.external_id, i.external_id) AS external_id, coalesce(i.t2, s.title) AS title, coalesce(i.h2, s.content_hash) AS content_hash,
+_UPSERT = f"""WITH {_STORED}, {_IN}, fresh AS (SELECT i.id, row_number() OVER (ORDER BY i.source_id, i.external_id) AS k FROM inc i LEFT JOIN stored s ON s.source_id = i.source_id AND s.external_id = i.external_id WHERE s.id IS NULL)
+  SELECT coalesce(s.id, (SELECT max(id) FROM stored) + k) AS id, coalesce(s.source_id, i.source_id) AS source_id, coalesce(s.external_id, i.external_id) AS external_id, coalesce(i.t2, s.title) AS title, coalesce(i.h2, s.content_hash) AS content_hash,
   coalesce(CASE WHEN i.fresh THEN i.cats END, s.cats) AS categories, coalesce(CASE WHEN i.fresh THEN i.level END, s.level) AS level, coalesce(CASE WHEN i.fresh THEN 'explicit_yes' END, s.sponsor_tier, 'unknown') AS sponsor_tier,
   CASE WHEN i.fresh THEN CASE WHEN i.id % 8 = 0 THEN 'offers' END ELSE s.sponsor_evidence END AS sponsor_evidence,
   CASE WHEN s.id IS NULL THEN 'new' WHEN i.id IS NOT NULL AND i.h2 <> s.content_hash THEN 'new' ELSE s.user_status END AS user_status,
   coalesce(s.first_seen_at, TIMESTAMP '{NOW}') AS first_seen_at, CASE WHEN i.id IS NOT NULL THEN TIMESTAMP '{NOW}' ELSE s.last_seen_at END AS last_seen_at, coalesce(s.consecutive_misses, 0) AS consecutive_misses
-  FROM stored s FULL JOIN inc i ON s.source_id = i.source_id AND s.external_id = i.external_id"""
+  FROM stored s FULL JOIN inc i ON s.source_id = i.source_id AND s.external_id = i.external_id LEFT JOIN fresh ON fresh.id = i.id"""
 _TOY_CASE = "CASE kind " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in TOY.items()) + " END"
 _FOLD = f"""WITH RECURSIVE k AS (SELECT 'u' || user_id AS source, ts, event_id AS seq, CASE WHEN event_type = 'error' THEN {list(TOY)}[CAST(event_id % 3 AS INT) + 1] WHEN event_type = 'view' AND event_id % 9 = 0 THEN 'probe_success' WHEN event_id % 4 = 0 THEN 'success' ELSE 'probe_failure' END AS kind FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ts, seq) AS r FROM k),

@@ -57,7 +57,7 @@ def content_hash_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_key_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.normalize_title(F.substring("text", 1, 60)).alias("title_key"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.normalize_title(F.col("text")).alias("title_key"))
 
 
 def parse_location_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,8 @@ def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def failure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'error'")
+    """Every event as a failed fetch."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     code = F.element_at(F.array(*map(F.lit, (404, 410, 429, 500, 503))), (F.col("event_id") % 5).cast("int") + 1)
     return e.groupBy(text.failure_kind(code).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -131,6 +132,12 @@ def _sql_unescape(column: str) -> str:
     return column
 
 
+def sql_normalized(column: str) -> str:
+    """Plain text of escaped HTML."""
+    bare = _sql_unescape(f"regexp_replace({_sql_unescape(column)}, '<[^>]+>', ' ', 'g')")
+    return f"trim(regexp_replace({bare}, '{SPACE}', ' ', 'g'))"
+
+
 _FIRST = f"list_filter({_sql_sentences('raw')}, lambda s: regexp_matches(s, CASE WHEN tier = 'explicit_no' THEN '{_sql_any(vocab.NO_PATTERNS)}' ELSE '{_sql_any(vocab.YES_PATTERNS)}' END))[1]"
 
 QUERIES = {
@@ -138,13 +145,13 @@ QUERIES = {
     for f in (normalize_pages, normalize_pages_full, content_hash_docs, title_key_docs, parse_location_fixture, postings_by_place, classify_titles, classify_postings, skills_extract, years_max, level_resolve, sponsorship_fixture, sponsorship_postings, event_times, failure_kinds)
 }
 
-_PAGE_SQL = f"SELECT page_id, trim(regexp_replace({_sql_unescape('regexp_replace(' + _sql_unescape('html') + chr(44) + chr(39) + '<[^>]+>' + chr(39) + chr(44) + chr(39) + ' ' + chr(39) + chr(44) + chr(39) + 'g' + chr(39) + ')')}, '{SPACE}', ' ', 'g')) AS text FROM pages"
+_PAGE_SQL = f"SELECT page_id, {sql_normalized('html')} AS text FROM pages"
 
 ORACLES = {
     "normalize_pages": _PAGE_SQL,
     "normalize_pages_full": _PAGE_SQL,
     "content_hash_docs": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
-    "title_key_docs": f"SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '{SPACE}', ' ', 'g')) AS title_key FROM documents",
+    "title_key_docs": f"SELECT doc_id, trim(regexp_replace(lower(text), '{SPACE}', ' ', 'g')) AS title_key FROM documents",
     "parse_location_fixture": f"WITH {_sql_values(PLACES)}, {sql_location('raw', 'x', 'v')} SELECT CAST(n AS BIGINT) AS n, country, city FROM x",
     "postings_by_place": f"WITH {POSTINGS} SELECT country, city, count(*) AS n FROM postings GROUP BY ALL",
     "classify_titles": f"WITH {_sql_values(TITLES)} SELECT CAST(n AS BIGINT) AS n, array_to_string({sql_categories('raw')}, ',') AS categories, {sql_title_level('raw')} AS level FROM v",
@@ -155,5 +162,5 @@ ORACLES = {
     "sponsorship_fixture": f"WITH {_sql_values(STATEMENTS)}, t AS (SELECT *, {_sql_tier('raw')} AS tier FROM v) SELECT CAST(n AS BIGINT) AS n, tier, CASE WHEN tier IS NOT NULL THEN {_FIRST} END AS evidence FROM t",
     "sponsorship_postings": f"WITH {POSTINGS}, t AS (SELECT id, company_id, {_sql_tier('description')} AS tier FROM postings) SELECT id, CASE WHEN tier IS NOT NULL THEN tier WHEN company_id % 2 <> 0 THEN 'registry_inferred' ELSE 'unknown' END AS tier FROM t",
     "event_times": "SELECT strftime(timezone('Asia/Jakarta', timezone('UTC', ts)), '%Y-%m') AS month, count(*) AS n, CAST(max(floor((epoch(TIMESTAMP '2026-01-01 00:00:00') - floor(epoch(ts))) / 86400)) AS BIGINT) AS oldest_days FROM events GROUP BY 1",
-    "failure_kinds": "SELECT CASE WHEN [404, 410, 429, 500, 503][CAST(event_id % 5 AS INT) + 1] IN (404, 410) THEN 'gone' ELSE 'unreachable' END AS kind, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1",
+    "failure_kinds": "SELECT CASE WHEN [404, 410, 429, 500, 503][CAST(event_id % 5 AS INT) + 1] IN (404, 410) THEN 'gone' ELSE 'unreachable' END AS kind, count(*) AS n FROM events GROUP BY 1",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from jobscope.operators.state import insert_ignore, sweep, upsert_jobs
-from jobscope.store import read_snapshot, write_snapshot
+from jobscope.store import newest_version, read_snapshot, write_snapshot
 
 
 def merge_batches(incoming: DataFrame, jobs_root: str, checkpoint: str, sweep_source: str | None = None) -> StreamingQuery:
@@ -23,13 +23,14 @@ def merge_batches(incoming: DataFrame, jobs_root: str, checkpoint: str, sweep_so
         spark = rows.sparkSession
         if rows.isEmpty():
             return
-        jobs = read_snapshot(spark, jobs_root)
+        version = newest_version(spark, jobs_root)
+        jobs = read_snapshot(spark, jobs_root, version)
         poll = rows.agg(F.max("seen_at")).first()[0]
         before = jobs.where(F.col("source_id") == sweep_source).agg(F.max("last_seen_at")).first()[0] if sweep_source else None
         after = upsert_jobs(jobs, rows)
         if sweep_source and (before is None or poll > before):
             after = sweep(after, rows.select("source_id", "external_id"), F.col("source_id") == sweep_source, poll)
-        write_snapshot(after, jobs_root)
+        write_snapshot(after, jobs_root, version)
 
     return incoming.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -39,12 +40,13 @@ def notify_batches(found: DataFrame, ledger_root: str, send: Callable[[DataFrame
 
     def batch(rows: DataFrame, number: int) -> None:
         spark: SparkSession = rows.sparkSession
-        ledger = read_snapshot(spark, ledger_root)
+        version = newest_version(spark, ledger_root)
+        ledger = read_snapshot(spark, ledger_root, version)
         keys = ["search_id", "job_canonical_id"]
         new = rows.dropDuplicates(keys).join(ledger.select(*keys), keys, "left_anti")
         if new.isEmpty():
             return
         send(new)
-        write_snapshot(insert_ignore(ledger, new.select(*keys, F.current_timestamp().alias("notified_at"), F.col("reason").alias("match_reason")), keys), ledger_root)
+        write_snapshot(insert_ignore(ledger, new.select(*keys, F.current_timestamp().alias("notified_at"), F.col("reason").alias("match_reason")), keys), ledger_root, version)
 
     return found.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

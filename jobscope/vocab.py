@@ -5,6 +5,8 @@ Every table below holds fixed values: results are compared by them.
 
 from __future__ import annotations
 
+import re
+
 # ---- fixed values: countries, United States codes, regions ----
 COUNTRY_CODES = {
     "australia": "AU", "austria": "AT", "belgium": "BE", "brazil": "BR", "canada": "CA", "china": "CN",
@@ -19,10 +21,11 @@ COUNTRY_CODES = {
     "england": "GB", "scotland": "GB", "usa": "US", "united states": "US", "united states of america": "US",
     "u.s.": "US", "u.s.a.": "US", "vietnam": "VN",
 }
-US_STATES = (
-    "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC "
-    "SD TN TX UT VT VA WA WV WI WY DC"
-).split()
+US_STATES = [
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD", "MA",
+    "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN",
+    "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "DC",
+]
 REGIONS = [
     "africa", "americas", "apac", "asia", "asia pacific", "emea", "europe", "global", "latam", "latin america", "middle east",
     "north america", "oceania", "remote", "south america", "worldwide",
@@ -56,7 +59,7 @@ LEVELS = {
 SENIORITY = {"principal": 5, "staff": 4, "lead": 3, "senior": 2, "junior": 1, "intern": 0}
 YEARS_PATTERN, SENIOR_YEARS, UNSPECIFIED = r"([0-9]+)\s*\+?\s*(?:years|yrs|year)\b", 5, "unspecified"
 
-# ---- fixed values: sponsorship tiers and texts ----
+# ---- fixed values: sponsorship tiers and texts; the patterns look for whole matches alone, so their groups needn't be kept ----
 TIER_RANK = {"explicit_yes": 3, "registry_inferred": 2, "unknown": 1, "explicit_no": 0}
 NO_PATTERNS = [
     r"\bno\b[^.!?]*\bsponsor",
@@ -86,14 +89,18 @@ EVIDENCE_RADIUS = 80
 # ---- fixed values: registers and company names ----
 REGISTRY_BITS = {"UK": 1, "NL": 2, "US": 4, "MANUAL": 8}
 REGISTRY_STALE_DAYS = 45
-SUFFIX_TOKENS = "ltd limited llc llp inc incorporated corp corporation plc gmbh ag nv bv ab sa pte pbc branch".split()
-GEO_TOKENS = (
-    "uk us usa gb eu emea apac europe european netherlands ireland sweden international global worldwide london amsterdam"
-).split()
-STRUCTURAL_TOKENS = (
-    "operations operating software payments financial holdings group technologies technology labs solutions services markets "
-    "wholesale business opco digital"
-).split()
+SUFFIX_TOKENS = [
+    "ltd", "limited", "llc", "llp", "inc", "incorporated", "corp", "corporation", "plc", "gmbh", "ag", "nv", "bv", "ab", "sa",
+    "pte", "pbc", "branch",
+]
+GEO_TOKENS = [
+    "uk", "us", "usa", "gb", "eu", "emea", "apac", "europe", "european", "netherlands", "ireland", "sweden", "international",
+    "global", "worldwide", "london", "amsterdam",
+]
+STRUCTURAL_TOKENS = [
+    "operations", "operating", "software", "payments", "financial", "holdings", "group", "technologies", "technology", "labs",
+    "solutions", "services", "markets", "wholesale", "business", "opco", "digital",
+]
 FULL_CONFIDENCE, STRIPPED_CONFIDENCE = 1.0, 0.9
 
 # ---- fixed values: headers of hiring threads ----
@@ -132,9 +139,52 @@ SPONSOR_NOTES = {
 }
 
 
+# ---- fixed values: labels ----
+TIER_LABELS = {"explicit_yes": "Sponsors", "registry_inferred": "Registry", "unknown": "Unknown", "explicit_no": "No sponsor"}
+CATEGORY_LABELS = {"ios": "iOS", "backend": "Backend", "ai-ml": "AI/ML", "android": "Android", "flutter": "Flutter", "fullstack": "Fullstack", "frontend": "Frontend"}
+LEVEL_LABELS = {"senior": "Senior", "staff": "Staff", "lead": "Lead"}
+COUNTRY_LABELS = {
+    "SG": "Singapore", "AU": "Australia", "JP": "Japan", "NL": "Netherlands", "US": "United States", "CA": "Canada", "IE": "Ireland",
+    "SE": "Sweden", "NO": "Norway", "DK": "Denmark", "CH": "Switzerland",
+}
+
+# ---- fixed values: sentences of a rationale ----
+COVERAGE, NO_SKILLS = "Your resume covers %d of the %d skills this posting names", "This posting names no skills from the shared vocabulary"
+FIELD_ENDINGS = {"none": ".", "inside": ", and the role sits squarely in your field.", "outside": ", but the role sits outside your usual field."}
+MATCHED, MISSING = "Matched skills: %s.", "The posting asks for skills your resume doesn't show: %s."
+FIELD_MATCHES, FIELD_OUTSIDE = "The role's field (%s) matches your background.", "The role's field (%s) is outside your profile."
+LEVEL_EXACT, LEVEL_STEP = "Seniority is an exact match (%s).", "One step up from %s — a reachable stretch."
+LEVEL_BELOW, LEVEL_ABOVE = "The role reads %d level(s) below your profile (%s vs your %s).", "The role is %d seniority steps above your profile."
+TIER_STRENGTHS = {"explicit_yes": "The posting explicitly offers visa sponsorship.", "registry_inferred": "The company appears on a sponsor registry."}
+TIER_GAPS = {"explicit_no": "The posting rules out visa sponsorship.", "unknown": "No sponsorship signal in the posting."}
+ON_TARGET, OFF_TARGET, UNNAMED_PLACE = "%s is in your relocation strategy.", "%s is outside your target countries.", "This location"
+
+
 def alternation(words: list[str]) -> str:
     """A pattern for any of the words at word boundaries, longest first."""
     return r"\b(?:" + "|".join(sorted(words, key=len, reverse=True)) + r")\b"
 
 
+def prefix_alternation(words: list[str]) -> str:
+    """A pattern that finds what ``alternation`` finds, with common beginnings tried once for all words that have them."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for letter in word:
+            at = at.setdefault(letter, {})
+        at[""] = {}
+
+    def pattern(node: dict) -> str:
+        parts = [re.escape(letter) + pattern(node[letter]) for letter in sorted(node) if letter]
+        if not parts:
+            return ""
+        joined = parts[0] if len(parts) == 1 and "" not in node else "(?:" + "|".join(parts) + ")"
+        return joined + "?" if "" in node else joined
+
+    return r"\b" + pattern(tree) + r"\b"
+
+
+#: Every pattern of a refusal or an offer contains one of these.
+SIGNAL_WORDS = ["sponsor", "right to work", "authori", "green card", "relocation", "permit", "visa"]
+
 ALL_SKILLS = [w for words in CATEGORIES.values() for w in words]

@@ -14,7 +14,7 @@ from jobscope.plans.feeds import batch_health, stream_events_equal_batch
 from jobscope.plans.postings import companies, postings
 from jobscope.sources.boards import COMPANY_BOARDS
 from jobscope.sources.registers import nl_entries, read_csv, uk_entries
-from jobscope.store import read_snapshot, with_ids, write_snapshot
+from jobscope.store import SnapshotConflict, newest_version, read_snapshot, with_ids, write_snapshot
 from jobscope.streaming.ingest import merge_batches, notify_batches
 
 SF = "/root/testdata/sf0.001"
@@ -37,7 +37,7 @@ def test_polls_merge_classify_and_sweep(spark):
     jobs, _, counters = ingest.poll(jobs, firms, board(spark, [posting(1), posting(2, content="plain")]), datetime(2026, 1, 1), "greenhouse", 7)
     rows = {r.external_id: r for r in jobs.collect()}
     assert rows["1"].sponsor_tier == "explicit_yes" and rows["1"].categories == ["ios"] and rows["1"].country == "SE"
-    assert rows["2"].sponsor_tier == "registry_inferred" and tuple(counters.first()) == (2, 2)
+    assert rows["2"].sponsor_tier == "registry_inferred" and tuple(counters.first()) == (2, 2, 0, 0, None) and {r.id for r in jobs.collect()} == {1, 2}
     jobs = jobs.withColumn("user_status", F.lit("starred"))
     for day in (2, 3):  # 2 is absent twice; 1 is there with a changed title alone, then with a changed text
         text = "We sponsor visas." if day == 2 else "No sponsorship."
@@ -54,13 +54,42 @@ def test_polls_merge_classify_and_sweep(spark):
     assert ingest.backfill(jobs.withColumn("categories", F.lit(None).cast("array<string>"))).where("categories is null").isEmpty()
 
 
+def test_a_drifted_poll_closes_nothing_and_an_empty_one_sweeps(spark):
+    firms = spark.createDataFrame([(7, "Acme", "greenhouse", "acme", "SE", 1, None, None, 1, True, 0, None, "ok", None)], COMPANY)
+    jobs, _, _ = ingest.poll(spark.createDataFrame([], JOB), firms, board(spark, [posting(1), posting(2)]), datetime(2026, 1, 1), "greenhouse", 7)
+    nothing = board(spark, [{"title": "no id"}, {"id": 3}])
+    for day in (2, 3):
+        jobs, _, counters = ingest.poll(jobs, firms, nothing, datetime(2026, 1, day), "greenhouse", 7, fetched=2)
+        assert tuple(counters.first()) == (2, 0, 2, 0, "schema_drift")
+    assert {(r.consecutive_misses, r.closed_at) for r in jobs.collect()} == {(0, None)}
+    jobs, _, counters = ingest.poll(jobs, firms, board(spark, [posting(1)]), datetime(2026, 1, 4), "greenhouse", 7, fetched=3)
+    assert tuple(counters.first()) == (3, 1, 2, 0, None)
+    closed = []
+    for day in (5, 6):
+        jobs, _, counters = ingest.poll(jobs, firms, board(spark, []), datetime(2026, 1, day), "greenhouse", 7)
+        closed.append(counters.first().closed)
+    assert closed == [1, 1] and jobs.where("closed_at is null").isEmpty()
+    assert {(r.external_id, r.id) for r in jobs.collect()} == {("1", 1), ("2", 2)}
+
+
+def test_two_writers_of_one_version_conflict(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    assert newest_version(spark, root) == 0
+    write_snapshot(spark.range(1), root)
+    seen = newest_version(spark, root)
+    write_snapshot(spark.range(2), root, seen)
+    with pytest.raises(SnapshotConflict):
+        write_snapshot(spark.range(3), root, seen)
+    assert read_snapshot(spark, root).count() == 2 and read_snapshot(spark, root, 1).count() == 1 and newest_version(spark, root) == 2
+
+
 def test_new_employers_get_rows(spark):
     firms = spark.createDataFrame([(7, "Acme", "greenhouse", "acme", "SE", 0, None, None, 1, True, 0, None, "ok", None)], COMPANY)
     after = state.get_or_create_companies(firms, spark.createDataFrame([("Beta",), ("Acme",), ("Beta",), ("Alpha",), (None,), ("",)], "name string"))
     assert {(r.id, r.name) for r in after.collect()} == {(7, "Acme"), (8, "Alpha"), (9, "Beta")}
     seeds = spark.createDataFrame([("Acme", "lever", "acme", "SE", 2), ("New", "ashby", "new", "US", 1)], "name string, ats_type string, ats_slug string, country_hq string, priority int")
     merged = {r.name: r for r in state.upsert_companies(firms.withColumns({"health": F.lit("quarantined"), "consecutive_failures": F.lit(4)}), seeds).collect()}
-    assert (merged["Acme"].ats_type, merged["Acme"].health, merged["Acme"].consecutive_failures) == ("lever", "ok", 0) and merged["New"].active
+    assert (merged["Acme"].ats_type, merged["Acme"].health, merged["Acme"].consecutive_failures) == ("lever", "ok", 0) and merged["New"].active and (merged["Acme"].id, merged["New"].id) == (7, 8)
 
 
 def test_ids_are_consecutive(spark):
@@ -177,6 +206,69 @@ def test_filters_and_pages(spark):
     assert parsed[0].f.levels == ["lead"] and parsed[1].f.countries == []
 
 
+def test_searches_beyond_one_broadcast_and_wildcards(spark):
+    jobs = postings(spark, SF)
+    searches = spark.createDataFrame([(n, f"s{n}", '{"q": "K_bern%RUST"}' if n % 2 else '{"q": "a\\\\b"}') for n in range(40)], "id long, name string, filters_json string")
+    wanted = jobs.where("canonical_id is null").where(search.like_ascii(F.col("title"), "K_bern%RUST") | search.like_ascii(F.col("description"), "K_bern%RUST")).count()
+    found = notify.search_hits(searches, jobs, max_searches=7).groupBy("search_id").count().collect()
+    assert wanted > 0 and {r.search_id: r["count"] for r in found} == {n: wanted for n in range(1, 40, 2)}
+    with pytest.raises(ValueError):
+        search.JobFilters(limit=201)
+
+
+def test_the_first_calls_of_a_month_are_admitted(spark):
+    calls = spark.range(5000).select(F.timestamp_seconds(1_700_000_000 + (F.col("id") * 7919) % 5000 * 3600).alias("ts"), F.col("id").alias("call_id"))
+    found = state.admit_calls(calls, 100).collect()
+    for month in {r.month for r in found}:
+        own = sorted((r.ts, r.call_id, r.admitted) for r in found if r.month == month)
+        assert [r[2] for r in own] == [k < 100 for k in range(len(own))]
+
+
+def test_fingerprints_need_no_shuffle_and_near_pairs_are_all_found(spark):
+    import random
+
+    from jobscope.operators.dedup import fingerprints, near_pairs
+
+    plan = fingerprints(postings(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    r, rows = random.Random(2), []
+    for _ in range(300):
+        base = r.getrandbits(64)
+        for _ in range(2):
+            f = base
+            for k in r.sample(range(64), r.randrange(11)):
+                f ^= 1 << k
+            rows.append((len(rows), len(rows) // 50, "t", None if len(rows) % 100 < 50 else "SE", f - (1 << 64) if f >> 63 else f))
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1:4] == b[1:4] and ((a[4] ^ b[4]) & (1 << 64) - 1).bit_count() <= 8}
+    found = [tuple(x) for x in near_pairs(spark.createDataFrame(rows, "id long, company_id long, title_key string, country string, fingerprint long")).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_matches_keep_the_first_of_each_search_before_the_shuffle(spark):
+    plan = notify.matches(spark.createDataFrame([(1, "a", "{}")], "id long, name string, filters_json string"), postings(spark, SF), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from jobscope.store import shared_dir
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(far)
+
+
+def test_every_pattern_holds_a_signal_word(spark):
+    from jobscope import vocab
+    from jobscope.functions.classify import with_sponsorship
+
+    assert all(any(w in p.replace("[sz]", "s").replace("authoris", "authori") for w in vocab.SIGNAL_WORDS) for p in vocab.NO_PATTERNS + vocab.YES_PATTERNS)
+    texts = ["No SPONSORSHIP here.", "We are AUTHORISED to work.", "authorized to work only", "Happy to Sponsor!", "nothing"]
+    found = with_sponsorship(spark.createDataFrame(list(enumerate(texts)), "n int, t string"), "t").orderBy("n").collect()
+    assert [r.text_tier for r in found] == ["explicit_no", "explicit_no", "explicit_no", "explicit_yes", None]
+
+
 def test_every_profile_is_matched(spark):
     resumes = spark.range(1003).select(F.col("id").cast("string").alias("resume_hash"), F.lit("Senior Swift developer").alias("source_text"), F.array(F.lit("SE")).alias("target_countries"))
     found = fit.deep_match(postings(spark, SF).limit(2), fit.build_profiles(resumes))
