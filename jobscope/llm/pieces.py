@@ -3,8 +3,9 @@
 In a piece model where no piece has a white-space mark after another character, merges never cross
 the place before a mark, so the ids of a text are the ids of its marked words put together. Each
 Python worker keeps a table of the distinct marked words it has met, has the library segment those
-that are new (once, in one call a slice), and joins the ids back by position. The table is bounded
-and keeps frequent words. Per-row maps only: no shuffle, nothing broadcast but the model's path.
+that are new, and joins the ids back by position. The table is bounded, so it isn't one table for the
+whole corpus: a word is segmented once in each worker, and again if it was rare enough to be put out.
+Per-row maps only: no shuffle, nothing broadcast but the model's path.
 
 Cases: a null text counts as empty, whose ids are the begin and end ids alone; runs of spaces stay
 with the word after them; repeated rows and null ids are kept as they are.
@@ -18,6 +19,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from jobscope.llm.common import GROUP, WordTable, per_slice, text_of
 
@@ -110,7 +112,12 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
 
 
 def tokenized(docs: DataFrame, model: str) -> DataFrame:
-    """A training table: ``doc_id``, ``lang``, ``source``, ``n_tokens``, ``ids`` and ``round_trip`` (whether decoding gives the text back)."""
+    """A training table: all columns of ``docs`` but ``text``, and ``n_tokens``, ``ids`` and ``round_trip`` (whether decoding gives the text back).
+
+    Columns of ``docs`` with one of these three names give way to them.
+    """
+    own = StructType.fromDDL("n_tokens long, ids array<int>, round_trip boolean")
+    kept = [c for c in docs.columns if c.lower() not in ("text", *(f.name for f in own))]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         table = piece_table(model)
@@ -120,7 +127,7 @@ def tokenized(docs: DataFrame, model: str) -> DataFrame:
         offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
         lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids).astype(np.int32)))
         same = [table.decode(x) == t for x, t in zip(ids, texts, strict=True)]
-        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], batch["source"], pa.array(sizes), lists, pa.array(same)], ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"])
+        return pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(sizes), lists, pa.array(same)], [*kept, *(f.name for f in own)])
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"), docs["text"])
-    return rows.mapInArrow(per_slice(work), "doc_id long, lang string, source string, n_tokens long, ids array<int>, round_trip boolean")
+    schema = StructType([docs.schema[c] for c in kept] + own.fields)
+    return docs.select(*kept, docs["text"].alias("text")).mapInArrow(per_slice(work), schema)
