@@ -604,6 +604,78 @@ def test_toxic_texts_are_told_on_the_held_out_fold(spark):
     assert 0 <= one_class.score("anything") < 0.5
 
 
+def naive_grams(text):
+    """Hash buckets of all character n-grams, one at a time with plain integers."""
+    low, cut, out = f" {text.lower().replace(chr(10), ' ')} ", 2**32 - 1, set()
+    for n in (3, 4, 5):
+        for i in range(len(low) - n + 1):
+            h = ord(low[i])
+            for c in low[i + 1 : i + n]:
+                h = h * 0x01000193 + ord(c) & cut
+            h = h * 0x9E3779B1 & cut
+            out.add((((h ^ h >> 15) * 0x85EBCA6B + n) & cut) >> 14)
+    return out
+
+
+def naive_model(texts, labels, selected):
+    """Ratios, selection and gradient steps over dictionaries and lists."""
+    import math
+
+    grams = [naive_grams(t) for t in texts]
+    toxic, clean = ({} for _ in range(2))
+    for g, y in zip(grams, labels, strict=True):
+        for b in g:
+            (toxic if y else clean)[b] = (toxic if y else clean).get(b, 0) + 1
+    seen = sorted(toxic.keys() | clean.keys())
+    p, q = ({b: side.get(b, 0) + 1 for b in seen} for side in (toxic, clean))
+    ps, qs = sum(p.values()), sum(q.values())
+    ratio = {b: math.log(p[b] / ps) - math.log(q[b] / qs) for b in seen}
+    best = sorted(seen, key=lambda b: (-abs(ratio[b]) / math.sqrt(1 / p[b] + 1 / q[b]), b))[:selected]
+    prior = math.log((sum(labels) + 1) / (len(labels) - sum(labels) + 1))
+    rows = [[b for b in best if b in g] for g in grams]
+    w, bias, m1, m2 = dict.fromkeys(best, 0.0), prior, dict.fromkeys([*best, "bias"], 0.0), dict.fromkeys([*best, "bias"], 0.0)
+    for t in range(1, toxicity.ROUNDS + 1):
+        g = dict.fromkeys([*best, "bias"], 0.0)
+        for row, y in zip(rows, labels, strict=True):
+            miss = (1 / (1 + math.exp(-(bias + sum(w[b] * ratio[b] for b in row)))) - y) / len(labels)
+            g["bias"] += miss
+            for b in row:
+                g[b] += miss * ratio[b]
+        for b in g:
+            own = g[b] + (toxicity.RIDGE * w[b] if b != "bias" else 0)
+            m1[b], m2[b] = 0.9 * m1[b] + 0.1 * own, 0.99 * m2[b] + 0.01 * own * own
+            step = 0.05 * (m1[b] / (1 - 0.9**t)) / (math.sqrt(m2[b] / (1 - 0.99**t)) + 1e-9)
+            if b == "bias":
+                bias -= step
+            else:
+                w[b] -= step
+    return lambda text: 1 / (1 + math.exp(-(bias + sum(w[b] * ratio[b] for b in naive_grams(text) if b in w))))
+
+
+def test_grams_ratios_and_fit_are_those_of_a_naive_twin(spark):
+    for t in noise(200, 12):
+        assert set(toxicity._present(t).tolist()) == naive_grams(t)
+    r = random.Random(12)
+    words = ["".join(r.choice("aeioulnrst") for _ in range(5)) for _ in range(60)]
+    rows = [(i, " ".join([r.choice(words) for _ in range(12)] + ["moron"] * (i % 3 == 0))) for i in range(60)]
+    labels = [(i, 1, int(i % 3 == 0)) for i, _ in rows]
+    model = toxicity.train(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), selected=40)
+    own = [(t, y) for (i, t), (_, _, y) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 4 != 2]
+    twin = naive_model([t for t, _ in own], [y for _, y in own], 40)
+    for _, t in [*rows, (0, ""), (0, "Moron!"), (0, "x" * 3)]:
+        assert abs(model.score(t) - twin(t)) < 1e-6, t
+
+
+def test_scores_rank_the_held_out_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    table, marks = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    scored = toxicity.score_table(table.join(marks.select("doc_id"), "doc_id", "left_semi"), toxicity.train(table, marks))
+    rows = [(x.score, x.toxic) for x in scored.where("held_out").join(marks.select("doc_id", "toxic"), "doc_id").where("toxic is not null").collect()]
+    bad, good = ([s for s, y in rows if y == k] for k in (1, 0))
+    above = sum((b > g) + 0.5 * (b == g) for b in bad for g in good)
+    assert len(bad) > 50 and above / (len(bad) * len(good)) > 0.95
+
+
 # ---- extra columns ----
 CLASHING = ["key", "words", "seed", "bucket", "line", "first", "dropped_lines", "drop_id", "found_id", "first_id", "content", "keys", "low", "held", "score", "toxic", "part", "h1", "item_id", "rep", "lead"]
 
