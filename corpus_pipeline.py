@@ -5,11 +5,12 @@ again as the next stage's ``docs``. All but the last return the columns of ``doc
 
 1. ``toxicity`` drops the documents that the classifier, trained on the labels of those given, rejects;
 2. ``line_dedup`` takes repeated lines out of the texts (a text of repeats alone becomes empty);
-3. ``near_dedup`` keeps one document of each class of near-duplicates;
+3. ``near_dedup`` keeps one row of each class of near-duplicates;
 4. ``decontaminate`` drops documents that hold a benchmark passage;
 5. ``sentencepiece`` encodes what is left, with its round trip checked.
 
-SQL can't express the classifier or the encoding; the pipeline is tested against its brute-force twin.
+SQL can't express the classifier or the encoding; the pipeline is tested against brute-force twins of its
+stages, on rows with null and repeated ids, on empty tables and with further columns.
 """
 
 from __future__ import annotations
