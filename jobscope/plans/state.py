@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobscope import vocab
 from jobscope.operators import health, state
+from jobscope.operators.fit import blocks
 from jobscope.operators.registry import stale_registers
 from jobscope.plans.postings import COMPANIES, EPOCH, POSTINGS, companies, postings
 
@@ -71,7 +73,8 @@ def misses_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users as postings and days as polls: a user without an event on a day was absent."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), F.to_date("ts").alias("poll")).distinct()
     users, days = e.select("key").distinct(), e.select("poll").distinct()
-    polls = users.join(F.broadcast(days)).join(e.withColumn("here", F.lit(True)), ["key", "poll"], "left").select("key", "poll", F.coalesce("here", F.lit(False)).alias("present"))
+    # days go to the users in parts of bounded size
+    polls = reduce(DataFrame.unionByName, (users.join(F.broadcast(part)) for part in blocks(days, "poll", 10_000))).join(e.withColumn("here", F.lit(True)), ["key", "poll"], "left").select("key", "poll", F.coalesce("here", F.lit(False)).alias("present"))
     return state.miss_streaks(polls)
 
 
