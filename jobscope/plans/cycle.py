@@ -10,11 +10,13 @@ from jobscope.functions import classify
 from jobscope.functions.labels import channel, label, search_summary
 from jobscope.functions.resume import profile_json, read_profile, resume_text
 from jobscope.functions.text import posted_ago
-from jobscope.operators import fit, health, ingest, registry, search, state
+from jobscope.operators import fit, ingest, registry, search, state
 from jobscope.operators.notify import parse_filters
 from jobscope.plans.matching import _searches, _words
 from jobscope.plans.postings import COMPANIES, EPOCH, POSTINGS, companies, pick, postings, sql_categories, sql_level, sql_pick, sql_years
-from jobscope.plans.state import NOW, _incoming, _stored
+from jobscope.plans.state import NOW, _stored
+from jobscope.sources.registers import nl_entries, read_csv, seed_companies
+from jobscope.store import new_path
 
 ATS = ["greenhouse", "lever", "ashby", "workday", "none"]
 
@@ -210,6 +212,22 @@ r AS (SELECT id, CASE WHEN NOT found AND flags & 8 <> 0 THEN flags ELSE (CASE WH
   CASE WHEN NOT found AND flags & 8 <> 0 THEN 'old' WHEN found THEN 'UK ' || name END AS match_evidence FROM f)"""
 
 
+def nl_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a register that keeps every entity; some have blank names."""
+    n = F.col("c_custkey")
+    rows = _table(spark, sf_dir, "customer").select(n.alias("pos"), F.when(n % 10 == 3, "  ").otherwise(F.concat(F.lit(" "), "c_name", F.lit(" "))).alias("Organisation"), F.lpad(n.cast("string"), 8, "0").alias("KvK number"))
+    return nl_entries(rows).select("registry", "pos", "name", "evidence", F.size("aliases").alias("n_aliases"))
+
+
+def seed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers written as a seed list with a header, and read."""
+    n = F.col("s_suppkey")
+    path = new_path(spark, "seeds")
+    rows = _table(spark, sf_dir, "supplier").select(F.concat("s_name", F.lit(', "quoted"')).alias("name"), pick(ATS, n).alias("ats_type"), F.lit("slug").alias("ats_slug"), F.lit("SE").alias("country_hq"), (n % 4).alias("priority"))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return seed_companies(read_csv(spark, path))
+
+
 # ---- resumes ----
 def resume_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as uploaded resumes of three kinds: text, hash and profile, written as JSON and read back."""
@@ -244,7 +262,7 @@ SELECT id, sha256(t) AS resume_hash, '{{"skills": ' || s || ', "categories": ' |
 
 QUERIES = {
     f.__name__: f
-    for f in (seed_upsert, poll_cycle, poll_cycle_jobs, reply_parse, tiered_classes, residue_upgrade, backfill_classes, settings_put, usage_add, searches_run, summaries, labels, posted_since, details, registry_refresh, registry_refresh_tiers, manual_flag, resume_ingest, evidence_clip)
+    for f in (seed_upsert, poll_cycle, poll_cycle_jobs, reply_parse, tiered_classes, residue_upgrade, backfill_classes, settings_put, usage_add, searches_run, summaries, labels, posted_since, details, registry_refresh, registry_refresh_tiers, manual_flag, nl_register, seed_csv, resume_ingest, evidence_clip)
 }
 
 ORACLES = {
@@ -266,6 +284,8 @@ SELECT n AS id, CASE WHEN len(parts) > 0 THEN array_to_string(parts, ' · ') ELS
     "registry_refresh": f"{_REFRESHED} SELECT * FROM r",
     "registry_refresh_tiers": f"{_REFRESHED} SELECT p.id, CASE WHEN r.id IS NULL OR sponsor_tier IN ('explicit_yes', 'explicit_no') THEN sponsor_tier WHEN registry_flags <> 0 THEN 'registry_inferred' ELSE 'unknown' END AS sponsor_tier FROM postings p LEFT JOIN r ON p.company_id = r.id",
     "manual_flag": f"WITH {COMPANIES} SELECT id, registry_flags | CASE WHEN id = (SELECT min(id) FROM companies) THEN 8 ELSE 0 END AS registry_flags, CASE WHEN id = (SELECT min(id) FROM companies) THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS match_confidence, CASE WHEN id = (SELECT min(id) FROM companies) THEN 'MANUAL: told so (flagged 2026-01-01)' ELSE 'old' END AS match_evidence FROM companies",
+    "nl_register": "SELECT 'NL' AS registry, CAST(c_custkey AS BIGINT) AS pos, c_name AS name, 'KvK ' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS evidence, 0 AS n_aliases FROM customer WHERE c_custkey % 10 <> 3",
+    "seed_csv": f"SELECT s_name || ', \"quoted\"' AS name, {sql_pick(ATS, 's_suppkey')} AS ats_type, 'slug' AS ats_slug, 'SE' AS country_hq, CAST(s_suppkey % 4 AS INT) AS priority FROM supplier",
     "resume_ingest": _RESUME,
     "evidence_clip": _CLIP,
 }

@@ -11,7 +11,7 @@ from jobscope.operators.registry import first_rows
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with a header, all strings; ``pos`` orders rows as the file does."""
-    return spark.read.option("header", True).option("multiLine", False).csv(path).withColumn("pos", F.monotonically_increasing_id())
+    return spark.read.option("header", True).option("multiLine", False).option("escape", '"').csv(path).withColumn("pos", F.monotonically_increasing_id())
 
 
 def _entries(rows: DataFrame, registry: str, evidence: Column, aliases: Column, name: Column) -> DataFrame:
