@@ -24,9 +24,18 @@ def hamming(a: Column, b: Column) -> Column:
 KNOWN = 1 << 17
 
 
-def _fingerprints(texts: pd.Series, digest: Callable[[bytes], bytes]) -> pd.Series:
-    """A bit is set if the words that have it outweigh those that don't; a text without words has fingerprint 0."""
-    known: dict[str, bytes] = {}
+#: Longest token that is remembered, in characters.
+KNOWN_CHARS = 32
+
+_MD5: dict[str, bytes] = {}
+_BLAKE2B: dict[str, bytes] = {}
+
+
+def _fingerprints(texts: pd.Series, digest: Callable[[bytes], bytes], known: dict[str, bytes]) -> pd.Series:
+    """A bit is set if the words that have it outweigh those that don't; a text without words has fingerprint 0.
+
+    ``known`` holds the bits of tokens that the worker has met, at most ``KNOWN`` of at most ``KNOWN_CHARS`` characters.
+    """
 
     def one(text: str | None) -> int:
         counts = Counter(re.findall(r"[a-z0-9]+", (text or "").lower()))
@@ -34,9 +43,15 @@ def _fingerprints(texts: pd.Series, digest: Callable[[bytes], bytes]) -> pd.Seri
             return 0
         if len(known) > KNOWN:
             known.clear()
-        for w in counts.keys() - known.keys():
-            known[w] = digest(w.encode())
-        hashes = np.frombuffer(b"".join(map(known.__getitem__, counts)), np.uint8).reshape(-1, 8)
+        bits = []
+        for w in counts:
+            value = known.get(w)
+            if value is None:
+                value = digest(w.encode())
+                if len(w) <= KNOWN_CHARS:
+                    known[w] = value
+            bits.append(value)
+        hashes = np.frombuffer(b"".join(bits), np.uint8).reshape(-1, 8)
         weights = np.fromiter(counts.values(), np.float64, len(counts))
         more = 2 * (weights @ np.unpackbits(hashes, axis=1)) > weights.sum()
         return int(np.packbits(more).view(">i8")[0])
@@ -47,10 +62,10 @@ def _fingerprints(texts: pd.Series, digest: Callable[[bytes], bytes]) -> pd.Seri
 @F.pandas_udf(LongType())
 def simhash_by_md5(texts: pd.Series) -> pd.Series:
     """The fingerprint with the first 64 bits of each token's md5 (Arrow-batched, no shuffle), as signed 64 bits."""
-    return _fingerprints(texts, lambda w: hashlib.md5(w).digest()[:8])
+    return _fingerprints(texts, lambda w: hashlib.md5(w).digest()[:8], _MD5)
 
 
 @F.pandas_udf(LongType())
 def simhash_by_blake2b(texts: pd.Series) -> pd.Series:
     """The fingerprint with 8-byte blake2b token hashes (Arrow-batched), as signed 64 bits."""
-    return _fingerprints(texts, lambda w: hashlib.blake2b(w, digest_size=8).digest())
+    return _fingerprints(texts, lambda w: hashlib.blake2b(w, digest_size=8).digest(), _BLAKE2B)

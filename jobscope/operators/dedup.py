@@ -11,7 +11,7 @@ from jobscope import vocab
 from jobscope.functions.simhash import BITS, hamming, simhash_by_md5
 from jobscope.functions.text import normalize_title
 from jobscope.operators.components import connected_components
-from jobscope.store import same_keys, written
+from jobscope.store import same_keys, spread, written
 
 
 #: Bit segments of a fingerprint.
@@ -23,6 +23,11 @@ def fingerprints(jobs: DataFrame) -> DataFrame:
     return jobs.select("id", "company_id", normalize_title(F.col("title")).alias("title_key"), "country", simhash_by_md5(F.col("description")).alias("fingerprint"))
 
 
+def written_fingerprints(jobs: DataFrame) -> DataFrame:
+    """``fingerprints``, worked out once by all cores and written."""
+    return written(fingerprints(spread(jobs.select("id", "company_id", "title", "country", "description"), "id")), "fingerprints")
+
+
 def near_pairs(prints: DataFrame, most: int = vocab.DEDUP_HAMMING) -> DataFrame:
     """Pairs ``a`` < ``b`` of one block whose fingerprints differ in at most ``most`` bits; null countries are equal.
 
@@ -52,7 +57,7 @@ def near_pairs(prints: DataFrame, most: int = vocab.DEDUP_HAMMING) -> DataFrame:
 
 def assign_canonicals(jobs: DataFrame) -> DataFrame:
     """``id`` and ``canonical``: the smallest id of its cluster, itself where it has none. Fingerprints are worked out once and written."""
-    prints = written(fingerprints(jobs), "fingerprints")
+    prints = written_fingerprints(jobs)
     found = connected_components(near_pairs(prints))
     return prints.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("canonical"))
 

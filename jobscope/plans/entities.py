@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from jobscope import vocab
 from jobscope.functions import names
 from jobscope.functions.simhash import simhash_by_md5
-from jobscope.operators.dedup import assign_canonicals, dedup_summary, fingerprints, link_canonicals, near_pairs
+from jobscope.operators.dedup import assign_canonicals, dedup_summary, link_canonicals, near_pairs, written_fingerprints
 from jobscope.operators.registry import first_rows, match_entries, rollup_matches
 from jobscope.operators.search import JobFilters, count_jobs
 from jobscope.plans.postings import POSTINGS, postings
 from jobscope.sources.registers import uk_entries, us_entries
+from jobscope.store import spread
 
 NAMES = ["Cohere US, Inc.", "Cohere Health, Inc.", "Cohere", "Reddit", "Redditch Ltd", "N.V. Philips", "Stripe Payments UK Ltd", "Bird (MessageBird)", "AgileBits UK Ltd trading as 1Password", "Foo T/A Bar dba Baz", "", "Global Services Group", "Acme  Labs, LLC (Acme Europe)"]
 DECORATIONS = [" Limited", " UK Ltd", " trading as Brand ", " Health Inc", " Holdings B.V.", " Consulting"]
@@ -76,12 +77,13 @@ def first_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", simhash_by_md5(F.col("text")).alias("fingerprint"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(docs, "doc_id").select("doc_id", simhash_by_md5(F.col("text")).alias("fingerprint"))
 
 
 def neardup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs between the first postings of each fingerprint and their copies."""
-    return near_pairs(fingerprints(postings(spark, sf_dir)))
+    return near_pairs(written_fingerprints(postings(spark, sf_dir)))
 
 
 def canonical_map(spark: SparkSession, sf_dir: str) -> DataFrame:

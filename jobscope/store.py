@@ -37,6 +37,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows over all cores where they come from fewer files than there are cores; larger tables stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if 0 < len(df.inputFiles()) < cores else df
+
+
 def _versions(root: str) -> str:
     return f"{root.rstrip('/')}-versions"
 

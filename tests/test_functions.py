@@ -157,3 +157,24 @@ def test_fingerprints_of_blake2b(spark):
     df = spark.createDataFrame([(a, b, c)], "a long, b long, c long")
     near, far = df.select(hamming(F.col("a"), F.col("b")).alias("x"), hamming(F.col("a"), F.col("c")).alias("y")).first()
     assert near <= 12 < far and empty == 0
+
+
+def test_known_tokens_are_looked_up_one_by_one():
+    """A text costs its own words, however many the worker knows; long tokens aren't kept."""
+    import pandas as pd
+
+    from jobscope.functions import simhash
+
+    class Counted(dict):
+        looked = 0
+
+        def get(self, key, default=None):
+            Counted.looked += 1
+            return super().get(key, default)
+
+        def keys(self):
+            raise AssertionError("the whole table was walked")
+
+    known, digest = Counted({f"w{k}": b"12345678" for k in range(50_000)}), lambda w: w[:8].ljust(8)
+    simhash._fingerprints(pd.Series(["w1 w2 w3 " + "x" * 40] * 100), digest, known)
+    assert Counted.looked == 400 and len(known) == 50_000
