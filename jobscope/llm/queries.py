@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobscope.llm import chat_perspectives, decontaminate, licenses, line_dedup, media_ts, order_minhash, pieces, token_counts, token_planes, toxicity
+from jobscope.llm import chat_perspectives, decontaminate, licenses, line_dedup, media_ts, order_minhash, pieces, sharding, spelling, token_counts, token_planes, toxicity, vector_codes
 from jobscope.llm.common import table
 from jobscope.store import new_path
 
@@ -61,6 +61,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_table(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_table(table(spark, sf_dir, "documents"), sharding.SHARDS)
+
+
+def op12_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_table(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_media_ts": op2_media_ts,
@@ -72,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_order_minhash": op8_order_minhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_best_fit_shards": op11_best_fit_shards,
+    "op12_annular_codes": op12_annular_codes,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -79,4 +94,6 @@ ORACLES: dict[str, str] = {
     "op3_spaced_seeds": decontaminate.ORACLE,
     "op5_licenses": licenses.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op12_annular_codes": vector_codes.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
