@@ -5,13 +5,13 @@ if exactly one code point put in, taken out or replaced turns one into the other
 positional q-grams but the ``q`` that the edit can touch: at least ``longer - 2 * q + 1`` of them, at
 places that differ by one at most (and only in the longer word, by the letter put in).
 
-* *Which words meet.* Grams are ordered by how many words hold them, rare ones first. Of a word's grams
-  in this order the first ``q + 1`` hold the first that it shares with a near word, so words meet where
-  they have one of those in common, at the same place in words of the same length, or at the same or
-  the next place of a word that is one longer.
+* *Which words meet.* A word is cut in four consecutive grams. The edit falls within one of them, or
+  beside it, so two near words share the other three, those behind it one place on in the longer word.
+  Words meet for each gram left out, by length and the hash of the rest.
 * *Count filter.* Where they meet, the words to be found form an inverted index from (gram, place) to
   the sorted numbers of its words; for each asking word the posting lists of its grams, under the limits
-  of place and length, are merged by a heap, and words that come up as often as the bound are verified.
+  of place and length, are merged by a heap (the longest are searched instead), and words that come up
+  as often as the bound are verified.
 
 A meeting's index and its asking words come sorted to one task, the index first; only that is held. It
 has about ``INDEXED`` words at most: larger meetings are cut in chunks, against each of which all asking
@@ -31,6 +31,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import groupby
@@ -52,8 +53,11 @@ EVERY = 31
 #: Words, and characters of them, that a task adds up before it hands them on.
 ADDED, ADDED_CHARS = 200_000, 8 << 20
 
-#: Words of an index, and words that ask it, in one piece of work, about.
-INDEXED, ASKING = 512, 1024
+#: Consecutive grams of a word, all but one of which near words share.
+PARTS = 4
+
+#: Words of an index, and words that ask it, in one piece of work, about; meetings beyond that are broadcast up to so many.
+INDEXED, ASKING, MAX_BROADCAST_CROWDED = 512, 1024, 100_000
 
 _LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -96,32 +100,26 @@ def _batch(counts: Counter[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
 
-def _prefixes(words: DataFrame, q: int) -> DataFrame:
-    """``word``, ``n``, ``gram`` and ``place`` of each word's ``q + 1`` rarest positional grams."""
-    grams = F.transform(F.sequence(F.lit(1), F.length("word") - q + 1), lambda i: F.substring(F.col("word"), i, F.lit(q)))
-    cut = words.select("word", "n", F.posexplode(grams).alias("place", "gram"))
-    # as many rows as there are grams of letters, at most 90 ** q, however many words there are
-    rare = cut.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
-    ranked = cut.join(F.broadcast(rare) if q <= 3 else rare, "gram").groupBy("word", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct("held", "gram", "place"))), 1, q + 1).alias("first"))
-    return ranked.select("word", "n", F.explode("first").alias("x")).select("word", "n", "x.gram", "x.place")
-
-
-def _meetings(prefixes: DataFrame) -> DataFrame:
-    """``gram``, ``place``, ``length``, ``chunk``, ``block``, ``asks``, ``word``, ``n``: each word in an index, and asking those of its own length and of one less."""
-    length = F.length("word")
-    roles = F.array(
-        *(F.struct(F.lit(asks).alias("asks"), (F.col("place") - step).alias("place"), (length - less).alias("length")) for asks, step, less in ((False, 0, 0), (True, 0, 0), (True, 0, 1), (True, 1, 1)))
-    )
-    rows = prefixes.select("word", "n", "gram", F.explode(roles).alias("x")).select("word", "n", "gram", "x.*").where("place >= 0")
-    keys = ["gram", "place", "length"]
+def _meetings(words: DataFrame, min_chars: int) -> DataFrame:
+    """``length``, ``key``, ``chunk``, ``block``, ``asks``, ``word``, ``n``: each word in an index for each of its parts left out, and asking those of its own length and of one less."""
+
+    def key(k: int, less: int) -> Column:
+        """What stands before and after part ``k`` of a word of ``less`` letters less; a letter put in there is left out with it."""
+        border = lambda j: F.floor(j * (F.length("word") - less) / PARTS).cast("int")
+        return F.xxhash64(F.lit(k), F.substring(F.col("word"), F.lit(1), border(k)), F.substring(F.col("word"), border(k + 1) + 1 + less, F.length("word")))
+
+    role = lambda asks, less, k: F.struct(F.lit(asks).alias("asks"), (F.length("word") - less).alias("length"), key(k, less).alias("key"))
+    roles = F.array(*(role(asks, less, k) for k in range(PARTS) for asks, less in ((False, 0), (True, 0), (True, 1))))
+    rows = words.select("word", "n", F.explode(roles).alias("x")).select("word", "n", "x.*").where(F.col("length") >= min_chars)
+    keys = ["length", "key"]
     sizes = rows.groupBy(*keys).agg(F.count_if(~F.col("asks")).alias("indexed"), F.count_if("asks").alias("asking"))
-    # nobody to be found, or only one who would ask itself
-    useful = sizes.where("indexed > 0 AND asking > 1").select(*keys, F.ceil(F.col("indexed") / INDEXED).alias("chunks"), F.ceil(F.col("asking") / ASKING).alias("blocks"))
-    met = rows.join(useful, keys)
-    own = lambda parts, salt: F.pmod(F.xxhash64("word", F.lit(salt)), F.col(parts)).cast("int")
-    every = lambda parts: F.sequence(F.lit(0), F.col(parts).cast("int") - 1)
-    placed = met.withColumn("chunk", F.explode(F.when(F.col("asks"), every("chunks")).otherwise(F.array(own("chunks", 1)))))
-    return placed.withColumn("block", F.explode(F.when(F.col("asks"), F.array(own("blocks", 2))).otherwise(every("blocks")))).select(*keys, "chunk", "block", "asks", "word", "n")
+    crowded = written(sizes.where((F.col("indexed") > INDEXED) | (F.col("asking") > ASKING)).select(*keys, F.ceil(F.col("indexed") / INDEXED).alias("chunks"), F.ceil(F.col("asking") / ASKING).alias("blocks")), "crowded")
+    met = rows.join(F.broadcast(crowded) if crowded.count() <= MAX_BROADCAST_CROWDED else crowded, keys, "left")
+    parts = lambda name: F.greatest(F.lit(1), F.coalesce(F.col(name), F.lit(1))).cast("int")
+    own = lambda name, salt: F.array(F.pmod(F.xxhash64("word", F.lit(salt)), parts(name)).cast("int"))
+    every = lambda name: F.sequence(F.lit(0), parts(name) - 1)
+    placed = met.withColumn("chunk", F.explode(F.when(F.col("asks"), every("chunks")).otherwise(own("chunks", 1))))
+    return placed.withColumn("block", F.explode(F.when(F.col("asks"), own("blocks", 2)).otherwise(every("blocks")))).select(*keys, "chunk", "block", "asks", "word", "n")
 
 
 class GramIndex:
@@ -135,15 +133,32 @@ class GramIndex:
                 self.postings[word[place : place + q], place].append(number)
 
     def near(self, word: str) -> Iterator[tuple[str, int]]:
-        """Indexed words one edit from ``word``, which is as long as they are or one longer; of words as long, those before it in order."""
+        """Indexed words one edit from ``word``, which is as long as they are or one longer; of words as long, those before it in order.
+
+        A word that comes up ``bound`` times is in one of all lists but the ``bound - 1`` longest: only
+        those are merged, and the longest are searched for what comes up.
+        """
         q, length = self.q, len(self.words[0][0])
         steps = (0, 1) if len(word) > length else (0,)
         lists = [found for place in range(len(word) - q + 1) for step in steps if (found := self.postings.get((word[place : place + q], place - step)))]
         bound = len(word) - 2 * q + 1
         if len(lists) < bound:
             return
-        for number, again in groupby(heapq.merge(*lists)):
-            if sum(1 for _ in again) >= bound:
+        lists.sort(key=len)
+        merged = len(lists) - bound + 1
+        long = lists[merged:]
+        for number, again in groupby(heapq.merge(*lists[:merged])):
+            missing = bound
+            for _ in again:
+                missing -= 1
+            if missing > len(long):
+                continue
+            for postings in long:
+                if missing <= 0:
+                    break
+                at = bisect_left(postings, number)
+                missing -= at < len(postings) and postings[at] == number
+            if missing <= 0:
                 other, n = self.words[number]
                 if (len(word) > length or other < word) and within_one_edit(other, word):
                     yield other, n
@@ -154,7 +169,7 @@ def near_pairs(words: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     q = min(3, min_chars // 2)
     if q < 1:
         raise ValueError("words of one letter have no grams to share: min_chars must be 2 at least")
-    keys = ["gram", "place", "length", "chunk", "block"]
+    keys = ["length", "key", "chunk", "block"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, indexed, index = None, [], None
@@ -172,7 +187,7 @@ def near_pairs(words: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["a", "a_n", "b", "b_n"])
 
-    met = _meetings(written(_prefixes(words, q), "word-grams"))
+    met = _meetings(words, min_chars)
     shards = max(1, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sorted_ = met.repartition(shards, *keys).sortWithinPartitions(*keys, "asks", "word")
     return sorted_.mapInArrow(work, "a string, a_n long, b string, b_n long").dropDuplicates(["a", "b"])
