@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobscope import vocab
@@ -28,6 +29,31 @@ def written_fingerprints(jobs: DataFrame) -> DataFrame:
     return written(fingerprints(spread(jobs.select("id", "company_id", "title", "country", "description"), "id")), "fingerprints")
 
 
+BLOCK = ["company_id", "title_key", "country"]
+
+
+def _segments(prints: DataFrame, most: int) -> DataFrame:
+    """``block``, ``place``, ``part``, ``fingerprint`` and ``rep`` for each choice of segments that near fingerprints may share."""
+    shared = F.array(*(F.col("fingerprint").bitwiseAND(_signed(m)) for m in _choices(most)))
+    return prints.select(F.struct(*BLOCK).alias("block"), "fingerprint", "rep", F.posexplode(shared).alias("place", "part"))
+
+
+def _choices(most: int) -> list[int]:
+    bounds = [k * BITS // SEGMENTS for k in range(SEGMENTS + 1)]
+    masks = [(1 << high) - (1 << low) for low, high in zip(bounds, bounds[1:], strict=False)]
+    return [sum(c) for c in combinations(masks, max(1, SEGMENTS - most))]
+
+
+def _signed(mask: int) -> Column:
+    return F.lit(mask - (1 << BITS) if mask >> BITS - 1 else mask)
+
+
+def _first_choice(a: Column, b: Column, most: int) -> Column:
+    """The first choice of segments in which two fingerprints are equal."""
+    differ = a.bitwiseXOR(b)
+    return F.coalesce(*(F.when(differ.bitwiseAND(_signed(m)) == 0, k) for k, m in enumerate(_choices(most))))
+
+
 def near_pairs(prints: DataFrame, most: int = vocab.DEDUP_HAMMING) -> DataFrame:
     """Pairs ``a`` < ``b`` of one block whose fingerprints differ in at most ``most`` bits; null countries are equal.
 
@@ -37,22 +63,62 @@ def near_pairs(prints: DataFrame, most: int = vocab.DEDUP_HAMMING) -> DataFrame:
     segments and eight bits any two, about 13 bits, of 45 choices. Each pair is kept at the first
     choice where it meets, so that nothing need be made distinct.
     """
-    keys = ["company_id", "title_key", "country"]
-    one = prints.groupBy(*keys, "fingerprint").agg(F.min("id").alias("rep"))
-    crowded = one.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = one.alias("s").join(crowded.alias("i"), same_keys(keys, "s", "i"), "left_semi")
-    bounds = [k * BITS // SEGMENTS for k in range(SEGMENTS + 1)]
-    masks = [(1 << high) - (1 << low) for low, high in zip(bounds, bounds[1:], strict=False)]
-    signed = lambda m: F.lit(m - (1 << BITS) if m >> BITS - 1 else m)
-    choices = [sum(c) for c in combinations(masks, max(1, SEGMENTS - most))]
-    parts = F.array(*(F.col("fingerprint").bitwiseAND(signed(m)) for m in choices))
-    cut = shared.select(F.struct(*keys).alias("block"), "fingerprint", "rep", F.posexplode(parts).alias("place", "part"))
+    one = prints.groupBy(*BLOCK, "fingerprint").agg(F.min("id").alias("rep"))
+    crowded = one.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = one.alias("s").join(crowded.alias("i"), same_keys(BLOCK, "s", "i"), "left_semi")
+    cut = _segments(shared, most)
     left, right = (cut.select("block", "place", "part", F.col("fingerprint").alias(f"f{k}"), F.col("rep").alias(k)) for k in "ab")
     met = left.join(right, ["block", "place", "part"]).where((F.col("a") < F.col("b")) & (hamming(F.col("fa"), F.col("fb")) <= most))
-    differ = F.col("fa").bitwiseXOR(F.col("fb"))
-    first = F.coalesce(*(F.when(differ.bitwiseAND(signed(m)) == 0, k) for k, m in enumerate(choices)))
-    same = prints.alias("s").join(one.alias("i"), same_keys([*keys, "fingerprint"], "s", "i")).where("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    return met.where(F.col("place") == first).select("a", "b").unionByName(same)
+    same = prints.alias("s").join(one.alias("i"), same_keys([*BLOCK, "fingerprint"], "s", "i")).where("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    return met.where(F.col("place") == _first_choice(F.col("fa"), F.col("fb"), most)).select("a", "b").unionByName(same)
+
+
+@dataclass(frozen=True)
+class DedupIndex:
+    """What polls leave for the next: ``prints`` (``fingerprints`` of all postings), ``segments`` that new ones are held against, and ``labels`` (id, canonical)."""
+
+    prints: DataFrame
+    segments: DataFrame
+    labels: DataFrame
+
+
+def start_index(jobs: DataFrame, most: int = vocab.DEDUP_HAMMING) -> DedupIndex:
+    """The index of a first set of postings, all compared."""
+    none = written_fingerprints(jobs.limit(0))
+    labels = none.select("id", F.col("id").alias("canonical"))
+    return update_index(DedupIndex(none, written(_segments(none.withColumnRenamed("id", "rep"), most), "segments"), labels), jobs, most=most)
+
+
+def update_index(index: DedupIndex, changed: DataFrame, gone: DataFrame | None = None, most: int = vocab.DEDUP_HAMMING) -> DedupIndex:
+    """The index after a poll: ``changed`` postings are new or have another title, country, company or text; ``gone`` (id) ones are no more.
+
+    Only the changed postings are fingerprinted, and only they probe the stored segments. The clusters
+    that changed and gone postings were in are taken apart and linked anew from their fingerprints; all
+    other clusters stand as their smallest id, and are only renamed where a new link reaches them. The
+    result is that of comparing all postings. Segments of fingerprints that are no more stay in the index
+    and are told by the posting's present fingerprint.
+    """
+    fresh = written_fingerprints(changed)
+    ids = fresh.select("id")
+    touched = written(ids if gone is None else ids.unionByName(gone.select("id")).distinct(), "touched")
+    hit = index.labels.join(touched, "id", "left_semi").select(F.col("canonical").alias("_hit")).distinct()
+    apart = written(index.labels.join(hit, F.col("canonical") == F.col("_hit"), "left_semi").select("id"), "apart")
+    prints = written(index.prints.join(touched, "id", "left_anti").unionByName(fresh), "fingerprints")
+    open_ids = written(apart.join(touched, "id", "left_anti").unionByName(ids), "open")
+    opened = written(prints.join(open_ids, "id", "left_semi"), "open-prints")
+    labels = written(index.labels.join(apart, "id", "left_anti"), "labels")
+    within = near_pairs(opened, most)
+    own = _segments(fresh.groupBy(*BLOCK, "fingerprint").agg(F.min("id").alias("rep")), most)
+    left, right = (df.select("block", "place", "part", F.col("fingerprint").alias(f"f{k}"), F.col("rep").alias(k)) for k, df in (("a", own), ("b", index.segments)))
+    met = left.join(right, ["block", "place", "part"]).where(hamming(F.col("fa"), F.col("fb")) <= most).where(F.col("place") == _first_choice(F.col("fa"), F.col("fb"), most))
+    now = prints.select(F.col("id").alias("b"), F.col("fingerprint").alias("_now"), F.struct(*BLOCK).alias("_block"))
+    held = met.select("a", "b", "fb", "block").join(now, "b").where((F.col("_now") == F.col("fb")) & F.col("block").eqNullSafe(F.col("_block")))
+    across = held.join(labels.select(F.col("id").alias("b"), "canonical"), "b").select("a", F.col("canonical").alias("b"))
+    found = written(connected_components(written(within.unionByName(across), "links")), "components")
+    renamed = labels.join(found, F.col("canonical") == F.col("node"), "left").select("id", F.coalesce("component", "canonical").alias("canonical"))
+    linked = open_ids.join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("canonical"))
+    more = written(_segments(opened.groupBy(*BLOCK, "fingerprint").agg(F.min("id").alias("rep")), most), "segments")
+    return DedupIndex(prints, index.segments.unionByName(more), written(renamed.unionByName(linked), "labels"))
 
 
 def assign_canonicals(jobs: DataFrame) -> DataFrame:

@@ -52,12 +52,30 @@ def score_jobs(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
     return _with_profiles(stored_facts(jobs), profiles).select("resume_hash", "id", "content_hash", score_match(F.col("profile"), F.col("facts")).alias("score"))
 
 
+def _unscored(cached: DataFrame, jobs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``resume_hash`` and ``id`` of the pairs that ``cached`` (valid pairs) hasn't got.
+
+    A resume that lacks more than half of the postings is held against all of them. For all others,
+    only postings that one of them lacks are: those that are new or have changed, which as a rule all
+    of them lack.
+    """
+    total = jobs.count()
+    have = cached.groupBy("resume_hash").agg(F.count(F.lit(1)).alias("n"))
+    resumes = written(profiles.select("resume_hash").distinct().join(have, "resume_hash", "left").select("resume_hash", F.coalesce("n", F.lit(0)).alias("n")), "coverage")
+    dense, sparse = resumes.where(F.col("n") * 2 > total).select("resume_hash"), resumes.where(F.col("n") * 2 <= total).select("resume_hash")
+    full = dense.count()
+    held = cached.join(F.broadcast(dense) if full <= BLOCK else dense, "resume_hash", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    lacking = jobs.select("id").join(held, "id", "left").where(F.coalesce("n", F.lit(0)) < full).select("id")
+    pairs = [jobs.select("id").join(F.broadcast(p)) for p in blocks(sparse, "resume_hash", BLOCK)] + [lacking.join(F.broadcast(p)) for p in blocks(dense, "resume_hash", BLOCK)]
+    return reduce(DataFrame.unionByName, pairs).join(cached, ["resume_hash", "id"], "left_anti").select("resume_hash", "id")
+
+
 def refresh_scores(cache: DataFrame, jobs: DataFrame, profiles: DataFrame) -> DataFrame:
     """The score cache with scores worked out anew only for pairs of resume and posting whose content hash isn't the cached one."""
-    cached = cache.select("resume_hash", F.col("job_canonical_id").alias("id"), "content_hash")
-    current = cache.join(jobs.select(F.col("id").alias("_i"), F.col("content_hash").alias("_now")), F.col("job_canonical_id") == F.col("_i"), "left").where(F.coalesce(F.col("_now") == F.col("content_hash"), F.lit(True))).drop("_i", "_now")
-    pairs = [jobs.select("id", "content_hash").join(F.broadcast(p)) for p in blocks(profiles.select("resume_hash"), "resume_hash", BLOCK)]
-    todo = written(reduce(DataFrame.unionByName, pairs).join(cached, ["resume_hash", "id", "content_hash"], "left_anti").select("resume_hash", "id"), "unscored")
+    met = cache.join(jobs.select(F.col("id").alias("_i"), F.col("content_hash").alias("_now")), F.col("job_canonical_id") == F.col("_i"), "left")
+    current = met.where(F.coalesce(F.col("_now") == F.col("content_hash"), F.lit(True))).drop("_i", "_now")
+    valid = written(met.where(F.col("_now") == F.col("content_hash")).select("resume_hash", F.col("job_canonical_id").alias("id")).distinct(), "valid-scores")
+    todo = written(_unscored(valid, jobs, profiles), "unscored")
     facts = stored_facts(jobs.join(todo.select("id").distinct(), "id", "left_semi"))
     met = facts.join(todo, "id").join(profiles.select("resume_hash", "profile"), "resume_hash")
     fresh = met.select("resume_hash", "id", "content_hash", score_match(F.col("profile"), F.col("facts")).alias("score")).select("resume_hash", F.col("id").alias("job_canonical_id"), "score.*", "content_hash", F.current_timestamp().alias("computed_at"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope import vocab
+from jobscope import buckets, vocab
 from jobscope.functions.classify import classify, resolve_tier, with_sponsorship
 from jobscope.operators.health import after_poll, poll_outcome
-from jobscope.operators.state import changed_only, get_or_create_companies, sweep, upsert_jobs
+from jobscope.operators.state import changed_only, get_or_create_companies, poll_into, sweep, upsert_jobs
 from jobscope.store import written
 
 
@@ -18,37 +18,93 @@ def classify_postings(postings: DataFrame) -> DataFrame:
     return read.withColumns({"categories": F.col("_class.categories"), "level": F.col("_class.level"), "sponsor_tier": resolve_tier(F.col("_tier"), F.col("registry_flags"))}).drop("_class", "_tier")
 
 
-def _merged(jobs: DataFrame, met: DataFrame, seen_at) -> DataFrame:  # noqa: ANN001
-    """Jobs after the upsert of postings that carry ``company_id`` and ``registry_flags``; only new or changed ones are classified."""
+def _classified(jobs: DataFrame, met: DataFrame, seen_at) -> DataFrame:  # noqa: ANN001
+    """Postings (with ``company_id`` and ``registry_flags``) as an upsert takes them; only new or changed ones are classified."""
     fresh = classify_postings(changed_only(met, jobs)).select("source_id", "external_id", "categories", "level", "sponsor_tier", "sponsor_evidence")
-    return upsert_jobs(jobs, met.join(fresh, ["source_id", "external_id"], "left").withColumn("seen_at", F.lit(seen_at).cast("timestamp")))
+    return met.join(fresh, ["source_id", "external_id"], "left").withColumn("seen_at", F.lit(seen_at).cast("timestamp"))
+
+
+def _merged(jobs: DataFrame, met: DataFrame, seen_at) -> DataFrame:  # noqa: ANN001
+    """Jobs after the upsert of postings that carry ``company_id`` and ``registry_flags``."""
+    return upsert_jobs(jobs, _classified(jobs, met, seen_at))
+
+
+def of_boards(companies: DataFrame, only_slug: str | None = None) -> DataFrame:
+    """The companies whose boards a run polls, in the run's order: active ones that aren't shadows, or the one board that is asked for."""
+    own = companies.where(F.col("active") & (F.col("ats_type") != vocab.SHADOW_ATS))
+    return (own if only_slug is None else own.where(F.col("ats_slug") == only_slug)).orderBy("priority", "name")
+
+
+COUNTERS = "fetched long, upserted long, errors long, closed long, failure string"
+
+
+def _named(companies: DataFrame, postings: DataFrame, company_id: int | None) -> DataFrame:
+    """Postings with ``company_id`` and ``registry_flags`` of the one company, or of the employer that each names."""
+    named = companies.select(F.col("id").alias("company_id"), F.col("name").alias("_n"), "registry_flags")
+    if company_id is not None:
+        return postings.crossJoin(named.where(F.col("company_id") == company_id).drop("_n").limit(1))  # one row
+    return postings.join(named, postings["company_name"] == F.col("_n")).drop("_n")
+
+
+def _read_once(postings: DataFrame, company_id: int | None) -> tuple[DataFrame, int, int]:
+    """Postings written as they are read, how many there are, and how many of them can be upserted."""
+    counted = Observation()
+    can = F.lit(True) if company_id is not None else F.coalesce(F.col("company_name") != "", F.lit(False))
+    kept = written(postings.observe(counted, F.count(F.lit(1)).alias("seen"), F.count_if(can).alias("upserted")), "postings")
+    return kept, counted.get["seen"], counted.get["upserted"]
 
 
 def poll(jobs: DataFrame, companies: DataFrame, postings: DataFrame, seen_at, source: str, company_id: int | None = None, fetched: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
     """One poll of a source: new snapshots of jobs and companies, and one row of counters.
 
-    Only new or changed postings are classified. Without a company, employers are found or made by
-    name and the sweep is scoped by source alone. ``fetched`` is the number of rows that came (all of
-    ``postings`` if it isn't given). If rows came and none could be read, the source has drifted: jobs
-    stay as they are, nothing is swept. An empty poll sweeps. Counters: ``fetched``, ``upserted``,
-    ``errors`` (rows that couldn't be read), ``closed`` (postings that this poll closes) and
-    ``failure`` (null or ``schema_drift``).
+    Only new or changed postings are classified. ``fetched`` is the number of rows that came (all of
+    ``postings`` if it isn't given). Of a company's board, if rows came and none could be read, the
+    source has drifted: jobs stay as they are, nothing is swept; an empty poll sweeps. Without a
+    company, employers are found or made by name and the sweep is scoped by source alone. A posting that
+    names no employer is seen, so it isn't closed, but an error, not upserted; such sources know no
+    drift, and sweep whatever came. Counters: ``fetched``, ``upserted``, ``errors`` (rows that couldn't
+    be read or have no employer), ``closed`` (postings that this poll closes) and ``failure`` (null or
+    ``schema_drift``). They come with the two passes that write the postings and the jobs.
     """
-    upserted = postings.count()
-    fetched = upserted if fetched is None else fetched
-    drift = fetched > 0 and not upserted
-    counters = lambda closed: closed.select(F.lit(fetched).cast("long").alias("fetched"), F.lit(upserted).cast("long").alias("upserted"), F.lit(fetched - upserted).cast("long").alias("errors"), F.coalesce("closed", F.lit(0)).cast("long").alias("closed"), F.lit("schema_drift" if drift else None).cast("string").alias("failure"))
+    postings, seen, upserted = _read_once(postings, company_id)
+    fetched = seen if fetched is None else fetched
+    drift = company_id is not None and fetched > 0 and not upserted
+    counters = lambda closed: jobs.sparkSession.createDataFrame([(fetched, upserted, fetched - upserted, closed, "schema_drift" if drift else None)], COUNTERS)
     if drift:
-        return jobs, companies, counters(jobs.sparkSession.range(1).select(F.lit(0).alias("closed")))
-    companies = get_or_create_companies(companies, postings.select(F.col("company_name").alias("name"))) if company_id is None else companies
-    named = companies.select(F.col("id").alias("company_id"), F.col("name").alias("_n"), "registry_flags")
-    met = postings.join(named, postings["company_name"] == F.col("_n")).drop("_n") if company_id is None else postings.crossJoin(named.where(F.col("company_id") == company_id).drop("_n").limit(1))  # one row
+        return jobs, companies, counters(0)
+    if company_id is None:
+        pos = "pos" if "pos" in postings.columns else "external_id"
+        companies = get_or_create_companies(companies, postings.select(F.col("company_name").alias("name"), "country", F.col(pos).alias("pos")))
     scope = F.col("source_id") == source
     if company_id is not None:
         scope = scope & (F.col("company_id") == company_id)
-    merged = written(_merged(jobs, met, seen_at), "merged")  # a chain of polls has plans of one poll each
+    observed = Observation()
+    merged = _merged(jobs, _named(companies, postings, company_id), seen_at)
     swept = sweep(merged, postings.select("source_id", "external_id"), scope, seen_at, closes="_closes")
-    return swept.drop("_closes"), companies, counters(swept.agg(F.count_if("_closes").alias("closed")))
+    polled = written(swept.observe(observed, F.count_if("_closes").alias("closed")).drop("_closes"), "polled")  # a chain of polls has plans of one poll each
+    return polled, companies, counters(observed.get["closed"])
+
+
+def poll_table(spark: SparkSession, root: str, companies: DataFrame, postings: DataFrame, seen_at, source: str, company_id: int | None = None, fetched: int | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+    """``poll`` of a table of buckets at ``root``, of which those are rewritten that hold a posting that came or that is swept: companies and counters."""
+    postings, seen, upserted = _read_once(postings, company_id)
+    fetched = seen if fetched is None else fetched
+    drift = company_id is not None and fetched > 0 and not upserted
+    closed = 0
+    if not drift:
+        if company_id is None:
+            pos = "pos" if "pos" in postings.columns else "external_id"
+            companies = get_or_create_companies(companies, postings.select(F.col("company_name").alias("name"), "country", F.col(pos).alias("pos")))
+        scope = F.col("source_id") == source
+        if company_id is not None:
+            scope = scope & (F.col("company_id") == company_id)
+        version = buckets.read_version(spark, root)
+        met = _named(companies, postings, company_id)
+        stored = buckets.read_buckets(spark, version, buckets.touched_by(met, version))
+        observed = Observation()
+        poll_into(spark, root, _classified(stored, met, seen_at), scope, [seen_at], version.number, observed, postings.select("source_id", "external_id"))
+        closed = observed.get["closed"]
+    return companies, spark.createDataFrame([(fetched, upserted, fetched - upserted, closed, "schema_drift" if drift else None)], COUNTERS)
 
 
 def poll_all(jobs: DataFrame, companies: DataFrame, postings: DataFrame, fetches: DataFrame, seen_at) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001

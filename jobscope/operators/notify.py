@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from jobscope import vocab
 from jobscope.functions.classify import match_reason, tier_rank
 from jobscope.functions.digest import build_messages, digest_header, digest_line
+from jobscope.functions.keywords import GRAM, folded, runs_in
 from jobscope.operators.fit import blocks
+from jobscope.operators.state import touch_searches
+from jobscope.store import written
 
 FILTERS = "struct<q:string,countries:array<string>,categories:array<string>,levels:array<string>,tiers:array<string>>"
 
@@ -21,32 +24,92 @@ def parse_filters(filters_json: Column) -> Column:
     return F.struct(parsed["q"].alias("q"), *(F.coalesce(parsed[c], none).alias(c) for c in ("countries", "categories", "levels", "tiers")))
 
 
+def _keyword(f: Column) -> Column:
+    return F.coalesce(F.nullif(f["q"], F.lit("")), F.lit(""))
+
+
 def _meets(f: Column) -> Column:
-    """Whether a posting meets a search; the keyword is what it is in the list: ``%`` and ``_`` are wildcards, and only A-Z are folded."""
+    """Whether a posting (with ``_title`` and ``_description``, folded) meets a search; the keyword is what it is in the list: ``%`` and ``_`` are wildcards, and only A-Z are folded."""
     open_or = lambda field, test: (F.size(f[field]) == 0) | F.coalesce(test, F.lit(False))
-    low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    keyword = F.coalesce(F.nullif(f["q"], F.lit("")), F.lit(""))
-    pattern = F.concat(F.lit("%"), F.replace(low(keyword), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    keyword = _keyword(f)
+    pattern = F.concat(F.lit("%"), F.replace(folded(keyword), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
     # a pattern that differs from row to row is compiled anew, so plain words are looked for plainly
-    holds = lambda c: F.when(keyword.rlike("[%_]"), F.like(low(c), pattern)).otherwise(low(c).contains(low(keyword)))
-    said = holds(F.col("title")) | holds(F.col("description"))
+    holds = lambda c: F.when(keyword.rlike("[%_]"), F.like(c, pattern)).otherwise(c.contains(folded(keyword)))
+    said = holds(F.col("_title")) | holds(F.col("_description"))
     return (
-        ((keyword == "") | said)
-        & open_or("countries", F.array_contains(f["countries"], F.col("country")))
+        open_or("countries", F.array_contains(f["countries"], F.col("country")))
         & open_or("categories", F.arrays_overlap(f["categories"], F.col("categories")))
         & open_or("levels", F.array_contains(f["levels"], F.col("level")))
         & open_or("tiers", F.array_contains(f["tiers"], F.col("sponsor_tier")))
+        & ((keyword == "") | said)
     )
 
 
+#: What a search can be indexed by: the filter, and the posting's values for it.
+FIELDS = {"countries": F.array, "levels": F.array, "tiers": F.array, "categories": lambda c: F.coalesce(c, F.array().cast("array<string>"))}
+_COLUMNS = {"countries": "country", "levels": "level", "tiers": "sponsor_tier", "categories": "categories"}
+
+#: Share of the postings that a keyword is taken to hit, when the rarest criterion is chosen.
+KEYWORD_SHARE = 0.02
+
+
+def _named(field: str, values: Column) -> Column:
+    """Values as keys, each with its filter's name before it."""
+    return F.transform(values, lambda v: F.concat(F.lit(f"{field}:"), v))
+
+
+def _field_keys() -> Column:
+    """A posting's values as keys."""
+    return F.filter(F.concat(*(_named(f, of(F.col(_COLUMNS[f]))) for f, of in FIELDS.items())), lambda k: k.isNotNull())
+
+
+def _indexed(searches: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Searches with ``keys``, the values of their rarest criterion: no posting without one of them can meet them. Empty for a search that nothing restricts.
+
+    Rare is what few postings have, as counted; a keyword of three characters in a row counts as ``KEYWORD_SHARE`` of them.
+    """
+    longest = lambda runs: F.array_sort(runs, lambda x, y: F.length(y) - F.length(x))[0]
+    run = longest(F.split(folded(_keyword(F.col("f"))), "[%_]"))
+    values = jobs.select(F.explode(_field_keys()).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))  # as many as there are countries, levels, ...
+    total = jobs.agg(F.count(F.lit(1)).alias("total"))
+    named = [F.struct(F.lit(f).alias("by"), F.array_distinct(_named(f, F.col("f")[f])).alias("keys")) for f in FIELDS]
+    word = F.struct(F.lit("q").alias("by"), F.when(F.length(run) >= GRAM, F.array(F.concat(F.lit("q:"), run))).otherwise(F.array().cast("array<string>")).alias("keys"))
+    each = searches.select("search_id", F.explode(F.array(*named, word)).alias("c")).select("search_id", "c.by", "c.keys").where(F.size("keys") > 0)
+    fields = each.where("by != 'q'").select("search_id", "by", "keys", F.explode("keys").alias("key")).join(values, "key", "left").groupBy("search_id", "by").agg(F.first("keys").alias("keys"), F.sum(F.coalesce("n", F.lit(0))).cast("double").alias("cost"))
+    words = each.where("by = 'q'").join(F.broadcast(total)).select("search_id", "by", "keys", (F.col("total") * KEYWORD_SHARE).alias("cost"))  # one row, one number
+    best = fields.unionByName(words).groupBy("search_id").agg(F.min_by("keys", F.struct("cost", "by")).alias("keys"))
+    return searches.join(best, "search_id", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
+
+
+def _block_hits(searches: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``search_hits`` of as many searches as may be broadcast."""
+    chosen = written(_indexed(searches, jobs), "search-index")
+    keys = [r[0] for r in chosen.select(F.explode("keys")).distinct().collect()]  # a few for each search of the block
+    runs = [k[2:] for k in keys if k.startswith("q:")]
+    shown = jobs.withColumns({"_title": folded(F.col("title")), "_description": folded(F.col("description"))})
+    free = shown.join(F.broadcast(chosen.where(F.size("keys") == 0).drop("keys")), _meets(F.col("f")))
+    if not keys:
+        return free.select(*jobs.columns, "search_id", "search", "f")
+    own = F.array_intersect(_field_keys(), F.array(*(F.lit(k) for k in keys if not k.startswith("q:"))).cast("array<string>"))
+    if runs:
+        own = F.concat(own, F.transform(runs_in(F.concat_ws("\n", "_title", "_description"), runs), lambda r: F.concat(F.lit("q:"), r)))
+    keyed = shown.withColumn("_keys", own).withColumn("_key", F.explode("_keys"))
+    index = chosen.where(F.size("keys") > 0).select("search_id", "search", "f", "keys", F.explode("keys").alias("_key"))
+    # a posting that has several of a search's keys meets it at the first alone
+    met = keyed.join(F.broadcast(index), "_key").where((F.array_intersect("keys", "_keys")[0] == F.col("_key")) & _meets(F.col("f")))
+    return met.unionByName(free, allowMissingColumns=True).select(*jobs.columns, "search_id", "search", "f")
+
+
 def search_hits(searches: DataFrame, jobs: DataFrame, max_searches: int = 10_000) -> DataFrame:
     """Every canonical posting with every search it meets.
 
-    Searches go to each posting, ``max_searches`` at once at most, so the postings are read once for
-    as many of them and nothing is shuffled.
+    A search is looked up by its rarest criterion, so a posting is held only against searches that ask
+    for one of its values or for words that it holds (found in one pass over its text), and against
+    those that nothing restricts. Searches go to each posting, ``max_searches`` at once at most, so the
+    postings are read once for as many of them and nothing is shuffled.
     """
     wanted = searches.select(F.col("id").alias("search_id"), F.col("name").alias("search"), parse_filters(F.col("filters_json")).alias("f"))
-    return reduce(DataFrame.unionByName, (jobs.where("canonical_id is null").join(F.broadcast(part), _meets(F.col("f"))) for part in blocks(wanted, "search_id", max_searches)))
+    return reduce(DataFrame.unionByName, (_block_hits(part, jobs.where("canonical_id is null")) for part in blocks(wanted, "search_id", max_searches)))
 
 
 def matches(searches: DataFrame, jobs: DataFrame, limit: int = vocab.MATCH_LIMIT) -> DataFrame:
@@ -62,6 +125,13 @@ def unseen(found: DataFrame, ledger: DataFrame) -> DataFrame:
     return found.join(ledger.select("search_id", "job_canonical_id"), ["search_id", "job_canonical_id"], "left_anti")
 
 
+def run_searches(searches: DataFrame, jobs: DataFrame, ledger: DataFrame, at, limit: int = vocab.MATCH_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
+    """A run of all searches: their new matches, one row of ``searches_run`` and ``new_matches`` in all, and the searches with the time of the run."""
+    found = written(unseen(matches(searches, jobs, limit), ledger), "found")
+    totals = searches.agg(F.count(F.lit(1)).alias("searches_run")).join(found.agg(F.count(F.lit(1)).alias("new_matches")))  # one row each
+    return found, totals, touch_searches(searches.withColumn("last_run_at", F.lit(None).cast("timestamp")) if "last_run_at" not in searches.columns else searches, searches.select("id"), at)
+
+
 def new_counts(searches: DataFrame, jobs: DataFrame) -> DataFrame:
     """``new_matches`` of each search: postings with status new; 0 where there are none."""
     counts = search_hits(searches, jobs.where("user_status = 'new'")).groupBy("search_id").agg(F.count(F.lit(1)).alias("n"))

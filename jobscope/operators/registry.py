@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from jobscope import vocab
 from jobscope.functions.classify import resolve_tier
 from jobscope.functions.names import name_core, name_key, name_variants
+from jobscope.store import written
 
 
 def _keyed(df: DataFrame, keep: list[str], names) -> DataFrame:  # noqa: ANN001
@@ -64,6 +65,27 @@ def refresh(companies: DataFrame, jobs: DataFrame, matches: DataFrame) -> tuple[
     return new, jobs.join(by_company, F.col("company_id") == F.col("_c"), "left").withColumn("sponsor_tier", tier).drop("_c", "_flags")
 
 
+def record_registers(meta: DataFrame, entries: DataFrame, registers: list[str], at) -> DataFrame:  # noqa: ANN001
+    """Metadata (registry, fetched_at, row_count) after ``registers`` were read at a time: theirs is new, that of others stays."""
+    read = meta.sparkSession.createDataFrame([(r,) for r in registers], "registry string")
+    sizes = entries.groupBy("registry").agg(F.count(F.lit(1)).alias("n"))
+    fresh = read.join(sizes, "registry", "left").select("registry", F.lit(at).cast("timestamp").alias("fetched_at"), F.coalesce("n", F.lit(0)).cast("long").alias("row_count"))
+    return meta.join(read, "registry", "left_anti").unionByName(fresh)
+
+
+def refresh_all(companies: DataFrame, jobs: DataFrame, entries: DataFrame, meta: DataFrame, registers: list[str], at) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
+    """Registers read (entries: registry, pos, name, aliases, evidence), matched, and handed on to companies and the tiers of their postings.
+
+    New snapshots of companies, jobs and metadata, and one row of ``companies`` and ``matched`` (those
+    that a register names, or that have further bits beside the manual one, which alone isn't a match).
+    """
+    found = written(rollup_matches(match_entries(companies.select(F.col("name").alias("seed")), entries)), "register-matches")
+    new, tiered = refresh(companies, jobs, found)
+    named = companies.join(found.select(F.col("seed").alias("name"), "flags"), "name", "left")
+    totals = named.agg(F.count(F.lit(1)).alias("companies"), F.count_if(F.coalesce(F.col("flags"), F.lit(0)) != 0).alias("matched"))
+    return new, tiered, record_registers(meta, entries, registers, at), totals
+
+
 def flag_manual(companies: DataFrame, name: str, evidence: str, flagged_on: str) -> DataFrame:
     """A new snapshot where one company has the manual bit; an unknown name is an error."""
     if companies.where(F.col("name") == name).isEmpty():

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobscope import vocab
+from jobscope import buckets, vocab
 from jobscope.functions.text import local_month
-from jobscope.store import merge, with_ids, with_new_ids
+from jobscope.store import merge, with_ids, with_new_ids, written
 
 
 def changed_only(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -17,40 +17,102 @@ def changed_only(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return met.where(F.col("_h").isNull() | (F.col("_h") != F.col("content_hash"))).drop("_s", "_e", "_h")
 
 
-def upsert_jobs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """A new snapshot after a poll.
+#: What a poll says of a posting anew each time.
+OVERWRITTEN = ["title", "description", "url", "location_raw", "country", "city", "content_hash", "posted_at"]
 
-    ``incoming`` has the columns of a normalized posting with ``company_id``, ``seen_at`` and, only
-    where they were worked out anew, ``categories``, ``level``, ``sponsor_tier`` and
-    ``sponsor_evidence`` (else null). Nulls keep what is stored; evidence is rewritten exactly when a
-    tier comes with it; a changed description makes the posting new again; first sight and company
-    are never changed. New postings are numbered after the largest id, in the order of their keys. Of
-    several incoming rows of one posting the last seen counts.
+
+def _folded(incoming: DataFrame) -> DataFrame:
+    """One row for each posting from the polls (``seen_at``) that have it, as merging one poll after the other would leave it.
+
+    What was last seen counts for all that is overwritten; categories, level and tier are the last that
+    aren't null, and evidence is that of the last tier; the company is the first. ``first_seen`` is the
+    first poll, ``hashes`` are the content hashes in the order of the polls, and ``presence`` the polls.
+    A posting has as many rows as there are polls, so they are gathered.
     """
     keys = ["source_id", "external_id"]
-    last = incoming.groupBy("source_id", "external_id").agg(F.max_by(F.struct(*incoming.columns), "seen_at").alias("r")).select("r.*")
-    last = with_new_ids(stored, last, keys)
+    said = F.sort_array(F.collect_list(F.struct("seen_at", "content_hash", "company_id", "sponsor_evidence", "sponsor_tier", "level", "categories")))
+    each = incoming.groupBy(*keys, "seen_at").agg(F.max_by(F.struct(*incoming.columns), "seen_at").alias("r")).select("r.*")
+    met = each.groupBy(*keys).agg(F.max_by(F.struct(*incoming.columns), "seen_at").alias("r"), said.alias("_p"))
+    last = lambda c: F.try_element_at(F.filter("_p", lambda p: p[c].isNotNull()), F.lit(-1))
+    own = {"company_id": F.col("_p")[0]["company_id"], "categories": last("categories")["categories"], "level": last("level")["level"], "sponsor_tier": last("sponsor_tier")["sponsor_tier"], "sponsor_evidence": F.when(last("sponsor_tier").isNotNull(), last("sponsor_tier")["sponsor_evidence"]).otherwise(F.col("_p")[0]["sponsor_evidence"])}
+    return met.select(*(own.get(c, F.col(f"r.{c}")).alias(c) for c in incoming.columns), F.col("_p")[0]["seen_at"].alias("first_seen"), F.transform("_p", lambda p: p["content_hash"]).alias("hashes"), F.transform("_p", lambda p: p["seen_at"]).alias("presence"))
+
+
+def _upsert_rules() -> tuple[dict, dict]:
+    """What becomes of a stored posting that was seen, and of a new one, over ``s`` and ``_folded`` rows as ``i``."""
     i, s = (lambda c: F.col(f"i.{c}")), (lambda c: F.col(f"s.{c}"))
-    overwritten = ["title", "description", "url", "location_raw", "country", "city", "content_hash", "posted_at"]
-    merged = {c: i(c) for c in overwritten} | {
+    before = F.concat(F.array(s("content_hash")), F.slice(i("hashes"), 1, F.size(i("hashes")) - 1))
+    changed = F.exists(F.zip_with(before, i("hashes"), lambda x, y: F.coalesce(x != y, F.lit(False))), lambda x: x)
+    merged = {c: i(c) for c in OVERWRITTEN} | {
         "categories": F.coalesce(i("categories"), s("categories")),
         "level": F.coalesce(i("level"), s("level")),
         "sponsor_tier": F.coalesce(i("sponsor_tier"), s("sponsor_tier")),
         "sponsor_evidence": F.when(i("sponsor_tier").isNotNull(), i("sponsor_evidence")).otherwise(s("sponsor_evidence")),
         "last_seen_at": i("seen_at"),
-        "user_status": F.when(s("content_hash") != i("content_hash"), "new").otherwise(s("user_status")),
+        "user_status": F.when(changed, "new").otherwise(s("user_status")),
     }
-    inserted = {"id": i("new_id"), "sponsor_tier": F.coalesce(i("sponsor_tier"), F.lit("unknown")), "first_seen_at": i("seen_at"), "last_seen_at": i("seen_at"), "user_status": F.lit("new"), "consecutive_misses": F.lit(0)}
-    return merge(stored, last, keys, merged, inserted)
+    inserted = {"id": i("new_id"), "sponsor_tier": F.coalesce(i("sponsor_tier"), F.lit("unknown")), "first_seen_at": i("first_seen"), "last_seen_at": i("seen_at"), "user_status": F.lit("new"), "consecutive_misses": F.lit(0)}
+    return merged, inserted
+
+
+def upsert_jobs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """A new snapshot after a poll, or several.
+
+    ``incoming`` has the columns of a normalized posting with ``company_id``, ``seen_at`` and, only
+    where they were worked out anew, ``categories``, ``level``, ``sponsor_tier`` and
+    ``sponsor_evidence`` (else null). Nulls keep what is stored; evidence is rewritten exactly when a
+    tier comes with it; a changed description makes the posting new again; first sight and company
+    are never changed. New postings are numbered after the largest id, in the order of the polls that
+    brought them and of their keys. Of several rows of one posting in one poll any counts.
+    """
+    keys = ["source_id", "external_id"]
+    last = with_new_ids(stored, _folded(incoming), keys, first=["first_seen"])
+    return merge(stored, last, keys, *_upsert_rules())
+
+
+def upsert_into(spark: SparkSession, root: str, incoming: DataFrame, number: int | None = None) -> buckets.Version:
+    """``upsert_jobs`` into a table of buckets (by ``source_id`` and ``external_id``): only those of the incoming postings are rewritten."""
+    return buckets.merge_into(spark, root, _folded(incoming), *_upsert_rules(), number=number, order=["first_seen"])
+
+
+def poll_into(spark: SparkSession, root: str, incoming: DataFrame, scope, polls: list, number: int | None = None, observed=None, present: DataFrame | None = None) -> buckets.Version:  # noqa: ANN001
+    """Polls of ``scope`` merged into a table of buckets and swept, as one rewrite of the buckets that hold a posting of either.
+
+    ``polls``: the times of all of them, those that brought nothing included. ``observed``: an
+    ``Observation`` that gets ``closed``, the postings that these polls leave closed and found open.
+    ``present``: ``source_id`` and ``external_id`` of what the last poll had, where that is more than is merged.
+    """
+    version = buckets.read_version(spark, root, number)
+    seen = written(_folded(incoming), "incoming")
+    small = buckets.is_small(seen)
+    swept = buckets.read_buckets(spark, version).where(scope)  # its keys and what ``scope`` asks for are all that is read
+    touched = sorted({*buckets.touched_by(seen, version), *buckets.touched_by(swept, version)})
+
+    def change(stored: DataFrame) -> DataFrame:
+        merged = buckets.merge_rows(stored, buckets.with_numbers(stored, seen, version, small, ["first_seen"]), version, *_upsert_rules(), small)
+        here = seen.select("source_id", "external_id", "presence")
+        if present is not None:
+            also = present.select("source_id", "external_id", F.array(F.lit(polls[-1]).cast("timestamp")).alias("presence"))
+            here = here.unionByName(also).groupBy("source_id", "external_id").agg(F.flatten(F.collect_list("presence")).alias("presence"))
+        out = sweep_polls(merged, F.broadcast(here) if small else here, scope, polls, closes="_closes")
+        return (out if observed is None else out.observe(observed, F.count_if("_closes").alias("closed"))).drop("_closes")
+
+    return buckets.update(spark, root, version, touched, change)
 
 
 def get_or_create_companies(companies: DataFrame, names: DataFrame) -> DataFrame:
-    """Companies with a row for each new ``name``: a shadow without a board, numbered after the largest id."""
-    new = names.select("name").where("name is not null and name != ''").distinct().join(companies.select("name"), "name", "left_anti")
+    """Companies with a row for each new ``name``: a shadow without a board, of the lowest priority, numbered after the largest id.
+
+    ``names`` may have ``country`` and ``pos``: the shadow's country is that of the name's first row, empty where that has none.
+    """
+    country = F.col("country") if "country" in names.columns else F.lit(None).cast("string")
+    pos = F.col("pos") if "pos" in names.columns else F.lit(0)
+    first = names.where("name is not null and name != ''").groupBy("name").agg(F.min(F.struct(pos.alias("pos"), F.coalesce(country, F.lit("")).alias("country"))).alias("f")).select("name", "f.country")
+    new = first.join(companies.select("name"), "name", "left_anti")
     top = companies.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = with_ids(new, 1, ["name"], "n").join(F.broadcast(top)).select((F.col("top") + F.col("n")).alias("id"), "name")  # one row, one number
-    defaults = {"ats_type": F.lit("none"), "ats_slug": F.lit(""), "country_hq": F.lit(""), "registry_flags": F.lit(0), "priority": F.lit(3), "active": F.lit(True), "consecutive_failures": F.lit(0), "health": F.lit("ok")}
-    shaped = numbered.select(*((F.col(c) if c in ("id", "name") else defaults.get(c, F.lit(None))).cast(companies.schema[c].dataType).alias(c) for c in companies.columns))
+    numbered = with_ids(new, 1, ["name"], "n").join(F.broadcast(top)).select((F.col("top") + F.col("n")).alias("id"), "name", "country")  # one row, one number
+    defaults = {"id": F.col("id"), "name": F.col("name"), "ats_type": F.lit(vocab.SHADOW_ATS), "ats_slug": F.lit(""), "country_hq": F.col("country"), "registry_flags": F.lit(0), "priority": F.lit(vocab.SHADOW_PRIORITY), "active": F.lit(True), "consecutive_failures": F.lit(0), "health": F.lit("ok")}
+    shaped = numbered.select(*(defaults.get(c, F.lit(None)).cast(companies.schema[c].dataType).alias(c) for c in companies.columns))
     return companies.unionByName(shaped)
 
 
@@ -87,6 +149,34 @@ def sweep(jobs: DataFrame, seen: DataFrame, scope, now, threshold: int = vocab.C
     return out.drop("_s", "_e", "_seen")
 
 
+def sweep_polls(jobs: DataFrame, seen: DataFrame, scope, polls: list, threshold: int = vocab.CLOSE_AFTER_MISSES, closes: str | None = None) -> DataFrame:  # noqa: ANN001
+    """``sweep`` after each of several polls of ``scope``, as one fold for each posting.
+
+    ``polls``: their times, rising. ``seen``: ``source_id``, ``external_id`` and ``presence``, the polls
+    that had the posting. Misses count from the last of these, and a posting closes at the poll where
+    they reach the threshold. A poll before the first of ``polls`` in ``presence`` is one that was swept
+    already and has the posting after all. ``closes`` names a column that says which postings are left
+    closed that were open before.
+    """
+    here = seen.select(F.col("source_id").alias("_s"), F.col("external_id").alias("_e"), F.col("presence").alias("_presence"))
+    met = jobs.join(here, (F.col("source_id") == F.col("_s")) & (F.col("external_id") == F.col("_e")), "left")
+    times, k = F.array(*(F.lit(p).cast("timestamp") for p in polls)), len(polls)
+    last = F.array_max("_presence")
+    # the place of the last presence among the polls, 0 if it came before them
+    place = F.size(F.filter(times, lambda t: t <= last)) if polls else F.lit(0)
+    present = F.col("_presence").isNotNull()
+    misses = F.when(present, F.lit(k) - place).otherwise(F.col("consecutive_misses") + k).cast("int")
+    # how many polls from then on it takes to close
+    steps = F.when(present, place + threshold).otherwise(F.greatest(F.lit(1), F.lit(threshold) - F.col("consecutive_misses")))
+    closing = F.try_element_at(times, steps) if polls else F.lit(None).cast("timestamp")
+    after = F.when(present, closing).otherwise(F.coalesce(F.col("closed_at"), closing))
+    out = met.withColumns(
+        {"closed_at": F.when(scope, after).otherwise(F.col("closed_at")), "consecutive_misses": F.when(scope, misses).otherwise(F.col("consecutive_misses"))}
+        | ({closes: F.coalesce(scope & F.col("closed_at").isNull() & after.isNotNull(), F.lit(False))} if closes else {})
+    )
+    return out.drop("_s", "_e", "_presence")
+
+
 def miss_streaks(polls: DataFrame, threshold: int = vocab.CLOSE_AFTER_MISSES) -> DataFrame:
     """The same from a log of polls (key, poll, present): ``misses`` since the last presence and ``closed``, for each poll."""
     order = Window.partitionBy("key").orderBy("poll")
@@ -107,6 +197,26 @@ def delete_cascade(parents: DataFrame, children: DataFrame, parent_key: str, chi
     return parents.join(gone, F.col(parent_key) == F.col("_k"), "left_anti"), children.join(gone, F.col(child_key) == F.col("_k"), "left_anti")
 
 
+def _deleted(parents: DataFrame, doomed) -> DataFrame:  # noqa: ANN001
+    return parents.agg(F.count_if(doomed).alias("deleted"))
+
+
+def delete_search(searches: DataFrame, seen: DataFrame, doomed) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
+    """Saved searches without the doomed ones, the ledger without what they were notified of, and how many went (``deleted``)."""
+    return *delete_cascade(searches, seen, "id", "search_id", doomed), _deleted(searches, doomed)
+
+
+def delete_jobs(jobs: DataFrame, scores: DataFrame, doomed) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
+    """Postings without the doomed ones, scores without theirs, and how many went."""
+    return *delete_cascade(jobs, scores, "id", "job_canonical_id", doomed), _deleted(jobs, doomed)
+
+
+def delete_resume(resumes: DataFrame, resume_id: int) -> tuple[DataFrame, DataFrame]:
+    """Resumes without one, and whether it was there; scores are kept by the text's hash, and stay for it."""
+    own = F.col("id") == resume_id
+    return resumes.where(~own), _deleted(resumes, own)
+
+
 #: Parts that a month's calls are ranked in.
 SHARDS = 64
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobscope import vocab
 from jobscope.functions import names
 from jobscope.functions.simhash import simhash_by_md5
-from jobscope.operators.dedup import assign_canonicals, dedup_summary, link_canonicals, near_pairs, written_fingerprints
+from jobscope.operators.dedup import assign_canonicals, dedup_summary, link_canonicals, near_pairs, start_index, update_index, written_fingerprints
 from jobscope.operators.registry import first_rows, match_entries, rollup_matches
 from jobscope.operators.search import JobFilters, count_jobs
 from jobscope.plans.postings import POSTINGS, postings
@@ -90,6 +90,17 @@ def canonical_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_canonicals(postings(spark, sf_dir))
 
 
+def canonical_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters of ``canonical_map`` after polls: even postings, some with another text, and strangers; then odd ones, the right texts, and the strangers gone."""
+    p, n = postings(spark, sf_dir), F.col("id")
+    wrong = p.where(n % 2 == 0).withColumn("description", F.when(n % 6 == 0, F.concat("description", F.lit(" "), F.sha2("description", 256))).when(n % 10 == 0, F.lit("one text for many")).otherwise(F.col("description")))
+    strangers = p.where(n % 5 == 1).withColumn("id", -n - 1)
+    index = start_index(wrong.unionByName(strangers))
+    index = update_index(index, p.where(n % 4 == 1))
+    index = update_index(index, p.where((n % 4 == 3) | ((n % 2 == 0) & ((n % 6 == 0) | (n % 10 == 0)))), strangers.select("id"))
+    return index.labels.select("id", "canonical")
+
+
 def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_summary(assign_canonicals(postings(spark, sf_dir)))
 
@@ -149,7 +160,7 @@ _CANON = f"WITH RECURSIVE {_EDGES}, r(id, c) AS (SELECT id, id FROM j UNION SELE
 
 QUERIES = {
     f.__name__: f
-    for f in (name_keys, registry_match, registry_flags_rollup, registry_names_bits, lca_employers, uk_first_row, first_event_rows, simhash_docs, neardup_pairs, canonical_map, dedup_counts, list_canonical_total)
+    for f in (name_keys, registry_match, registry_flags_rollup, registry_names_bits, lca_employers, uk_first_row, first_event_rows, simhash_docs, neardup_pairs, canonical_map, canonical_incremental, dedup_counts, list_canonical_total)
 }
 
 ORACLES = {
@@ -165,6 +176,7 @@ ORACLES = {
     "simhash_docs": f"WITH {_DOC_PRINTS} SELECT doc_id, coalesce(f, 0) AS fingerprint FROM documents LEFT JOIN fp ON i = doc_id",
     "neardup_pairs": f"WITH {_JOB_PRINTS}, o AS (SELECT company_id, t, country, f, min(id) AS rep FROM j GROUP BY ALL) SELECT a.rep AS a, b.rep AS b FROM o a JOIN o b ON a.company_id = b.company_id AND a.t = b.t AND a.country IS NOT DISTINCT FROM b.country AND a.rep < b.rep AND bit_count(xor(a.f, b.f)) <= {vocab.DEDUP_HAMMING} UNION ALL SELECT o.rep, j.id FROM j JOIN o ON j.company_id = o.company_id AND j.t = o.t AND j.country IS NOT DISTINCT FROM o.country AND j.f = o.f AND j.id > o.rep",
     "canonical_map": f"{_CANON} SELECT id, canonical FROM canon",
+    "canonical_incremental": f"{_CANON} SELECT id, canonical FROM canon",
     "dedup_counts": f"{_CANON} SELECT count(*) AS groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates FROM (SELECT canonical, count(*) AS n FROM canon GROUP BY 1 HAVING count(*) > 1)",
     "list_canonical_total": f"{_CANON} SELECT count(*) AS total FROM canon JOIN postings USING (id) WHERE canonical = id AND user_status <> 'hidden'",
 }

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobscope.functions.classify import tier_rank
+from jobscope.operators.keywords import build_index, keyword_jobs
 from jobscope.operators.search import JobFilters, count_jobs, job_sources, search_jobs, set_status
 from jobscope.plans.postings import COMPANIES, POSTINGS, companies, postings, sql_rank
+from jobscope.store import new_path
 
 _TIER = f"ORDER BY {sql_rank('sponsor_tier')} DESC, posted_at DESC NULLS LAST, id"
 _DATE = "ORDER BY posted_at DESC NULLS LAST, id"
@@ -45,6 +47,17 @@ _PAGES: dict[str, tuple[JobFilters, str]] = {
 }
 
 
+def _by_index(name: str):  # noqa: ANN202
+    """A page whose keyword goes through an index of trigrams."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root, filters = new_path(spark, "keywords"), _PAGES[name][0]
+        build_index(postings(spark, sf_dir), root)
+        return search_jobs(keyword_jobs(spark, root, filters.q), companies(spark, sf_dir), filters).withColumn("categories", F.array_join("categories", ","))
+
+    return run
+
+
 def list_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_jobs(postings(spark, sf_dir), JobFilters(countries=("SE", "US")))
 
@@ -70,9 +83,11 @@ def tier_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings(spark, sf_dir).groupBy("sponsor_tier").agg(F.max(tier_rank(F.col("sponsor_tier"))).alias("rank"), F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {name: _page(f) for name, (f, _) in _PAGES.items()} | {"list_total": list_total, "detail_sources": detail_sources, "status_set": status_set, "orders_ranked_topk": orders_ranked_topk, "tier_ranks": tier_ranks}
+QUERIES = {name: _page(f) for name, (f, _) in _PAGES.items()} | {"list_total": list_total, "detail_sources": detail_sources, "status_set": status_set, "orders_ranked_topk": orders_ranked_topk, "tier_ranks": tier_ranks, "list_keyword_indexed": _by_index("list_keyword"), "list_wildcard_indexed": _by_index("list_keyword_wildcard")}
 
 ORACLES = {name: sql for name, (_, sql) in _PAGES.items()} | {
+    "list_keyword_indexed": _PAGES["list_keyword"][1],
+    "list_wildcard_indexed": _PAGES["list_keyword_wildcard"][1],
     "list_total": f"WITH {POSTINGS} SELECT count(*) AS total FROM postings WHERE canonical_id IS NULL AND country IN ('SE', 'US') AND user_status <> 'hidden'",
     "detail_sources": f"WITH {POSTINGS} SELECT coalesce(canonical_id, id) AS canonical, string_agg(concat_ws('|', id, source_id, url), ',' ORDER BY id) AS sources FROM postings GROUP BY 1",
     "status_set": f"WITH {POSTINGS} SELECT CASE WHEN id = 21 THEN 'starred' ELSE user_status END AS user_status, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM postings GROUP BY 1",

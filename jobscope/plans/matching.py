@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobscope import vocab
 from jobscope.operators import fit, notify
 from jobscope.operators.search import JobFilters
-from jobscope.plans.postings import COMPANIES, POSTINGS, companies, postings, sql_rank
+from jobscope.plans.postings import COMPANIES, EPOCH, POSTINGS, companies, pick, postings, sql_pick, sql_rank
 
 RESUMES = {
     "r1": ("Senior iOS engineer, 7 years of Swift, SwiftUI and Kotlin.", ["SE", "SG"]),
@@ -91,6 +91,28 @@ def saved_search_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notify.matches(_searches(spark), postings(spark, sf_dir), limit=40).select("search_id", "job_canonical_id", "reason", F.col("rank").cast("long").alias("rank"))
 
 
+def _customer_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search for each customer: by word, wildcards, country, field, level or tier, several of these, or none."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    n = F.col("c_custkey")
+    lists = lambda values, k, r: F.when(n % k == r, F.array(*map(F.lit, values))).otherwise(F.array().cast("array<string>"))
+    word = F.when(n % 4 == 0, pick(["Kubernetes", "RUST", "sponsor", "K_bern%rust", "sp%visas", "te", "nowhere at all"], n)).otherwise("")
+    f = F.struct(word.alias("q"), F.when(n % 3 == 0, F.array(pick(["SE", "DE", "US", "SG", "XX"], n), F.lit("NL"))).otherwise(F.array().cast("array<string>")).alias("countries"), lists(["ios", "android", "backend"], 5, 1).alias("categories"), lists(["senior", "lead"], 7, 2).alias("levels"), lists(["explicit_yes"], 6, 3).alias("tiers"))
+    return c.select(n.cast("long").alias("id"), F.col("c_name").alias("name"), F.to_json(f).alias("filters_json"))
+
+
+def customer_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of every customer's search: how many, and a sum of ids."""
+    hits = notify.search_hits(_customer_searches(spark, sf_dir), postings(spark, sf_dir))
+    return hits.groupBy("search_id").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run of all searches reports: how many ran, and their new matches in all."""
+    ledger = postings(spark, sf_dir).where("id % 3 = 0").select(F.lit(4).cast("long").alias("search_id"), F.col("id").alias("job_canonical_id"))
+    return notify.run_searches(_searches(spark), postings(spark, sf_dir), ledger, EPOCH)[1]
+
+
 def notify_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = notify.matches(_searches(spark), postings(spark, sf_dir))
     ledger = postings(spark, sf_dir).where("id % 3 = 0").select(F.lit(4).cast("long").alias("search_id"), F.col("id").alias("job_canonical_id"))
@@ -166,7 +188,7 @@ _RATIONALE = f"""WITH {_SCORES} SELECT resume_hash, id,
 
 QUERIES = {
     f.__name__: f
-    for f in (resume_profiles, fit_scores, fit_rank_page, fit_cache_refresh, rationale_lines, saved_search_matches, notify_once, search_new_counts, digest_lines, digest_pack)
+    for f in (resume_profiles, fit_scores, fit_rank_page, fit_cache_refresh, rationale_lines, saved_search_matches, customer_searches, run_totals, notify_once, search_new_counts, digest_lines, digest_pack)
 }
 
 _NAMES = "CASE search_id " + " ".join(f"WHEN {n} THEN {_quoted(name)}" for n, name, _ in SEARCHES) + " END"
@@ -179,6 +201,11 @@ ORACLES = {
     "fit_cache_refresh": f"WITH {_SCORES}, {_CACHE} SELECT s.resume_hash, s.id AS job_canonical_id, CASE WHEN c.content_hash = s.content_hash THEN c.overall ELSE s.overall END AS overall, s.content_hash FROM scored s LEFT JOIN cache c ON c.job_canonical_id = s.id AND c.resume_hash = s.resume_hash",
     "rationale_lines": _RATIONALE,
     "saved_search_matches": f"WITH {POSTINGS}, {_HITS}, {_RANKED} SELECT CAST(search_id AS BIGINT) AS search_id, id AS job_canonical_id, reason, rank FROM ranked WHERE rank <= 40",
+    "customer_searches": f"""WITH {POSTINGS}, s AS (SELECT c_custkey AS n, CASE WHEN c_custkey % 4 = 0 THEN {sql_pick(["Kubernetes", "RUST", "sponsor", "K_bern%rust", "sp%visas", "te", "nowhere at all"], "c_custkey")} END AS q, {sql_pick(["SE", "DE", "US", "SG", "XX"], "c_custkey")} AS code FROM customer),
+l AS (SELECT id, country, categories, level, sponsor_tier, lower(title) AS t, lower(description) AS d FROM postings WHERE canonical_id IS NULL)
+SELECT CAST(n AS BIGINT) AS search_id, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM s JOIN l ON (n % 3 <> 0 OR country IN (code, 'NL')) AND (n % 5 <> 1 OR list_has_any(categories, ['ios', 'android', 'backend'])) AND (n % 7 <> 2 OR level IN ('senior', 'lead')) AND (n % 6 <> 3 OR sponsor_tier = 'explicit_yes')
+  AND (q IS NULL OR t LIKE '%' || lower(q) || '%' OR d LIKE '%' || lower(q) || '%') GROUP BY n""",
+    "run_totals": f"WITH {POSTINGS}, {_HITS}, {_RANKED} SELECT CAST({len(SEARCHES)} AS BIGINT) AS searches_run, count(*) AS new_matches FROM ranked WHERE rank <= {vocab.MATCH_LIMIT} AND NOT (search_id = 4 AND id % 3 = 0)",
     "notify_once": f"WITH {POSTINGS}, {_HITS}, {_RANKED} SELECT CAST(search_id AS BIGINT) AS search_id, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM ranked WHERE rank <= {vocab.MATCH_LIMIT} AND NOT (search_id = 4 AND id % 3 = 0) GROUP BY 1",
     "search_new_counts": f"WITH {POSTINGS}, {_HITS}, n AS (SELECT search_id, count(*) AS n FROM hits WHERE user_status = 'new' GROUP BY 1), s(search_id) AS (VALUES " + ", ".join(f"({n})" for n, _, _ in SEARCHES) + f") SELECT CAST(s.search_id AS BIGINT) AS id, {_NAMES.replace('search_id', 's.search_id')} AS name, coalesce(n, 0) AS new_matches FROM s LEFT JOIN n ON s.search_id = n.search_id",
     "digest_lines": f"{_UNITS.replace('@most', '10')} SELECT CAST(search_id AS BIGINT) AS search_id, rank, {_UNIT} AS unit FROM l",

@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobscope import vocab
-from jobscope.operators import health, state
+from jobscope import buckets, vocab
+from jobscope.operators import health, ingest, state
 from jobscope.operators.fit import blocks
 from jobscope.operators.registry import stale_registers
 from jobscope.plans.postings import COMPANIES, EPOCH, POSTINGS, companies, postings
+from jobscope.store import new_path
 
 NOW = "2026-03-01 00:00:00"
 #: Failures come close together in the test events, so the fold runs with small thresholds.
@@ -57,10 +58,54 @@ def changed_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.changed_only(_incoming(spark, sf_dir), _stored(spark, sf_dir)).select("source_id", "external_id")
 
 
+def upsert_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``upsert_merge`` into a table kept in buckets."""
+    root = new_path(spark, "jobs-buckets")
+    buckets.create(_stored(spark, sf_dir), root, ["source_id", "external_id"], 16)
+    return buckets.read_buckets(spark, state.upsert_into(spark, root, _incoming(spark, sf_dir))).select(*_KEPT)
+
+
+POLLS = ["2026-02-01 00:00:00", "2026-02-02 00:00:00", "2026-02-03 00:00:00"]
+
+
+def polls_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three polls of some companies at once: postings are in one of them, several or none."""
+    jobs, n = _stored(spark, sf_dir), F.col("id")
+    days = [F.when(cond, F.lit(p).cast("timestamp")) for cond, p in zip((n % 2 == 0, n % 5 == 0, n % 4 == 1), POLLS, strict=True)]
+    seen = jobs.select("source_id", "external_id", F.filter(F.array(*days), lambda d: d.isNotNull()).alias("presence")).where(F.size("presence") > 0)
+    return state.sweep_polls(jobs, seen, F.col("company_id") < 15, POLLS).select("id", "consecutive_misses", "closed_at")
+
+
 def get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
-    have = companies(spark, sf_dir).where("id < 10")
-    new = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("name"))
-    return state.get_or_create_companies(have, new).select("id", "name", "ats_type", "priority", "health", "registry_flags")
+    """Suppliers beyond the tenth as employers that postings name, each in several countries, of which the first counts."""
+    have = companies(spark, sf_dir).where("id < 10").withColumn("country_hq", F.lit("DE"))
+    s, n = spark.read.parquet(f"{sf_dir}/supplier.parquet"), F.col("s_suppkey")
+    new = s.select(F.col("s_name").alias("name"), F.when(n % 3 != 0, F.lit("SE")).alias("country"), F.lit(1).alias("pos")).unionByName(s.select(F.col("s_name").alias("name"), F.lit("XX").alias("country"), F.lit(2).alias("pos")))
+    return state.get_or_create_companies(have, new).select("id", "name", "ats_type", "priority", "health", "registry_flags", "country_hq")
+
+
+def _open_poll(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Even postings come from one source of many employers, of which ten are known; every tenth names none, or an empty one; five more rows couldn't be read."""
+    n, board = F.col("id"), F.lit("open")
+    firms = companies(spark, sf_dir)
+    have = firms.where("id < 10").withColumn("country_hq", F.lit("DE"))
+    jobs = _stored(spark, sf_dir).drop("source_id").withColumn("source_id", board).withColumn("categories", F.split("categories", ","))
+    came = postings(spark, sf_dir).where(n % 2 == 0).join(firms.select(F.col("id").alias("company_id"), F.col("name").alias("_firm")), "company_id")
+    came = came.withColumns({"company_name": F.when(n % 20 == 4, F.lit("")).when(n % 20 != 14, F.col("_firm")), "source_id": board, "pos": n}).drop("id", "company_id", "user_status", "sponsor_tier", "canonical_id", "categories", "level", "_firm")
+    return ingest.poll(jobs, have, came, NOW, "open", fetched=came.count() + 5)
+
+
+def companyless_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of the poll, beside the employers that it leaves."""
+    _, firms, counters = _open_poll(spark, sf_dir)
+    shadows = firms.where(F.col("ats_type") == vocab.SHADOW_ATS).where(F.col("priority") == vocab.SHADOW_PRIORITY)
+    return counters.join(shadows.agg(F.count(F.lit(1)).alias("shadows"), F.count_if(F.col("country_hq") != "").alias("placed")))  # one row each
+
+
+def companyless_poll_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs, firms, _ = _open_poll(spark, sf_dir)
+    named = firms.select(F.col("id").alias("company_id"), F.col("name").alias("company"), "country_hq")
+    return jobs.where(F.col("last_seen_at") == F.lit(NOW).cast("timestamp")).join(named, "company_id", "left").select("external_id", "consecutive_misses", "closed_at", F.when(F.col("consecutive_misses") == 0, F.col("user_status")).alias("user_status"), F.when(F.col("first_seen_at") == F.lit(NOW).cast("timestamp"), F.col("company")).alias("new_company"))
 
 
 def closed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +212,8 @@ _UPSERT = f"""WITH {_STORED}, {_IN}, fresh AS (SELECT i.id, row_number() OVER (O
   CASE WHEN s.id IS NULL THEN 'new' WHEN i.id IS NOT NULL AND i.h2 <> s.content_hash THEN 'new' ELSE s.user_status END AS user_status,
   coalesce(s.first_seen_at, TIMESTAMP '{NOW}') AS first_seen_at, CASE WHEN i.id IS NOT NULL THEN TIMESTAMP '{NOW}' ELSE s.last_seen_at END AS last_seen_at, coalesce(s.consecutive_misses, 0) AS consecutive_misses
   FROM stored s FULL JOIN inc i ON s.source_id = i.source_id AND s.external_id = i.external_id LEFT JOIN fresh ON fresh.id = i.id"""
+_OPEN = f"""WITH {_STORED}, {COMPANIES}, came AS (SELECT p.*, c.name AS firm FROM postings p JOIN companies c ON c.id = p.company_id WHERE p.id % 2 = 0),
+said AS (SELECT * FROM came WHERE id % 20 NOT IN (4, 14)), shadows AS (SELECT firm, arg_min(coalesce(country, ''), id) AS c, nullif(arg_min(coalesce(country, ''), id), '') AS country FROM said WHERE company_id >= 10 GROUP BY firm)"""
 _TOY_CASE = "CASE kind " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in TOY.items()) + " END"
 _FOLD = f"""WITH RECURSIVE k AS (SELECT 'u' || user_id AS source, ts, event_id AS seq, CASE WHEN event_type = 'error' THEN {list(TOY)}[CAST(event_id % 3 AS INT) + 1] WHEN event_type = 'view' AND event_id % 9 = 0 THEN 'probe_success' WHEN event_id % 4 = 0 THEN 'success' ELSE 'probe_failure' END AS kind FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ts, seq) AS r FROM k),
@@ -181,14 +228,18 @@ SELECT source, failures, health, reason, last_success FROM f QUALIFY row_number(
 
 QUERIES = {
     f.__name__: f
-    for f in (upsert_merge, upsert_twice, changed_only, get_or_create, closed_sweep, misses_streak, ledger_insert_ignore, cascade_delete, orphans, health_fold, health_counts, quarantine_alerts, poll_gate, poll_outcomes, budget_admission, active_resume, prune_backups, stale_registries, latest_active)
+    for f in (upsert_merge, upsert_twice, upsert_buckets, polls_folded, changed_only, get_or_create, companyless_poll, companyless_poll_jobs, closed_sweep, misses_streak, ledger_insert_ignore, cascade_delete, orphans, health_fold, health_counts, quarantine_alerts, poll_gate, poll_outcomes, budget_admission, active_resume, prune_backups, stale_registries, latest_active)
 }
 
 ORACLES = {
     "upsert_merge": _UPSERT,
     "upsert_twice": _UPSERT,
     "changed_only": f"WITH {_STORED}, {_IN} SELECT i.source_id, i.external_id FROM inc i LEFT JOIN stored s ON s.source_id = i.source_id AND s.external_id = i.external_id WHERE s.id IS NULL OR s.content_hash <> i.h2",
-    "get_or_create": f"WITH {COMPANIES}, h AS (SELECT * FROM companies WHERE id < 10), n AS (SELECT DISTINCT s_name AS name FROM supplier WHERE s_name NOT IN (SELECT name FROM h)) SELECT id, name, ats_type, priority, health, registry_flags FROM h UNION ALL SELECT (SELECT max(id) FROM h) + row_number() OVER (ORDER BY name), name, 'none', 3, 'ok', 0 FROM n",
+    "upsert_buckets": _UPSERT,
+    "polls_folded": f"WITH {_STORED}, l AS (SELECT *, CASE WHEN id % 4 = 1 THEN 3 WHEN id % 5 = 0 THEN 2 WHEN id % 2 = 0 THEN 1 ELSE 0 END AS last, {POLLS}::TIMESTAMP[] AS t FROM stored), m AS (SELECT *, CASE WHEN last > 0 THEN 3 - last ELSE consecutive_misses + 3 END AS misses, CASE WHEN last > 0 THEN last + {vocab.CLOSE_AFTER_MISSES} ELSE greatest(1, {vocab.CLOSE_AFTER_MISSES} - consecutive_misses) END AS step FROM l) SELECT id, CAST(CASE WHEN company_id < 15 THEN misses ELSE consecutive_misses END AS INT) AS consecutive_misses, CASE WHEN company_id >= 15 OR (last = 0 AND closed_at IS NOT NULL) THEN closed_at ELSE t[step] END AS closed_at FROM m",
+    "get_or_create": f"WITH {COMPANIES}, h AS (SELECT * FROM companies WHERE id < 10), n AS (SELECT s_name AS name, min(CASE WHEN s_suppkey % 3 <> 0 THEN 'SE' ELSE '' END) AS country FROM supplier WHERE s_name NOT IN (SELECT name FROM h) GROUP BY s_name) SELECT id, name, ats_type, priority, health, registry_flags, 'DE' AS country_hq FROM h UNION ALL SELECT (SELECT max(id) FROM h) + row_number() OVER (ORDER BY name), name, 'none', 5, 'ok', 0, country FROM n",
+    "companyless_poll": f"{_OPEN} SELECT CAST((SELECT count(*) FROM came) + 5 AS BIGINT) AS fetched, (SELECT count(*) FROM said) AS upserted, CAST((SELECT count(*) FROM came) + 5 - (SELECT count(*) FROM said) AS BIGINT) AS errors, (SELECT count(*) FROM stored WHERE closed_at IS NULL AND id % 2 = 1 AND consecutive_misses + 1 >= {vocab.CLOSE_AFTER_MISSES}) AS closed, NULL::VARCHAR AS failure, (SELECT count(*) FROM shadows) AS shadows, (SELECT count(*) FROM shadows WHERE country IS NOT NULL) AS placed",
+    "companyless_poll_jobs": f"{_OPEN} SELECT s.external_id, 0 AS consecutive_misses, NULL::TIMESTAMP AS closed_at, CASE WHEN k.id IS NULL OR k.content_hash <> s.content_hash THEN 'new' ELSE k.user_status END AS user_status, CASE WHEN k.id IS NULL THEN s.firm END AS new_company FROM said s LEFT JOIN stored k USING (id)",
     "closed_sweep": f"WITH {_STORED} SELECT id, CASE WHEN company_id >= 15 THEN consecutive_misses WHEN id % 2 = 0 THEN 0 ELSE consecutive_misses + 1 END AS consecutive_misses, CASE WHEN company_id >= 15 THEN closed_at WHEN id % 2 = 0 THEN NULL WHEN closed_at IS NULL AND consecutive_misses + 1 >= {vocab.CLOSE_AFTER_MISSES} THEN TIMESTAMP '{NOW}' ELSE closed_at END AS closed_at FROM stored",
     "misses_streak": f"WITH e AS (SELECT DISTINCT user_id AS key, CAST(ts AS DATE) AS poll FROM events), p AS (SELECT u.key, d.poll, e.key IS NOT NULL AS present FROM (SELECT DISTINCT key FROM e) u CROSS JOIN (SELECT DISTINCT poll FROM e) d LEFT JOIN e ON e.key = u.key AND e.poll = d.poll), i AS (SELECT *, sum(CAST(present AS INT)) OVER (PARTITION BY key ORDER BY poll) AS island FROM p) SELECT key, poll, CAST(sum(CASE WHEN present THEN 0 ELSE 1 END) OVER (PARTITION BY key, island ORDER BY poll) AS BIGINT) AS misses, sum(CASE WHEN present THEN 0 ELSE 1 END) OVER (PARTITION BY key, island ORDER BY poll) >= {vocab.CLOSE_AFTER_MISSES} AS closed FROM i",
     "ledger_insert_ignore": "WITH l AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) SELECT * FROM l UNION ALL SELECT o_custkey, max(o_orderkey) FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM l) GROUP BY 1",

@@ -47,10 +47,15 @@ def _versions(root: str) -> str:
     return f"{root.rstrip('/')}-versions"
 
 
+def version_path(root: str, number: int) -> str:
+    """Where a version's entry lies."""
+    return f"{_versions(root)}/version={number}"
+
+
 def newest_version(spark: SparkSession, root: str) -> int:
     """The number of a table's newest complete version, 0 if it has none."""
     try:
-        found = spark.read.schema("path string, version int").parquet(_versions(root)).agg(F.max("version")).first()[0]
+        found = spark.read.schema("version int").parquet(_versions(root)).agg(F.max("version")).first()[0]
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -74,7 +79,7 @@ def write_snapshot(df: DataFrame, root: str, after: int | None = None) -> str:
     path = f"{root.rstrip('/')}/v={uuid.uuid4().hex}"
     df.write.parquet(path)
     try:
-        spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("errorifexists").parquet(f"{_versions(root)}/version={version}")
+        spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("errorifexists").parquet(version_path(root, version))
     except AnalysisException as e:
         if e.getCondition() != "PATH_ALREADY_EXISTS":
             raise
@@ -94,11 +99,12 @@ def same_keys(keys: list[str], left: str, right: str) -> Column:
     return reduce(operator.and_, (F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys))
 
 
-def with_new_ids(stored: DataFrame, incoming: DataFrame, keys: list[str], name: str = "new_id") -> DataFrame:
-    """``incoming`` with ``name``: for keys that ``stored`` hasn't got, numbers after its largest ``id`` in the keys' order; else null."""
-    new = incoming.select(*keys).distinct().alias("i").join(stored.select(*keys).alias("s"), same_keys(keys, "i", "s"), "left_anti")
+def with_new_ids(stored: DataFrame, incoming: DataFrame, keys: list[str], name: str = "new_id", first: list[str] | None = None) -> DataFrame:
+    """``incoming`` with ``name``: for keys that ``stored`` hasn't got, numbers after its largest ``id`` in the order of ``first`` and the keys; else null."""
+    first = first or []
+    new = incoming.select(*first, *keys).distinct().alias("i").join(stored.select(*keys).alias("s"), same_keys(keys, "i", "s"), "left_anti")
     top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_top"))
-    numbered = with_ids(new, 1, keys, "_n").join(F.broadcast(top)).select(*keys, (F.col("_top") + F.col("_n")).alias(name))  # one row, one number
+    numbered = with_ids(new, 1, [*first, *keys], "_n").join(F.broadcast(top)).select(*keys, (F.col("_top") + F.col("_n")).alias(name))  # one row, one number
     met = incoming.alias("i").join(numbered.alias("n"), same_keys(keys, "i", "n"), "left")
     return met.select("i.*", F.col(f"n.{name}"))
 
@@ -109,14 +115,15 @@ def merge(stored: DataFrame, incoming: DataFrame, keys: list[str], merged: dict[
     Expressions see the two sides as ``s`` and ``i``; columns they don't name are taken from the
     stored row if there is one, else from the incoming row, else null. Keys are compared null-safely.
     """
-    on = same_keys(keys, "s", "i")
-    both = stored.withColumn("_s", F.lit(True)).alias("s").join(incoming.withColumn("_i", F.lit(True)).alias("i"), on, "full_outer")
+    both = stored.withColumn("_s", F.lit(True)).alias("s").join(incoming.withColumn("_i", F.lit(True)).alias("i"), same_keys(keys, "s", "i"), "full_outer")
+    return both.select(*merged_rows(stored.columns, incoming.columns, merged, inserted))
+
+
+def merged_rows(stored: list[str], incoming: list[str], merged: dict[str, Column], inserted: dict[str, Column]) -> list[Column]:
+    """The columns of a merge, over the two sides joined as ``s`` and ``i``, of which ``_s`` and ``_i`` say that they are there."""
     known, new = F.col("s._s").isNotNull(), F.col("i._i").isNotNull()
-    out = []
-    for c in stored.columns:
-        fresh = inserted.get(c, F.col(f"i.{c}") if c in incoming.columns else F.lit(None))
-        out.append(F.when(known & new, merged.get(c, F.col(f"s.{c}"))).when(known, F.col(f"s.{c}")).otherwise(fresh).alias(c))
-    return both.select(*out)
+    fresh = lambda c: inserted.get(c, F.col(f"i.{c}") if c in incoming else F.lit(None))
+    return [F.when(known & new, merged.get(c, F.col(f"s.{c}"))).when(known, F.col(f"s.{c}")).otherwise(fresh(c)).alias(c) for c in stored]
 
 
 def with_ids(df: DataFrame, first: Column | int, order: list[str], name: str = "id") -> DataFrame:

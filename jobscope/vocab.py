@@ -118,6 +118,8 @@ FAILURE_THRESHOLDS = {"gone": 3, "schema_drift": 3, "unreachable": 10}
 CLOSE_AFTER_MISSES, MATCH_LIMIT, BACKUPS_KEPT = 2, 500, 14
 BUDGET_ZONE, JOBTECH_ZONE = "Asia/Jakarta", "Europe/Stockholm"
 SUPPORTED_ATS = ["greenhouse", "lever", "ashby"]
+PROBE_EVERY_MS = 7 * 24 * 3600 * 1000
+SHADOW_ATS, SHADOW_PRIORITY = "none", 5
 DEDUP_HAMMING = 8
 
 # ---- fixed values: fit of a resume ----

@@ -26,10 +26,14 @@ def test_entry_runs(spark):
     assert set(registered.ORACLES) <= set(registered.QUERIES) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", sorted(registered.ORACLES))
+CASES = {name: (registered.QUERIES[name], sql) for name, sql in registered.ORACLES.items()} | registered.EXAMPLES
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
 def test_equal_to_sql(spark, duck, tmp_path, name):
-    registered.QUERIES[name](spark, SF).write.parquet(f"{tmp_path}/out")
-    duck.sql(f"CREATE OR REPLACE TEMP TABLE want AS {registered.ORACLES[name]}")
+    query, sql = CASES[name]
+    query(spark, SF).write.parquet(f"{tmp_path}/out")
+    duck.sql(f"CREATE OR REPLACE TEMP TABLE want AS {sql}")
     duck.sql(f"CREATE OR REPLACE TEMP TABLE got AS SELECT * FROM '{tmp_path}/out/*.parquet'")
     columns = sorted(duck.table("want").columns)
     assert columns == sorted(duck.table("got").columns)
