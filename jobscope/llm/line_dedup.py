@@ -47,9 +47,14 @@ _LINES = "doc_id long, text_key long, line_no int, h1 long, h2 long, halves arra
 _PLACE = ("doc_id", "text_key", "line_no")
 
 
-def _half_keys(line: str) -> list[tuple[int, int]]:
-    """Hashes of the first (side 1) and last (side 2) half, for the one or two lengths that a half can have with a partner."""
+def _half_keys(line: str) -> list[tuple[int | None, int]]:
+    """Hashes of the first (side 1) and last (side 2) half, for the one or two lengths that a half can have with a partner.
+
+    A line of one or two characters can have a partner of which no half is left: it has no hash and counts as one that shares both (side 3).
+    """
     n = len(line)
+    if n <= 2:
+        return [(None, 3)]
     return [(xxhash.xxh64_intdigest(part.encode("utf-8", "replace"), 2 * size + side), side) for size in {n // 2, (n - 1) // 2} for side, part in ((1, line[:size]), (2, line[n - size :]))]
 
 
@@ -73,8 +78,9 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
                     keys.append(key)
                     sides.append(side)
                 ends.append(len(keys))
-        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        halves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([signed(keys), pa.array(sides, pa.int32())], ["key", "side"]))
+        signed = lambda x, absent=None: pa.array(np.array(x, np.uint64).view(np.int64), mask=absent)
+        absent = np.array([k is None for k in keys], bool)
+        halves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([signed([k or 0 for k in keys], absent), pa.array(sides, pa.int32())], ["key", "side"]))
         at = pa.array(rows, pa.int64())
         return pa.RecordBatch.from_arrays([batch["doc_id"].take(at), batch["text_key"].take(at), pa.array(numbers, pa.int32()), signed(h1), signed(h2), halves], ["doc_id", "text_key", "line_no", "h1", "h2", "halves"])
 
@@ -143,6 +149,20 @@ def _variants(candidates: DataFrame) -> DataFrame:
     return candidates.select("line", "sides", "h1", "h2", "seq").mapInArrow(work, "key long, place int, h1 long, h2 long, seq long")
 
 
+def _texts_of(met: DataFrame) -> DataFrame:
+    """``h1``, ``h2``, ``sides``, ``first`` (its place) and ``line`` of each of the ``lines`` wanted of a text, which is split once."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for doc_id, text_key, text, lines in zip(*(batch[c].to_pylist() for c in ("doc_id", "text_key", "text", "lines")), strict=True):
+            split = text.split("\n")
+            out += [(x["h1"], x["h2"], x["sides"], {"doc_id": doc_id, "text_key": text_key, "line_no": x["line_no"]}, split[x["line_no"]].strip(" ")) for x in lines]
+        place = pa.struct([("doc_id", pa.int64()), ("text_key", pa.int64()), ("line_no", pa.int32())])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), place, pa.string()), strict=True)], ["h1", "h2", "sides", "first", "line"])
+
+    return met.select("doc_id", "text_key", "text", "lines").mapInArrow(per_slice(work), "h1 long, h2 long, sides int, first struct<doc_id:long,text_key:long,line_no:int>, line string")
+
+
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row for each line to drop: ``doc_id``, ``text_key``, ``line_no``, ``keep_doc_id``, ``keep_line_no``, ``distance`` (0 or 1).
 
@@ -154,11 +174,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     halves = distinct.select("h1", F.explode("halves").alias("half")).select("h1", "half.key", "half.side")
     shared = halves.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where(F.col("low") != F.col("high")).select("key")
-    sides = halves.join(shared, "key", "left_semi").groupBy("h1").agg(F.bit_or("side").alias("sides"))
-    wanted = distinct.join(sides, "h1").select(F.col("first.doc_id").alias("of"), F.col("first.text_key").alias("of_key"), "first", "h1", "h2", "sides")
+    sides = halves.join(shared, "key", "left_semi").unionByName(halves.where("key is null").select("key", "h1", "side")).groupBy("h1").agg(F.bit_or("side").alias("sides"))
+    wanted = distinct.join(sides, "h1").groupBy(F.col("first.doc_id").alias("of"), F.col("first.text_key").alias("of_key")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "h1", "h2", "sides")).alias("lines"))
     texts = keyed_text_of(docs).join(wanted, (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of")))
-    found = texts.select("h1", "h2", "sides", "first", F.trim(F.get(F.split("text", "\n"), F.col("first.line_no"))).alias("line")).dropDuplicates(["h1", "h2"])
-    near = _near(written(found, "candidate-lines"))
+    near = _near(written(_texts_of(texts).dropDuplicates(["h1", "h2"]), "candidate-lines"))
     place = F.struct(*_PLACE)
     equal = lines.select(*_PLACE, "h1", "h2").join(distinct.where("n > 1").select("h1", "h2", "first"), ["h1", "h2"]).where(place != F.col("first"))
     equal = equal.select(*_PLACE, F.col("first.doc_id").alias("keep_doc_id"), F.col("first.line_no").alias("keep_line_no"), F.lit(0).alias("distance"))
@@ -218,7 +237,9 @@ def _without(docs: DataFrame, repeated: DataFrame, dropped: str) -> DataFrame:
     drop = repeated.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias(dropped))
     joined = docs.join(drop, (text_key_of(docs["text"]) == drop["text_key"]) & docs["doc_id"].cast("long").eqNullSafe(drop["doc_id"]), "left").select(*(docs[c] for c in docs.columns), drop[dropped])
     numbers, whole = F.col(dropped), F.col(dropped).isNull()
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(numbers, i)), "\n")
+    # the lines are split once, as the one element that the outer function is given, and those that stay are told by hash
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), numbers)
+    kept = F.transform(F.array(F.split("text", "\n")), lambda lines: F.array_join(F.transform(left(lines), lambda i: F.get(lines, i)), "\n"))[0]
     out = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(kept))
     return out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in docs.columns else out
 
