@@ -10,13 +10,14 @@ No such overlap is missed with the default window and share: both masks put a th
 beside itself, and of a window of 13 words with any two changed at least one mask, at one of its
 places, looks at none of these. Items of fewer words than a window have masks of their own, over the
 whole item: if ``k`` of its words may be changed, they are dealt to ``k + 1`` masks in turn, one of
-which stays whole. Hits of these are tested at once against the item's words, since the masks of a
-short item look at few.
+which stays whole. Hits of these are tested at once against the item's words (by 64-bit hashes), since
+the masks of a short item look at few; all lengths are looked for in one pass. Another window or share
+has masks of that kind over each window, so none is missed there either.
 
 DataFrame functions only. The benchmark's seeds are broadcast if they are counted to be at most
-``MAX_BROADCAST_SEEDS``; beyond that the same join runs by shuffle. Hits are reduced to distinct
-(document, item, offset) before any text is fetched, so a passage that many documents hold costs each
-of them a few rows, and nothing is gathered by passage.
+``MAX_BROADCAST_SEEDS``; beyond that the same join runs by shuffle. Hits are gathered by document
+before any text is fetched, so a passage that many documents hold costs each of them a few rows, a text
+is split once for all its hits, and nothing is gathered by passage.
 
 Cases: null texts have no words; items without words are never reported, and an item of one word is
 reported wherever that word stands; items that repeat an id or a text are matched each; a row is known
@@ -41,6 +42,10 @@ MASKS = tuple(tuple(sorted(PATTERN + tuple(p + s for p in PATTERN))) for s in SH
 #: What stands between words: any other ASCII than letters and digits.
 APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, LEAST_SHARE = 13, 0.8
+
+#: Parts of the items that hit a text, each of which fetches the text.
+PARTS = 16
+
 MAX_BROADCAST_SEEDS = 1_000_000
 
 
@@ -75,17 +80,29 @@ def seed_rows(df: DataFrame, keys: list[str], at: str) -> DataFrame:
     return rows.select(*keys, F.when(F.col("k") < F.col("first"), F.col("k")).otherwise(F.col("k") - F.col("first")).alias(at), "seed")
 
 
-def _short_rows(df: DataFrame, keys: list[str], at: str, n: int, parts: int, whole: bool) -> DataFrame:
-    """``keys``, ``at``, ``seed`` and ``run`` (hashes of ``n`` words) for each mask of an item of ``n`` words; ``whole``: of texts of just that length."""
-    hashed = _hashed(df, keys)
-    hashed = hashed.where(F.col("n") == n) if whole else hashed
-    last = F.col("lead") + F.col("n") - n
+def _changes(n: int, least_share: float) -> int:
+    """How many of ``n`` words may differ."""
+    return n - math.ceil(n * least_share)
+
+
+def _run_rows(df: DataFrame, keys: list[str], at: str, lengths: list[int], window: int, least_share: float, item: bool) -> DataFrame:
+    """``keys``, ``at``, ``seed`` and ``run`` (hashes of its words) for each mask of each run of one of the ``lengths``, all in one pass.
+
+    The words of a run are dealt in turn to one mask more than words may be changed, so one mask sees none of the changes.
+    An ``item`` has runs of a window where it is as long, else one, the whole item.
+    """
+
+    def of(n: int) -> Column:
+        parts = min(n, _changes(n, least_share) + 1)
 
-    def here(i: Column) -> Column:
-        seeds = F.array(*(F.xxhash64(*(F.col("h")[i + j] for j in range(r, n, parts)), F.lit(r)) for r in range(parts)))
-        return F.struct((i - F.col("lead")).alias("at"), seeds.alias("seeds"), F.slice("h", i + 1, n).alias("run"))
+        def here(i: Column) -> Column:
+            seeds = F.array(*(F.xxhash64(*(F.col("h")[i + j] for j in range(r, n, parts)), F.lit(n), F.lit(r)) for r in range(parts)))
+            return F.struct((i - F.col("lead")).alias("at"), seeds.alias("seeds"), F.slice("h", i + 1, n).alias("run"))
 
-    each = hashed.select(*keys, F.explode_outer(F.when(F.col("n") >= n, F.transform(F.sequence(F.col("lead"), last), here))).alias("x"))
+        fits = F.col("n") == n if item and n < window else F.col("n") >= n
+        return F.coalesce(F.when(fits, F.transform(F.sequence(F.col("lead"), F.col("lead") + F.col("n") - n), here)), F.array())
+
+    each = _hashed(df, keys).select(*keys, F.explode_outer(F.concat(*map(of, lengths))).alias("x"))
     return each.select(*keys, F.col("x.at").alias(at), F.explode_outer("x.seeds").alias("seed"), F.col("x.run").alias("run"))
 
 
@@ -94,47 +111,71 @@ def _broadcast(seeds: DataFrame) -> DataFrame:
     return F.broadcast(seeds) if seeds.count() <= MAX_BROADCAST_SEEDS else seeds
 
 
-def _short_hits(texts: DataFrame, items: DataFrame, window: int, least_share: float) -> DataFrame | None:
-    """``doc_id``, ``key``, ``item_id`` and ``offset`` of the items of fewer words than a window that stand in a text, by hashes."""
-    lengths = sorted(r["n"] for r in _hashed(items, ["item_id"]).where((F.col("n") > 0) & (F.col("n") < window)).select("n").distinct().collect())  # fewer than a window
-    found = None
-    for n in lengths:
-        enough = math.ceil(n * least_share)
-        parts = min(n, n - enough + 1)
-        own = _broadcast(_short_rows(items, ["item_id"], "item_at", n, parts, True).withColumnRenamed("run", "item"))
-        met = _short_rows(texts, ["doc_id", "key"], "offset", n, parts, False).join(own, "seed")
-        agree = F.aggregate(F.zip_with("run", "item", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
-        hits = met.where(agree >= enough).select("doc_id", "key", "item_id", "offset")
-        found = hits if found is None else found.unionByName(hits)
-    return found
+def _agreeing(texts: DataFrame, items: DataFrame, lengths: list[int], window: int, least_share: float) -> DataFrame:
+    """``doc_id``, ``key``, ``item_id``, ``doc_at``, ``item_at``, ``size`` and ``most`` of runs of one of the ``lengths`` of which enough words (by their hashes) agree."""
+    own = _broadcast(_run_rows(items, ["item_id"], "item_at", lengths, window, least_share, True).withColumnRenamed("run", "item"))
+    met = _run_rows(texts, ["doc_id", "key"], "doc_at", lengths, window, least_share, False).join(own, "seed").where(F.size("run") == F.size("item"))
+    agree = F.aggregate(F.zip_with("run", "item", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
+    size = F.size("item")
+    return met.select("doc_id", "key", "item_id", "doc_at", "item_at", size.alias("size"), agree.alias("most")).where(F.col("most") >= F.ceil(size * F.lit(least_share)))
 
 
-def _overlaps(docs: DataFrame, benchmark: DataFrame, window: int, least_share: float) -> DataFrame:
-    """What ``overlaps`` gives, for each id and text (``key``, its hash)."""
-    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), F.coalesce(benchmark["text"], F.lit("")).alias("text")).distinct()
-    texts = text_of(docs).select("doc_id", F.xxhash64("text").alias("key"), "text")
-    hits = seed_rows(texts, ["doc_id", "key"], "doc_at").join(_broadcast(seed_rows(items, ["item_id"], "item_at")), "seed")
-    found = hits.select("doc_id", "key", "item_id", (F.col("doc_at") - F.col("item_at")).alias("offset"))
-    short = _short_hits(texts, items, window, least_share)
-    found = (found if short is None else found.unionByName(short)).distinct()
+def _window_hits(texts: DataFrame, items: DataFrame, window: int, least_share: float) -> DataFrame:
+    """``doc_id``, ``key``, ``item_id`` and ``offset`` where a window of an item may stand in a text."""
+    if (window, least_share) == (WINDOW, LEAST_SHARE):
+        hits = seed_rows(texts, ["doc_id", "key"], "doc_at").join(_broadcast(seed_rows(items, ["item_id"], "item_at")), "seed")
+    else:
+        hits = _agreeing(texts, items, [window], window, least_share)
+    return hits.select("doc_id", "key", "item_id", (F.col("doc_at") - F.col("item_at")).alias("offset"))
+
+
+def _laid_out(texts: DataFrame, items: DataFrame, hits: DataFrame, window: int, least_share: float) -> DataFrame:
+    """``doc_id``, ``key``, ``item_id``, ``window_matches``, ``item_share`` and ``first_word`` of hits that have a window.
+
+    Offsets are gathered by document and item and items by document (in ``PARTS`` parts of its items), so
+    that a text is fetched and split once for all that hits it in a part.
+    """
+    pair = hits.groupBy("doc_id", "key", "item_id").agg(F.collect_set("offset").alias("offsets"))
     item_words = items.select("item_id", words_of(F.col("text")).alias("item"))
-    laid = found.join(item_words, found["item_id"].eqNullSafe(item_words["item_id"])).select("doc_id", "key", found["item_id"], "offset", "item")
+    laid = pair.join(item_words, pair["item_id"].eqNullSafe(item_words["item_id"])).select("doc_id", "key", pair["item_id"], "offsets", "item")
+    by_text = laid.groupBy("doc_id", "key", F.pmod(F.xxhash64("item_id"), F.lit(PARTS)).alias("part")).agg(F.collect_list(F.struct("item_id", "offsets", "item")).alias("hits"))
     same = F.col("t.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("t.key") == F.col("l.key"))
-    pairs = texts.alias("t").join(laid.alias("l"), same).select("t.doc_id", "t.key", "item_id", "offset", "item", words_of(F.col("t.text")).alias("words"))
-    low, size = F.greatest(F.lit(0), -F.col("offset")), F.size("item")
-    high = F.least(size, F.size("words") - F.col("offset"))
-    agree = F.when(high > low, F.transform(F.sequence(low, high - 1), lambda j: (F.col("item")[j] == F.col("words")[j + F.col("offset")]).cast("int")))
-    laid_out = pairs.select("doc_id", "key", "item_id", "offset", size.alias("size"), low.alias("low"), F.least(F.lit(window), size).alias("width"), agree.alias("agree"))
+    met = texts.alias("t").join(by_text.alias("l"), same).select("t.doc_id", "t.key", "hits", "t.text")
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+
+    def at(words: Column, hit: Column, offset: Column) -> Column:
+        size, low = F.size(hit["item"]), F.greatest(F.lit(0), -offset)
+        high = F.least(size, F.size(words) - offset)
+        agree = F.when(high > low, F.transform(F.sequence(low, high - 1), lambda j: (hit["item"][j] == words[j + offset]).cast("int")))
+        return F.struct(hit["item_id"].alias("item_id"), size.alias("size"), low.alias("low"), offset.alias("offset"), agree.alias("agree"))
+
+    # the text is split once, as the one element that the outer function is given
+    found = F.flatten(F.transform(F.array(words_of(F.col("text"))), lambda words: F.flatten(F.transform("hits", lambda hit: F.transform(hit["offsets"], lambda offset: at(words, hit, offset))))))
+    laid_out = met.select("doc_id", "key", F.inline(found)).withColumn("width", F.least(F.lit(window), F.col("size")))
     windows = F.when(F.size("agree") >= F.col("width"), F.transform(F.sequence(F.lit(1), F.size("agree") - F.col("width") + 1), lambda s: total(F.slice("agree", s, F.col("width")))))
     enough = F.ceil(F.col("width") * F.lit(least_share))
     counted = laid_out.select("doc_id", "key", "item_id", "offset", "low", (total(F.col("agree")) / F.col("size")).alias("share"), windows.alias("windows"), enough.alias("enough"))
     first = F.array_min(F.filter(F.transform("windows", lambda w, i: F.when(w >= F.col("enough"), i)), lambda i: i.isNotNull()))
     each = counted.select("doc_id", "key", "item_id", "share", "enough", F.array_max("windows").alias("most"), (first + F.col("low") + F.col("offset")).alias("first"))
+    return each.select("doc_id", "key", "item_id", F.col("most").cast("long").alias("window_matches"), F.when(F.col("most") >= F.col("enough"), F.col("share")).alias("item_share"), F.col("first").cast("long").alias("first_word"))
+
+
+def _overlaps(docs: DataFrame, benchmark: DataFrame, window: int, least_share: float) -> DataFrame:
+    """What ``overlaps`` gives, for each id and text (``key``, its hash)."""
+    if window < 1 or not 0 < least_share <= 1:
+        raise ValueError("a window has one word at least, and a share of them above 0 and up to 1")
+    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), F.coalesce(benchmark["text"], F.lit("")).alias("text")).distinct()
+    texts = text_of(docs).select("doc_id", F.xxhash64("text").alias("key"), "text")
+    each = _laid_out(texts, items, _window_hits(texts, items, window, least_share), window, least_share)
+    lengths = sorted(r["n"] for r in _hashed(items, ["item_id"]).where((F.col("n") > 0) & (F.col("n") < window)).select("n").distinct().collect())  # fewer than a window
+    if lengths:
+        # a run that agrees is all there is to know of a short item
+        short = _agreeing(texts, items, lengths, window, least_share)
+        each = each.unionByName(short.select("doc_id", "key", "item_id", F.col("most").cast("long").alias("window_matches"), (F.col("most") / F.col("size")).alias("item_share"), F.col("doc_at").cast("long").alias("first_word")))
     # the test comes after the aggregation: before it, it would be pushed down with all that it is made of
     return (
         each.groupBy("doc_id", "key", "item_id")
-        .agg(F.max("most").cast("long").alias("window_matches"), F.max(F.when(F.col("most") >= F.col("enough"), F.col("share"))).alias("item_share"), F.min("first").cast("long").alias("first_word"))
+        .agg(F.max("window_matches").alias("window_matches"), F.max("item_share").alias("item_share"), F.min("first_word").alias("first_word"))
         .where(F.col("first_word").isNotNull())
     )
 
