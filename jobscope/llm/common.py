@@ -65,29 +65,42 @@ def per_slice(work: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callab
     return run
 
 
+#: Longest word that a ``WordTable`` keeps, and characters of words that one of its generations holds.
+KEPT_CHARS, HELD_CHARS = 64, 8 << 20
+
+
 class WordTable:
     """What a function gives for distinct words, worked out once each and bounded in size.
 
-    ``learn`` takes a list of new words and gives their values. Two generations of at most ``most``
-    words are kept; when the younger is full it becomes the older, so that frequent words stay.
+    ``learn`` takes a list of new words and gives their values, whose size follows the word's. Two
+    generations of at most ``most`` words and ``HELD_CHARS`` characters are kept; when the younger is
+    full it becomes the older, so that frequent words stay. Words of more than ``KEPT_CHARS`` characters
+    (texts without spaces, encoded data) are worked out each time they are met, and never kept.
     """
 
     def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int) -> None:
         self.learn, self.most = learn, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.chars = 0
 
     def get(self, word: str) -> bytes | None:
-        """A word's value, if it is known."""
+        """A word's value, if it is kept."""
         value = self.young.get(word)
         return self.old.get(word) if value is None else value
 
     def joined(self, lists: list[list[str]]) -> list[bytes]:
         """For each list, the values of its words put together in their order; new words are learned in one go."""
-        missing = set().union(*lists).difference(self.young)
-        if len(self.young) + len(missing) > self.most:
+        words = set().union(*lists)
+        long = [w for w in words if len(w) > KEPT_CHARS]
+        words.difference_update(long)
+        missing = words.difference(self.young)
+        chars = sum(map(len, missing))
+        if len(self.young) + len(missing) > self.most or self.chars + chars > HELD_CHARS:
             self.old, self.young = self.young, {}
-            missing = set().union(*lists)
+            missing, self.chars = words, 0
+            chars = sum(map(len, words))
+        self.chars += chars
         young, old = self.young, self.old
         new = []
         for w in missing:
@@ -98,4 +111,7 @@ class WordTable:
                 young[w] = value
         if new:
             young.update(zip(new, self.learn(new), strict=True))
-        return [b"".join(map(young.__getitem__, words)) for words in lists]
+        if not long:
+            return [b"".join(map(young.__getitem__, words)) for words in lists]
+        once = dict(zip(long, self.learn(long), strict=True))
+        return [b"".join(young[w] if w in young else once[w] for w in words) for words in lists]

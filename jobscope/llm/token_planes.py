@@ -182,8 +182,10 @@ def write_token_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int,
         if size:
             yield block(b"".join(held))
 
-    dealt = text_of(docs).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(path)
+    # ids that many rows share, or null ones, are parted by their texts, and rows that are alike in both by a number
+    keyed = text_of(docs).withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange(shards, "doc_id", "_hash", "_row").sortWithinPartitions("doc_id", "_hash", "text")
+    dealt.select("doc_id", "text").mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(path)
 
 
 def shard_starts(stored: DataFrame) -> DataFrame:

@@ -236,6 +236,47 @@ def test_every_changed_pair_of_words_is_found_by_the_operator(spark):
     assert len(found) == len(rows) == 45 + 55 + 66 + 78 and all(x[1] == 1 for x in found.values())
 
 
+def test_a_word_that_is_everywhere_costs_a_text_its_length(spark):
+    """An item of one word, at each place of a long text, and many items that hit one text."""
+    import time
+
+    r = random.Random(2)
+    text = " ".join(r.choice(["the", "of", "at"]) for _ in range(20_000))
+    items = [(0, "the"), (1, "of the"), (2, "zzz")] + [(10 + k, " ".join(f"i{k}w{j}" for j in range(15))) for k in range(300)]
+    rows = [(1, text), (2, "nothing here"), (3, " ".join(b for _, b in items[3:]))]
+    began = time.perf_counter()
+    found = found_overlaps(spark, rows, items)
+    assert time.perf_counter() - began < 60
+    words = text.split()
+    assert found == {(1, 0): (1, words.index("the")), (1, 1): (2, next(k for k in range(20_000) if words[k : k + 2] == ["of", "the"]))} | {(3, 10 + k): (13, 15 * k) for k in range(300)}
+
+
+@pytest.mark.parametrize(("window", "share"), [(5, 0.8), (13, 0.6), (20, 0.9), (3, 1.0), (1, 0.5)])
+def test_other_windows_and_shares_miss_nothing(spark, window, share):
+    import math
+
+    r = random.Random(window)
+    items = [(k, " ".join(r.choice("abcdefghij") * 3 for _ in range(n))) for k, n in enumerate((1, 2, 4, 7, 13, 25, 40))]
+    rows = [(k, " ".join(r.choice("abcdefghij") * 3 if r.random() < 0.15 else w for w in f"{items[k % 7][1]} zz {items[k % 5][1]}".split())) for k in range(60)]
+    want = {}
+    for d, t in rows:
+        for i, b in items:
+            x, y = t.split(), b.split()
+            width = min(window, len(y))
+            for off in range(-len(y), len(x)):
+                low = max(0, -off)
+                ok = [x[j + off] == y[j] for j in range(low, min(len(y), len(x) - off))]
+                sums = [sum(ok[k : k + width]) for k in range(len(ok) - width + 1)]
+                good = [k for k, n in enumerate(sums) if n >= math.ceil(width * share)]
+                if good:
+                    most, first = want.get((d, i), (0, 10**9))
+                    want[d, i] = max(most, *sums), min(first, good[0] + low + off)
+    found = {(x.doc_id, x.item_id): (x.window_matches, x.first_word) for x in decontaminate.overlaps(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"), window, share).collect()}
+    assert found == want
+    with pytest.raises(ValueError):
+        decontaminate.overlaps(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"), 0)
+
+
 # ---- 4 prefix counts ----
 def test_every_prefix_has_the_library_count():
     from tokenizers import Tokenizer
@@ -352,6 +393,54 @@ def test_pieces_are_the_library_ids(spark):
     assert sorted((r.doc_id or 0, r.text) for r in back) == sorted((i or 0, library.decode(library.encode(t or ""))) for i, t in AWKWARD)
 
 
+@pytest.mark.parametrize("which", ["pieces", "words", "prefixes"])
+def test_texts_without_spaces_are_not_kept(which):
+    """Tables hold a bounded number of characters, and the ids of long words are the library's."""
+    from jobscope.llm import common
+
+    r = random.Random(8)
+    texts = ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(r.randrange(1, 400))) for _ in range(300)] + ["".join(r.choice("abcdefgh") for _ in range(k)) + " tail" for k in (63, 64, 65, 500)]
+    if which == "pieces":
+        import sentencepiece
+
+        tool = pieces.PieceTable(PIECE)
+        library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+        assert [x.tolist() for x in tool.encode(texts)] == [[1, *library.encode(t), 2] for t in texts]
+        table = tool.words
+    elif which == "words":
+        from tokenizers import Tokenizer
+
+        tool = token_planes.WordEncoder(WORD)
+        library = Tokenizer.from_file(WORD)
+        assert [np.frombuffer(x, "<u4").tolist() for x in tool.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        table = tool.words
+    else:
+        from tokenizers import Tokenizer
+
+        tool = token_counts.PrefixCounter(BYTE)
+        library = Tokenizer.from_file(BYTE)
+        assert [token_counts.tokens_at(d, len(d)) for d in tool.deltas(texts)] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+        table = tool.atoms
+    assert max(map(len, table.young)) <= common.KEPT_CHARS
+
+
+def test_a_table_of_many_long_words_stays_small():
+    import tracemalloc
+
+    from jobscope.llm import common
+
+    table = common.WordTable(lambda new: [w.encode() * 4 for w in new], 450_000)
+    tracemalloc.start()
+    for k in range(500):  # 50,000 distinct words of 2,000 characters, and as many of 60
+        got = table.joined([[f"{k}.{i}".ljust(2000, "x") for i in range(100)], [f"{k}.{i}".ljust(60, "y") for i in range(100)]])
+        assert len(got[0]) == 4 * 200_000
+    assert tracemalloc.get_traced_memory()[0] < 64 << 20 and table.chars == 60 * 50_000
+    for k in range(4):
+        table.joined([[f"{k}.{i}".ljust(50, "z") for i in range(50_000)]])
+    assert table.chars <= common.HELD_CHARS and len(table.old) > 0
+    tracemalloc.stop()
+
+
 # ---- 8 order MinHash ----
 def distance(a, b):
     row = list(range(len(b) + 1))
@@ -570,6 +659,37 @@ def test_lines_within_one_edit_are_found(spark):
     assert line_dedup.dedup_table(docs(spark, [])).count() == 0 and line_dedup.dedup_table(awkward(spark)).count() == len(AWKWARD)
 
 
+def test_a_text_of_very_many_lines_is_read_once(spark):
+    """Lines that differ in a number, in one text: time in proportion, not by the square."""
+    import time
+
+    def took(n):
+        text = "\n".join(f"2024-01-01 entry number {k:07d} was written" for k in range(n))
+        began = time.perf_counter()
+        out = line_dedup.dedup_table(docs(spark, [(1, text), (2, text)])).collect()
+        return time.perf_counter() - began, {x.doc_id: x for x in out}
+
+    took(1000)
+    short, _ = took(10_000)
+    long, found = took(100_000)
+    assert found[2].n_dropped == 100_000 and found[2].text == "" and found[1].n_dropped > 50_000
+    assert long < max(60, 12 * short)
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_lines_of_a_few_characters_have_near_copies_where_that_is_asked_for(spark, least):
+    r = random.Random(least)
+    lines = ["".join(r.choice("abcdé") for _ in range(r.randrange(1, 6))) for _ in range(120)]
+    rows = [(k, "\n".join(lines[k * 4 : k * 4 + 4])) for k in range(30)]
+    order = [((k, n), x) for k, t in rows for n, x in enumerate(t.split("\n"))]
+    first = {}
+    for at, x in order:
+        first.setdefault(x, at)
+    want = {at for at, x in order if first[x] < at or any(first[y] < at and distance(x, y) <= 1 for y in first if min(len(x), len(y)) >= least)}
+    found = {(x.doc_id, x.line_no) for x in line_dedup.repeated_lines(docs(spark, rows), least).collect()}
+    assert found == want
+
+
 def test_rows_that_share_an_id_or_have_none_keep_their_own_lines(spark):
     common = "a line that stands in all of these texts"
     rows = [(7, f"{common}\nfirst of its kind in the whole corpus"), (7, f"other words that come before it\n{common}\nUNIQUE 9"), *((None, f"{common}\nnobody else has line number {k} {'abcdefgh'[k] * 9}") for k in range(3))]
