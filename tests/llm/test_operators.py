@@ -568,6 +568,25 @@ def test_a_document_near_the_leader_still_meets_one_that_is_not(spark):
     assert sum(found[200 + g] == g for g in range(20)) >= 19
 
 
+@pytest.mark.parametrize("few", [order_minhash.FEW, 0])
+def test_what_the_rounds_leave_out_is_counted(spark, monkeypatch, few):
+    """Many groups of near texts that share a passage, so that large buckets mix them; with ``FEW`` at 0 all goes through the rounds."""
+    monkeypatch.setattr(order_minhash, "FEW", few)
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
+    shared = [word() for _ in range(30)]
+    rows = []
+    for _ in range(70):
+        base = [word() for _ in range(r.randrange(40, 90))]
+        for _ in range(r.randrange(1, 9)):
+            text = list(base)
+            for _ in range(r.randrange(6)):
+                text[r.randrange(len(text))] = word()
+            rows.append((len(rows), " ".join(shared + text)))
+    found = order_minhash.lost_links(docs(spark, rows))
+    assert 60 <= found["exact"] <= found["classes"] <= found["exact"] * (1.0 if few else 1.03) and found["exact"] < len(rows) / 3
+
+
 @pytest.mark.parametrize("size", [30, 45, 80, 200, 600])
 def test_texts_of_the_least_similarity_meet(spark, size):
     r = random.Random(24 + size)
