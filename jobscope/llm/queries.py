@@ -94,6 +94,7 @@ ORACLES: dict[str, str] = {
     "op3_spaced_seeds": decontaminate.ORACLE,
     "op5_licenses": licenses.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op11_best_fit_shards": sharding.ORACLE,
     "op12_annular_codes": vector_codes.ORACLE,
     "op13_spelling_variants": spelling.ORACLE,
 }

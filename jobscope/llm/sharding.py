@@ -190,3 +190,42 @@ def write_shards(docs: DataFrame, path: str, shards: int | None = None, capacity
     met = docs.join(found, text_md5(docs["text"]) == found["text_md5"]).select(*kept, found["shard"], found["place"].alias("_place"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met.repartitionByRange(parts, "shard", "_place", F.xxhash64(*(c for c in met.columns if c not in ("shard", "_place")))).sortWithinPartitions("shard", "_place").drop("_place").write.partitionBy("shard").parquet(path)
+
+
+def _crc32_table() -> list[int]:
+    """What each byte adds, from the polynomial."""
+
+    def one(x: int) -> int:
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        return x
+
+    return [one(k) for k in range(256)]
+
+
+def oracle_sql(documents: str = "documents", shards: int = SHARDS) -> str:
+    """The same group by group, rooms as a list; crc32 byte by byte, as this dialect has none."""
+    whole = 4294967295
+    after = """list_reduce(list_concat([{s: 0::BIGINT, rooms: []::BIGINT[], path: []::BIGINT[]}], xs), lambda a, x: {s: x.s,
+    rooms: CASE WHEN len(list_filter(a.rooms, lambda r: r >= x.s)) = 0 THEN list_append(a.rooms, @capacity - x.s)
+      ELSE list_transform(a.rooms, lambda r, i: CASE WHEN i = list_position(a.rooms, list_min(list_filter(a.rooms, lambda q: q >= x.s))) THEN r - x.s ELSE r END) END,
+    path: list_append(a.path, CAST(coalesce(list_position(a.rooms, list_min(list_filter(a.rooms, lambda r: r >= x.s))), len(a.rooms) + 1) AS BIGINT))})"""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM {documents}),
+k AS MATERIALIZED (SELECT doc_id, r, md5(t) AS key, CAST(octet_length(encode(t)) + 1 AS BIGINT) AS size, t FROM d),
+c AS MATERIALIZED (SELECT key, xor(list_reduce(list_concat([{whole}::BIGINT], list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda s, b: xor(s >> 8, {_crc32_table()}[CAST(xor(s, b) & 255 AS INT) + 1])), {whole}::BIGINT) AS crc FROM (SELECT key, any_value(t) AS t FROM k GROUP BY key)),
+g AS MATERIALIZED (SELECT key, CAST(sum(size) AS BIGINT) AS bytes, row_number() OVER (ORDER BY sum(size) DESC, key) AS place FROM k GROUP BY key),
+left_ AS (SELECT place, bytes, sum(bytes) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM g),
+alone AS (SELECT coalesce(min(place) - 1, 0) AS n FROM left_ WHERE NOT (place - 1 < {shards} - 1 AND bytes * ({shards} - place + 1) > rest)),
+l AS MATERIALIZED (SELECT any_value(n) AS alone, {shards} - any_value(n) AS rest, list({{s: bytes, rooms: []::BIGINT[], path: []::BIGINT[]}} ORDER BY place) AS xs, max(bytes) AS largest, CAST(ceil(sum(bytes) / ({shards} - any_value(n))) AS BIGINT) AS mean FROM g, alone WHERE place > n),
+search(low, high) AS (SELECT greatest(largest, mean), mean + largest FROM l
+  UNION ALL SELECT CASE WHEN fits THEN low ELSE middle + 1 END, CASE WHEN fits THEN middle ELSE high END FROM (SELECT low, high, middle, len({after.replace('@capacity', 'middle')}.rooms) <= rest AS fits FROM (SELECT *, (low + high) // 2 AS middle FROM search WHERE low < high), l)),
+best AS (SELECT low AS capacity FROM search WHERE low >= high LIMIT 1),
+packed AS (SELECT {after.replace('@capacity', 'capacity')}.path AS path, alone FROM l, best),
+shard AS (SELECT alone + generate_subscripts(path, 1) AS place, CAST(alone + unnest(path) - 1 AS INT) AS shard FROM packed UNION ALL SELECT place, CAST(place - 1 AS INT) FROM g, alone WHERE place <= n)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place, doc_id NULLS FIRST, r) - 1 AS slot, NULL::INT AS grown_shard
+FROM k JOIN g USING (key) JOIN shard USING (place) JOIN c USING (key)
+"""
+
+
+ORACLE = oracle_sql()

@@ -14,6 +14,13 @@ from jobscope.store import new_path
 from test_operators import awkward, docs
 
 
+def as_sql(rows, sql):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    return Counter(con.execute(sql).fetchall())
+
+
 # ---- 11 shards ----
 def best_fit(sizes, capacity):
     """Shards of groups of falling size, one at a time."""
@@ -92,12 +99,14 @@ def test_shards_hold_whole_groups_of_near_equal_size(spark):
         groups[t or ""] += len((t or "").encode()) + 1
     assert len(loads) == 16 and max(loads.values()) - min(loads.values()) <= max(groups.values())
     table = sharding.shard_table(docs(spark, rows)).collect()
+    assert Counter(tuple(x) for x in table) == as_sql(rows, sharding.ORACLE)
     assert {(x.law, x.grown_shard) for x in table} == {("bytes", None)} and Counter((x.doc_id, x.shard, x.slot) for x in table) == Counter((x.doc_id, x.shard, x.slot) for x in found)
 
 
 def test_copies_of_a_third_of_all_rows_are_one_group(spark):
     rows = [(k, "hot text" if k % 3 == 0 else f"text {k} " + "w " * (k % 50)) for k in range(1200)]
     loads = _check_shards(rows, found := sharding.shard_rows(docs(spark, rows), 4).collect())
+    assert Counter(tuple(x) for x in sharding.shard_table(docs(spark, rows), 4).collect()) == as_sql(rows, sharding.oracle_sql(shards=4))
     assert len(loads) == 4 and len({x.shard for x in found if x.doc_id % 3 == 0}) == 1 and max(loads.values()) < 1.1 * min(loads.values())
 
 
@@ -255,13 +264,6 @@ def spelled(n, seed=2):
     return chain + [(None if k % 97 == 0 else k % 50, " ".join(r.choice([str.upper, str])(r.choice(pool)) for _ in range(25)) + r.choice([".", "\n", "1x", ""])) for k in range(n)]
 
 
-def as_sql(rows):
-    con = duckdb.connect()
-    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
-    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
-    return set(con.execute(spelling.ORACLE).fetchall())
-
-
 @pytest.mark.parametrize("indexed, asking", [(512, 1024), (3, 5)])
 def test_variants_are_those_of_brute_force(spark, monkeypatch, indexed, asking):
     monkeypatch.setattr(spelling, "INDEXED", indexed)
@@ -271,7 +273,7 @@ def test_variants_are_those_of_brute_force(spark, monkeypatch, indexed, asking):
     want = brute_variants(rows)
     assert len(found) == len(set(found)) and set(found) == want
     assert any(f for _, f, *_ in want) and any(f and r != f for _, f, r, *_ in want)
-    assert {x for x in want if len(x[0]) < 99} == {x for x in as_sql(rows[:-2]) if len(x[0]) < 99}
+    assert {x for x in want if len(x[0]) < 99} == {x for x in as_sql(rows[:-2], spelling.ORACLE) if len(x[0]) < 99}
 
 
 def test_short_words_have_shorter_grams(spark):
