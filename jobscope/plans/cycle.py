@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -237,6 +239,26 @@ def resume_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("id", F.sha2("source_text", 256).alias("resume_hash"), F.col("j").alias("profile_json"), read_profile(F.col("j"))["years"].alias("years"))
 
 
+def _resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("s_suppkey")
+    s = _table(spark, sf_dir, "supplier")
+    return s.select(n.cast("long").alias("id"), F.col("s_name").alias("label"), F.concat(F.lit("resume of "), "s_name").alias("source_text"), F.array().cast("array<string>").alias("target_countries"), F.sha2(F.concat(F.lit("resume of "), "s_name"), 256).alias("resume_hash"), (n == 2).alias("active"), F.lit(EPOCH).cast("timestamp").alias("created_at"))
+
+
+def resume_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' resumes after a new text, and then one that is stored already, which is made active as it was stored."""
+    have = _resumes(spark, sf_dir)
+    again = have.orderBy("id").first()["source_text"]
+    added = fit.add_resume(fit.add_resume(have, "a new text", "new", ["SE"], datetime.fromisoformat(NOW)), again, "another label", ["US"], datetime.fromisoformat(NOW))
+    return added.select("id", "label", "resume_hash", "active", F.array_join("target_countries", ",").alias("targets"))
+
+
+def resume_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resumes without the active one, beside how many went."""
+    kept, gone = state.delete_resume(_resumes(spark, sf_dir), 2)
+    return kept.select("id", "label", "active").join(gone)  # one row
+
+
 # ---- evidence ----
 def evidence_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as one long sentence with an offer in its middle."""
@@ -262,7 +284,7 @@ SELECT id, sha256(t) AS resume_hash, '{{"skills": ' || s || ', "categories": ' |
 
 QUERIES = {
     f.__name__: f
-    for f in (seed_upsert, poll_cycle, poll_cycle_jobs, reply_parse, tiered_classes, residue_upgrade, backfill_classes, settings_put, usage_add, searches_run, summaries, labels, posted_since, details, registry_refresh, registry_refresh_tiers, manual_flag, nl_register, seed_csv, resume_ingest, evidence_clip)
+    for f in (seed_upsert, poll_cycle, poll_cycle_jobs, reply_parse, tiered_classes, residue_upgrade, backfill_classes, settings_put, usage_add, searches_run, summaries, labels, posted_since, details, registry_refresh, registry_refresh_tiers, manual_flag, nl_register, seed_csv, resume_ingest, resume_add, resume_delete, evidence_clip)
 }
 
 ORACLES = {
@@ -287,5 +309,7 @@ SELECT n AS id, CASE WHEN len(parts) > 0 THEN array_to_string(parts, ' · ') ELS
     "nl_register": "SELECT 'NL' AS registry, CAST(c_custkey AS BIGINT) AS pos, c_name AS name, 'KvK ' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS evidence, 0 AS n_aliases FROM customer WHERE c_custkey % 10 <> 3",
     "seed_csv": f"SELECT s_name || ', \"quoted\"' AS name, {sql_pick(ATS, 's_suppkey')} AS ats_type, 'slug' AS ats_slug, 'SE' AS country_hq, CAST(s_suppkey % 4 AS INT) AS priority FROM supplier",
     "resume_ingest": _RESUME,
+    "resume_add": "WITH r AS (SELECT CAST(s_suppkey AS BIGINT) AS id, s_name AS label, sha256('resume of ' || s_name) AS resume_hash, '' AS targets FROM supplier UNION ALL SELECT max(s_suppkey) + 1, 'new', sha256('a new text'), 'SE' FROM supplier) SELECT id, label, resume_hash, id = (SELECT min(s_suppkey) FROM supplier) AS active, targets FROM r",
+    "resume_delete": "SELECT CAST(s_suppkey AS BIGINT) AS id, s_name AS label, FALSE AS active, CAST(1 AS BIGINT) AS deleted FROM supplier WHERE s_suppkey <> 2",
     "evidence_clip": _CLIP,
 }

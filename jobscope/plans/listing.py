@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobscope.functions.classify import tier_rank
 from jobscope.operators.keywords import build_index, keyword_jobs
 from jobscope.operators.search import JobFilters, count_jobs, job_sources, search_jobs, set_status
-from jobscope.plans.postings import COMPANIES, POSTINGS, companies, postings, sql_rank
+from jobscope.plans.postings import COMPANIES, POSTINGS, companies, postings, sql_rank, wide_postings
 from jobscope.store import new_path
 
 _TIER = f"ORDER BY {sql_rank('sponsor_tier')} DESC, posted_at DESC NULLS LAST, id"
@@ -20,7 +20,7 @@ _SHOWN = "p.id, title, c.name AS company, country, city, array_to_string(categor
 
 def _page(filters: JobFilters):  # noqa: ANN202
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return search_jobs(postings(spark, sf_dir), companies(spark, sf_dir), filters).withColumn("categories", F.array_join("categories", ","))
+        return search_jobs(wide_postings(spark, sf_dir), companies(spark, sf_dir), filters).withColumn("categories", F.array_join("categories", ","))
 
     return run
 
@@ -52,14 +52,14 @@ def _by_index(name: str):  # noqa: ANN202
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         root, filters = new_path(spark, "keywords"), _PAGES[name][0]
-        build_index(postings(spark, sf_dir), root)
+        build_index(wide_postings(spark, sf_dir), root)
         return search_jobs(keyword_jobs(spark, root, filters.q), companies(spark, sf_dir), filters).withColumn("categories", F.array_join("categories", ","))
 
     return run
 
 
 def list_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_jobs(postings(spark, sf_dir), JobFilters(countries=("SE", "US")))
+    return count_jobs(wide_postings(spark, sf_dir), JobFilters(countries=("SE", "US")))
 
 
 def detail_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

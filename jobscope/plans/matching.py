@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobscope import vocab
 from jobscope.operators import fit, notify
 from jobscope.operators.search import JobFilters
-from jobscope.plans.postings import COMPANIES, EPOCH, POSTINGS, companies, pick, postings, sql_pick, sql_rank
+from jobscope.plans.postings import COMPANIES, EPOCH, POSTINGS, companies, pick, postings, sql_pick, sql_rank, stored_postings, wide_postings
 
 RESUMES = {
     "r1": ("Senior iOS engineer, 7 years of Swift, SwiftUI and Kotlin.", ["SE", "SG"]),
@@ -68,27 +68,27 @@ def resume_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = fit.score_jobs(postings(spark, sf_dir), _profiles(spark))
+    s = fit.score_jobs(wide_postings(spark, sf_dir), _profiles(spark))
     return s.select("resume_hash", "id", "score.overall", "score.skills_score", "score.level_score", "score.sponsor_score", F.array_join("score.matched_skills", ",").alias("matched"), F.array_join("score.missing_skills", ",").alias("missing"))
 
 
 def fit_rank_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = JobFilters(sort="match", resume_hash="r1", limit=30)
-    return fit.ranked_page(postings(spark, sf_dir), _profiles(spark).where("resume_hash = 'r1'"), _cache(spark, sf_dir), f).select("id", "cached", "fresh")
+    return fit.ranked_page(wide_postings(spark, sf_dir), _profiles(spark).where("resume_hash = 'r1'"), _cache(spark, sf_dir), f).select("id", "cached", "fresh")
 
 
 def fit_cache_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fresh = fit.refresh_scores(_cache(spark, sf_dir), postings(spark, sf_dir), _profiles(spark))
+    fresh = fit.refresh_scores(_cache(spark, sf_dir), stored_postings(spark, sf_dir), _profiles(spark))
     return fresh.select("resume_hash", "job_canonical_id", "overall", "content_hash")
 
 
 def rationale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = fit.deep_match(postings(spark, sf_dir), _profiles(spark))
+    d = fit.deep_match(wide_postings(spark, sf_dir), _profiles(spark))
     return d.select("resume_hash", "id", "rationale.summary", F.array_join("rationale.strengths", "\n").alias("strengths"), F.array_join("rationale.gaps", "\n").alias("gaps"), "rationale.verdict", "rationale.sponsor_note")
 
 
 def saved_search_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notify.matches(_searches(spark), postings(spark, sf_dir), limit=40).select("search_id", "job_canonical_id", "reason", F.col("rank").cast("long").alias("rank"))
+    return notify.matches(_searches(spark), stored_postings(spark, sf_dir), limit=40).select("search_id", "job_canonical_id", "reason", F.col("rank").cast("long").alias("rank"))
 
 
 def _customer_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,33 +103,33 @@ def _customer_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customer_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of every customer's search: how many, and a sum of ids."""
-    hits = notify.search_hits(_customer_searches(spark, sf_dir), postings(spark, sf_dir))
+    hits = notify.search_hits(_customer_searches(spark, sf_dir), stored_postings(spark, sf_dir))
     return hits.groupBy("search_id").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
 
 
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run of all searches reports: how many ran, and their new matches in all."""
     ledger = postings(spark, sf_dir).where("id % 3 = 0").select(F.lit(4).cast("long").alias("search_id"), F.col("id").alias("job_canonical_id"))
-    return notify.run_searches(_searches(spark), postings(spark, sf_dir), ledger, EPOCH)[1]
+    return notify.run_searches(_searches(spark), stored_postings(spark, sf_dir), ledger, EPOCH)[1]
 
 
 def notify_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = notify.matches(_searches(spark), postings(spark, sf_dir))
+    found = notify.matches(_searches(spark), stored_postings(spark, sf_dir))
     ledger = postings(spark, sf_dir).where("id % 3 = 0").select(F.lit(4).cast("long").alias("search_id"), F.col("id").alias("job_canonical_id"))
     return notify.unseen(found, ledger).groupBy("search_id").agg(F.count(F.lit(1)).alias("n"), F.sum("job_canonical_id").alias("ids"))
 
 
 def search_new_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notify.new_counts(_searches(spark), postings(spark, sf_dir))
+    return notify.new_counts(_searches(spark), stored_postings(spark, sf_dir))
 
 
 def digest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = notify.matches(_searches(spark), postings(spark, sf_dir), limit=10)
+    found = notify.matches(_searches(spark), stored_postings(spark, sf_dir), limit=10)
     return notify.digest_units(found, companies(spark, sf_dir)).select("search_id", F.col("rank").cast("long").alias("rank"), "unit")
 
 
 def digest_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = notify.matches(_searches(spark), postings(spark, sf_dir), limit=60)
+    found = notify.matches(_searches(spark), stored_postings(spark, sf_dir), limit=60)
     packed = notify.digest_messages(notify.digest_units(found, companies(spark, sf_dir)), 4096)
     return packed.select("search_id", F.posexplode("messages").alias("n", "message")).select("search_id", F.col("n").cast("long").alias("n"), F.length("message").cast("long").alias("chars"), "message")
 

@@ -1,7 +1,9 @@
 """Postings, employers and registers made from the test tables, in Spark and in SQL.
 
-Every choice goes by a number from the md5 of the text's first 40 characters, so that copies of one
-document are one posting on several sources; status, tier and dates go by ``doc_id``.
+Documents have no titles, so a posting's title is a role and the text's first 40 characters, and
+every choice goes by a number from their md5, so that copies of one document are one posting on several
+sources; status, tier and dates go by ``doc_id``. That is how these rows are made up, and all that is
+taken from a part of the text: descriptions and hashes are whole texts.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from jobscope import vocab
 from jobscope.functions import classify
 from jobscope.functions.location import parse_location
+from jobscope.store import spread, written
 
 ROLES = ["Senior Backend Engineer", "iOS Developer", "Data Scientist", "Staff Machine Learning Engineer", "Junior Android Developer", "Full-Stack Engineer", "Principal SRE", "Frontend Engineer (React)", "Flutter Developer", "Engineering Manager", "Graduate Software Engineer", "Lead DevOps Engineer"]
 NOTES = ["We offer visa sponsorship and a relocation package.", "Unfortunately we cannot sponsor visas at this time.", "You need 6+ years of experience with Kubernetes and Rust.", "Must have the right to work in the EU.", "We work with Swift, SwiftUI and Kotlin.", "3 years of experience with React or Vue, CSS and PostgreSQL.", "Happy to sponsor for the right person!", "A friendly team."]
@@ -24,10 +27,26 @@ def pick(values: list[str], n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (n % len(values)).cast("int") + 1)
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _firms(spark: SparkSession, sf_dir: str) -> Column:
+    """The number of suppliers, as part of the plan that asks for it."""
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").agg(F.count(F.lit(1))).scalar()
+
+
+def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``postings`` as a job table is there: classified once, then stored."""
+    return written(wide_postings(spark, sf_dir), "postings")
+
+
+def wide_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``postings`` worked out by all cores, where the documents are fewer files than there are cores."""
+    return postings(spark, sf_dir, wide=True)
+
+
+def postings(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
     """``documents`` as postings of all suppliers; those whose id is divisible by 11 are linked to the one before."""
-    firms = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    firms = _firms(spark, sf_dir)
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    d = spread(d, "doc_id") if wide else d
     k = F.conv(F.substring(F.md5(F.lower(F.substring("text", 1, 40))), 1, 8), 16, 10).cast("long")
     n = F.col("doc_id")
     base = d.select(
@@ -52,7 +71,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All suppliers as employers, with a board and a health by their number."""
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    firms = s.count()
+    firms = _firms(spark, sf_dir)
     n = F.col("s_suppkey")
     return s.select(
         (n % firms).cast("long").alias("id"),

@@ -12,7 +12,7 @@ from jobscope import buckets, vocab
 from jobscope.operators import health, ingest, state
 from jobscope.operators.fit import blocks
 from jobscope.operators.registry import stale_registers
-from jobscope.plans.postings import COMPANIES, EPOCH, POSTINGS, companies, postings
+from jobscope.plans.postings import COMPANIES, EPOCH, POSTINGS, companies, postings, wide_postings
 from jobscope.store import new_path
 
 NOW = "2026-03-01 00:00:00"
@@ -21,13 +21,13 @@ TOY = {"gone": 2, "schema_drift": 3, "unreachable": 4}
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = postings(spark, sf_dir).where("id % 3 <> 0")
+    p = wide_postings(spark, sf_dir).where("id % 3 <> 0")
     return p.withColumns({"categories": F.array_join("categories", ","), "sponsor_evidence": F.concat(F.lit("old "), F.col("external_id")), "first_seen_at": F.lit(EPOCH).cast("timestamp"), "last_seen_at": F.lit(EPOCH).cast("timestamp"), "closed_at": F.when(F.col("id") % 10 == 1, F.lit(EPOCH).cast("timestamp")), "consecutive_misses": (F.col("id") % 3).cast("int")})
 
 
 def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A later poll: even ids, some with a changed text, some classified anew, some without a signal."""
-    p = postings(spark, sf_dir).where("id % 2 = 0")
+    p = wide_postings(spark, sf_dir).where("id % 2 = 0")
     n = F.col("id")
     changed = n % 5 == 0
     fresh = n % 4 == 0

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from jobscope import vocab
 from jobscope.functions import classify, text
 from jobscope.functions.location import parse_location
-from jobscope.plans.postings import POSTINGS, postings, sql_categories, sql_level, sql_location, sql_title_level, sql_years
+from jobscope.plans.postings import POSTINGS, postings, sql_categories, sql_level, sql_location, sql_title_level, sql_years, wide_postings
+from jobscope.store import spread
 
 SPACE = r"[\t\n\x0B\f\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -44,7 +45,8 @@ def _sql_values(rows: list[str]) -> str:
 
 
 def normalize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.normalize_description(F.col("html")).alias("text"))
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id")
+    return pages.select("page_id", text.normalize_description(F.col("html")).alias("text"))
 
 
 def normalize_pages_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +75,11 @@ def classify_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classify_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings(spark, sf_dir).select("id", F.array_join("categories", ",").alias("categories"), "level")
+    return wide_postings(spark, sf_dir).select("id", F.array_join("categories", ",").alias("categories"), "level")
 
 
 def skills_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings(spark, sf_dir).select("id", F.array_join(classify.skills(F.concat_ws(" ", "title", "description")), ",").alias("skills"))
+    return wide_postings(spark, sf_dir).select("id", F.array_join(classify.skills(F.concat_ws(" ", "title", "description")), ",").alias("skills"))
 
 
 def years_max(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +96,7 @@ def sponsorship_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sponsorship_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tier of every posting from its text and a register's flag."""
-    p = classify.with_sponsorship(postings(spark, sf_dir), "description")
+    p = classify.with_sponsorship(wide_postings(spark, sf_dir), "description")
     return p.select("id", classify.resolve_tier(F.col("text_tier"), (F.col("company_id") % 2).cast("int")).alias("tier"))
 
 

@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from jobscope.operators.state import insert_ignore, sweep_polls, upsert_jobs
+from jobscope import buckets
+from jobscope.operators.state import insert_ignore, poll_into, sweep_polls, upsert_into, upsert_jobs
 from jobscope.store import SnapshotConflict, newest_version, read_snapshot, write_snapshot, written
 
 #: Times that a snapshot is tried again when other writers come first.
 TRIES = 20
 
 
+def _new_polls(jobs: DataFrame, rows: DataFrame, own: Column) -> tuple[DataFrame, list]:
+    """Rows without the source's polls that the table has seen before its newest, and the times of polls after that."""
+    before = jobs.where(own).agg(F.max("last_seen_at")).first()[0]
+    rows = rows if before is None else rows.where(~own | (F.col("seen_at") >= before))
+    polls = sorted(r[0] for r in rows.where(own).select("seen_at").distinct().collect())  # a row for each poll of the batch
+    return rows, [p for p in polls if before is None or p > before]
+
+
 def merge_batches(incoming: DataFrame, jobs_root: str, checkpoint: str, sweep_source: str | None = None) -> StreamingQuery:
     """Merge normalized, classified postings (with ``company_id`` and ``seen_at``) into the table at ``jobs_root``.
 
@@ -34,16 +43,32 @@ def merge_batches(incoming: DataFrame, jobs_root: str, checkpoint: str, sweep_so
             write_snapshot(upsert_jobs(jobs, rows), jobs_root, version)
             return
         own = F.col("source_id") == sweep_source
-        before = jobs.where(own).agg(F.max("last_seen_at")).first()[0]
-        rows = rows if before is None else rows.where(~own | (F.col("seen_at") >= before))
-        polls = sorted(r[0] for r in rows.where(own).select("seen_at").distinct().collect())  # a row for each poll of the batch
+        rows, polls = _new_polls(jobs, rows, own)
         seen = rows.where(own).groupBy("source_id", "external_id").agg(F.collect_set("seen_at").alias("presence"))
-        after = sweep_polls(upsert_jobs(jobs, rows), seen, own, [p for p in polls if before is None or p > before])
+        after = sweep_polls(upsert_jobs(jobs, rows), seen, own, polls)
         write_snapshot(after, jobs_root, version)
 
     return incoming.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merge_batches_into(incoming: DataFrame, jobs_root: str, checkpoint: str, sweep_source: str | None = None) -> StreamingQuery:
+    """``merge_batches`` into a table of buckets: a micro-batch rewrites those that hold a posting that came or that is swept."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        if rows.isEmpty():
+            return
+        version = buckets.read_version(spark, jobs_root)
+        if sweep_source is None:
+            upsert_into(spark, jobs_root, rows, version.number)
+            return
+        own = F.col("source_id") == sweep_source
+        rows, polls = _new_polls(buckets.read_buckets(spark, version), rows, own)
+        poll_into(spark, jobs_root, rows, own, polls, version.number)
+
+    return incoming.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def new_matches(found: DataFrame, within: str) -> DataFrame:
     """Of a stream of matches (with ``found_at``) each once, if its repeats come ``within`` that time of it: state without a ledger."""
     return found.withWatermark("found_at", within).dropDuplicatesWithinWatermark(["search_id", "job_canonical_id"])

@@ -143,6 +143,7 @@ SPONSOR_NOTES = {
 
 # ---- fixed values: labels ----
 TIER_LABELS = {"explicit_yes": "Sponsors", "registry_inferred": "Registry", "unknown": "Unknown", "explicit_no": "No sponsor"}
+# the label's key is spelled ai-ml though the category is ai_ml, which so shows as it is
 CATEGORY_LABELS = {"ios": "iOS", "backend": "Backend", "ai-ml": "AI/ML", "android": "Android", "flutter": "Flutter", "fullstack": "Fullstack", "frontend": "Frontend"}
 LEVEL_LABELS = {"senior": "Senior", "staff": "Staff", "lead": "Lead"}
 COUNTRY_LABELS = {

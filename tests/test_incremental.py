@@ -121,7 +121,10 @@ def test_three_polls_in_one_batch_are_three_batches(spark, tmp_path, seed):
             day(lo, hi).write.mode("append").parquet(landing)
             streams.merge_batches(spark.readStream.schema(COLS).parquet(landing), jobs, f"file://{tmp_path}/cp-{name}", "hn").awaitTermination()
         found[name] = sorted(map(str, read_snapshot(spark, jobs).collect()))
-    assert found["one"] == found["many"]
+    root = f"file://{tmp_path}/buckets"
+    buckets.create(spark.createDataFrame([], JOB), root, ["source_id", "external_id"], 4)
+    streams.merge_batches_into(spark.readStream.schema(COLS).parquet(f"file://{tmp_path}/landing-one"), root, f"file://{tmp_path}/cp-buckets", "hn").awaitTermination()
+    assert found["one"] == found["many"] == sorted(map(str, buckets.read_buckets(spark, buckets.read_version(spark, root)).collect()))
 
 
 def test_the_rest_of_a_poll_counts_as_present(spark):
