@@ -145,8 +145,7 @@ def _drain(spark, df, tmp_path, name):
     def keep(rows: DataFrame, number: int) -> None:
         out.extend(rows.collect())
 
-    mode = "update" if "probe_due" in df.columns else "append"
-    df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"file://{tmp_path}/cp-{name}").trigger(availableNow=True).start().awaitTermination()
+    df.writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp-{name}").trigger(availableNow=True).start().awaitTermination()
     return out
 
 
@@ -317,3 +316,37 @@ def test_registers_are_recorded_and_empty_ones_too(spark):
     after = registry.record_registers(meta, spark.createDataFrame([("UK",), ("UK",)], "registry string"), ["UK", "NL"], datetime(2026, 1, 1))
     assert {tuple(r) for r in after.collect()} == {("UK", datetime(2026, 1, 1), 2), ("NL", datetime(2026, 1, 1), 0), ("AU", datetime(2025, 1, 1), 3)}
     assert newest_version(spark, "file:///tmp/no-such-table") == 0
+
+
+# ---- scores ----
+def test_only_missing_scores_are_worked_out(spark):
+    from jobscope.operators import fit
+
+    jobs = spark.createDataFrame([(k, "new" if k in (5, 9) else "h") for k in range(40)], "id long, content_hash string")
+    valid = spark.createDataFrame([(r, k) for r in ("r1", "r2") for k in range(40) if k not in (5, 9) and (r, k) != ("r2", 7)] + [("r3", 1)], "resume_hash string, id long")
+    profiles = spark.createDataFrame([("r1",), ("r2",), ("r3",), ("r4",)], "resume_hash string")
+    found = [tuple(x) for x in fit._unscored(valid, jobs, profiles).collect()]
+    want = {("r1", 5), ("r1", 9), ("r2", 5), ("r2", 9), ("r2", 7)} | {("r3", k) for k in range(40) if k != 1} | {("r4", k) for k in range(40)}
+    assert len(found) == len(want) and set(found) == want
+    assert fit._unscored(valid, jobs.limit(0), profiles).count() == 0 and fit._unscored(valid.limit(0), jobs, profiles.limit(0)).count() == 0
+
+
+def test_probes_leave_the_health_of_the_batch(spark, tmp_path):
+    from jobscope.operators.health import fold_health
+
+    at, kinds = datetime(2026, 1, 1), ["gone", "unreachable", "success", "probe_success", "schema_drift", "gone", "other"]
+    rows = [(f"s{k % 5}", at + timedelta(minutes=k), k, kinds[(k * k + k // 3) % 7]) for k in range(120)]
+    schema = "source string, ts timestamp, seq long, kind string"
+    limits = {"gone": 2, "schema_drift": 3, "unreachable": 4}
+    stream = stream_probes(_files(spark, tmp_path, "health", [rows[:50], rows[50:]], schema), every_ms=10**9, thresholds=limits)
+    want = {tuple(r) for r in fold_health(spark.createDataFrame(rows, schema), limits).select("source", "failures", "health", "reason", "last_success").collect()}
+    last = {}
+    # a query with timers of processing time has no end of its own
+    query = stream.writeStream.foreachBatch(lambda df, n: last.update({r.source: tuple(r)[:5] for r in df.collect()})).outputMode("update").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(processingTime="200 milliseconds").start()
+    try:
+        end = time.time() + 60
+        while set(last.values()) != want and time.time() < end:
+            time.sleep(0.3)
+    finally:
+        query.stop()
+    assert set(last.values()) == want
