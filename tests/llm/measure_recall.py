@@ -4,6 +4,7 @@ Truth is exact: every two texts whose words, as multisets by 512 hashed counts,
 aligned. Pairs are told apart by whether they are still near once repeated lines are gone.
 """
 
+import os
 import sys
 
 import numpy as np
@@ -20,16 +21,16 @@ def near_pairs(texts: dict[int, str]) -> set[tuple[int, int]]:
     """All pairs of ids whose different texts are near."""
     ids = sorted(texts)
     words = [order_minhash.words_of(texts[i]) for i in ids]
-    counts = np.zeros((len(ids), BINS), np.int32)
+    counts = np.zeros((len(ids), BINS), np.int16)
     for row, w in enumerate(words):
         np.add.at(counts[row], w % BINS, 1)
-    sizes, found = counts.sum(1), set()
+    sizes, found = counts.sum(1, dtype=np.int64), set()
     order = np.argsort(sizes, kind="stable")
     counts, sizes = counts[order], sizes[order]
     for at in range(len(order)):
         end = np.searchsorted(sizes, sizes[at] / order_minhash.LEAST + 1e-9, "right")
         other = np.arange(at + 1, end)
-        common = np.minimum(counts[other], counts[at]).sum(1)
+        common = np.minimum(counts[other], counts[at]).sum(1, dtype=np.int64)
         for k in other[common >= order_minhash.LEAST * sizes[other] - 1e-9]:
             a, b = sorted((int(order[at]), int(order[k])))
             if texts[ids[a]] != texts[ids[b]] and order_minhash.relation(words[a], words[b], order_minhash.LEAST) == order_minhash.NEAR:
@@ -38,7 +39,7 @@ def near_pairs(texts: dict[int, str]) -> set[tuple[int, int]]:
 
 
 def main() -> None:
-    spark = build_session("recall", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    spark = build_session("recall", f"local[{os.environ.get('CPUS', 8)}]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
     docs = table(spark, sys.argv[1], "documents")
     left = written(line_dedup.dedup_lines(docs), "left")
     truth, texts = {}, {}
