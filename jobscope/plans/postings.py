@@ -27,9 +27,14 @@ def pick(values: list[str], n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (n % len(values)).cast("int") + 1)
 
 
-def _firms(spark: SparkSession, sf_dir: str) -> Column:
-    """The number of suppliers, as part of the plan that asks for it."""
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").agg(F.count(F.lit(1))).scalar()
+_COUNTED: dict[str, int] = {}
+
+
+def _firms(spark: SparkSession, sf_dir: str) -> int:
+    """The number of suppliers, counted once for each folder of tables, which never change."""
+    if sf_dir not in _COUNTED:
+        _COUNTED[sf_dir] = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    return _COUNTED[sf_dir]
 
 
 def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
