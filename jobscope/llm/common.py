@@ -92,14 +92,14 @@ class WordTable:
     def joined(self, lists: list[list[str]]) -> list[bytes]:
         """For each list, the values of its words put together in their order; new words are learned in one go."""
         words = set().union(*lists)
-        long = [w for w in words if len(w) > KEPT_CHARS]
-        words.difference_update(long)
         missing = words.difference(self.young)
+        long = [w for w in missing if len(w) > KEPT_CHARS]
+        missing.difference_update(long)
         chars = sum(map(len, missing))
         if len(self.young) + len(missing) > self.most or self.chars + chars > HELD_CHARS:
             self.old, self.young = self.young, {}
-            missing, self.chars = words, 0
-            chars = sum(map(len, words))
+            missing, self.chars = words.difference(long), 0
+            chars = sum(map(len, missing))
         self.chars += chars
         young, old = self.young, self.old
         new = []
