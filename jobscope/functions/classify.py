@@ -9,23 +9,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobscope import vocab
+from jobscope.functions.text import lower
 
 
 def categories(title: Column) -> Column:
     """Sorted categories whose words the text has; empty, never null, for a text without any."""
-    low = F.lower(title)
+    low = lower(title)
     return F.array_compact(F.array(*(F.when(low.rlike(vocab.prefix_alternation(words)), F.lit(name)) for name, words in sorted(vocab.CATEGORIES.items()))))
 
 
 def skills(text: Column) -> Column:
     """Sorted distinct vocabulary words of the text; at one place the longest counts."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(vocab.prefix_alternation(vocab.ALL_SKILLS)), F.lit(0))
+    found = F.regexp_extract_all(lower(text), F.lit(vocab.prefix_alternation(vocab.ALL_SKILLS)), F.lit(0))
     return F.array_sort(F.array_distinct(found))
 
 
 def title_level(title: Column) -> Column:
     """The most senior level that the text names, else null."""
-    low = F.lower(title)
+    low = lower(title)
     out = F.lit(None).cast("string")
     for name in sorted(vocab.LEVELS, key=vocab.SENIORITY.get):
         out = F.when(low.rlike(vocab.prefix_alternation(vocab.LEVELS[name])), name).otherwise(out)
@@ -34,7 +35,7 @@ def title_level(title: Column) -> Column:
 
 def years_of_experience(text: Column) -> Column:
     """The largest number of years that the text asks for, else null."""
-    found = F.regexp_extract_all(text, F.lit("(?i)" + vocab.YEARS_PATTERN), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit("(?i)" + vocab.ascii_pattern(vocab.YEARS_PATTERN)), F.lit(1))
     return F.array_max(F.transform(found, lambda y: y.try_cast("int")))
 
 
@@ -70,7 +71,7 @@ def parse_reply(text: Column) -> Column:
 
 
 def _any(sentence: Column, patterns: list[str]) -> Column:
-    return sentence.rlike("(?i)(?:" + "|".join(patterns) + ")")
+    return sentence.rlike(vocab.ascii_pattern("(?i)(?:" + "|".join(patterns) + ")"))
 
 
 def sentences(text: Column) -> Column:
@@ -80,7 +81,7 @@ def sentences(text: Column) -> Column:
 def _clip(sentence: Column, patterns: list[str]) -> Column:
     """The sentence, or a window of whole words around what the first pattern matches in a long one."""
     start = length = None
-    for p in reversed(patterns):
+    for p in map(vocab.ascii_pattern, reversed(patterns)):
         at, size = F.regexp_instr(sentence, F.lit("(?i)" + p)) - 1, F.length(F.regexp_extract(sentence, "(?i)" + p, 0))
         start = at if start is None else F.when(at >= 0, at).otherwise(start)
         length = size if length is None else F.when(at >= 0, size).otherwise(length)

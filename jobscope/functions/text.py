@@ -41,8 +41,13 @@ def content_hash(description: Column) -> Column:
     return F.sha2(description, 256)
 
 
+def lower(text: Column) -> Column:
+    """Lower case of each character by itself, as SQL has it: a dotted capital I is one letter, and a sigma is the same at a word's end."""
+    return F.lower(F.replace(F.replace(text, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ")))
+
+
 def normalize_title(title: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(title), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(lower(title), r"(?U)\s+", " "))
 
 
 def iso_time(value: Column, zone: str = "UTC") -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from jobscope import vocab
 from jobscope.functions import classify
 from jobscope.functions.location import parse_location
+from jobscope.functions.text import lower
 from jobscope.store import spread, written
 
 ROLES = ["Senior Backend Engineer", "iOS Developer", "Data Scientist", "Staff Machine Learning Engineer", "Junior Android Developer", "Full-Stack Engineer", "Principal SRE", "Frontend Engineer (React)", "Flutter Developer", "Engineering Manager", "Graduate Software Engineer", "Lead DevOps Engineer"]
@@ -52,7 +53,7 @@ def postings(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
     firms = _firms(spark, sf_dir)
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     d = spread(d, "doc_id") if wide else d
-    k = F.conv(F.substring(F.md5(F.lower(F.substring("text", 1, 40))), 1, 8), 16, 10).cast("long")
+    k = F.conv(F.substring(F.md5(lower(F.substring("text", 1, 40))), 1, 8), 16, 10).cast("long")
     n = F.col("doc_id")
     base = d.select(
         n.alias("id"),

@@ -178,3 +178,14 @@ def test_known_tokens_are_looked_up_one_by_one():
     known, digest = Counted({f"w{k}": b"12345678" for k in range(50_000)}), lambda w: w[:8].ljust(8)
     simhash._fingerprints(pd.Series(["w1 w2 w3 " + "x" * 40] * 100), digest, known)
     assert Counted.looked == 400 and len(known) == 50_000
+
+
+def test_words_end_where_ascii_letters_do(spark):
+    # as in SQL: an accented letter or a foreign digit beside a word is no part of it
+    assert column(spark, ["éios", "iosß and _java", "Kotlin²", "xrust", "İOS"], classify.skills) == [["ios"], ["ios"], ["kotlin"], [], ["ios"]]
+    assert column(spark, ["Üsenior", "staffé", "1lead"], classify.title_level) == ["senior", "staff", None]
+    assert column(spark, ["5 yearsé", "é7 yrs", "8\x0byears"], classify.years_of_experience) == [5, 7, None]
+
+
+def test_lower_case_of_each_character_alone(spark):
+    assert column(spark, ["İios ΑΣ"], text.normalize_title) == ["iios ασ"]
