@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +15,10 @@ from pyspark.sql.types import StringType
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&rsquo;", "’"), ("&bull;", "•"), ("&amp;", "&")]
 
 
+#: An entity with its semicolon.
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
 def unescape(text: Column) -> Column:
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
@@ -30,9 +36,19 @@ def _unescape_full(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
-def normalize_description_full(raw: Column) -> Column:
-    """``normalize_description`` with the whole entity table, which only Python has (an Arrow-batched function)."""
-    bare = _unescape_full(F.regexp_replace(_unescape_full(raw), "<[^>]+>", " "))
+@F.pandas_udf(StringType())
+def _unescape_closed(text: pd.Series) -> pd.Series:
+    known = lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0]
+    return text.map(lambda t: _CLOSED.sub(known, t), na_action="ignore")
+
+
+def normalize_description_full(raw: Column, closed: bool = False) -> Column:
+    """``normalize_description`` with the whole entity table, which only Python has (an Arrow-batched function).
+
+    Old names (``&amp``, ``&copy``) are entities without a semicolon too, as browsers read them, unless only ``closed`` ones are.
+    """
+    full = _unescape_closed if closed else _unescape_full
+    bare = full(F.regexp_replace(full(raw), "<[^>]+>", " "))
     return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
 
 

@@ -189,3 +189,9 @@ def test_words_end_where_ascii_letters_do(spark):
 
 def test_lower_case_of_each_character_alone(spark):
     assert column(spark, ["İios ΑΣ"], text.normalize_title) == ["iios ασ"]
+
+
+def test_entities_with_a_semicolon_alone(spark):
+    raw = ["a &amp b &amp; c &copy &copy; &eacute; &notit; &amp;lt; &#8364;", None]
+    assert column(spark, raw, lambda c: text.normalize_description_full(c, closed=True)) == ["a &amp b & c &copy © é &notit; < €", None]
+    assert column(spark, raw[:1], text.normalize_description_full) == [html.unescape(html.unescape(raw[0]))]
