@@ -71,7 +71,20 @@ def parse_reply(text: Column) -> Column:
 
 
 def _any(sentence: Column, patterns: list[str]) -> Column:
-    return sentence.rlike(vocab.ascii_pattern("(?i)(?:" + "|".join(patterns) + ")"))
+    """Whether one of the patterns matches; those are tried whose signal words the sentence has."""
+    of: dict[tuple[str, ...], list[str]] = {}
+    for p in patterns:
+        of.setdefault(_signals(p), []).append(p)
+    return reduce(operator.or_, (_has(sentence, words) & sentence.rlike(vocab.ascii_pattern("(?i)(?:" + "|".join(own) + ")")) for words, own in of.items()))
+
+
+def _signals(pattern: str) -> tuple[str, ...]:
+    """The signal words without which a pattern can't match."""
+    return tuple(w for w in vocab.SIGNAL_WORDS if w in pattern)
+
+
+def _has(sentence: Column, words: tuple[str, ...]) -> Column:
+    return reduce(operator.and_, (F.lower(sentence).contains(w) for w in words), F.lit(True))
 
 
 def sentences(text: Column) -> Column:
@@ -79,18 +92,17 @@ def sentences(text: Column) -> Column:
 
 
 def _clip(sentence: Column, patterns: list[str]) -> Column:
-    """The sentence, or a window of whole words around what the first pattern matches in a long one."""
-    start = length = None
-    for p in map(vocab.ascii_pattern, reversed(patterns)):
-        at, size = F.regexp_instr(sentence, F.lit("(?i)" + p)) - 1, F.length(F.regexp_extract(sentence, "(?i)" + p, 0))
-        start = at if start is None else F.when(at >= 0, at).otherwise(start)
-        length = size if length is None else F.when(at >= 0, size).otherwise(length)
-    low = F.greatest(F.lit(0), start - vocab.EVIDENCE_RADIUS)
-    high = F.least(F.length(sentence), start + length + vocab.EVIDENCE_RADIUS)
-    window = F.trim(F.substring(sentence, low + 1, high - low))
-    headed = F.when(low > 0, F.concat(F.lit("… "), F.when(F.locate(" ", window) > 0, F.substring(window, F.locate(" ", window) + 1, F.length(window))).otherwise(""))).otherwise(window)
-    tailed = F.when(high < F.length(sentence), F.concat(F.regexp_extract(headed, r"(?s)^(.*) ", 1), F.lit(" …"))).otherwise(headed)
-    return F.when(F.length(sentence) <= 2 * vocab.EVIDENCE_RADIUS, sentence).otherwise(tailed)
+    """The sentence, or a window of whole words around what the first pattern matches in a long one. Each step is worked out once."""
+    like = [(_has(sentence, _signals(p)), "(?i)" + vocab.ascii_pattern(p)) for p in patterns]
+    start = F.coalesce(*(F.when(has, F.nullif(F.regexp_instr(sentence, F.lit(p)), F.lit(0))) for has, p in like)) - 1
+    length = F.coalesce(*(F.when(has, F.nullif(F.length(F.regexp_extract(sentence, p, 0)), F.lit(0))) for has, p in like))
+    bounds = lambda m: F.struct(F.greatest(F.lit(0), m["start"] - vocab.EVIDENCE_RADIUS).alias("low"), F.least(F.length(sentence), m["start"] + m["length"] + vocab.EVIDENCE_RADIUS).alias("high"))
+    window = lambda b: F.struct(b["low"].alias("low"), b["high"].alias("high"), F.trim(F.substring(sentence, b["low"] + 1, b["high"] - b["low"])).alias("text"))
+    body = lambda w: F.when(F.locate(" ", w["text"]) > 0, F.substring(w["text"], F.locate(" ", w["text"]) + 1, F.length(w["text"]))).otherwise("")
+    headed = lambda w: F.struct(w["high"].alias("high"), F.when(w["low"] > 0, F.concat(F.lit("… "), body(w))).otherwise(w["text"]).alias("text"))
+    tailed = lambda h: F.when(h["high"] < F.length(sentence), F.concat(F.regexp_extract(h["text"], r"(?s)^(.*) ", 1), F.lit(" …"))).otherwise(h["text"])
+    steps = reduce(F.transform, (bounds, window, headed, tailed), F.array(F.struct(start.alias("start"), length.alias("length"))))
+    return F.when(F.length(sentence) <= 2 * vocab.EVIDENCE_RADIUS, sentence).otherwise(F.get(steps, F.lit(0)))
 
 
 def with_sponsorship(df: DataFrame, text: str, tier: str = "text_tier", evidence: str = "evidence") -> DataFrame:

@@ -5,11 +5,13 @@ import html
 import pytest
 from pyspark.sql import functions as F
 
+from jobscope import vocab
 from jobscope.functions import classify, digest, names, text
 from jobscope.functions.location import parse_location
 from jobscope.functions.simhash import hamming, simhash_by_blake2b
 from jobscope.functions.threads import parse_header
 from jobscope.operators.registry import match_entries
+from jobscope.sources import boards
 
 
 def one(spark, column, **values):
@@ -195,3 +197,17 @@ def test_entities_with_a_semicolon_alone(spark):
     raw = ["a &amp b &amp; c &copy &copy; &eacute; &notit; &amp;lt; &#8364;", None]
     assert column(spark, raw, lambda c: text.normalize_description_full(c, closed=True)) == ["a &amp b & c &copy © é &notit; < €", None]
     assert column(spark, raw[:1], text.normalize_description_full) == [html.unescape(html.unescape(raw[0]))]
+
+
+def test_evidence_and_headers_read_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "a")], "id long, text string")
+    plan = classify.with_sponsorship(docs, "text")._jdf.queryExecution().optimizedPlan().toString
+    said = spark.createDataFrame([(1, "Firm | SRE | Berlin, Germany<p>x", 0, False, False)], "id long, text string, time long, deleted boolean, dead boolean")
+    heads = boards.hiring_comments(said)._jdf.queryExecution().optimizedPlan().toString
+    spark.conf.set("spark.sql.maxPlanStringLength", str(10_000_000))
+    assert plan().count("regexp_instr(") <= len(vocab.NO_PATTERNS + vocab.YES_PATTERNS)
+    assert heads().count("<p\\b") == 1
+
+
+def test_patterns_are_tried_where_their_signal_words_stand():
+    assert all(classify._signals(p) for p in vocab.NO_PATTERNS + vocab.YES_PATTERNS)
