@@ -14,6 +14,11 @@ def parse_header(text: Column) -> Column:
     """``company``, ``location`` and ``role`` from the first paragraph with text; null if it has fewer than two fields."""
     paragraphs = F.filter(F.transform(F.split(text, r"<p\b[^>]*>|\n"), normalize_description), lambda p: p != "")
     fields = F.filter(F.transform(F.split(F.get(paragraphs, F.lit(0)), r"\|"), lambda p: F.trim(p)), lambda p: p != "")
+    # the text is read once: what is found in its fields is worked out from them alone
+    return F.get(F.transform(F.array(fields), _header), F.lit(0))
+
+
+def _header(fields: Column) -> Column:
     rest = F.slice(fields, F.lit(2), F.greatest(F.size(fields), F.lit(1)))
     role = F.get(F.filter(rest, lambda f: F.lower(f).rlike(r"\b(?:" + "|".join(vocab.ROLE_WORDS) + r")\b")), F.lit(0))
     named = F.get(F.filter(rest, lambda f: parse_location(f)["country"].isNotNull()), F.lit(0))

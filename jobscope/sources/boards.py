@@ -90,7 +90,8 @@ def unseen_kids(thread: DataFrame, seen: DataFrame) -> DataFrame:
 def hiring_comments(items: DataFrame) -> DataFrame:
     """Postings from thread comments (id, text, time, deleted, dead); deleted, dead, empty and unstructured ones are left out."""
     alive = items.where(~F.coalesce("deleted", F.lit(False)) & ~F.coalesce("dead", F.lit(False)) & (F.coalesce("text", F.lit("")) != ""))
-    read = alive.withColumn("h", parse_header(F.col("text"))).where("h is not null")
+    # a row of a generator is worked out once; as a column it would be again for the filter and each of its fields
+    read = alive.withColumn("h", F.explode(F.filter(F.array(parse_header(F.col("text"))), lambda h: h.isNotNull())))
     item = F.col("id").cast("string")
     return _normalized(read, "hn", external_id=item, title=F.coalesce("h.role", "h.company"), url=F.concat(F.lit("https://news.ycombinator.com/item?id="), item), description=tx.normalize_description(F.col("text")), location_raw=F.col("h.location"), posted_at=tx.epoch_seconds(F.col("time")), company_name=F.col("h.company"))
 
