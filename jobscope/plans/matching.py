@@ -103,8 +103,7 @@ def _customer_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customer_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of every customer's search: how many, and a sum of ids."""
-    hits = notify.search_hits(_customer_searches(spark, sf_dir), stored_postings(spark, sf_dir))
-    return hits.groupBy("search_id").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    return notify.search_totals(_customer_searches(spark, sf_dir), stored_postings(spark, sf_dir))
 
 
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

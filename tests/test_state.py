@@ -297,3 +297,12 @@ def test_a_source_is_folded_in_chunks(spark):
         found = {x.source: tuple(x)[1:] for x in fold_health(events, limits, bits).collect()}
         assert {k: v[:3] for k, v in found.items()} == {k: v[:3] for k, v in want.items()}
         assert {k: v[3] for k, v in found.items()} == {k: v[3] for k, v in want.items()}
+
+
+def test_equal_searches_are_looked_up_once(spark, monkeypatch):
+    asked, hits = [], notify.search_hits
+    monkeypatch.setattr(notify, "search_hits", lambda searches, jobs: asked.append(searches.count()) or hits(searches, jobs))
+    searches = spark.createDataFrame([(n, f"s{n}", '{"countries": ["SE"]}' if n % 2 else None) for n in range(40)], "id long, name string, filters_json string")
+    jobs = spark.createDataFrame([(1, "a", "b", "SE", ["ios"], "senior", "unknown", None), (2, "a", "b", "DE", [], "senior", "unknown", None)], "id long, title string, description string, country string, categories array<string>, level string, sponsor_tier string, canonical_id long")
+    found = {r.search_id: (r.n, r.ids) for r in notify.search_totals(searches, jobs).collect()}
+    assert asked == [2] and all(found[n] == ((1, 1) if n % 2 else (2, 3)) for n in range(40))
