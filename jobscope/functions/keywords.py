@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from jobscope.functions.batches import mapped, parts
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GRAM = 3
 
@@ -31,10 +33,27 @@ def grams(run: str) -> list[str]:
     return sorted({run[i : i + GRAM] for i in range(len(run) - GRAM + 1)})
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def text_grams(texts: pd.Series) -> pd.Series:
-    """The distinct trigrams of each folded text."""
-    return texts.map(lambda t: grams((t or "").translate(_FOLD)))
+#: Rows of trigrams that are held at once, besides those of one text.
+HELD = 1 << 16
+
+
+def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A ``mapInArrow`` function: ``id`` and each distinct trigram of the folded ``text``, in batches of bounded size."""
+    for batch in batches:
+        ids, begin = batch.column("id"), 0
+        for part in parts(batch.column("text")):
+            at: list[int] = []
+            found: list[str] = []
+            for n, t in enumerate(part.to_pylist(), begin):
+                own = grams((t or "").translate(_FOLD))
+                at += [n] * len(own)
+                found += own
+                if len(at) >= HELD:
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(found)], ["id", "gram"])
+                    at, found = [], []
+            begin += len(part)
+            if at:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(found)], ["id", "gram"])
 
 
 def runs_in(texts: Column, runs: Iterable[str]) -> Column:
@@ -44,8 +63,8 @@ def runs_in(texts: Column, runs: Iterable[str]) -> Column:
         by_gram[run[:GRAM]].append(run)
     starts = dict(by_gram)
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def found(series: pd.Series) -> pd.Series:
+    @F.arrow_udf(ArrayType(StringType()))
+    def found(array: pa.Array) -> pa.Array:
         def one(t: str | None) -> list[str]:
             text, out = t or "", set()
             for i in range(len(text) - GRAM + 1):
@@ -54,6 +73,6 @@ def runs_in(texts: Column, runs: Iterable[str]) -> Column:
                         out.add(run)
             return sorted(out)
 
-        return series.map(one)
+        return mapped(array, one, pa.list_(pa.string()))
 
     return found(texts)

@@ -9,10 +9,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from jobscope.functions.batches import mapped
+
 BITS = 64
 
 
@@ -32,6 +35,11 @@ _BLAKE2B: dict[str, bytes] = {}
 
 
 def _fingerprints(texts: pd.Series, digest: Callable[[bytes], bytes], known: dict[str, bytes]) -> pd.Series:
+    """``_fingerprint`` of each text."""
+    return texts.map(_fingerprint(digest, known))
+
+
+def _fingerprint(digest: Callable[[bytes], bytes], known: dict[str, bytes]) -> Callable[[str | None], int]:
     """A bit is set if the words that have it outweigh those that don't; a text without words has fingerprint 0.
 
     ``known`` holds the bits of tokens that the worker has met, at most ``KNOWN`` of at most ``KNOWN_CHARS`` characters.
@@ -56,16 +64,16 @@ def _fingerprints(texts: pd.Series, digest: Callable[[bytes], bytes], known: dic
         more = 2 * (weights @ np.unpackbits(hashes, axis=1)) > weights.sum()
         return int(np.packbits(more).view(">i8")[0])
 
-    return texts.map(one)
+    return one
 
 
-@F.pandas_udf(LongType())
-def simhash_by_md5(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(LongType())
+def simhash_by_md5(texts: pa.Array) -> pa.Array:
     """The fingerprint with the first 64 bits of each token's md5 (Arrow-batched, no shuffle), as signed 64 bits."""
-    return _fingerprints(texts, lambda w: hashlib.md5(w).digest()[:8], _MD5)
+    return mapped(texts, _fingerprint(lambda w: hashlib.md5(w).digest()[:8], _MD5), pa.int64())
 
 
-@F.pandas_udf(LongType())
-def simhash_by_blake2b(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(LongType())
+def simhash_by_blake2b(texts: pa.Array) -> pa.Array:
     """The fingerprint with 8-byte blake2b token hashes (Arrow-batched), as signed 64 bits."""
-    return _fingerprints(texts, lambda w: hashlib.blake2b(w, digest_size=8).digest(), _BLAKE2B)
+    return mapped(texts, _fingerprint(lambda w: hashlib.blake2b(w, digest_size=8).digest(), _BLAKE2B), pa.int64())

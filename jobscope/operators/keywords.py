@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.functions.keywords import grams, literal_runs, text_grams
+from jobscope.functions.keywords import gram_rows, grams, literal_runs
 from jobscope.operators.search import like_ascii
 
 #: Trigrams of a keyword whose lists are intersected, rarest first.
@@ -27,7 +27,7 @@ def build_index(jobs: DataFrame, root: str) -> None:
     spark = jobs.sparkSession
     jobs.repartitionByRange(shards, "id").sortWithinPartitions("id").write.option("parquet.page.row.count.limit", 100).parquet(f"{root}/jobs")
     text = F.concat_ws("\n", "title", "description")
-    spark.read.parquet(f"{root}/jobs").select("id", F.explode(text_grams(text)).alias("gram")).write.parquet(f"{root}/unsorted")
+    spark.read.parquet(f"{root}/jobs").select("id", text.alias("text")).mapInArrow(gram_rows, f"id {dict(jobs.dtypes)['id']}, gram string").write.parquet(f"{root}/unsorted")
     lists = spark.read.parquet(f"{root}/unsorted")
     lists.repartitionByRange(shards, "gram", "id").sortWithinPartitions("gram", "id").write.parquet(f"{root}/lists")
     lists.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{root}/counts")
