@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from jobscope import buckets, vocab
@@ -18,9 +18,24 @@ def classify_postings(postings: DataFrame) -> DataFrame:
     return read.withColumns({"categories": F.col("_class.categories"), "level": F.col("_class.level"), "sponsor_tier": resolve_tier(F.col("_tier"), F.col("registry_flags"))}).drop("_class", "_tier")
 
 
-def _classified(jobs: DataFrame, met: DataFrame, seen_at) -> DataFrame:  # noqa: ANN001
-    """Postings (with ``company_id`` and ``registry_flags``) as an upsert takes them; only new or changed ones are classified."""
-    fresh = classify_postings(changed_only(met, jobs)).select("source_id", "external_id", "categories", "level", "sponsor_tier", "sponsor_evidence")
+def _with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows whose ``description`` names a text, with that text."""
+    met = rows.join(texts, F.col("description") == F.col("_named"), "left")
+    return met.select(*(F.col("_text" if c == "description" else c).alias(c) for c in rows.columns))
+
+
+def _texts(df: DataFrame, name: Column) -> DataFrame:
+    return df.select(name.alias("_named"), F.col("description").alias("_text"))
+
+
+def _classified(jobs: DataFrame, met: DataFrame, seen_at, texts: DataFrame | None = None) -> DataFrame:  # noqa: ANN001
+    """Postings (with ``company_id`` and ``registry_flags``) as an upsert takes them; only new or changed ones are classified.
+
+    With ``texts``, descriptions are names of these, and the changed postings alone have theirs fetched.
+    """
+    changed = changed_only(met, jobs)
+    changed = changed if texts is None else _with_texts(changed.select("source_id", "external_id", "title", "description", "registry_flags"), texts)
+    fresh = classify_postings(changed).select("source_id", "external_id", "categories", "level", "sponsor_tier", "sponsor_evidence")
     return met.join(fresh, ["source_id", "external_id"], "left").withColumn("seen_at", F.lit(seen_at).cast("timestamp"))
 
 
@@ -47,10 +62,10 @@ def _named(companies: DataFrame, postings: DataFrame, company_id: int | None) ->
 
 
 def _read_once(postings: DataFrame, company_id: int | None) -> tuple[DataFrame, int, int]:
-    """Postings written as they are read, how many there are, and how many of them can be upserted."""
+    """Postings written as they are read with a number for each (``_row``), how many there are, and how many of them can be upserted."""
     counted = Observation()
     can = F.lit(True) if company_id is not None else F.coalesce(F.col("company_name") != "", F.lit(False))
-    kept = written(postings.observe(counted, F.count(F.lit(1)).alias("seen"), F.count_if(can).alias("upserted")), "postings")
+    kept = written(postings.withColumn("_row", F.monotonically_increasing_id()).observe(counted, F.count(F.lit(1)).alias("seen"), F.count_if(can).alias("upserted")), "postings")
     return kept, counted.get["seen"], counted.get["upserted"]
 
 
@@ -79,8 +94,12 @@ def poll(jobs: DataFrame, companies: DataFrame, postings: DataFrame, seen_at, so
     if company_id is not None:
         scope = scope & (F.col("company_id") == company_id)
     observed = Observation()
-    merged = _merged(jobs, _named(companies, postings, company_id), seen_at)
-    swept = sweep(merged, postings.select("source_id", "external_id"), scope, seen_at, closes="_closes")
+    old, new = F.concat(F.lit("s"), F.col("id").cast("string")), F.concat(F.lit("p"), F.col("_row").cast("string"))
+    stored = written(jobs.withColumn("description", old), "stored")
+    came = _texts(postings, new)
+    incoming = written(_classified(stored, _named(companies, postings.withColumn("description", new).drop("_row"), company_id), seen_at, came), "incoming")
+    merged = upsert_jobs(stored, incoming)
+    swept = _with_texts(sweep(merged, postings.select("source_id", "external_id"), scope, seen_at, closes="_closes"), came.unionByName(_texts(jobs, old)))
     polled = written(swept.observe(observed, F.count_if("_closes").alias("closed")).drop("_closes"), "polled")  # a chain of polls has plans of one poll each
     return polled, companies, counters(observed.get["closed"])
 

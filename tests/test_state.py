@@ -129,6 +129,16 @@ def test_dedup_is_idempotent_and_null_safe(spark):
     assert tuple(dedup_summary(assign_canonicals(linked)).first()) == (1, 1)
 
 
+def test_a_poll_merges_without_texts(spark, monkeypatch):
+    """Merge and sweep go without the texts; each posting has its own afterwards, stored ones the poll didn't bring included."""
+    merged, firms = [], spark.createDataFrame([(7, "Acme", "greenhouse", "acme", "SE", 1, None, None, 1, True, 0, None, "ok", None)], COMPANY)
+    monkeypatch.setattr(ingest, "upsert_jobs", lambda stored, incoming: merged.extend((stored, incoming)) or state.upsert_jobs(stored, incoming))
+    jobs, _, _ = ingest.poll(spark.createDataFrame([], JOB), firms, board(spark, [posting(1, content="first text"), posting(2, content="second text")]), datetime(2026, 1, 1), "greenhouse", 7)
+    jobs, _, _ = ingest.poll(jobs, firms, board(spark, [posting(2, content="changed text"), posting(3, content="third text")]), datetime(2026, 1, 2), "greenhouse", 7)
+    assert {r.external_id: r.description for r in jobs.collect()} == {"1": "first text", "2": "changed text", "3": "third text"}
+    assert len(merged) == 4 and not any("text" in r.description for df in merged for r in df.collect())
+
+
 def test_segments_meet_by_shuffle(spark):
     """However few the fingerprints are, their segments, 45 to each, aren't sent through the driver."""
     jobs = spark.createDataFrame([(k, 1, "a", "SE", f"text {k}") for k in range(4)], "id long, company_id long, title string, country string, description string")
