@@ -12,17 +12,18 @@ compared by 32-bit hashes, of which two different words share one in four billio
 class is its connected component of verified links.
 
 Scale: texts with equal words are one from the start (by a 128-bit hash). Buckets of one text go
-first; words are kept for the texts of the others alone. In each round a bucket, however large, is
-compared with one leader: the text of most company, as the one that others were made from shares
-buckets with all of them. Texts that are near one hub are of one label and needn't be compared. A
-bucket is done if all its texts are of one label, and texts near its leader leave it if all those of
-other labels are far from the leader (so far that none of them can be near a text that is). If what
-is left has at most ``FEW`` pairs of different labels for each text, these are all compared. Only a
-bucket with more of them is divided and has its next round: first by one sketch further on, in two
-ways, then by one more in each round; texts that agree in all sketches are all compared. Rows don't multiply but for these two ways, pairs are made in
-proportion to rows, and nothing is gathered. Not compared, then, are texts that agree in large buckets
-alone, neither near a common hub nor equal in the sketches that divide these. ``lost_links`` counts
-what that leaves out, against comparing all pairs of every bucket; the README has measured shares.
+first, and of buckets of the same texts all but one; words are kept for the texts of the others alone.
+A bucket, however large, is compared with one leader: the text of most company, as the one that others
+were made from shares buckets with all of them. Texts that are near one hub are of one label and
+needn't be compared. A bucket is done if all its texts are of one label, and texts near its leader
+leave it if all those of other labels are far from the leader (so far that none of them can be near a
+text that is). If what is left has at most ``FEW`` pairs of different labels for each text, these are
+made as rows. A bucket with more of them is cut in chunks of bounded size, of which each meets each in
+a group of its own: there all pairs are held against bounds that no near pair fails (length, and
+words in common as counted in ``BINS``), and those that pass are aligned unless their labels are
+linked already. So no two texts of a bucket are left out but by what rules them out; a large
+bucket's time grows with the square of its texts, its memory and the rows made don't. ``lost_links``
+compares the outcome with that of all pairs of every bucket.
 
 Cases: null and empty texts have no words and are one class (they are equal); texts of fewer words
 than a k-mer have one k-mer, all of them; texts with equal words are of one class, whatever their ids;
@@ -34,10 +35,8 @@ broken by the smallest id; empty tables give no rows; further columns are passed
 from __future__ import annotations
 
 import hashlib
-import operator
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,14 +51,11 @@ from jobscope.store import written
 KMERS, SHORT_KMER, SHORT_WORDS = ((5, 16), (3, 32)), (2, 32), 40
 PICKED, LEAST = 2, 0.8
 
-#: Sketches that all texts have.
-CIRCLE = sum(n for _, n in KMERS)
-
-#: Pairs compared in a bucket for each of its rows, when its leader has been.
+#: Pairs of a bucket, for each of its rows, that are made as rows; where there are more, chunks are compared.
 FEW = 8
 
-#: How far on the sketches are that divide a large bucket.
-STEPS = (1, 5)
+#: Texts and words of a chunk (about, as texts are dealt by hash), and the counts that bound the words in common.
+CHUNK, CHUNK_WORDS, BINS = 1024, 1 << 20, 256
 
 _MOST = max(n for _, n in (*KMERS, SHORT_KMER))
 _SEEDS, _TIMES = np.random.default_rng(20240607).integers(1, 2**63, (2, _MOST), dtype=np.uint64) | np.uint64(1)
@@ -267,14 +263,21 @@ def _with_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found if found.count() == wanted.count() else written(found.dropDuplicates(["node"]), "candidates")
 
 
+def _set_of() -> list[Column]:
+    """``set_1`` and ``set_2``, which say which nodes a group has."""
+    return [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"set_{k}") for k in (1, 2)]
+
+
 def _buckets(contents: DataFrame) -> DataFrame:
-    """``node``, ``place`` (of its sketch), ``bucket`` and ``weight`` (how much company the node has, and in its low bits its words) of buckets with several nodes."""
-    rows = contents.select("node", F.posexplode("keys").alias("place", "bucket"))
+    """``node``, ``bucket`` and ``weight`` (how much company the node has, and in its low bits its words) of buckets with several nodes; of buckets of the same nodes there is one."""
+    rows = contents.select("node", F.explode("keys").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     live = written(rows.join(shared, "bucket"), "buckets")
     sizes = contents.select("node", F.least("n_words", F.lit((1 << SIZE_BITS) - 1)).alias("size"))
     company = live.groupBy("node").agg(F.sum("n").alias("n_shared")).join(sizes, "node")
-    return live.join(company, "node").select("node", "place", "bucket", F.shiftleft("n_shared", SIZE_BITS).bitwiseOR(F.col("size")).alias("weight"))
+    sets = live.groupBy("bucket").agg(F.first("n").alias("n"), *_set_of())
+    once = written(sets.groupBy("n", "set_1", "set_2").agg(F.min("bucket").alias("bucket")).select("bucket"), "once")
+    return live.join(once, "bucket").join(company, "node").select("node", "bucket", F.shiftleft("n_shared", SIZE_BITS).bitwiseOR(F.col("size")).alias("weight"))
 
 
 def _pairs(rows: DataFrame, one: str, other: str, weight_one: str, weight_other: str) -> DataFrame:
@@ -313,32 +316,28 @@ def _met(buckets: DataFrame) -> DataFrame:
     return written(buckets.join(lead, "bucket").where("node != lead"), "met")
 
 
-def _rest(met: DataFrame, tried: DataFrame, labels: DataFrame | None, least: float) -> DataFrame:
-    """Rows that may still be near one of another label in their bucket, with ``cross`` (pairs of different labels), ``n`` (rows) and ``major`` (the label of most rows).
+def _rest(met: DataFrame, tried: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """Rows that may still be near one of another label in their bucket, with ``cross`` (pairs of different labels), ``n`` (rows), ``n_words`` (of all rows) and ``major`` (the label of most rows).
 
-    ``labels`` are given once, when nodes have none yet: only buckets with a row that isn't near its
-    leader need them. Rows keep their label through later rounds; one that is near its leader takes the
-    leader's.
+    Only buckets with a row that isn't near its leader need labels; one that is takes the leader's.
     """
     told = tried.select(F.col("a").alias("x"), F.col("b").alias("y"), "told")
     rows = met.withColumns({"x": F.least("lead", "node"), "y": F.greatest("lead", "node")}).join(told, ["x", "y"], "left").drop("x", "y").withColumn("told", F.coalesce("told", F.lit(BETWEEN)))
-    if labels is not None:
-        rows = written(rows.drop("label", "lead_label"), "told")
-        mixed = written(rows.groupBy("bucket").agg(F.min("told").alias("least")).where(F.col("least") != NEAR).select("bucket"), "mixed")
-        rows = _labelled(rows.join(mixed, "bucket"), labels, "lead", "lead_label")
-        close = rows.where(F.col("told") == NEAR).withColumn("label", F.col("lead_label"))
-        rows = _labelled(rows.where(F.col("told") != NEAR), labels, "node", "label").unionByName(close)
-    rows = written(rows.withColumn("label", F.when(F.col("told") == NEAR, F.col("lead_label")).otherwise(F.col("label"))), "labelled")
+    rows = written(rows.drop("label", "lead_label"), "told")
+    mixed = written(rows.groupBy("bucket").agg(F.min("told").alias("least")).where(F.col("least") != NEAR).select("bucket"), "mixed")
+    rows = _labelled(rows.join(mixed, "bucket"), labels, "lead", "lead_label")
+    close = rows.where(F.col("told") == NEAR).withColumn("label", F.col("lead_label"))
+    rows = written(_labelled(rows.where(F.col("told") != NEAR), labels, "node", "label").unionByName(close), "labelled")
     rows = written(_within_reach(rows, least), "in-reach")
-    own = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"set_{k}") for k in (1, 2)]
-    each = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), *own)
-    of = each.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max_by("label", "n").alias("major"), *(F.bit_xor(f"set_{k}").alias(f"set_{k}") for k in (1, 2)))
-    left = of.select("bucket", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("cross"), "major", "set_1", "set_2").where("cross > 0")
+    size = F.col("weight").bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
+    each = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("n_words"), *_set_of())
+    of = each.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_words").alias("n_words"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max_by("label", "n").alias("major"), *(F.bit_xor(f"set_{k}").alias(f"set_{k}") for k in (1, 2)))
+    left = of.select("bucket", "n", "n_words", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("cross"), "major", "set_1", "set_2").where("cross > 0")
     # of small buckets of the same rows, all of whose pairs are compared, one will do
     left = written(left, "rest-buckets")
-    few = left.where(F.col("cross") <= FEW * F.col("n")).groupBy("n", "set_1", "set_2").agg(F.min_by(F.struct("bucket", "cross", "major"), "bucket").alias("b")).select("b.bucket", "n", "b.cross", "b.major")
+    few = left.where(F.col("cross") <= FEW * F.col("n")).groupBy("n", "set_1", "set_2").agg(F.min_by(F.struct("bucket", "n_words", "cross", "major"), "bucket").alias("b")).select("b.bucket", "n", "b.n_words", "b.cross", "b.major")
     left = few.unionByName(left.where(F.col("cross") > FEW * F.col("n")).select(*few.columns))
-    return written(rows.join(written(left, "rest-buckets"), "bucket").select("node", "place", "bucket", "weight", "label", "told", "n", "cross", "major"), "rest")
+    return written(rows.join(written(left, "rest-buckets"), "bucket").select("node", "bucket", "weight", "label", "told", "n", "n_words", "cross", "major"), "rest")
 
 
 def _within_reach(rows: DataFrame, least: float) -> DataFrame:
@@ -362,7 +361,7 @@ def _within_reach(rows: DataFrame, least: float) -> DataFrame:
     low = F.when(F.col("label") == F.col("lowest.label"), F.col("low")).otherwise(F.col("lowest.low"))
     high = F.when(F.col("label") == F.col("highest.label"), F.col("high")).otherwise(F.col("highest.high"))
     near = ((high >= least * size - 1e-6) & (least * low <= size + 1e-6)) | (size >= mask) | (high >= mask)
-    return rows.join(reach, "bucket").where((F.col("between") | apart) & near).select("node", "place", "bucket", "weight", "label", "told")
+    return rows.join(reach, "bucket").where((F.col("between") | apart) & near).select("node", "bucket", "weight", "label", "told")
 
 
 def _few(rest: DataFrame) -> DataFrame:
@@ -372,33 +371,74 @@ def _few(rest: DataFrame) -> DataFrame:
     return met.where("label_x != label and (label = major or node_x < node) and told_x * told != -1")
 
 
+def _near_of_group(table: pa.Table, least: float) -> pa.Table:
+    """Links between texts of two chunks (or within one) of a bucket: all that join labels, but those between labels that others have joined.
+
+    Two texts that share several large buckets are aligned in one of them, which their numbers pick.
+    """
+    table = table.sort_by([("n_words", "ascending"), ("node", "ascending")])
+    words = [np.frombuffer(w.as_py(), np.uint32) for w in table["words"]]
+    node, weight, label, told, chunk = (table[c].to_numpy() for c in ("node", "weight", "label", "told", "chunk"))
+    size = np.array([len(w) for w in words])
+    need = size - (size * (1 - least) + 1e-9).astype(np.int64)  # words in common with the longer text
+    counts = np.array([np.bincount(w % BINS, minlength=BINS) for w in words])
+    counts = counts.astype(np.min_scalar_type(counts.max()))
+    within, bucket = table["low"][0] == table["high"][0], table["bucket"][0].as_py()
+    own = [set(x) for x in table["buckets"].to_pylist()]
+    joined: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := joined.get(x, x)) != x:
+            joined[x] = x = joined.get(up, up)
+        return x
+
+    links = []
+    for i in range(len(size)):
+        rest = slice(i + 1, max(i + 1, np.searchsorted(need, size[i], "right")))
+        met = np.flatnonzero((label[rest] != label[i]) & (told[rest] * told[i] != NEAR * FAR) & (within | (chunk[rest] != chunk[i]))) + i + 1
+        for j in met[np.minimum(counts[i], counts[met]).sum(axis=1, dtype=np.int64) >= need[met]]:
+            shared = sorted(own[i] & own[j])
+            if shared[int(node[i] ^ node[j]) % len(shared)] != bucket:
+                continue
+            one, other = root(int(label[i])), root(int(label[j]))
+            if one != other and near(words[i], words[j], least):
+                joined[other] = one
+                links.append((i, j) if node[i] < node[j] else (j, i))
+    a, b = (np.array(x, np.int64) for x in (zip(*links, strict=True) if links else ((), ())))
+    return pa.Table.from_arrays([pa.array(x) for x in (node[a], node[b], weight[a], weight[b], np.full(len(a), NEAR, np.int32))], ["a", "b", "weight_a", "weight_b", "told"])
+
+
+def _met_in_chunks(many: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
+    """Links of large buckets, each once; every two chunks of a bucket are a group."""
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK), F.ceil(F.col("n_words") / CHUNK_WORDS)).cast("int")
+    dealt = many.select("bucket", "node", "weight", "label", "told", chunks.alias("chunks")).withColumn("chunk", F.pmod(F.xxhash64("node", "bucket"), "chunks").cast("int"))
+    own = many.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
+    texts = dealt.join(candidates.withColumn("n_words", F.length("words")).join(own, "node"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    groups = texts.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}).groupBy("bucket", "low", "high")
+    return written(groups.applyInArrow(lambda table: _near_of_group(table, least), _PAIRS), "met-in-chunks")
+
+
 def _links(contents: DataFrame, docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """Verified links ``a``-``b`` between nodes with different words, and the labels of linked nodes."""
     buckets = written(_buckets(contents), "weighted")
-    # one row for each text that meets another, with its shared sketches
-    live = written(buckets.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("place", F.col("bucket").alias("key")))).alias("keys")), "live")
-    wanted = contents.select("node", "doc_id", "text_key").join(live.select("node"), "node", "left_semi")
+    wanted = contents.select("node", "doc_id", "text_key").join(buckets.select("node").distinct(), "node", "left_semi")
     candidates = _with_words(docs, written(wanted, "wanted"))
     met = _met(buckets.withColumn("label", F.col("node")))
     tried = _verified(_pairs(met, "lead", "node", "lead_weight", "weight"), candidates, least)
     labels = _labels(tried)
-    step = 0
-    while True:
-        rest = _rest(met, tried, labels if step == 0 else None, least)
-        if rest.isEmpty():
-            return tried.where(F.col("told") == NEAR).select("a", "b"), labels if step == 0 else _labels(tried)
-        # where there is no sketch left to divide by, what is left is compared whatever it is
-        large = F.lit(False) if step == CIRCLE else F.col("cross") > FEW * F.col("n")
-        divided = _divided(rest.where(large), live, step)
-        met = _met(divided)
-        few = _few(rest.where(~large))
-        pairs = _pairs(few, "node_x", "node", "weight_x", "weight").unionByName(_pairs(met.where("label != lead_label"), "lead", "node", "lead_weight", "weight")).distinct()
-        tried = tried.unionByName(_verified(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), candidates, least))
-        step += 1
+    rest = _rest(met, tried, labels, least)
+    if rest.isEmpty():
+        return tried.where(F.col("told") == NEAR).select("a", "b"), labels
+    large = F.col("cross") > FEW * F.col("n")
+    pairs = _pairs(_few(rest.where(~large)), "node_x", "node", "weight_x", "weight")
+    tried = tried.unionByName(_verified(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), candidates, least))
+    found = _met_in_chunks(rest.where(large), candidates, least)
+    tried = tried.unionByName(found.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    return tried.where(F.col("told") == NEAR).select("a", "b"), _labels(tried)
 
 
 def lost_links(docs: DataFrame, least: float = LEAST) -> dict[str, int]:
-    """``classes`` that the rounds leave, and ``exact`` ones that comparing all pairs of all buckets leaves (for measuring: as slow as it is thorough)."""
+    """``classes`` that ``_links`` leaves, and ``exact`` ones that comparing all pairs of all buckets leaves (for measuring: as slow as it is thorough)."""
     contents = written(_contents(written(sketches(docs), "sketches")), "nodes")
     links, _ = _links(contents, docs, least)
     buckets = written(_buckets(contents), "weighted")
@@ -410,19 +450,6 @@ def lost_links(docs: DataFrame, least: float = LEAST) -> dict[str, int]:
     return {"classes": nodes - merged(links), "exact": nodes - merged(every.where(F.col("told") == NEAR).select("a", "b"))}
 
 
-def _divided(many: DataFrame, live: DataFrame, step: int) -> DataFrame:
-    """The rest of each large bucket, divided by the sketch ``STEPS`` further on, in each later round by one more of those that follow.
-
-    Sketches that a node shares with no other divide it from all.
-    """
-    rows = many.select("node", "place", "bucket", "weight", "label").join(live, "node")
-    rows = rows.withColumn("on", F.explode(F.array(*map(F.lit, STEPS)))) if step == 0 else rows.withColumn("on", F.lit(1))
-    place = lambda k: ((F.col("place") + F.col("on") + k) % CIRCLE).cast("int")
-    further = [F.try_element_at("keys", place(k)) for k in range(step + 1)]
-    shared = rows.where(reduce(operator.and_, (k.isNotNull() for k in further)))
-    return written(shared.select("node", place(step).alias("place"), F.xxhash64("bucket", "on", *further).alias("bucket"), "weight", "label"), "divided")
-
-
 def _contents(sketched: DataFrame) -> DataFrame:
     """One row for each text of different words: ``content``, ``doc_id`` (its smallest) and ``text_key`` of a row with it, ``keys``, and ``node``, a number of its own.
 

@@ -622,6 +622,20 @@ def test_copies_of_one_text_that_are_not_near_each_other_are_one_class(spark):
     assert sum(found[i] == 0 for i in [*range(150), 500]) >= 148 and all(found[1000 + g] == 1000 + g for g in range(150))
 
 
+@pytest.mark.parametrize("chunk", [1024, 16])
+def test_large_mixed_buckets_are_compared_whole(spark, monkeypatch, chunk):
+    """Pairs that agree in a shared passage's sketches alone, with no common hub: nothing of a bucket is left out, in one chunk or in many."""
+    monkeypatch.setattr(order_minhash, "FEW", 0)
+    monkeypatch.setattr(order_minhash, "CHUNK", chunk, raising=False)
+    r = random.Random(41)
+    shared, rows = [f"s{i}" for i in range(100)], []
+    for g in range(60):
+        base = [f"o{g}.{i}" for i in range(100)]
+        rows += [(100 * k + g, " ".join(shared + changed(base, 0.2, r))) for k in range(3)]
+    found = order_minhash.lost_links(docs(spark, rows))
+    assert found["classes"] == found["exact"] <= 70
+
+
 # ---- 9 lines ----
 def text_key(text):
     return int(hashlib.md5((text or "").encode()).hexdigest()[:15], 16)
