@@ -622,7 +622,7 @@ def test_copies_of_one_text_that_are_not_near_each_other_are_one_class(spark):
     assert sum(found[i] == 0 for i in [*range(150), 500]) >= 148 and all(found[1000 + g] == 1000 + g for g in range(150))
 
 
-@pytest.mark.parametrize("chunk", [1024, 16])
+@pytest.mark.parametrize("chunk", [1024, 64])
 def test_large_mixed_buckets_are_compared_whole(spark, monkeypatch, chunk):
     """Pairs that agree in a shared passage's sketches alone, with no common hub: nothing of a bucket is left out, in one chunk or in many."""
     monkeypatch.setattr(order_minhash, "FEW", 0)
