@@ -12,7 +12,8 @@ compared by 32-bit hashes, of which two different words share one in four billio
 class is its connected component of verified links.
 
 Scale: texts with equal words are one from the start (by a 128-bit hash). Buckets of one text go
-first, and of buckets of the same texts all but one; words are kept for the texts of the others alone.
+first, and of buckets of the same texts all but one. Words are fetched from the table for the texts of
+pairs that are to be compared, others stay where they lie: a bitmap of bounded size tells most of them.
 A bucket, however large, is compared with one leader: the text of most company, as the one that others
 were made from shares buckets with all of them. Texts that are near one hub are of one label and
 needn't be compared. A bucket is done if all its texts are of one label, and texts near its leader
@@ -37,6 +38,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,9 @@ _ODD = np.array([2 * int(x) + 1 for x in np.random.default_rng(11).integers(1, 2
 #: Half width of the band that is tried first.
 NARROW = 30
 
+#: Bits of a block of a bitmap (what ``bitmap_construct_agg`` makes), and blocks that a bitmap has at most (8 MB in all).
+BLOCK_BITS, BLOCKS = 1 << 15, 1 << 11
+
 #: k-mers whose hashes are held at once for all sketches.
 STRIDE = 1 << 15
 
@@ -217,18 +222,17 @@ SIZE_BITS = 24
 _PAIRS = "a long, b long, weight_a long, weight_b long, told int"
 
 
-def _verified(pairs: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: Texts, least: float) -> DataFrame:
     """Pairs with ``told``, their relation; where lengths alone tell that a pair isn't near, no words are fetched.
 
-    Pairs are written, so that few of them are sent to the words and not the words to them. Both ends'
-    words of a pair are dealt out by the pair, so that a hub's many pairs lie apart.
+    Both ends' words of a pair are dealt out by the pair, so that a hub's many pairs lie apart.
     """
     mask = F.lit((1 << SIZE_BITS) - 1)
     longer, shorter = (f(F.col("weight_a").bitwiseAND(mask), F.col("weight_b").bitwiseAND(mask)) for f in (F.greatest, F.least))
     unlike = (shorter < longer * least - 1e-9) & (longer < mask)
     pairs = written(pairs.withColumn("told", F.when(unlike & (longer - shorter > 2 * longer * (1 - least) / least + 1e-9), FAR).when(unlike, BETWEEN)), "pairs")
     ends = pairs.where("told is null").select("a", "b", "weight_a", "weight_b", F.explode(F.array("a", "b")).alias("node"))
-    both = ends.join(candidates, "node").repartition("a", "b").sortWithinPartitions("a", "b", "node")
+    both = _with_words(texts, ends).repartition("a", "b").sortWithinPartitions("a", "b", "node")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = None
@@ -249,18 +253,50 @@ def _verified(pairs: DataFrame, candidates: DataFrame, least: float) -> DataFram
     return written(compared.unionByName(pairs.where("told is not null")), "verified")
 
 
-def _with_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node`` and ``words`` (32-bit hashes) of the texts that ``wanted`` (doc_id, text_key, node) names."""
-    same = (F.col("t.text_key") == F.col("w.text_key")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
-    # by shuffle at every size: the wanted are a share of all texts
-    texts = keyed_text_of(docs).alias("t").join(wanted.alias("w").hint("merge"), same).select("w.node", "t.text")
+def _perhaps_among(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` without most of those whose ``keys`` ``wanted`` hasn't got; none that it has is left out.
+
+    A bitmap with a bit for a hash of the keys is broadcast, so nothing is shuffled. It has 16 bits or
+    more for each wanted row as long as ``BLOCKS`` allow, then fewer: more rows pass, its size stays.
+    """
+    blocks = 1
+    while blocks < BLOCKS and blocks * BLOCK_BITS < 16 * wanted.count():
+        blocks *= 2
+    place = F.pmod(F.xxhash64(*keys), F.lit(blocks * BLOCK_BITS))
+    block, bit = F.floor(place / BLOCK_BITS).alias("block"), F.pmod(place, F.lit(BLOCK_BITS)).alias("bit")
+    bitmap = wanted.select(block, bit).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(F.col("bit") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    met = rows.select("*", block, bit).join(F.broadcast(bitmap), "block")
+    return met.where(F.getbit(byte, F.pmod("bit", F.lit(8)).cast("int")) == 1).select(*rows.columns)
+
+
+class Texts(NamedTuple):
+    """Where the nodes' words are fetched from: the documents, ``node``, ``doc_id`` and ``text_key`` of each, and whether rows repeat both id and text."""
+
+    docs: DataFrame
+    places: DataFrame
+    repeated: bool
+
+
+def _texts(docs: DataFrame, sketched: DataFrame, contents: DataFrame) -> Texts:
+    again = sketched.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return Texts(docs, contents.select("node", "doc_id", "text_key"), not again.isEmpty())
+
+
+def _with_words(texts: Texts, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``words`` (32-bit hashes) of their ``node``."""
+    wanted = written(rows.join(texts.places, "node"), "wanted")
+    found = _perhaps_among(keyed_text_of(texts.docs), wanted, ["doc_id", "text_key"])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch["node"], pa.array([words_of(t).tobytes() for t in batch["text"].to_pylist()], pa.binary())], ["node", "words"])
+        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], pa.array([words_of(t).tobytes() for t in batch["text"].to_pylist()], pa.binary())], ["doc_id", "text_key", "words"])
 
-    found = written(texts.mapInArrow(per_slice(work), "node long, words binary"), "candidates")
-    # rows that repeat id and text are there several times, if there are any
-    return found if found.count() == wanted.count() else written(found.dropDuplicates(["node"]), "candidates")
+    found = found.mapInArrow(per_slice(work), "doc_id long, text_key long, words binary")
+    if texts.repeated:
+        found = written(found.dropDuplicates(["doc_id", "text_key"]), "words")
+    same = (F.col("t.text_key") == F.col("w.text_key")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
+    # by shuffle at every size: what is wanted grows with the texts
+    return found.alias("t").join(wanted.alias("w").hint("merge"), same).select(*(f"w.{c}" for c in rows.columns), "t.words")
 
 
 def _set_of() -> list[Column]:
@@ -270,8 +306,9 @@ def _set_of() -> list[Column]:
 
 def _buckets(contents: DataFrame) -> DataFrame:
     """``node``, ``bucket`` and ``weight`` (how much company the node has, and in its low bits its words) of buckets with several nodes; of buckets of the same nodes there is one."""
-    rows = contents.select("node", F.explode("keys").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # dealt out once, for the counts and the join: counting nodes, both need the same columns
+    rows = contents.select("node", F.explode("keys").alias("bucket")).repartition("bucket")
+    shared = rows.groupBy("bucket").agg(F.count("node").alias("n")).where("n > 1")
     live = written(rows.join(shared, "bucket"), "buckets")
     sizes = contents.select("node", F.least("n_words", F.lit((1 << SIZE_BITS) - 1)).alias("size"))
     company = live.groupBy("node").agg(F.sum("n").alias("n_shared")).join(sizes, "node")
@@ -408,43 +445,42 @@ def _near_of_group(table: pa.Table, least: float) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x) for x in (node[a], node[b], weight[a], weight[b], np.full(len(a), NEAR, np.int32))], ["a", "b", "weight_a", "weight_b", "told"])
 
 
-def _met_in_chunks(many: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
+def _met_in_chunks(many: DataFrame, texts: Texts, least: float) -> DataFrame:
     """Links of large buckets, each once; every two chunks of a bucket are a group."""
     chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK), F.ceil(F.col("n_words") / CHUNK_WORDS)).cast("int")
     dealt = many.select("bucket", "node", "weight", "label", "told", chunks.alias("chunks")).withColumn("chunk", F.pmod(F.xxhash64("node", "bucket"), "chunks").cast("int"))
     own = many.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
-    texts = dealt.join(candidates.withColumn("n_words", F.length("words")).join(own, "node"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    groups = texts.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}).groupBy("bucket", "low", "high")
+    met = _with_words(texts, dealt.join(own, "node")).withColumns({"n_words": F.length("words"), "other": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))})
+    groups = met.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}).groupBy("bucket", "low", "high")
     return written(groups.applyInArrow(lambda table: _near_of_group(table, least), _PAIRS), "met-in-chunks")
 
 
-def _links(contents: DataFrame, docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+def _links(contents: DataFrame, texts: Texts, least: float) -> tuple[DataFrame, DataFrame]:
     """Verified links ``a``-``b`` between nodes with different words, and the labels of linked nodes."""
     buckets = written(_buckets(contents), "weighted")
-    wanted = contents.select("node", "doc_id", "text_key").join(buckets.select("node").distinct(), "node", "left_semi")
-    candidates = _with_words(docs, written(wanted, "wanted"))
     met = _met(buckets.withColumn("label", F.col("node")))
-    tried = _verified(_pairs(met, "lead", "node", "lead_weight", "weight"), candidates, least)
+    tried = _verified(_pairs(met, "lead", "node", "lead_weight", "weight"), texts, least)
     labels = _labels(tried)
     rest = _rest(met, tried, labels, least)
     if rest.isEmpty():
         return tried.where(F.col("told") == NEAR).select("a", "b"), labels
     large = F.col("cross") > FEW * F.col("n")
     pairs = _pairs(_few(rest.where(~large)), "node_x", "node", "weight_x", "weight")
-    tried = tried.unionByName(_verified(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), candidates, least))
-    found = _met_in_chunks(rest.where(large), candidates, least)
+    tried = tried.unionByName(_verified(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, least))
+    found = _met_in_chunks(rest.where(large), texts, least)
     tried = tried.unionByName(found.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     return tried.where(F.col("told") == NEAR).select("a", "b"), _labels(tried)
 
 
 def lost_links(docs: DataFrame, least: float = LEAST) -> dict[str, int]:
     """``classes`` that ``_links`` leaves, and ``exact`` ones that comparing all pairs of all buckets leaves (for measuring: as slow as it is thorough)."""
-    contents = written(_contents(written(sketches(docs), "sketches")), "nodes")
-    links, _ = _links(contents, docs, least)
+    sketched = written(sketches(docs), "sketches")
+    contents = written(_contents(sketched), "nodes")
+    texts = _texts(docs, sketched, contents)
+    links, _ = _links(contents, texts, least)
     buckets = written(_buckets(contents), "weighted")
-    live = contents.select("node", "doc_id", "text_key").join(buckets.select("node").distinct(), "node", "left_semi")
     one, other = (buckets.select("bucket", F.col("node").alias(f"node_{x}"), F.col("weight").alias(f"weight_{x}")) for x in "xy")
-    every = _verified(_pairs(one.join(other, "bucket").where("node_x < node_y"), "node_x", "node_y", "weight_x", "weight_y"), _with_words(docs, written(live, "wanted")), least)
+    every = _verified(_pairs(one.join(other, "bucket").where("node_x < node_y"), "node_x", "node_y", "weight_x", "weight_y"), texts, least)
     nodes = contents.count()
     merged = lambda edges: connected_components(edges).where("node != component").count()
     return {"classes": nodes - merged(links), "exact": nodes - merged(every.where(F.col("told") == NEAR).select("a", "b"))}
@@ -468,7 +504,7 @@ def _named(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """The sketches, and ``content``, ``doc_id`` and ``text_key`` (of a row with it), ``group``, ``class_id`` and ``n_links`` of each text of different words."""
     sketched = written(sketches(docs), "sketches")
     contents = written(_contents(sketched), "nodes")
-    links, labels = _links(contents, docs, least)
+    links, labels = _links(contents, _texts(docs, sketched, contents), least)
     links = written(links, "links")
     # nodes of one label are of one class, so that components are sought among the labels alone
     joined = connected_components(_labelled(_labelled(links, labels, "a", "la"), labels, "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnRenamed("node", "label")

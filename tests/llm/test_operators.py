@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -636,6 +637,47 @@ def test_large_mixed_buckets_are_compared_whole(spark, monkeypatch, chunk):
     assert found["classes"] == found["exact"] <= 70
 
 
+def shuffled(spark):
+    """Bytes that the session's tasks have written to shuffles so far."""
+    time.sleep(1)  # the listener is behind the tasks
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_texts_of_no_pair_are_not_shuffled(spark):
+    r = random.Random(51)
+    texts = [[f"{r.getrandbits(32):x}" for _ in range(2000)] for _ in range(300)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(1000 + i, " ".join(changed(texts[i], 0.05, r))) for i in range(5)]
+    at = shuffled(spark)
+    found = {x.doc_id: x.class_id for x in order_minhash.classes(docs(spark, rows)).collect()}
+    assert found == {i: i % 1000 for i, _ in rows}
+    assert shuffled(spark) - at < sum(len(t) for _, t in rows) / 3
+
+
+@pytest.mark.parametrize("blocks", [1 << 11, 1])
+def test_the_bitmap_leaves_no_wanted_row_out(spark, monkeypatch, blocks):
+    """However full it is."""
+    monkeypatch.setattr(order_minhash, "BLOCKS", blocks)
+    rows = spark.range(100_000).selectExpr("IF(id % 7 = 0, NULL, id) AS doc_id", "id * 5 AS text_key", "'x' AS text")
+    wanted = rows.where("text_key % 10 = 0").select("text_key", "doc_id")
+    found = order_minhash._perhaps_among(rows, wanted, ["doc_id", "text_key"])
+    assert found.columns == rows.columns and found.where("text_key % 10 = 0").count() == 50_000
+    assert found.count() < 100_000 * (0.55 if blocks > 1 else 0.95)
+    assert order_minhash._perhaps_among(rows, wanted.limit(0), ["doc_id", "text_key"]).count() == 0
+
+
+@pytest.mark.parametrize("few", [order_minhash.FEW, 0])
+def test_rows_that_repeat_id_and_text_change_no_class(spark, monkeypatch, few):
+    monkeypatch.setattr(order_minhash, "FEW", few)
+    r = random.Random(52)
+    shared, rows = [f"s{i}" for i in range(100)], []
+    for g in range(30):
+        base = [f"o{g}.{i}" for i in range(100)]
+        rows += [(100 * k + g if k else None, " ".join(shared + changed(base, 0.2, r))) for k in range(3)]
+    once, again = (sorted({(x.doc_id or 0, x.class_id, x.n_links) for x in order_minhash.classes(docs(spark, part)).collect()}) for part in (rows, rows * 3))
+    assert once == again and max(x[2] for x in once) > 0
+
+
 # ---- 9 lines ----
 def text_key(text):
     return int(hashlib.md5((text or "").encode()).hexdigest()[:15], 16)
