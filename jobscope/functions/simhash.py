@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import re
+import string
 from collections import Counter
 from collections.abc import Callable
 
@@ -30,6 +30,9 @@ KNOWN = 1 << 17
 #: Longest token that is remembered, in characters.
 KNOWN_CHARS = 32
 
+#: Bytes of UTF-8 with a space for each that is no part of a word.
+_WORDS = bytes(c if chr(c) in string.ascii_lowercase + string.digits else ord(" ") for c in range(256))
+
 _MD5: dict[str, bytes] = {}
 _BLAKE2B: dict[str, bytes] = {}
 
@@ -46,7 +49,7 @@ def _fingerprint(digest: Callable[[bytes], bytes], known: dict[str, bytes]) -> C
     """
 
     def one(text: str | None) -> int:
-        counts = Counter(re.findall(r"[a-z0-9]+", (text or "").lower()))
+        counts = Counter((text or "").lower().encode().translate(_WORDS).decode("ascii").split())
         if not counts:
             return 0
         if len(known) > KNOWN:

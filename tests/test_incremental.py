@@ -277,6 +277,40 @@ def test_polls_of_duplicates_end_as_all_postings_compared(spark):
         assert any(a != b for a, b in want) and len({b for _, b in want}) > 5
 
 
+def test_links_of_an_index_stay_few_where_many_postings_of_a_block_are_near(spark, monkeypatch):
+    """Chunks of a block leave fewer links than fingerprints, not all pairs, and the clusters are those of all pairs."""
+    import random
+
+    from jobscope.operators import dedup
+
+    links, join = [], dedup.connected_components
+    monkeypatch.setattr(dedup, "FEW", 8, raising=False)
+    monkeypatch.setattr(dedup, "CHUNK", 64, raising=False)
+    monkeypatch.setattr(dedup, "connected_components", lambda edges: links.append(edges.count()) or join(edges))
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    texts = [[r.choice(words) for _ in range(120)] for _ in range(4)]
+
+    def make(ids):
+        rows = []
+        for k in ids:
+            w = list(r.choice(texts))
+            for _ in range(r.randrange(12)):
+                w[r.randrange(len(w))] = r.choice(words)
+            rows.append((k, 1, "Role", r.choice([None] * 9 + ["SE"]), " ".join(w)))
+        return rows
+
+    schema = "id long, company_id long, title string, country string, description string"
+    stored = {x[0]: x for x in make(range(100, 400))}
+    index = start_index(spark.createDataFrame(list(stored.values()), schema))
+    for changed, gone in ((make([*range(90), *range(100, 400, 5)]), range(101, 400, 9)), (make(range(400, 410)), range(0))):
+        index = update_index(index, spark.createDataFrame(changed, schema), spark.createDataFrame([(k,) for k in gone], "id long"))
+        stored = {k: x for k, x in stored.items() if k not in gone} | {x[0]: x for x in changed}
+    of_index, jobs = list(links), spark.createDataFrame(list(stored.values()), schema)
+    assert {tuple(x) for x in index.labels.collect()} == {tuple(x) for x in assign_canonicals(jobs).collect()}
+    assert max(of_index) < len(stored) * (len(stored) // 64 + 2) < links[-1] / 2
+
+
 # ---- indexes ----
 def test_searches_are_looked_up_by_their_rarest_criterion(spark):
     jobs = postings(spark, SF)
