@@ -310,11 +310,13 @@ def _buckets(contents: DataFrame) -> DataFrame:
     rows = contents.select("node", F.explode("keys").alias("bucket")).repartition("bucket")
     shared = rows.groupBy("bucket").agg(F.count("node").alias("n")).where("n > 1")
     live = written(rows.join(shared, "bucket"), "buckets")
-    sizes = contents.select("node", F.least("n_words", F.lit((1 << SIZE_BITS) - 1)).alias("size"))
-    company = live.groupBy("node").agg(F.sum("n").alias("n_shared")).join(sizes, "node")
+    company = live.groupBy("node").agg(F.sum("n").alias("n_shared"))
     sets = live.groupBy("bucket").agg(F.first("n").alias("n"), *_set_of())
     once = written(sets.groupBy("n", "set_1", "set_2").agg(F.min("bucket").alias("bucket")).select("bucket"), "once")
-    return live.join(once, "bucket").join(company, "node").select("node", "bucket", F.shiftleft("n_shared", SIZE_BITS).bitwiseOR(F.col("size")).alias("weight"))
+    # a node's buckets, of which there are no more than sketches, are put together, so that company and size are joined to a row a node
+    own = live.join(once, "bucket").groupBy("node").agg(F.collect_list("bucket").alias("own"))
+    sizes = contents.select("node", F.least("n_words", F.lit((1 << SIZE_BITS) - 1)).alias("size"))
+    return own.join(company, "node").join(sizes, "node").select("node", F.explode("own").alias("bucket"), F.shiftleft("n_shared", SIZE_BITS).bitwiseOR(F.col("size")).alias("weight"))
 
 
 def _pairs(rows: DataFrame, one: str, other: str, weight_one: str, weight_other: str) -> DataFrame:
@@ -449,8 +451,10 @@ def _met_in_chunks(many: DataFrame, texts: Texts, least: float) -> DataFrame:
     """Links of large buckets, each once; every two chunks of a bucket are a group."""
     chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK), F.ceil(F.col("n_words") / CHUNK_WORDS)).cast("int")
     dealt = many.select("bucket", "node", "weight", "label", "told", chunks.alias("chunks")).withColumn("chunk", F.pmod(F.xxhash64("node", "bucket"), "chunks").cast("int"))
-    own = many.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
-    met = _with_words(texts, dealt.join(own, "node")).withColumns({"n_words": F.length("words"), "other": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))})
+    # words are fetched once for a node, whose buckets are no more than sketches
+    own = dealt.groupBy("node").agg(F.collect_list(F.struct("bucket", "weight", "label", "told", "chunks", "chunk")).alias("own"))
+    each = _with_words(texts, own).select("node", "words", F.col("own.bucket").alias("buckets"), F.explode("own").alias("of")).select("node", "words", "buckets", "of.*")
+    met = each.withColumns({"n_words": F.length("words"), "other": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))})
     groups = met.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}).groupBy("bucket", "low", "high")
     return written(groups.applyInArrow(lambda table: _near_of_group(table, least), _PAIRS), "met-in-chunks")
 

@@ -637,6 +637,27 @@ def test_large_mixed_buckets_are_compared_whole(spark, monkeypatch, chunk):
     assert found["classes"] == found["exact"] <= 70
 
 
+def test_words_are_fetched_once_for_a_text_of_several_large_buckets(spark, monkeypatch):
+    """What belongs to a text is joined to a row for each text, not for each of its buckets."""
+    fetched, join = [], order_minhash._with_words
+
+    def spied(texts, rows):
+        if "a" not in rows.columns:  # those of pairs lie apart
+            fetched.append((rows.count(), rows.select("node").distinct().count()))
+        return join(texts, rows)
+
+    monkeypatch.setattr(order_minhash, "FEW", 0)
+    monkeypatch.setattr(order_minhash, "_with_words", spied)
+    r = random.Random(43)
+    shared, rows = [f"s{i}" for i in range(100)], []
+    for g in range(30):
+        base = [f"o{g}.{i}" for i in range(100)]
+        rows += [(100 * k + g, " ".join(shared + changed(base, 0.2, r))) for k in range(3)]
+    found = order_minhash.lost_links(docs(spark, rows))
+    assert found["classes"] == found["exact"]
+    assert fetched and all(n == nodes > 1 for n, nodes in fetched)
+
+
 def shuffled(spark):
     """Bytes that the session's tasks have written to shuffles so far."""
     time.sleep(1)  # the listener is behind the tasks
